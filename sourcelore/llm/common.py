@@ -15,6 +15,9 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -25,16 +28,46 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="sourcelore-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="sourcelore-"))
+        path = _own[0]
     return path.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: a cut of the lineage that outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/sourcelore/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a Parquet table in the shared folder and read it back: a cut of the lineage that outlives executors.
+
+    The shuffle files of the write go as soon as it ends, so that the steps of a long job don't pile up on disk.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sourcelore/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tiles(rows: DataFrame, keys: list[str], most_build: int = 2048, most_probe: int = 8192) -> DataFrame:
+    """Deal the rows of every key group out to tiles of bounded size, as columns ``i, j``.
+
+    ``rows`` has ``role`` (0: build, 1: probe) and ``c`` (an id) besides the keys. Every pair of a build and a probe of a
+    group meets in exactly one tile. Groups within the bounds are one tile; in others each build goes to one row of
+    tiles and each probe to one column, by a hash of its id.
+    """
+    large = rows.groupBy(*keys).agg(
+        F.ceil(F.count_if(F.col("role") == 0) / most_build).cast("int").alias("ni"), F.ceil(F.count_if(F.col("role") == 1) / most_probe).cast("int").alias("nj")
+    ).where("ni > 1 or nj > 1")
+    large = large.select(*keys, F.greatest("ni", F.lit(1)).alias("ni"), F.greatest("nj", F.lit(1)).alias("nj"))
+    own = lambda n: F.array(F.pmod(F.xxhash64("c"), F.coalesce(F.col(n), F.lit(1))).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1)
+    dealt = rows.join(large, keys, "left").withColumn("i", F.explode(F.when(F.col("role") == 0, own("ni")).otherwise(every("ni"))))
+    return dealt.withColumn("j", F.explode(F.when(F.col("role") == 1, own("nj")).otherwise(every("nj")))).drop("ni", "nj")
 
 
 def whole_text(column: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelore.llm import lines, mixing, packing, simhash, toxicity
+from sourcelore.llm import html, lines, mixing, packing, simhash, toxicity, vectors
 from sourcelore.llm.common import id_crc_mod
 
 
@@ -18,6 +18,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = toxicity.fit(docs, labels, toxicity.training_rows())
@@ -25,6 +30,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_crc_mod("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=5, min_chars=40)
     return found.select("doc_id", F.col("line_count").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -35,15 +44,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("doc").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.98)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), alpha=0.5, total=1.0, seed=42)
 
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_html": op2_html,
     "op4_toxicity": op4_toxicity,
+    "op5_nearest": op5_nearest,
     "op6_lines": op6_lines,
     "op8_packing": op8_packing,
+    "op9_vectors": op9_vectors,
     "op10_mixing": op10_mixing,
 }
 
