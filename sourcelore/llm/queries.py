@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelore.llm import html, lines, mixing, packing, simhash, toxicity, vectors
+from sourcelore.llm import html, lines, lm, mixing, packing, simhash, toxicity, vectors
 from sourcelore.llm.common import id_crc_mod
 
 
@@ -39,6 +39,11 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("line_count").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"), id_crc_mod("doc_id", 7) != 2)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=1)
     return pieces.select(F.col("doc").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -58,6 +63,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_nearest": op5_nearest,
     "op6_lines": op6_lines,
+    "op7_lm": op7_lm,
     "op8_packing": op8_packing,
     "op9_vectors": op9_vectors,
     "op10_mixing": op10_mixing,
