@@ -37,7 +37,7 @@ class WordIds:
         # str.split() takes four separators more than the tokenizer for white space
         words = re.split(r"[ \t\n\x0b\x0c\r]+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
         known = self.known
-        new = list(set(words) - known.keys())
+        new = [w for w in set(words) if w not in known]
         if new:
             if len(known) + len(new) > self.keep:
                 known.clear()
