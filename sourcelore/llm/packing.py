@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,20 @@ OUT = "doc long, start long, length long, ids binary, doc_tokens long, sequence_
 _loaded: dict = {}
 
 
+#: Runs that the vocabulary's splitter keeps whole, whatever stands beside them: letters, a digit, signs but the apostrophe.
+_RUNS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+#: Byte-level vocabularies write a byte as the character of its code if that is printable, and else as the next of U+0100 on.
+_PLAIN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 class WordIds:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and never joins tokens across it, so a text's ids are the ids of its words at
-    ASCII white space, one after the other; words are encoded once and kept (up to ``keep`` of them, then anew).
+    white space, one after the other; words are encoded once and kept (up to ``keep`` of them, then anew). Words of
+    plain runs go straight to the vocabulary's merges; all others take the whole tokenizer.
     """
 
     def __init__(self, path: str | None, keep: int = 400_000) -> None:
@@ -32,20 +42,28 @@ class WordIds:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer, self.known, self.keep = Tokenizer.from_file(path), {}, keep
+        self.model = self.tokenizer.model
+
+    def word(self, word: str) -> bytes:
+        low = word.lower()
+        runs = _RUNS.findall(low)
+        if "".join(runs) != low or "<|" in low or len(low) > 200:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        else:
+            if not low.isascii():
+                runs = [r.encode().decode("latin-1").translate(_BYTES) for r in runs]
+            ids = [t.id for r in runs for t in self.model.tokenize(r)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         # str.split() takes four separators more than the tokenizer for white space
         words = re.split(r"[ \t\n\x0b\x0c\r]+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
         known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.keep:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        if len(known) > self.keep:
+            known.clear()
+        for w in set(words):
+            if w not in known:
+                known[w] = self.word(w)
         return b"".join([known[w] for w in words])
 
 
