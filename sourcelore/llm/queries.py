@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelore.llm import html, lines, lm, mixing, packing, simhash, toxicity, vectors
+from sourcelore.llm import html, lines, lm, mixing, packing, simhash, substrings, toxicity, vectors
 from sourcelore.llm.common import id_crc_mod
 
 
@@ -23,6 +23,11 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return found.select("doc_id", F.col("byte_count").alias("n_bytes"), F.col("bytes_removed").alias("n_removed"), F.col("spans_removed").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = toxicity.fit(docs, labels, toxicity.training_rows())
@@ -60,6 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_html": op2_html,
+    "op3_suffixes": op3_suffixes,
     "op4_toxicity": op4_toxicity,
     "op5_nearest": op5_nearest,
     "op6_lines": op6_lines,
