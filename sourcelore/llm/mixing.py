@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcelore.llm.common import whole_text
+from sourcelore.llm.common import stored, whole_text
 
 #: A Poisson count of mean m is the sum of ceil(m / PART) counts of mean m / ceil(m / PART), so that exp(-mean) stays exact.
 PART = 8.0
@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
         lambda s, k: F.struct((s["p"] * mean / k).alias("p"), (s["sum"] + s["p"] * mean / k).alias("sum"), F.array_append(s["all"], s["sum"] + s["p"] * mean / k).alias("all")),
         lambda s: s["all"],
     )
-    rate = rate.withColumn("__cdf", folded)
+    rate = stored(rate.withColumn("__cdf", folded), "rates")  # of known size: Spark broadcasts it, or not, by its threshold
     row = [F.coalesce(F.col(id_col).cast("string"), F.lit(""))]
     own = docs.join(rate, docs[source_col].cast("string").eqNullSafe(rate["__source"]))
     own = own.withColumn("mix_copies", poisson_count(F.col("__rate"), F.col("__cdf"), F.col("__parts"), seed, row)).where("mix_copies > 0")
