@@ -160,6 +160,7 @@ def symbol_report(names: DataFrame, symbols: DataFrame, occurrences: DataFrame,
     sides = [F.col("source_symbol_id"), F.col("target_symbol_id")]
     hits = [relations.join(names.join(ids, "name"), side == F.col("logical_symbol_id")).select("name", F.col("id").alias("relation_id")) for side in sides]
     hits.append(relations.join(names, F.col("target_text") == F.col("name")).select("name", F.col("id").alias("relation_id")))
-    own = hits[0].union(hits[1]).union(hits[2]).distinct().join(relations.withColumnRenamed("id", "relation_id"), "relation_id")
+    details = relations.select(F.col("id").alias("relation_id"), "source_file_id", "kind", "start_line")
+    own = hits[0].union(hits[1]).union(hits[2]).distinct().join(details, "relation_id")
     own = own.join(at, own["source_file_id"] == at["file_id"], "left")
     return found, _ranked(own, ["name"], ["repository", "path", "start_line", F.col("kind"), "relation_id"]).where(F.col("rank") <= top_k)
