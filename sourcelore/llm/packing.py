@@ -41,19 +41,25 @@ class WordIds:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer, self.known, self.keep = Tokenizer.from_file(path), {}, keep
+        self.tokenizer, self.known, self.runs, self.keep = Tokenizer.from_file(path), {}, {}, keep
         self.model = self.tokenizer.model
 
+    def run(self, run: str) -> bytes:
+        plain = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTES)
+        ids = [t.id for t in self.model.tokenize(plain)]
+        found = self.runs[run] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
     def word(self, word: str) -> bytes:
         low = word.lower()
         runs = _RUNS.findall(low)
         if "".join(runs) != low or "<|" in low or len(low) > 200:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        else:
-            if not low.isascii():
-                runs = [r.encode().decode("latin-1").translate(_BYTES) for r in runs]
-            ids = [t.id for r in runs for t in self.model.tokenize(r)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+            return struct.pack(f"<{len(ids)}I", *ids)
+        known = self.runs.get
+        if len(runs) == 1:
+            return known(low) or self.run(low)
+        return b"".join([known(r) or self.run(r) for r in runs])
 
     def encode(self, text: str) -> bytes:
         # str.split() takes four separators more than the tokenizer for white space
@@ -61,6 +67,8 @@ class WordIds:
         known = self.known
         if len(known) > self.keep:
             known.clear()
+        if len(self.runs) > self.keep:
+            self.runs.clear()
         for w in set(words):
             if w not in known:
                 known[w] = self.word(w)
