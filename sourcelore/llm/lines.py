@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcelore.llm.common import ASCII_SPACE, ascii_lower, whole_text
+from sourcelore.llm.common import ASCII_SPACE, ascii_lower, stored, whole_text
 
 
 def line_key(line: Column) -> Column:
@@ -35,6 +35,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, i
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body")).select("id", F.xxhash64("body").alias("row"), "body")
     found = _occurrences(rows.where("id is not null"), min_chars)
     common = found.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+    common = stored(common, "common-lines")  # of known size, and the join below has plain shuffles that Spark can split by skew
     drops = found.join(common, ["h1", "h2"]).where(F.col("id") != F.col("keeper")).groupBy("id", "row").agg(F.collect_set("pos").alias("__drops")).withColumnsRenamed({"id": "__id", "row": "__row"})
     body = whole_text(text_col)
     joined = docs.join(drops, (docs[id_col] == drops["__id"]) & (F.xxhash64(body) == drops["__row"]), "left")
