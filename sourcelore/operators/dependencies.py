@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcelore.functions.text import dirname, joined_path, normalized_path, path_suffixes
+from sourcelore.storage import durable
 
 
 def candidates(references: DataFrame, paths: DataFrame) -> DataFrame:
@@ -38,7 +39,8 @@ def expand(seeds: DataFrame, references: DataFrame, paths: DataFrame, depth: int
     if depth < 0 or most_files < 1 or most_candidates < 1:
         raise ValueError("depth must not be negative, and limits must be positive")
     ordered = references.withColumn("reference_id", F.concat_ws("\0", "path", F.lpad(F.col("line_number").cast("string"), 9, "0"), F.lpad(F.col("place").cast("string"), 6, "0")))
-    found = candidates(ordered, paths)
+    ordered = durable(ordered)
+    found = durable(candidates(ordered, paths))
     chosen = seeds.select("path").distinct().withColumn("level", F.lit(0))
     counts = {"seed_files": chosen.count(), "dependency_files": 0, "unresolved": 0, "ambiguous": 0, "truncated": False}
     for level in range(1, depth + 1):
@@ -57,7 +59,7 @@ def expand(seeds: DataFrame, references: DataFrame, paths: DataFrame, depth: int
         counts["unresolved"] += row["u"]
         counts["ambiguous"] += row["a"]
         counts["truncated"] |= bool(row["o"]) or stop is not None
-        new = picked.where(F.col("at") <= budget).select(F.col("candidate").alias("path"), F.lit(level).alias("level"))
+        new = durable(picked.where(F.col("at") <= budget).select(F.col("candidate").alias("path"), F.lit(level).alias("level")))
         n = new.count()
         counts["dependency_files"] += n
         if n:

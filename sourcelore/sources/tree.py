@@ -87,9 +87,9 @@ def _by_walk():
     return Window.partitionBy("repository").orderBy(walk_order("path"))
 
 
-def scan(files: DataFrame, roots: list[str] | None = None, globs: list[str] | None = None, most_bytes: int = MOST_BYTES, most_files: int | None = None) -> DataFrame:
-    """Accepted files with blob id, language, line count, size and decode status; all per row but ``most_files``."""
-    kept = files.dropDuplicates(["repository", "path"]).where(under_roots("path", roots or ["."]) & ~excluded("path", globs or [])).where(accepted("content", "path", most_bytes))
+def scan(files: DataFrame, roots: list[str] | None = None, globs: list[str] | None = None, most_bytes: int = MOST_BYTES, most_files: int | None = None, once: bool = True) -> DataFrame:
+    """Accepted files (each path once, unless told otherwise) with blob id, language, line count, size and decode status; all per row but ``most_files``."""
+    kept = (files.dropDuplicates(["repository", "path"]) if once else files).where(under_roots("path", roots or ["."]) & ~excluded("path", globs or [])).where(accepted("content", "path", most_bytes))
     out = kept.select(
         "repository", "path", F.sha2("content", 256).alias("blob_id"), language("path").alias("language"), F.size(lines(decoded("content"))).alias("line_count"),
         F.octet_length("content").cast("long").alias("size_bytes"), decode_status("content").alias("decode_status"), "content",

@@ -1,18 +1,25 @@
-"""Cutting the lineage of small tables in the folder that driver and executors share."""
+"""The folder that driver and executors share, and cutting the lineage of small tables there."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in ``spark.checkpoint.dir``. A local session that has none gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not context.master.startswith("local["):
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local session that has none gets a temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="sourcelore-"))
+        path = tempfile.mkdtemp(prefix="sourcelore-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df`` in the shared folder."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
