@@ -122,7 +122,7 @@ def spans(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, i
     return [(a, b) for a, b in out]
 
 
-def find_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 1 << 20, most_contexts: int = 512, text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 1 << 19, most_contexts: int = 512, text_col: str = "text") -> DataFrame:
     """``(t1, t2, first, last)``: for each distinct text (128 bits of XXH64) the starts of strings that start elsewhere too."""
     texts = docs.select(whole_text(text_col).alias("body")).select(F.xxhash64("body").alias("t1"), F.xxhash64(F.lit(1), "body").alias("t2"), F.col("body").cast("binary").alias("body"))
 

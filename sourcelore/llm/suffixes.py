@@ -130,7 +130,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     ends = np.cumsum(np.bincount(t))
     buckets = np.flatnonzero(np.diff(ends, prepend=0))
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]).astype(np.int32) + 1
-    if len(buckets) * 16 > n:
+    if len(buckets) * 256 > n:
         lists = t.tolist(), is_s.tolist(), ends.tolist()
         induce = lambda order: np.array(_scalar_induce(*lists, order.tolist()), np.int32)
     else:
