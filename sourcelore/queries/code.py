@@ -136,11 +136,8 @@ def channels(spark, d):
     return word.union(plain).union(plain.withColumn("channel", F.lit("relation_source")).where("rank > 5")).join(meta, "chunk_id")
 
 
-_FUSED = ["query_id", "snapshot_id", "chunk_id", "rank", "best_rank", F.round("fused_score", 12).alias("fused_score")]
-
-
 def rrf1_fusion(spark, d):
-    return U.fuse(channels(spark, d), 10).select(*_FUSED, F.array_join("contributions", " ").alias("contributions"))
+    return U.fuse(channels(spark, d), 10).select("query_id", "snapshot_id", "chunk_id", "rank", "best_rank", F.round("fused_score", 12).alias("fused_score"), F.array_join("contributions", " ").alias("contributions"))
 
 
 def rrf2_repositories(spark, d):
