@@ -11,11 +11,13 @@ from sourcelore.functions.text import lines
 LINES, OVERLAP, MOST_LINES = 120, 20, 240
 
 
-def windows(text: Column | str, size: int = LINES, overlap: int = OVERLAP, first_line: Column | None = None) -> Column:
-    """Array of (start_line, end_line, content) over the lines; none for an empty text. The last reaches the end."""
+def windows(all_lines: Column, size: int = LINES, overlap: int = OVERLAP, first_line: Column | None = None) -> Column:
+    """Array of (start_line, end_line, content) over an array of lines; none for none. The last reaches the end.
+
+    The lines are to be a column by then: inside the array function an expression would be evaluated for each window."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than the window")
-    all_lines, base = lines(text), first_line if first_line is not None else F.lit(1)
+    base = first_line if first_line is not None else F.lit(1)
     n = F.size(all_lines)
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - overlap - 1), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda s: F.struct((s + base).alias("start_line"), (F.least(s + size, n) - 1 + base).alias("end_line"), F.array_join(F.slice(all_lines, s + 1, size), "").alias("content")))
@@ -24,17 +26,17 @@ def windows(text: Column | str, size: int = LINES, overlap: int = OVERLAP, first
 def line_chunks(files: DataFrame, size: int = LINES, overlap: int = OVERLAP, text_col: str = "text") -> DataFrame:
     """One row for each line window: the file's columns without its text, and ordinal, kind, lines, content, symbol, generator."""
     rest = [c for c in files.columns if c not in (text_col, "content")]
-    dealt = files.select(*rest, F.posexplode(windows(text_col, size, overlap)).alias("ordinal", "w"))
+    dealt = files.select(*rest, lines(text_col).alias("__lines")).select(*rest, F.posexplode(windows(F.col("__lines"), size, overlap)).alias("ordinal", "w"))
     return dealt.select(*rest, "ordinal", F.lit("line_window").alias("kind"), "w.start_line", "w.end_line", "w.content", F.lit(None).cast("string").alias("symbol"), F.lit("line-window-v1").alias("generator"))
 
 
 def split_large(chunks: DataFrame, most_lines: int = MOST_LINES, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of over ``most_lines`` lines as overlapping parts, with ``_part`` at their kind; others as they are."""
-    parts = windows("content", most_lines, overlap, F.col("start_line"))
-    large = F.size(lines("content")) > most_lines
+    parts = windows(F.col("__lines"), most_lines, overlap, F.col("start_line"))
+    large = F.size("__lines") > most_lines
     own = F.array(F.struct("start_line", "end_line", "content"))
     rest = [c for c in chunks.columns if c not in ("start_line", "end_line", "content", "kind")]
-    return chunks.select(*rest, F.when(large, F.concat("kind", F.lit("_part"))).otherwise(F.col("kind")).alias("kind"), F.explode(F.when(large, parts).otherwise(own)).alias("p")).select(*rest, "kind", "p.start_line", "p.end_line", "p.content")
+    return chunks.withColumn("__lines", lines("content")).select(*rest, F.when(large, F.concat("kind", F.lit("_part"))).otherwise(F.col("kind")).alias("kind"), F.explode(F.when(large, parts).otherwise(own)).alias("p")).select(*rest, "kind", "p.start_line", "p.end_line", "p.content")
 
 
 # fixed values: words of a declaration that are not its name
