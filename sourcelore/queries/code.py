@@ -23,7 +23,7 @@ CALLS = f"""SELECT {_FILE} AS snapshot_id, {_FILE} || ':' || {_PATH} AS file_id,
     CASE WHEN l_returnflag = 'N' THEN NULL ELSE 'CONFIG_' || l_returnflag END AS condition_id, 'source_inferred' AS confidence FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey"""
 CODE_CHUNKS = f"""SELECT DISTINCT {_FILE} || ':' || {_PATH} || ':' || CAST(CAST(floor(p_partkey / 10) AS INT) AS STRING) AS chunk_id, {_FILE} AS snapshot_id, {_FILE} AS repository, {_FILE} || ':' || {_PATH} AS file_id, {_PATH} AS path,
     CAST(floor(p_partkey / 10) * 10 AS INT) AS start_line, CAST(floor(p_partkey / 10) * 10 + 11 AS INT) AS end_line, 'function' AS kind FROM {{part}}"""
-NAMES = "SELECT DISTINCT p_partkey % 20 AS query_id, CAST(floor(p_partkey / 20) AS INT) AS name_order, {name} AS name FROM {{part}} WHERE p_partkey < 80".format(name=_NAME)
+NAMES = "SELECT DISTINCT p_partkey % 20 AS query_id, CAST(floor(p_partkey / 20) AS INT) AS name_order, {name} AS name FROM {{part}}".format(name=_NAME)
 
 
 def read(spark, d, sql):
@@ -150,17 +150,17 @@ def agg9_channel_counts(spark, d):
 
 
 def vec1_rerank(spark, d):
-    """The first twenty vectors as queries, candidates of their label by id."""
+    """Every fiftieth vector as a query, candidates of its label by id."""
     e = A.table(spark, d, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("of"))
-    c = e.where("vec_id >= 20").join(q.select("query_id", "of"), F.col("label") == F.col("of")).select("query_id", F.col("vec_id").alias("chunk_id"), F.expr("cast(row_number() over (partition by query_id order by vec_id) as int)").alias("rank"), F.lit("r").alias("repository"), F.lit("p").alias("path"), F.lit(1).alias("start_line")).where("rank <= 50")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("of"))
+    c = e.where("vec_id % 50 <> 0").join(q.select("query_id", "of"), F.col("label") == F.col("of")).select("query_id", F.col("vec_id").alias("chunk_id"), F.expr("cast(row_number() over (partition by query_id order by vec_id) as int)").alias("rank"), F.lit("r").alias("repository"), F.lit("p").alias("path"), F.lit(1).alias("start_line")).where("rank <= 50")
     got = U.rerank(c, q.select("query_id", "query_vector"), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")))
     return got.select("query_id", "chunk_id", "rank", "semantic_rank", "fused_rank")
 
 
 def vec2_distances(spark, d):
     e = A.table(spark, d, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("of"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("of"))
     pairs = e.join(q, F.col("label") == F.col("of"))
     return pairs.select("query_id", "vec_id", *[F.round(rule(F.col("q"), F.col("embedding")), 6).alias(name) for name, rule in U.DISTANCES.items()])
 
@@ -238,10 +238,10 @@ ORACLES = {
     "rrf2_repositories": f"""WITH {_CH}, loc AS (SELECT *, row_number() OVER (PARTITION BY query_id, repository ORDER BY fused DESC, best_rank, path, start_line, chunk_id)::INTEGER AS repository_rank, substr(repository, 4)::INTEGER AS ordinal FROM sums WHERE repository <> 'src3' QUALIFY repository_rank <= 10)
         SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY repository_rank, ordinal, fused DESC, path, start_line, chunk_id)::INTEGER AS rank, repository_rank, ordinal FROM loc QUALIFY rank <= 10""",
     "agg9_channel_counts": f"WITH {_CH} SELECT query_id, channel, count(*)::BIGINT AS candidates FROM ch GROUP BY ALL",
-    "vec1_rerank": """WITH c AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id)::INTEGER AS rank, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) AS s FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id < 20 WHERE e.vec_id >= 20 QUALIFY rank <= 50),
+    "vec1_rerank": """WITH c AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id)::INTEGER AS rank, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) AS s FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 50 = 0 WHERE e.vec_id % 50 <> 0 QUALIFY rank <= 50),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::INTEGER AS semantic_rank FROM c)
         SELECT query_id, chunk_id, rank, semantic_rank, row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / (60 + rank) + 0.5::DOUBLE / (60 + semantic_rank) DESC, rank)::INTEGER AS fused_rank FROM r""",
-    "vec2_distances": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_transform(q.embedding, lambda x: x::DOUBLE) AS a, list_transform(e.embedding, lambda x: x::DOUBLE) AS b FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id < 10),
+    "vec2_distances": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_transform(q.embedding, lambda x: x::DOUBLE) AS a, list_transform(e.embedding, lambda x: x::DOUBLE) AS b FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 50 = 0),
         s AS (SELECT query_id, vec_id, list_sum(list_transform(range(1, 65), lambda i: a[i] * b[i])) AS ab, list_sum(list_transform(a, lambda x: x * x)) AS aa, list_sum(list_transform(b, lambda x: x * x)) AS bb, list_sum(list_transform(range(1, 65), lambda i: (a[i] - b[i]) * (a[i] - b[i]))) AS dd FROM p)
         SELECT query_id, vec_id, round(-ab, 6) AS inner_product, round(sqrt(dd), 6) AS l2, round(1 - ab / (sqrt(aa) * sqrt(bb)), 6) AS cosine FROM s""",
     "vec3_cache": "WITH h AS (SELECT DISTINCT sha256(text) AS input_hash FROM documents), o AS (SELECT DISTINCT sha256(text) AS input_hash FROM documents WHERE doc_id % 3 = 0) SELECT input_hash, input_hash IN (SELECT input_hash FROM o) AS hit, 64 AS dimension FROM h",

@@ -132,6 +132,9 @@ def snp1_identity(spark, d):
     return first.select("repository", F.lit("first").alias("run"), "id").union(again.select("repository", F.lit("again"), "id")).union(other.select("repository", F.lit("changed"), "id"))
 
 
+# Twelve parts make a solution; every tenth has one member, and every second has repositories twice.
+MEMBER_ROWS = """SELECT 'sol' || CAST(CAST(floor(p_partkey / 12) AS INT) AS STRING) AS solution_id, 'repo' || CAST(CASE WHEN CAST(floor(p_partkey / 12) AS INT) % 2 = 0 THEN p_partkey % 9 ELSE p_partkey % 12 END AS STRING) AS repository,
+    'role' || CAST(p_partkey % 12 AS STRING) AS role, 's' || CAST(p_partkey % 300 AS STRING) AS snapshot_id, CAST(p_partkey % 12 AS INT) AS ordinal FROM {part} WHERE NOT (CAST(floor(p_partkey / 12) AS INT) % 10 = 3 AND p_partkey % 12 > 0)"""
 _LOG = "SELECT event_id AS event_seq, 's' || CAST(user_id AS STRING) AS snapshot_id, CASE event_id % 4 WHEN 0 THEN 'building' WHEN 1 THEN 'validated' WHEN 2 THEN 'active' ELSE 'superseded' END AS state FROM {events}"
 
 
@@ -158,8 +161,7 @@ def snp4_changes(spark, d):
 
 
 def _members(spark, d):
-    rows = A.table(spark, d, "part").where("p_partkey <= 150").selectExpr("'sol' || cast(p_partkey % 12 as string) as solution_id", "'repo' || cast(floor(p_partkey / 12) % 9 as string) as repository", "'role' || cast(floor(p_partkey / 12) as string) as role", "'s' || cast(p_partkey as string) as snapshot_id", "cast(floor(p_partkey / 12) as int) as ordinal")
-    return rows.where("not (solution_id = 'sol3' and ordinal > 0)")
+    return spark.sql(MEMBER_ROWS, part=A.table(spark, d, "part"))
 
 
 def snp5_solutions(spark, d):
@@ -173,7 +175,7 @@ def prj13_scope(spark, d):
 
 
 def prj14_solution_scope(spark, d):
-    members = _members(spark, d).where("solution_id <> 'sol3'").dropDuplicates(["solution_id", "repository"]).select("solution_id", "repository", F.lit("s").alias("snapshot_id"), F.lit(0).alias("ordinal"))
+    members = _members(spark, d).dropDuplicates(["solution_id", "repository"]).select("solution_id", "repository", F.lit("s").alias("snapshot_id"), F.lit(0).alias("ordinal"))
     allowed = _readable(spark, d).where("repository_id in ('r1', 'r2', 'r3', 'r4')").select("principal_id", F.replace("repository_id", F.lit("r"), F.lit("repo")).alias("repository"))
     return N.solution_scope(members, allowed).groupBy("principal_id", "partial_visibility").agg(F.count("*").alias("members"))
 
@@ -243,7 +245,7 @@ _NEXT = "next AS (SELECT source AS repository, lang || '/' || doc_id || '.txt' A
 _SNAPS = f"""{FILES}, {_NEXT}, m1 AS (SELECT repository, {_MAN} AS digest, count(*) AS n FROM files GROUP BY 1), m2 AS (SELECT repository, {_MAN} AS digest, count(*) AS n FROM next GROUP BY 1),
     one AS (SELECT repository, n, {stable('snapshot', 'repository', "'r1'", 'digest', f"'{PROFILE}'")} AS id FROM m1), two AS (SELECT repository, n, {stable('snapshot', 'repository', "'r2'", 'digest', f"'{PROFILE}'")} AS id FROM m2)"""
 _FLAG = "CASE WHEN admin THEN 'admin' WHEN push OR maintain THEN 'write' WHEN pull OR triage THEN 'read' END"
-_MEM = "mem AS (SELECT 'sol' || (p_partkey % 12) AS solution_id, 'repo' || ((p_partkey // 12) % 9) AS repository, 'role' || (p_partkey // 12) AS role, 's' || p_partkey AS snapshot_id, (p_partkey // 12) AS ordinal FROM part WHERE p_partkey <= 150 AND NOT (p_partkey % 12 = 3 AND p_partkey // 12 > 0))"
+_MEM = f"mem AS ({MEMBER_ROWS.format(part='part')})"
 _COUNTED = f"""{CHUNKS}, fc AS (SELECT snapshot_id, count(*)::BIGINT AS file_count, count(DISTINCT text)::BIGINT AS blob_count, sum(strlen(text))::BIGINT AS byte_count FROM (SELECT *, {stable('snapshot', 'repository', "'r1'")} AS snapshot_id FROM files) x GROUP BY 1),
     cc AS (SELECT snapshot_id, count(*)::BIGINT AS chunk_count FROM chunks GROUP BY 1), counted_all AS (SELECT fc.*, coalesce(chunk_count, 0)::BIGINT AS chunk_count, 0::BIGINT AS structured_chunk_count, coalesce(chunk_count, 0)::BIGINT AS fallback_chunk_count FROM fc LEFT JOIN cc USING (snapshot_id))"""
 
@@ -280,7 +282,7 @@ ORACLES = {
     "snp5_solutions": f"""WITH {_MEM}, st AS (SELECT snapshot_id, arg_max(state, event_seq) AS state FROM ({duck(_LOG)}) l GROUP BY 1), z AS (SELECT solution_id, count(*) AS n, count(DISTINCT repository) AS r FROM mem GROUP BY 1)
         SELECT solution_id, 'member_count' AS problem FROM z WHERE n NOT BETWEEN 2 AND 32 UNION SELECT solution_id, 'duplicate_repository' FROM z WHERE r < n UNION SELECT solution_id, 'unusable_snapshot' FROM mem WHERE snapshot_id NOT IN (SELECT snapshot_id FROM st WHERE state IN ('active', 'superseded'))""",
     "prj13_scope": f"WITH {_SNAPS} SELECT repository, id, 'active' AS state FROM one WHERE n % 2 = 0",
-    "prj14_solution_scope": f"""WITH {_ACL}, {_MEM}, u AS (SELECT DISTINCT solution_id, repository FROM mem WHERE solution_id <> 'sol3'), n AS (SELECT solution_id, count(*) AS n FROM u GROUP BY 1),
+    "prj14_solution_scope": f"""WITH {_ACL}, {_MEM}, u AS (SELECT DISTINCT solution_id, repository FROM mem), n AS (SELECT solution_id, count(*) AS n FROM u GROUP BY 1),
         s AS (SELECT principal_id, solution_id, count(*) AS seen FROM u JOIN may ON repository = replace(repository_id, 'r', 'repo') WHERE repository_id IN ('r1', 'r2', 'r3', 'r4') GROUP BY ALL)
         SELECT principal_id, seen < n AS partial_visibility, sum(seen)::BIGINT AS members FROM s JOIN n USING (solution_id) GROUP BY ALL""",
     "agg2_counters": f"WITH {_COUNTED} SELECT * FROM counted_all",
