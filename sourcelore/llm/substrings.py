@@ -194,6 +194,7 @@ def drop_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", **o
         raise ValueError("length must be at least 4")
     found = find_repeats(docs, length, text_col=text_col, **options)
     found = found.groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "last")).alias("__found")).withColumnsRenamed({"t1": "__t1", "t2": "__t2"})
+    found = stored(found, "spans")  # then the join below has plain shuffles, which Spark can split where many copies meet
     body = whole_text(text_col)
 
     @F.pandas_udf("kept binary, removed long, spans long")
