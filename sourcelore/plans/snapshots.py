@@ -123,6 +123,27 @@ def export_manifest(files: DataFrame) -> DataFrame:
     return files.groupBy("snapshot_id").agg(F.count("*").alias("file_count"), F.sum("size_bytes").alias("byte_count"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("export_digest"))
 
 
+def export(files: DataFrame, path: str) -> DataFrame:
+    """Write ``(snapshot_id, path, content)`` of verified files, and return the manifest. The same export again writes nothing; an
+    export of other files to the same place is an error, as is a file whose content isn't what its blob id says."""
+    spark = files.sparkSession
+    bad = export_violations(files).select("path").first()
+    if bad:
+        raise ValueError(f"content and blob id differ: {bad[0]}")
+    new = export_manifest(files)
+    try:
+        old = spark.read.parquet(f"{path}/manifest")
+    except Exception as e:  # the first export finds no manifest
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        files.select("snapshot_id", "path", "content").write.mode("overwrite").partitionBy("snapshot_id").parquet(f"{path}/files")
+        new.write.parquet(f"{path}/manifest")  # written last: without it, an export isn't there
+        return spark.read.parquet(f"{path}/manifest")
+    if new.exceptAll(old.select(*new.columns)).union(old.select(*new.columns).exceptAll(new)).first():
+        raise ValueError("another export is at this place")
+    return old
+
+
 def snapshot_counters(files: DataFrame, chunks: DataFrame, occurrences: DataFrame | None = None, relations: DataFrame | None = None, conditions: DataFrame | None = None) -> DataFrame:
     """Counts per snapshot, one aggregate for each table, joined."""
     out = files.groupBy("snapshot_id").agg(F.count("*").alias("file_count"), F.countDistinct("blob_id").alias("blob_count"), F.sum("size_bytes").alias("byte_count"))

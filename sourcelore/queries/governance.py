@@ -227,8 +227,14 @@ def set3_differences(spark, d):
     return a.exceptAll(b).withColumn("side", F.lit("removed")).union(b.exceptAll(a).withColumn("side", F.lit("added")))
 
 
+def jon14_allowed(spark, d):
+    """Repositories that a grant names and some principal may read (semi), and those that none may (anti)."""
+    named, may = read(spark, d, GRANTS).select("repository_id").distinct(), _readable(spark, d).where("principal_id < 'p2'")
+    return named.join(may, "repository_id", "left_semi").withColumn("allowed", F.lit(True)).union(named.join(may, "repository_id", "left_anti").withColumn("allowed", F.lit(False)))
+
+
 QUERIES = {f.__name__: f for f in (
-    acl1_readable, acl2_visible_rows, acl3_own_rows, acl4_manifest_violations, acl5_apply, acl5_members, acl6_collaborators, acl7_plan, acl8_tokens, acl9_legacy, agg8_grants, snp1_identity, snp2_states, snp2_activation, snp3_order, snp4_changes,
+    jon14_allowed, acl1_readable, acl2_visible_rows, acl3_own_rows, acl4_manifest_violations, acl5_apply, acl5_members, acl6_collaborators, acl7_plan, acl8_tokens, acl9_legacy, agg8_grants, snp1_identity, snp2_states, snp2_activation, snp3_order, snp4_changes,
     snp5_solutions, prj13_scope, prj14_solution_scope, agg2_counters, agg3_violations, agg4_summary, cch1_cache, cch2_artifacts, snk2_export, set3_differences,
 )}
 
@@ -250,6 +256,7 @@ _COUNTED = f"""{CHUNKS}, fc AS (SELECT snapshot_id, count(*)::BIGINT AS file_cou
     cc AS (SELECT snapshot_id, count(*)::BIGINT AS chunk_count FROM chunks GROUP BY 1), counted_all AS (SELECT fc.*, coalesce(chunk_count, 0)::BIGINT AS chunk_count, 0::BIGINT AS structured_chunk_count, coalesce(chunk_count, 0)::BIGINT AS fallback_chunk_count FROM fc LEFT JOIN cc USING (snapshot_id))"""
 
 ORACLES = {
+    "jon14_allowed": f"WITH {_ACL} SELECT DISTINCT repository_id, repository_id IN (SELECT repository_id FROM may WHERE principal_id < 'p2') AS allowed FROM grants",
     "acl1_readable": f"WITH {_ACL} SELECT * FROM may",
     "acl2_visible_rows": f"WITH {_ACL}, who AS (SELECT 'p' || min(c_custkey) AS id FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 3 <> 1) SELECT doc_id FROM documents WHERE 'r' || (doc_id % 80 % 40) IN (SELECT repository_id FROM may WHERE principal_id = (SELECT id FROM who))",
     "acl3_own_rows": "SELECT event_id FROM events WHERE user_id = 7 AND event_id % 2 = 1",

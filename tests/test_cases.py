@@ -206,3 +206,16 @@ def test_bm25_statistics_cover_all_chunks_but_hits_the_scope(spark):
     every, some = S.bm25(chunks, asked).collect(), S.bm25(chunks, asked, scope=spark.createDataFrame([("s2",)], "snapshot_id string")).collect()
     assert {r.chunk_id for r in every} == {"a", "b", "c"} and {r.chunk_id for r in some} == {"b", "c"}
     assert {r.chunk_id: r.score for r in every if r.chunk_id != "a"} == {r.chunk_id: r.score for r in some}
+
+
+def test_export_is_verified_and_idempotent(spark, tmp_path):
+    import hashlib
+
+    rows = [("s", "a.c", hashlib.sha256(b"x").hexdigest(), 1, b"x"), ("s", "b.c", hashlib.sha256(b"yy").hexdigest(), 2, b"yy")]
+    files = spark.createDataFrame(rows, "snapshot_id string, path string, blob_id string, size_bytes long, content binary")
+    first = N.export(files, str(tmp_path / "out")).first()
+    assert (first.file_count, first.byte_count) == (2, 3) and N.export(files, str(tmp_path / "out")).first() == first
+    with pytest.raises(ValueError, match="another export"):
+        N.export(files.where("path = 'a.c'"), str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="differ"):
+        N.export(files.withColumn("size_bytes", F.lit(9).cast("long")), str(tmp_path / "other"))
