@@ -5,7 +5,9 @@ has no arc, the failure arc leads to the root at the state's backoff weight, and
 text is scored in one walk from left to right that carries the state and adds up log10 probabilities.
 
 The whole model is too large for one place. Texts are dealt out to blocks of bounded size; a block asks for the counts of
-its own words and pairs only, and gets the part of the automaton that its texts can walk through.
+its own words and pairs only, and gets the part of the automaton that its texts can walk through. It names a word by its
+place among its sorted words. Pairs are dealt out to buckets by a hash; a block sends a bucket its pairs in order, packed,
+and the answer is a bit for each of them and the counts of those kept.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from pyspark.sql import functions as F
 
 from sourcelore.llm.common import stored, whole_text
 
-#: The end of a text, and the id of the start. No word holds white space, and no word's hash is asked for at 0.
+#: The end of a text, and the id of the start. No word holds white space, and no word's id is negative.
 END = "\n"
-START = 0
+START = -1
 
 
 class Tokens:
-    """A block's texts as codes: A-Z lower-cased words between ASCII white space, then the end, text by text."""
+    """A block's texts as codes: A-Z lower-cased words between ASCII white space, then the end, text by text. A word's code
+    is its place among the block's sorted words, whatever the order of the texts; the end's is the last."""
 
     def __init__(self, texts: pa.Array) -> None:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -36,11 +39,14 @@ class Tokens:
         flat = flat.filter(full)
         coded = flat.dictionary_encode()
         del flat
-        self.words = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([END])])
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        self.words = pa.concat_arrays([coded.dictionary.take(pa.array(order)).cast(pa.string()), pa.array([END])])
         self.end = len(self.words) - 1
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
         n = len(texts)
         self.codes = np.full(len(text) + n, self.end, dtype=np.int64)
-        self.codes[np.arange(len(text)) + text] = coded.indices.to_numpy()
+        self.codes[np.arange(len(text)) + text] = place[coded.indices.to_numpy()]
         self.sizes = np.bincount(text, minlength=n) + 1
         self.text = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -85,11 +91,53 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
 
 
-def score(docs: DataFrame, training: Column, min_word: int = 10, min_share: float = 5e-6, min_pair: int = 3, discount: float = 0.75, block_bytes: int = 8 << 20, least_blocks: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _bytes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: what is small becomes runs of zeros."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
+
+def _bucket(h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each pair of word ids."""
+    x = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+
+
+class Pairs:
+    """A block's different pairs of states and words with ids, ordered by bucket and ids. ``ids``: of each code, -2 for none."""
+
+    def __init__(self, t: Tokens, ids: np.ndarray, buckets: int) -> None:
+        width = t.end + 2
+        ids = np.append(ids, START)
+        self.all = t.pairs()
+        self.good = (ids[self.all // width] > -2) & (ids[self.all % width] > -2)
+        every = np.unique(self.all[self.good])
+        h, w = ids[every // width], ids[every % width]
+        bucket = _bucket(h, w, buckets)
+        order = np.lexsort((w, h, bucket))
+        self.every, self.order, self.h, self.w = every, order, h[order], w[order]
+        self.buckets, self.starts = np.unique(bucket[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(order))
+
+    def times(self, taken: np.ndarray) -> np.ndarray:
+        """How often each occurs among the tokens for which ``taken`` holds."""
+        learned, n = np.unique(self.all[self.good & taken], return_counts=True)
+        times = np.zeros(len(self.every), np.int64)
+        times[np.searchsorted(self.every, learned)] = n
+        return times[self.order]
+
+
+def score(docs: DataFrame, training: Column, min_word: int = 10, min_share: float = 0.0, min_pair: int = 3, discount: float = 0.75, block_bytes: int = 8 << 20, least_blocks: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, learned boolean, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
     The model learns from the rows for which ``training`` holds: all their words are counted, and all pairs of
-    neighbours that occur ``min_word`` times each and make up ``min_share`` of all tokens each. A word's probability is (c - d) / N, with d the absolute discount
+    neighbours that occur ``min_word`` times each (and make up ``min_share`` of all tokens each, where that is asked for). A
+    word's probability is (c - d) / N, with d the absolute discount
     n1 / (n1 + 2 n2); what is taken away goes to one unknown word. A pair found ``min_pair`` times keeps its discounted
     share of the state's count, and the rest of the state goes to the root as backoff weight; both add up, so every
     state's probabilities sum to 1. ``base_score`` is the add-one unigram score over the known words and an unknown one.
@@ -103,50 +151,69 @@ def score(docs: DataFrame, training: Column, min_word: int = 10, min_share: floa
     blocks = max(least_blocks, -(-size // block_bytes))
     texts = texts.withColumn("block", F.pmod(F.xxhash64("id", "body"), F.lit(blocks)).cast("int"))
 
+    buckets = 2 * blocks
+
     def count_words(group: pa.Table) -> pa.Table:
         t = Tokens(_column(group, "body"))
         train = _column(group, "train").to_numpy(zero_copy_only=False).astype(bool)
         n = np.bincount(t.codes[train[t.text]], minlength=t.end + 1)
-        return _freed(pa.table({"word": t.words, "block": pa.array(np.full(len(n), group.column("block")[0].as_py(), np.int32)), "n": pa.array(n, pa.int64())}))
+        block = np.full(len(n), group.column("block")[0].as_py(), np.int32)
+        return _freed(pa.table({"word": t.words, "block": block, "code": pa.array(np.arange(len(n)), pa.int32()), "n": pa.array(n, pa.int64())}))
 
     of_word = Window.partitionBy("word")
-    words = texts.groupBy("block").applyInArrow(count_words, "word string, block int, n long")
-    words = stored(words.select("block", "word", F.xxhash64("word").alias("id"), F.sum("n").over(of_word).alias("c"), (F.col("block") == F.min("block").over(of_word)).alias("first")), "words")
-    total = words.where("first").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.max(F.when(F.col("word") == END, F.col("c"))).alias("texts")).first()
+    words = texts.groupBy("block").applyInArrow(count_words, "word string, block int, code int, n long")
+    words = words.select("block", "code", "word", F.sum("n").over(of_word).alias("c"), (F.col("block") == F.min("block").over(of_word)).alias("first")).withColumn("at", F.monotonically_increasing_id())
+    words = stored(words.select("block", "code", "c", "first", (F.col("word") == END).alias("end"), F.min("at").over(of_word).alias("id")), "words")
+    total = words.where("first").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.max(F.when(F.col("end"), F.col("c"))).alias("texts")).first()
     n, v, starts = total["n"] or 0, total["v"] or 0, total["texts"] or 0
     least = max(min_word, min_share * n)
     taken = min(0.9, max(0.1, total["n1"] / (total["n1"] + 2 * total["n2"]))) if total["n1"] else 0.5
 
+    def own_ids(t: Tokens, code: np.ndarray, id_: np.ndarray) -> np.ndarray:
+        ids = np.full(t.end + 1, -2, np.int64)
+        ids[code] = id_
+        return ids
+
     def count_pairs(group: pa.Table, model: pa.Table) -> pa.Table:
-        names = ["h", "w", "block", "n"]
-        if not len(group):
-            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64())], names)
-        t = Tokens(_column(group, "body"))
-        at = pc.index_in(t.words, value_set=_column(model, "word")).fill_null(-1).to_numpy()
-        ids = np.append(_column(model, "id").to_numpy(), 0)[at]  # -1 takes the last
-        known = np.append(at >= 0, True)  # the start is a state
-        ids = np.append(ids, START)
-        pairs, width = t.pairs(), t.end + 2
-        good = known[pairs // width] & known[pairs % width]
-        train = _column(group, "train").to_numpy(zero_copy_only=False).astype(bool)[t.text]
-        every = np.unique(pairs[good])
-        learned, times = np.unique(pairs[good & train], return_counts=True)
-        n = np.zeros(len(every), np.int64)
-        n[np.searchsorted(every, learned)] = times
-        block = np.full(len(every), group.column("block")[0].as_py(), np.int32)
-        return _freed(pa.table([ids[every // width], ids[every % width], block, n], names))
-
-    frequent = words.where(F.col("c") >= least).select("block", "word", "id")
-    of_pair = Window.partitionBy("h", "w")
-    pairs = texts.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(count_pairs, "h long, w long, block int, n long")
-    pairs = pairs.select("block", "h", "w", F.sum("n").over(of_pair).alias("c"), (F.col("block") == F.min("block").over(of_pair)).alias("first"))
-    pairs = stored(pairs.where(F.col("c") >= min_pair), "pairs")
-    used = pairs.where("first").groupBy("h").agg(F.sum(F.col("c") - F.lit(discount)).alias("used"))
+        block, bucket, packed = [], [], []
+        if len(group):
+            t = Tokens(_column(group, "body"))
+            own = Pairs(t, own_ids(t, _column(model, "code").to_numpy(), _column(model, "id").to_numpy()), buckets)
+            n = own.times(_column(group, "train").to_numpy(zero_copy_only=False).astype(bool)[t.text])
+            bucket = own.buckets.tolist()
+            block = [group.column("block")[0].as_py()] * len(bucket)
+            packed = [_bytes(np.concatenate((np.diff(own.h[s:e], prepend=0), own.w[s:e], n[s:e]))) for s, e in zip(own.starts.tolist(), own.ends.tolist())]
+        return _freed(pa.table([pa.array(block, pa.int32()), pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], ["block", "bucket", "packed"]))
+
+    def sum_pairs(group: pa.Table) -> pa.Table:
+        parts = [_numbers(x).reshape(3, -1) for x in group.column("packed").to_pylist()]
+        size = [p.shape[1] for p in parts]
+        h, h_at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+        w, w_at = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+        n = np.concatenate([p[2] for p in parts])
+        del parts
+        key, at = np.unique(h_at * len(w) + w_at, return_inverse=True)
+        c = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
+        kept = c >= min_pair
+        used = np.bincount(key[kept] // len(w), weights=c[kept] - discount, minlength=len(h))
+        some = np.flatnonzero(used)
+        answers = []
+        for own in np.split(at, np.cumsum(size)[:-1]):
+            answers.append(np.packbits(kept[own]).tobytes() + _bytes(c[own][kept[own]]))
+        m, k = len(answers), len(some)
+        none = lambda length, kind: pa.nulls(length, kind)
+        columns = [(_column(group, "block"), none(k, pa.int32())), (_column(group, "bucket"), none(k, pa.int32())), (pa.array(answers, pa.binary()), none(k, pa.binary())), (none(m, pa.int64()), pa.array(h[some])), (none(m, pa.float64()), pa.array(used[some], pa.float64()))]
+        return _freed(pa.table([pa.concat_arrays(x) for x in columns], ["block", "bucket", "answer", "h", "used"]))
+
+    frequent = words.where(F.col("c") >= least).select("block", "code", "id")
+    asked = texts.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(count_pairs, "block int, bucket int, packed binary")
+    pairs = stored(asked.groupBy("bucket").applyInArrow(sum_pairs, "block int, bucket int, answer binary, h long, used double"), "pairs")
+    used = pairs.where("h is not null").groupBy("h").agg(F.sum("used").alias("used"))
     start_used = used.where(F.col("h") == START).agg(F.max("used")).first()[0] or 0.0
-    states = words.where(F.col("c") >= least).join(used, F.col("id") == F.col("h"), "left").select("block", "word", "id", F.lit(None).cast("long").alias("w"), "c", F.coalesce("used", F.lit(0.0)).alias("used"))
-    rest = words.where(F.col("c") < least).select("block", "word", "id", F.lit(None).cast("long").alias("w"), "c", F.lit(None).cast("double").alias("used"))
-    arcs = pairs.select("block", F.lit(None).cast("string").alias("word"), F.col("h").alias("id"), "w", "c", F.lit(None).cast("double").alias("used"))
-    model = states.union(rest).union(arcs)
+    states = words.where(F.col("c") >= least).join(used, F.col("id") == F.col("h"), "left").select("block", "code", "id", "c", F.coalesce("used", F.lit(0.0)).alias("used"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("answer"))
+    rest = words.where(F.col("c") < least).select("block", "code", F.lit(None).cast("long").alias("id"), "c", F.lit(None).cast("double").alias("used"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("answer"))
+    answers = pairs.where("h is null").select("block", F.lit(None).cast("int").alias("code"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("used"), "bucket", "answer")
+    model = states.union(rest).union(answers)
 
     def walk(group: pa.Table, model: pa.Table) -> pa.Table:
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -154,28 +221,31 @@ def score(docs: DataFrame, training: Column, min_word: int = 10, min_share: floa
         if not len(group):
             return pa.table([pa.array([], k) for k in kinds], names)
         t = Tokens(_column(group, "body"))
-        own = model.filter(pc.is_valid(model.column("word")))
-        at = pc.index_in(t.words, value_set=_column(own, "word")).fill_null(-1).to_numpy()
-        take = lambda name, none: np.append(_column(own, name).fill_null(none).to_numpy(), none)[at]
-        c, mass, id_ = take("c", 0), take("used", -1.0), take("id", 0)
+        own = model.filter(pc.is_valid(model.column("code")))
+        code = _column(own, "code").to_numpy()
+        c, mass = np.zeros(t.end + 1, np.int64), np.full(t.end + 1, -1.0)
+        c[code] = _column(own, "c").to_numpy()
+        mass[code] = _column(own, "used").fill_null(-1.0).to_numpy()
         is_state = mass >= 0
         width = t.end + 2
         prob = np.where(c > 0, (c - taken) / max(n, 1), taken * v / n if n else 1.0)
         gamma = np.ones(width)
         gamma[:-1][is_state] = 1 - mass[is_state] / c[is_state]
         gamma[-1] = 1 - start_used / starts if starts else 1.0
-        # pairs of this block, from word ids to codes
-        pair = model.filter(pc.is_valid(model.column("w")))
-        code = np.append(np.flatnonzero(is_state), t.end + 1)
-        ids = np.append(id_[is_state], START)
-        order = np.argsort(ids, kind="stable")
-        find = lambda x: code[order[np.minimum(np.searchsorted(ids[order], x), len(ids) - 1)]]
-        h, w, seen = (_column(pair, x).to_numpy() for x in ("id", "w", "c"))
-        h, w = find(h), find(w)
-        context = np.append(c, starts)[h]
-        arc = np.log10((seen - discount) / context + gamma[h] * prob[w])
-        del own, pair, model, at
-        automaton = Automaton(width, dict(zip((h * width + w).tolist(), arc.tolist())), np.log10(gamma).tolist(), np.log10(prob).tolist(), is_state.tolist())
+        # the answers to this block's pairs, bucket by bucket
+        pair = Pairs(t, own_ids(t, code, _column(own, "id").fill_null(-2).to_numpy()), buckets)
+        told = model.filter(pc.is_valid(model.column("bucket")))
+        answer = dict(zip(told.column("bucket").to_pylist(), told.column("answer").to_pylist()))
+        seen = np.zeros(len(pair.every), np.int64)
+        for bucket, s, e in zip(pair.buckets.tolist(), pair.starts.tolist(), pair.ends.tolist()):
+            bits = -(-(e - s) // 8)
+            at = s + np.flatnonzero(np.unpackbits(np.frombuffer(answer[bucket], np.uint8, bits), count=e - s))
+            seen[at] = _numbers(answer[bucket][bits:])
+        every, seen = pair.every[pair.order][seen > 0], seen[seen > 0]
+        h, w = every // width, every % width
+        arc = np.log10((seen - discount) / np.append(c, starts)[h] + gamma[h] * prob[w])
+        del own, pair, told, answer, model
+        automaton = Automaton(width, dict(zip(every.tolist(), arc.tolist())), np.log10(gamma).tolist(), np.log10(prob).tolist(), is_state.tolist())
         scores = [automaton.walk(t.codes[s : s + m].tolist(), t.end + 1) for s, m in zip(t.starts.tolist(), t.sizes.tolist())]
         base = np.bincount(t.text, weights=np.log10(c + 1.0)[t.codes], minlength=len(group)) - t.sizes * np.log10(float(n + v + 1))
         known = np.bincount(t.text, weights=(c > 0)[t.codes], minlength=len(group)).astype(np.int64)

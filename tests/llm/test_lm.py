@@ -90,3 +90,9 @@ def test_small_tables(spark, rows):
 
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], SCHEMA), id_crc_mod("doc_id", 7) != 2).count() == 0
+
+
+def test_states_need_no_share_of_all_tokens(spark):
+    rows = [(i, "the of " * 120_000 + "rare pair " * 11 * (i == 0)) for i in [0, 2, 3, 4, 5, 7, 8, 9, 10, 12, 14]]
+    got = check(spark, rows)
+    assert all(g[1] for g in got) and 5e-6 * got[0][4] > 11
