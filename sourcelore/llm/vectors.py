@@ -150,6 +150,8 @@ def near_duplicates(table: DataFrame, min_cosine: float = 0.98, blocks: int = 4,
 MOST_SAMPLED = 16_000
 #: At most so many lists, whatever the table's size: this bounds what is broadcast. Long lists are cut into parts.
 MOST_LISTS = 4_096
+#: The number of lists to read is set on at most so many queries, against all rows.
+MOST_TRIED = 256
 #: So many neighbouring lists are read by one task.
 SHARD = 32
 
@@ -189,6 +191,21 @@ class Lists:
                         heapq.heappop(best)
         return sorted((-f, s) for f, s in best)[:wanted]
 
+    def near(self, x: np.ndarray, least: int, ratio: float, beam: int) -> list[int]:
+        """The ``least`` lists nearest to x, and all others within ``1 + ratio`` of the nearest: the beam grows until it holds
+        them, and where that is a large part of the lists, all are compared."""
+        k, width = len(self.centroids), max(beam, least)
+        while True:
+            if 4 * width >= k:
+                far = ((self.centroids - x) ** 2).sum(1)
+                found = [(float(far[s]), s) for s in np.argsort(far, kind="stable").tolist()]
+            else:
+                found = self.search(x, width, width)
+            bound = (1 + ratio) * np.sqrt(found[0][0])
+            if len(found) == k or len(found) >= least and np.sqrt(found[-1][0]) > bound:
+                return [s for i, (f, s) in enumerate(found) if i < least or np.sqrt(f) <= bound]
+            width *= 2
+
 
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
     """k centroids: the sample is halved again and again at the median along a two-means axis, then a few Lloyd rounds."""
@@ -220,12 +237,61 @@ def lift(x: np.ndarray, reach: float) -> np.ndarray:
     return np.column_stack((x, np.sqrt(np.maximum(reach**2 - (x**2).sum(1), 0))))
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 20, list_size: int = 256, replicas: int = 3, spread: float = 0.03, ratio: float = 0.15, least_lists: int = 16, beam: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def own_lists(x: np.ndarray, centroids: np.ndarray, replicas: int, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest lists of each (lifted) vector, and which of them hold it."""
+    far = np.sqrt(np.maximum(_squares(x, centroids), 0))
+    near = np.argsort(far, axis=1, kind="stable")[:, :replicas]
+    own = np.take_along_axis(far, near, 1)
+    return near, own <= (1 + spread) * own[:, :1] + 1e-12
+
+
+def lists_needed(rows: DataFrame, centroids: np.ndarray, reach: float, k: int, recall: float, ratio: float, replicas: int, spread: float) -> int:
+    """How many of its nearest lists a query must read, besides those within ``1 + ratio``, for ``recall`` of the true neighbours.
+
+    At most MOST_TRIED queries, drawn apart from the sample that the lists were fitted on, are compared with all rows.
+    """
+    tried = rows.where("query").orderBy(F.xxhash64("c", F.lit(1)), "c").limit(MOST_TRIED).select("c", "v").toPandas()
+    if not len(tried):
+        return 1
+    ids, asked = tried["c"].to_numpy(), matrix(tried["v"])
+    far = np.sqrt(np.maximum(_squares(np.column_stack((asked, np.zeros(len(asked)))), centroids), 0))
+    place = np.argsort(np.argsort(far, axis=1, kind="stable"), axis=1)
+    place[far <= (1 + ratio) * far.min(1, keepdims=True)] = 0
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_c, held_s, held_x = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0)), np.zeros((len(ids), 0, asked.shape[1]))
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at : at + 4096]
+                c, x = part["c"].to_numpy(), matrix(part["v"])
+                score = asked @ x.T
+                score[ids[:, None] == c[None, :]] = -np.inf
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                held_c, held_x = np.concatenate((held_c, c[top]), 1), np.concatenate((held_x, x[top]), 1)
+                held_s = np.concatenate((held_s, np.take_along_axis(score, top, 1)), 1)
+                top = np.argsort(-held_s, axis=1, kind="stable")[:, :k]
+                held_c, held_s, held_x = np.take_along_axis(held_c, top, 1), np.take_along_axis(held_s, top, 1), np.take_along_axis(held_x, top[:, :, None], 1)
+        for q in range(len(ids)):
+            some = np.isfinite(held_s[q])
+            if some.any():
+                near, keep = own_lists(lift(held_x[q][some], reach), centroids, replicas, spread)
+                need = np.where(keep, place[q][near], len(centroids)).min(1)
+                yield pd.DataFrame({"q": q, "c": held_c[q][some], "score": held_s[q][some], "need": need})
+
+    found = rows.select("c", "v").mapInPandas(best, "q int, c long, score double, need int").groupBy("q", "c").agg(F.max("score").alias("score"), F.min("need").alias("need"))
+    found = found.withColumn("rank", F.expr("row_number() over (partition by q order by score desc, c)")).where(F.col("rank") <= k)
+    need = np.sort(found.select("need").toPandas()["need"].to_numpy())
+    return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1 if len(need) else 1
+
+
+def nearest(table: DataFrame, is_query: Column, k: int = 20, list_size: int = 256, replicas: int = 3, spread: float = 0.03, ratio: float = 0.15, least_lists: int = 16, beam: int = 1024, recall: float = 0.97, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` rows of the largest inner product, its own id left out.
 
     Vectors go to the posting list of their nearest centroid, and those near a border to up to ``replicas`` lists whose
     distance is within ``1 + spread`` of the nearest. A query searches the graph of centroids and reads the lists within
-    ``1 + ratio`` of its nearest, ``least_lists`` at least, by a search of width ``beam``. Neighbouring lists travel
+    ``1 + ratio`` of its nearest, by a search of width ``beam`` at first, and ``least_lists`` at least, or as many as find
+    ``recall`` of the true neighbours of a bounded sample of the queries, which is compared with all rows of this table:
+    with little structure in the vectors that is a large part of the lists, at any size. Neighbouring lists travel
     together, SHARD at a time; long and popular ones are cut into tiles, so a task never holds an unbounded list. Scores are exact, in double precision on the original vectors; ties go to the smaller id.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of another
@@ -249,23 +315,19 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, list_size: int = 25
 
     made = sample.groupBy("all").applyInPandas(fit, "list int, x array<double>").orderBy("list").toPandas()
     index = Lists(np.array(made["x"].tolist()))
+    least = max(least_lists, lists_needed(rows, index.centroids, reach, k, recall, ratio, replicas, spread))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = matrix(batch["v"])
-            far = np.sqrt(np.maximum(_squares(lift(x, reach), index.centroids), 0))
-            near = np.argsort(far, axis=1, kind="stable")[:, :replicas]
-            own = np.take_along_axis(far, near, 1)
-            keep = own <= (1 + spread) * own[:, :1] + 1e-12
+            near, keep = own_lists(lift(x, reach), index.centroids, replicas, spread)
             row, col = np.nonzero(keep)
             yield _sent(batch, 0, row, near[row, col])
             asked = batch[batch["query"].fillna(False).astype(bool)]
             if len(asked):
                 out = []
                 for at, q in enumerate(np.column_stack((matrix(asked["v"]), np.zeros(len(asked))))):
-                    found = index.search(q, beam, beam)
-                    bound = (1 + ratio) * np.sqrt(found[0][0])
-                    out += [(at, s) for i, (f, s) in enumerate(found) if i < least_lists or np.sqrt(f) <= bound]
+                    out += [(at, s) for s in index.near(q, least, ratio, beam)]
                 at, to = map(np.array, zip(*out))
                 yield _sent(asked, 1, at, to)
 

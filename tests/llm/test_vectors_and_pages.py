@@ -1,6 +1,7 @@
 """Vector operators against brute force, and main text of hand-made pages."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -88,6 +89,22 @@ def test_nearest_recall_order_and_ties(spark):
     assert len(few) == 4
 
 
+@pytest.mark.parametrize("n,list_size", [(2_000, 256), (20_000, 256), (20_000, 8)])
+def test_nearest_recall_without_structure(spark, tmp_path, n, list_size):
+    x = np.random.default_rng(4).normal(size=(n, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}).to_parquet(tmp_path / "v.parquet")
+    got = {}
+    for r in vectors.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % (n // 60) == 0, k=20, list_size=list_size).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        hit += len(found & set(np.argsort(-score)[:20].tolist()))
+    assert len(got) >= 60 and hit / (20 * len(got)) > 0.95
+
+
 def test_empty_vector_tables(spark):
     empty = vecs_of(spark, ODD[:1]).limit(0)
     assert vectors.near_duplicates(empty).count() == 0
