@@ -126,6 +126,17 @@ def links(prints: DataFrame, radius: int = 4, per_bucket: int = 1000) -> DataFra
     return sent.groupBy("bucket").applyInPandas(run, "a long, b long")
 
 
+def _grouped(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str, **keys: Column) -> DataFrame:
+    """``(id, fp, *keys, component_id, root)`` for every row of ``docs``; ``root`` is a fingerprint, one for each component."""
+    id_type = docs.schema[id_col].dataType
+    own = stored(docs.select(F.col(id_col).cast(id_type).alias("id"), fingerprint_column(whole_text(text_col), shingle).alias("fp"), *[c.alias(name) for name, c in keys.items()]), "fingerprints")
+    classes = stored(own.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    roots = components(links(classes.select("fp"), radius))
+    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.join(placed.join(least, "root").select("fp", "component_id", "root"), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, fp long, component_id)`` for every row of ``docs``.
 
@@ -134,19 +145,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     the smallest id reachable by links (null only if all ids there are null). Repeated rows each come out. An empty
     table gives an empty result; columns other than the two named are ignored.
     """
-    id_type = docs.schema[id_col].dataType
-    own = stored(docs.select(F.col(id_col).cast(id_type).alias("id"), fingerprint_column(whole_text(text_col), shingle).alias("fp")), "fingerprints")
-    classes = stored(own.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), radius))
-    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(least, "root").select("fp", "component_id")
-    return own.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the row with the smallest id (one of them, if rows repeat)."""
-    found = near_duplicates(docs, **options)
-    id_col = options.get("id_col", "doc_id")
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col])
+    return _grouped(docs, radius, shingle, id_col, text_col).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: of the rows with the smallest id the one with the least
+    fingerprint, then text hash; in a group without ids by these alone. Rows are found again by 128 bits of XXH64 over
+    text and id, so rows that share an id, or have none, each stay or go by their own text."""
+    body, id_ = whole_text(text_col), F.col(id_col)
+    keys = {"__h1": F.xxhash64(body, id_.isNull(), id_), "__h2": F.xxhash64(F.lit(1), body, id_.isNull(), id_)}
+    found = _grouped(docs, radius, shingle, id_col, text_col, **keys)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", *keys)).alias("one")).select(*[F.col(f"one.{k}").alias(k) for k in keys])
+    return docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)

@@ -83,6 +83,15 @@ def test_keep_one_keeps_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "None"] and len(kept[0]) == 8
 
 
+def test_keep_one_decides_by_row(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(None, text("a"), "a"), (None, text("b"), "a"), (None, text("b"), "b"), (7, text("c"), "a"), (7, text("d"), "a"), (1, text("e"), "a"), (5, text("e"), "a"), (5, text("f"), "a"), (None, text("f"), "a")]
+    for part in (rows, rows[::-1]):
+        kept = simhash.keep_one(docs_of(spark, part)).collect()
+        want = [("1", text("e")), ("5", text("f")), ("7", text("c")), ("7", text("d")), ("None", text("a")), ("None", text("b"))]
+        assert sorted((str(r.doc_id), r.text) for r in kept) == want
+
+
 def brute_lines(rows, least=5, chars=40):
     key = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s.strip(" \t\n\x0b\x0c\r"))
     held = {}
