@@ -1,14 +1,16 @@
 """Main text of web pages: flat text blocks, told apart by a decision tree.
 
 A page becomes a flat list of text blocks. Each block is described by its words and link density, those of its
-neighbours, and what encloses it; a decision tree, grown from the small labelled table ``LABELLED``, keeps the blocks of
-the article.
+neighbours, whether these stand in the same element, and whether an element around it is marked; a decision tree, grown from a small
+labelled table of pages, keeps the blocks of the article.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,8 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^>"'])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
-_HINT = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: A comment, a tag or a declaration. A value in quotes starts behind an equals sign only; any other ends at white space.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
+_HINT = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements whose content is not markup.
 _RAW = frozenset("script style textarea title iframe noframes xmp".split())
 #: Elements whose text is never part of a text.
@@ -27,50 +30,69 @@ _SILENT = frozenset("script style textarea title iframe noframes xmp head noscri
 _HOLDERS = frozenset("html body div section article main nav header footer aside form fieldset ul ol dl table tbody thead tfoot figure dialog menu blockquote details center".split()) | (_SILENT - _RAW)
 #: Elements that are a block.
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre address figcaption caption summary hr legend label".split())
-_CHROME = frozenset("nav footer aside form menu dialog fieldset".split())
+_CHROME = frozenset("nav footer aside menu dialog".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role names that stand for what surrounds an article, and for the article.
+#: Words that class, id and role names are made of which stand for what surrounds an article, ...
 _AROUND = frozenset(
-    "ad ads adv advert advertisement adbox banner sponsor sponsored promo promotion sidebar side aside nav navbar navigation menu breadcrumb breadcrumbs footer foot header masthead topbar "
-    "cookie cookies consent gdpr notice alert warning popup modal overlay comment comments reply replies disqus respond share sharing social related recommended more subscribe newsletter "
-    "signup login form search widget tags pager pagination copyright legal disclaimer toolbar skip contentinfo complementary".split()
+    "ad ads adv advert advertisement adbox banner sponsor sponsored promo promotion sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer foot header masthead topbar "
+    "cookie cookies consent gdpr notice alert warning popup modal overlay comment comments commentlist reply replies disqus respond share sharing social related recommended subscribe newsletter "
+    "signup login form search tags pager pagination copyright legal disclaimer toolbar skip contentinfo complementary".split()
 )
+#: ... for the article, ...
 _INSIDE = frozenset("article main content post entry story body text".split())
+#: ... and for nothing by themselves. A name with any other word in it says nothing.
+_PLAIN = frozenset("site page global top bottom left right inner outer box block wrapper wrap container area section list item items links bar widget widgets primary secondary the js".split())
 
-FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "around", "inside", "heading", "item", "inside_on_page")
+#: ``place``: -1 if an element around the block stands for what surrounds articles, 1 if one stands for an article, else 0.
+#: ``with_before``, ``with_after``: whether the neighbour stands in the same element. ``page_share``: its part of the page's words.
+FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "with_before", "with_after", "page_share", "place", "place_on_page", "heading", "item")
+
+
+@cache
+def _name(name: str) -> tuple[int, int]:
+    """Whether a class, id or role name stands for what surrounds an article, and for an article."""
+    words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+    around, inside = words & _AROUND, words & _INSIDE
+    if words - around - inside - _PLAIN:
+        return 0, 0
+    return int(bool(around)), int(bool(inside) and not around)
 
 
 def _hints(tag: str, attributes: str) -> tuple[int, int]:
-    """Whether the element stands for what surrounds an article, and for an article."""
     around, inside = int(tag in _CHROME), int(tag in ("article", "main"))
-    if "=" in attributes:
-        for value in _HINT.findall(attributes):
-            names = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
-            around |= bool(names & _AROUND)
-            inside |= bool(names & _INSIDE)
+    if "=" in attributes and tag not in ("html", "body"):
+        for values in _HINT.findall(attributes):
+            for name in "".join(values).split():
+                own = _name(name) if len(name) < 60 else (0, 0)
+                around |= own[0]
+                inside |= own[1]
     return around, int(inside and not around)
 
 
 def blocks(page: str) -> list[tuple[str, tuple]]:
-    """The text blocks in page order, each with (words, link words, around, inside, heading, item)."""
+    """The text blocks in page order, each with (words, link words, place, heading, item, holder)."""
     out: list[tuple[str, tuple]] = []
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, around, inside, silent: summed up from the root
+    # tag, around, forms, inside, silent (each summed up from the root) and number of each open element that holds blocks
+    stack: list[tuple[str, int, int, int, int, int]] = [("", 0, 0, 0, 0, 0)]
+    open_: Counter[str] = Counter()
+    made = 0
     leaf = ("", 0)
     pieces: list[str] = []
     linked, breaks, in_link = 0, 0, False
 
     def flush() -> None:
         nonlocal linked, breaks
-        words = " ".join(pieces).split() if len(pieces) == 1 else "".join(pieces).split()
+        words = "".join(pieces).split()
         if words:
-            _, around, inside, _ = stack[-1]
-            out.append((" ".join(words), (len(words), min(linked, len(words)), int(around > 0 or leaf[1] > 0), int(inside > 0), int(leaf[0] in _HEADINGS), int(leaf[0] in ("li", "td", "th", "dt", "dd")))))
+            _, around, forms, inside, _, holder = stack[-1]
+            place = -1 if around or forms or leaf[1] else int(inside > 0)
+            out.append((" ".join(words), (len(words), min(linked, len(words)), place, int(leaf[0] in _HEADINGS), int(leaf[0] in ("li", "td", "th", "dt", "dd")), holder)))
         pieces.clear()
         linked = breaks = 0
 
     def text(raw: str) -> None:
         nonlocal linked, breaks
-        if raw and not stack[-1][3]:
+        if raw and not stack[-1][4]:
             decoded = entities.unescape(raw) if "&" in raw else raw
             pieces.append(decoded)
             if in_link:
@@ -103,14 +125,18 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
             flush()
             leaf, in_link = ("", 0), False
             if not m[1]:
-                if len(stack) < 2000:
-                    around, inside = _hints(tag, m[3])
-                    if tag == "header" and not stack[-1][2]:
-                        around = 1
-                    stack.append((tag, stack[-1][1] + around, stack[-1][2] + inside, stack[-1][3] + (tag in _SILENT)))
-            elif any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+                _, around, forms, inside, silent, _ = stack[-1]
+                own, article = _hints(tag, m[3])
+                if tag == "header" or own and not around and inside and re.search("header", m[3], re.I):
+                    own = int(not inside)  # the head of an article is its own
+                forms = 0 if tag in ("article", "main") else forms + (tag in ("form", "fieldset"))  # some pages are one form
+                made += 1
+                stack.append((tag, around + own, forms, inside + article, silent + (tag in _SILENT), made))
+                open_[tag] += 1
+            elif open_[tag]:
+                while (gone := stack.pop()[0]) != tag:
+                    open_[gone] -= 1
+                open_[tag] -= 1
         elif tag in _LEAVES:
             flush()
             in_link = False
@@ -126,58 +152,119 @@ def features(found: list[tuple[str, tuple]]) -> np.ndarray:
     if not found:
         return np.zeros((0, len(FEATURES)))
     own = np.array([b[1] for b in found], dtype=float)
-    words, density = own[:, 0], own[:, 1] / np.maximum(own[:, 0], 1)
-    shift = lambda x, by: np.concatenate(([0.0], x[:-1])) if by < 0 else np.concatenate((x[1:], [0.0]))
-    return np.column_stack((words, density, shift(words, -1), shift(density, -1), shift(words, 1), shift(density, 1), own[:, 2:], np.full(len(own), float((own[:, 3] > own[:, 2]).any()))))
-
-
-_PROSE = "The river rose during the night and by the morning the lower fields were under water, as the farmers had feared for some weeks"
-_SHORT = "They waited for the rain"
-#: The labelled table: small pages whose text starts with + (article) or - (all else); the sign is taken off.
-LABELLED = (
-    f"<body><nav><ul><li><a>-Home</a><li><a>-News</a><li><a>-Sport and weather</a></ul></nav><article><h1>+The flood</h1><p>+{_PROSE}<p>+{_SHORT}</p><p>+Yes.</p></article><footer>-Copyright {_SHORT}</footer></body>",
-    f"<div class='ad'>-{_SHORT} {_SHORT}</div><article><h1>+Water</h1><p>+{_PROSE} {_PROSE}</p><p>+{_SHORT}</p><ul><li>+First point<li>+{_PROSE}</ul><aside>-{_PROSE}</aside><p>+End.</p></article><div class='comments'><p>-{_PROSE}</p><p>-Nice</p></div>",
-    f"<header><h1>-The Daily</h1><p>-{_PROSE}</p></header><main><h2>+A night of rain</h2><p>+{_PROSE}</p><p>+He said <a>so</a> again</p><form><p>-{_SHORT} now</p></form><p>+{_PROSE}</p></main><footer><p>-{_PROSE}</p></footer>",
-    f"<div id='header'><p>-{_SHORT}</p></div><div class='menu'><a>-One</a> <a>two</a> <a>three</a></div><div><p>+{_PROSE}</p><p>+{_PROSE} {_SHORT}</p><p>+{_PROSE}</p></div><div class='footer'>-{_PROSE}</div>",
-    f"<table><tr><td><a>-Index</a><td><a>-About us</a></tr></table><p>+{_PROSE}</p><p>+{_PROSE}</p><p>-<a>Next page</a></p><p>-<a>Back to the index of all pages</a></p>",
-    f"<div>-<a>Log in</a> | <a>Register</a></div><div>-Search</div><h1>+On water</h1><p>+{_PROSE}</p><p>+{_PROSE}</p><p>+{_SHORT} and {_SHORT}</p><p>+{_PROSE}</p><div>-<a>Share</a> <a>Print</a></div><div>-Contact</div>",
-    f"<div class='cookie-notice'>-{_PROSE} <a>Accept</a></div><div class='post-content'><h1>+Notes</h1><p>+{_SHORT}</p><blockquote>+{_PROSE}</blockquote><p>+<a>A source of all this</a></p><div class='related'><p>-<a>{_SHORT}</a></p><p>-{_PROSE}</p></div></div>",
-    f"<article><p>+Hm.</p><p>+{_SHORT}</p><p>+{_PROSE}</p></article><section class='comments'><h3>-Two replies</h3><article><p>-{_PROSE}</p></article><article><p>-{_SHORT}</p></article></section>",
-    f"<aside class='sidebar'><h3>-Popular</h3><ul><li>-<a>{_SHORT}</a><li>-<a>{_SHORT}</a></ul></aside><article><h2>+{_SHORT}</h2><p>+{_PROSE}</p><table><tr><td>+Depth<td>+Two metres</table></article>",
-    f"<div>-{_PROSE}</div><article><p>+{_PROSE}</p></article><div>-{_PROSE} {_SHORT}</div><p>-{_SHORT}</p>",
-    f"<div><p>-{_PROSE} {_PROSE}</p><h2>-{_SHORT}</h2></div><main><p>+{_SHORT}</p></main><p>-{_PROSE}</p>",
-    f"<p>-Menu</p><p>-Home</p><p>-About</p><p>+{_PROSE}</p><p>+{_PROSE}</p><p>-All rights reserved</p>",
-    f"<article><h1>+{_SHORT}</h1><p>+See <a>{_SHORT}</a></p><p>+<a>{_SHORT}</a></p><div class='share'>-<a>Mail</a></div><p class='advert'>-{_PROSE}</p><p>+{_PROSE}</p></article>",
-)
-
-
-def labelled() -> tuple[np.ndarray, np.ndarray]:
+    words, density, holder = own[:, 0], own[:, 1] / np.maximum(own[:, 0], 1), own[:, 5]
+    before = lambda x: np.concatenate(([0.0], x[:-1]))
+    after = lambda x: np.concatenate((x[1:], [0.0]))
+    same = np.append((holder[1:] == holder[:-1]).astype(float), 0.0)
+    return np.column_stack((words, density, before(words), before(density), after(words), after(density), before(same), same, words / words.sum(), own[:, 2], np.full(len(own), own[:, 2].max()), own[:, 3:5]))
+
+
+_VOCABULARY = "river night morning field farmer rain road small town said after water long year house people work found while under between market young school early first many bridge train paper window stone"
+
+
+def labelled_page(seed: int) -> str:
+    """A page of the labelled table. Texts start with + (article) or - (all else). Lengths, links, order and the use of names
+    and article elements vary with the seed; there are as many pages with such marks as without."""
+    rng = random.Random(f"page {seed}")
+    vocabulary = _VOCABULARY.split()
+    say = lambda least, most: " ".join(rng.choices(vocabulary, k=rng.randint(least, most)))
+    link = lambda least, most: f"<a href='/x'>{say(least, most)}</a>"
+    marked = rng.random() < 0.5
+    named = lambda name: f" class='{name}'" if marked and rng.random() < 0.8 else ""
+
+    def menu() -> str:
+        links = [link(1, 3) for _ in range(rng.randint(3, 9))]
+        if rng.random() < 0.4:
+            return f"<ul{named('menu')}>" + "".join(f"<li>-{x}" for x in links) + "</ul>"
+        if rng.random() < 0.5:
+            return "<table>" + "".join(f"<tr><td>-{x}" for x in links) + "</table>"
+        return f"<div{named('nav-links')}>-{' '.join(links)}</div>"
+
+    brief = rng.random() < 0.35  # an article of a few short paragraphs
+
+    def paragraph() -> str:
+        size = rng.random() * (0.5 if brief else 1)
+        if size < 0.2:
+            return "<p>+" + say(1, 9)
+        if size < 0.3:
+            return f"<p>+{say(2, 12)} {link(1, 6)} {say(0, 9)}"
+        if size < 0.33:
+            return f"<p>+{link(2, 9)}"
+        if brief:
+            return f"<p>+{say(6, 35)}"
+        return "<p>+" + say(10, 45) + (f" {link(1, 5)} {say(3, 20)}" if rng.random() < 0.25 else "") + (f" {say(20, 90)}" if rng.random() < 0.4 else "")
+
+    def article() -> str:
+        out = [f"<h1>+{say(2, 9)}</h1>"]
+        for _ in range(rng.randint(2, 4) if brief else rng.randint(3, 9)):
+            out.append(paragraph() + "</p>")
+            if rng.random() < 0.12:
+                out.append(f"<h2>+{say(1, 6)}</h2>{paragraph()}</p>")
+            if rng.random() < 0.08:
+                out.append("<ul>" + "".join(f"<li>+{say(2, 20)}" for _ in range(rng.randint(2, 5))) + "</ul>")
+            if rng.random() < 0.06:
+                out.append(f"<blockquote>+{say(8, 40)}</blockquote>")
+        out.append(f"<p>+{say(12, 60)}</p>")
+        text = "".join(out)
+        if marked:
+            return rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='post-content'>{}</div>", "<article><div>{}</div></article>"]).format(text)
+        return text if rng.random() < 0.2 else f"<div>{text}</div>"
+
+    advert = lambda: f"<div{named('ad')}>{'<p>' if rng.random() < 0.3 else ''}-{say(5, 50)}{' ' + link(1, 3) if rng.random() < 0.4 else ''}</div>"
+    notice = lambda: f"<div{named('cookie-notice')}>-{say(8, 40)} {link(1, 3)}</div>"
+    title = lambda: f"<div{named('header')}>{'<h1>' if rng.random() < 0.3 else ''}-{say(1, 4)}</div>"
+    teasers = lambda: f"<div{named('related')}><h3>-{say(1, 3)}</h3>" + "".join(f"<p>-{link(3, 9)}{' ' + say(3, 14) if rng.random() < 0.3 else ''}</p>" for _ in range(rng.randint(2, 5))) + "</div>"
+    share = lambda: "<div>-" + " ".join(link(1, 1) for _ in range(3)) + "</div>"
+    footer = lambda: rng.choice([f"<div{named('footer')}>-{say(3, 25)}</div>", f"<div{named('footer')}>-{say(2, 6)} {link(1, 3)} {link(1, 3)}</div>", f"<footer>-{say(3, 40)}</footer>"])
+    comments = lambda: "<section class='comments'>" + "".join(f"<p>-{say(2, 50)}</p>" for _ in range(rng.randint(1, 4))) + "</section>"
+    inside = lambda: f"<div class='share'>-{link(1, 2)}</div>" if rng.random() < 0.5 else f"<aside>-{say(8, 50)}</aside>"
+
+    if rng.random() < 0.12:  # a text and nothing else
+        return "".join(f"<p>+{say(1, 60)}" for _ in range(rng.choice([1, 1, 1, 2, 3])))
+    before = [f() for f in rng.sample([title, menu, advert, notice, share], rng.randint(1, 4))]
+    after = [f() for f in rng.sample([share, teasers, advert, menu] + ([comments, comments] if marked else []), rng.randint(0, 3))]
+    body = article()
+    if marked and rng.random() < 0.4:
+        cut = body.rindex("<p>+")
+        body = body[:cut] + inside() + body[cut:]
+    return "<body>" + "".join(before) + body + "".join(after) + (footer() if rng.random() < 0.8 else "") + "</body>"
+
+
+#: The labelled table has so many pages.
+LABELLED = 200
+
+
+def labelled(pages: int = LABELLED, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels (1: article) of the labelled table."""
     rows, labels = [], []
-    for page in LABELLED:
-        found = blocks(page)
+    for seed in range(first, first + pages):
+        found = blocks(labelled_page(seed))
         rows.append(features(found))
         labels += [int(b[0][0] == "+") for b in found]
     return np.vstack(rows), np.array(labels)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 4) -> tuple:
     """A tree of (feature, threshold, low, high) and leaves (share of 1,), by the Gini index; ties to the first."""
     share = float(y.mean())
-    if depth == 0 or share in (0.0, 1.0):
+    if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:
         return (share,)
-    best = None
+    best, whole = None, len(y)
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for t in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] <= t
-            cost = sum(s.sum() * p * (1 - p) for s in (low, ~low) if (p := y[s].mean()) is not None)
-            if best is None or cost < best[0] - 1e-12:
-                best = (cost, f, t)
-    if best is None or best[0] >= len(y) * share * (1 - share) - 1e-12:
+        order = np.argsort(x[:, f], kind="stable")
+        value, ones = x[order, f], np.cumsum(y[order])
+        n = np.flatnonzero(value[1:] > value[:-1]) + 1  # rows below each threshold
+        n = n[(n >= least) & (n <= whole - least)]
+        if len(n):
+            p, q = ones[n - 1], ones[-1] - ones[n - 1]
+            cost = p * (n - p) / n + q * (whole - n - q) / (whole - n)
+            i = int(cost.argmin())
+            if best is None or cost[i] < best[0] - 1e-12:
+                best = (cost[i], f, (value[n[i] - 1] + value[n[i]]) / 2)
+    if best is None or best[0] >= whole * share * (1 - share) - 1e-12:
         return (share,)
     low = x[:, best[1]] <= best[2]
-    return best[1], float(best[2]), grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
+    return best[1], float(best[2]), grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
 
 
 @cache
@@ -215,7 +302,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     """``pages`` with ``text_col``, the main text of each whole page; blocks are joined by \\n.
 
     Null and empty pages give an empty text, pages without an article too. Unclosed elements and comments end with the
-    page; character references are decoded once. Rows are independent: nothing is shuffled, repeats come out as often
+    page; character references are decoded once. Elements may be nested to any depth, texts may be of any length. Rows are independent: nothing is shuffled, repeats come out as often
     as they are. A column named ``text_col`` is replaced, other columns pass through.
     """
     return pages.withColumn(text_col, main_text_column(F.col(html_col).cast("string")))
