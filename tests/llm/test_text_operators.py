@@ -173,6 +173,42 @@ def test_packing_is_an_exact_round_trip(spark, sf_dir):
     assert sorted(got) == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_bins_are_full_and_hold_a_fixed_number_of_rests(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 5, rng.randrange(1, 300), rng.randrange(1, 3000), 64, 128]) for _ in range(rng.choice([0, 1, 7, 3000]))]
+    packer = packing.Packer(128)
+    for doc, n in enumerate(sizes):
+        packer.add(doc, np.arange(n, dtype="<u4").tobytes())
+    packer.finish()
+    got, bins = {}, {}
+    for (doc, start, ids, total), sequence, offset in packer.placed:
+        n = len(ids) // 4
+        assert total == sizes[doc] and n and np.frombuffer(ids, "<u4").tolist() == list(range(start, start + n))
+        got[doc] = got.get(doc, 0) + n
+        bins.setdefault(sequence, []).append((offset, n))
+    assert [got.get(i, 0) for i in range(len(sizes))] == sizes
+    for own in bins.values():
+        assert [o for o, _ in own] == np.cumsum([0] + [n for _, n in own])[:-1].tolist()
+    filled = [sum(n for _, n in own) for own in bins.values()]
+    assert sum(f != 128 for f in filled) <= 7 and all(f & (f - 1) == 0 for f in filled)
+    pieces = [0] * len(sizes)
+    for (doc, _, _, _), _, _ in packer.placed:
+        pieces[doc] += 1
+    if len(sizes) > 1000:
+        assert np.median([p for p, n in zip(pieces, sizes) if n <= 128]) == 1
+
+
+def test_other_vocabularies_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "It's  a test,\n of   spaces é"
+    assert np.frombuffer(packing.WordIds(path).encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_toxicity_learns_pairs_and_held_out_documents(spark):
     rng = random.Random(2)
     filler = [f"word{i}" for i in range(200)]
@@ -205,4 +241,3 @@ def test_empty_tables(spark):
 
 def test_digest_helpers():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
-    assert packing.cut(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
