@@ -48,7 +48,7 @@ def made(seed, n, alphabet="abcdefgh é漢"):
 ODD = [(900, None), (901, ""), (902, "a" * 300), (902, "a" * 300), (903, "ab" * 5000), (904, "short"), (None, "no id " * 9)]
 
 
-@pytest.mark.parametrize("length,options", [(24, {}), (40, {"shard_bytes": 3000}), (24, {"most_contexts": 2, "shard_bytes": 2000})])
+@pytest.mark.parametrize("length,options", [(24, {}), (40, {"shard_bytes": 3000}), (24, {"shard_bytes": 100}), (9, {"shard_bytes": 36})])
 def test_removal_equals_brute_force(spark, length, options):
     assert check(spark, made(length, 120) + ODD, length, **options) > 1000
 
