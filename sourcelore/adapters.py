@@ -9,6 +9,7 @@ from sourcelore.functions.ids import stable_id
 from sourcelore.functions.text import decoded, terms
 from sourcelore.operators.chunks import chunk_rows, line_chunks
 from sourcelore.sources.tree import scan
+from sourcelore.storage import durable
 
 CHUNK_LINES, CHUNK_OVERLAP = 6, 2
 
@@ -29,6 +30,11 @@ def changed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("source").alias("repository"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), text.cast("binary").alias("content"))
 
 
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks, written once: search reads them several times."""
+    return durable(chunks(spark, sf_dir), "chunks")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the tree at revision r1, one snapshot for each repository."""
     files = scan(tree(spark, sf_dir)).withColumn("snapshot_id", stable_id("snapshot", "repository", F.lit("r1"))).withColumn("file_id", stable_id("file", "snapshot_id", "path")).withColumn("text", decoded("content"))
@@ -37,5 +43,5 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight terms of each benchmark text."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(terms("text"), 1, 8), " ").alias("query"))
+    """The terms of each benchmark text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(terms("text"), " ").alias("query"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcelore.functions.text import identifiers, lines, terms
+from sourcelore.storage import durable
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 PER_FILE = 2
@@ -45,7 +46,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, top_k: int = 10, scope: DataFram
     and chunk are combined before the shuffle, so common words don't gather anywhere.
     """
     wanted = query_terms(queries)
-    found = postings(chunks, wanted)
+    found = durable(postings(chunks, wanted), "postings")
     whole = chunks.select(F.size(terms("content")).alias("n")).agg(F.count("*").alias("chunks"), F.avg("n").alias("average"))
     frequency = found.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.greatest(F.log((F.col("chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
@@ -63,11 +64,13 @@ def term_frequency(chunks: DataFrame, queries: DataFrame, top_k: int = 10, most_
     return _cut_hits(scored, chunks, top_k, [F.desc("score")])
 
 
-def line_matches(files: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    """Lines that hold a query's terms: ``(query_id, repository, snapshot_id, path, line, score, n)``, best files first.
+def line_matches(files: DataFrame, queries: DataFrame, top_k: int = 10, scope: DataFrame | None = None) -> DataFrame:
+    """Lines that hold a query's terms (its first 32): ``(query_id, repository, snapshot_id, path, line, score, n)``, best files
+    first. ``scope(snapshot_id)`` narrows the files.
 
     A file scores the number of its matches; a line ranks within its file by its place among the matches.
     """
+    files = files if scope is None else files.join(scope.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
     wanted = query_terms(queries, distinct=True, most=32).select("query_id", "term")
     own = files.select("repository", "snapshot_id", "path", F.posexplode(lines("text")).alias("at", "body")).select("repository", "snapshot_id", "path", (F.col("at") + 1).alias("line"), F.explode(F.array_distinct(terms("body"))).alias("term"))
     matches = own.join(wanted, "term").groupBy("query_id", "repository", "snapshot_id", "path", "line").agg(F.count("*").alias("line_score"))
@@ -76,19 +79,68 @@ def line_matches(files: DataFrame, queries: DataFrame, top_k: int = 10) -> DataF
     return _ranked(scored, ["query_id"], [F.desc("score"), "repository", "path", "line"], "n").where(F.col("n") <= 5 * top_k).drop("line_score", "file_score")
 
 
-def fixed_strings(files: DataFrame, queries: DataFrame, top_k: int = 10, per_file: int = 20, most_hits: int = 2_000) -> DataFrame:
+_GRAMS = (6, 3, 1)
+
+
+def substring_matches(texts: DataFrame, terms_: DataFrame) -> DataFrame:
+    """``texts(body, ...)`` with each ``term`` of the distinct ``terms_(term)`` that its body holds; bodies are lines.
+
+    A term is looked up by one of its grams (of 6, 3 or 1 characters, as long as it allows): the one that the fewest terms
+    have. So bodies and terms meet by equality, and the substring test only filters what meets. Empty terms match nothing.
+    """
+    size = F.when(F.char_length("term") >= 6, 6).when(F.char_length("term") >= 3, 3).otherwise(1)
+    grams = lambda text, n: F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    sized = terms_.where(F.char_length("term") > 0).select("term", size.alias("n"))
+    own = sized.select("term", "n", F.explode(F.array_distinct(F.when(F.col("n") == 6, grams(F.col("term"), 6)).when(F.col("n") == 3, grams(F.col("term"), 3)).otherwise(grams(F.col("term"), 1)))).alias("gram"))
+    shared = own.groupBy("gram").agg(F.count("*").alias("terms"))
+    key = own.join(shared, "gram").groupBy("term", "n").agg(F.min(F.struct("terms", "gram")).alias("least")).select("term", "n", "least.gram")
+    found = None
+    for n in sorted((r["n"] for r in sized.select("n").distinct().collect()), reverse=True) or _GRAMS[:1]:  # three at most
+        body = F.col("body")
+        dealt = texts.where(F.char_length("body") >= n).withColumn("gram", F.explode(F.array_distinct(grams(body, n))))
+        part = dealt.join(key.where(F.col("n") == n).select("term", "gram"), "gram").where(F.contains("body", "term")).drop("gram")
+        found = part if found is None else found.union(part)
+    return found
+
+
+def passage_matches(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """``texts(body, ...)`` with each row of ``passages(passage, ...)`` whose passage its body holds verbatim.
+
+    A passage of five words or more holds some of its words whole, which any body that holds it has side by side: they
+    meet by three of them. Shorter passages meet by their grams, line by line, as far as they don't cross lines.
+    """
+    words = F.split("passage", r"\s+")
+    three = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    long = passages.withColumn("__words", words).where(F.size("__words") >= 5).withColumn("__key", three(F.col("__words"), F.lit(1))).drop("__words")
+    own = texts.withColumn("__row", F.monotonically_increasing_id()).withColumn("__words", F.split("body", r"\s+"))
+    starts = F.when(F.size("__words") >= 3, F.sequence(F.lit(0), F.size("__words") - 3)).otherwise(F.array().cast("array<int>"))
+    dealt = own.select(*texts.columns, F.explode(F.array_distinct(F.transform(starts, lambda i: three(F.col("__words"), i)))).alias("__key"))
+    found = dealt.join(long, "__key").where(F.contains("body", "passage")).drop("__key")
+    short = passages.where(F.size(words) < 5)
+    if short.isEmpty():
+        return found
+    near = substring_matches(texts.withColumnRenamed("body", "__whole").withColumn("body", F.explode(F.split("__whole", "\n"))), short.select(F.col("passage").alias("term")).distinct())
+    near = near.drop("body").withColumnsRenamed({"__whole": "body", "term": "passage"}).distinct()
+    return found.unionByName(near.join(short, "passage").select(*found.columns))
+
+
+def fixed_strings(files: DataFrame, queries: DataFrame, top_k: int = 10, per_file: int = 20, most_hits: int = 2_000, samples: int = 8) -> DataFrame:
     """The baseline: case-sensitive substrings, ``queries(query_id, query_terms)``; a file scores 100 for each distinct term
-    and 1 for each hit up to 50. At most 20 lines of a file and 2,000 of a term count."""
+    and 1 for each hit up to 50. At most 20 lines of a file and 2,000 of a term count; ``truncated_terms`` says how many of
+    the query's terms had more. ``hits`` are the file's first 8 by line and term."""
     wanted = queries.select("query_id", F.explode(F.array_distinct("query_terms")).alias("term")).where(F.char_length("term").between(1, 128))
     distinct = wanted.select("term").distinct()
     own = files.select("path", F.posexplode(lines("text")).alias("line", "body"))
-    hits = own.join(distinct, F.contains(F.col("body"), F.col("term")))
+    hits = substring_matches(own, distinct)
     hits = _ranked(hits, ["term", "path"], ["line"], "in_file").where(F.col("in_file") <= per_file)
-    hits = _ranked(hits, ["term"], ["path", "line"], "of_term").where(F.col("of_term") <= most_hits)
-    found = hits.groupBy("term", "path").agg(F.count("*").alias("hits"))
-    scored = found.join(wanted, "term").groupBy("query_id", "path").agg(F.count("*").alias("matched_terms"), F.sum("hits").alias("hit_count"))
+    hits = _ranked(hits, ["term"], ["path", "line"], "of_term")
+    found = hits.where(F.col("of_term") <= most_hits).groupBy("term", "path").agg(F.collect_list(F.col("line") + 1).alias("at"))  # per_file lines at most
+    cut = hits.where(F.col("of_term") == most_hits + 1).select("term").distinct().join(wanted, "term").groupBy("query_id").agg(F.count("*").alias("truncated_terms"))
+    places = F.flatten(F.collect_list(F.transform("at", lambda line: F.struct(line.alias("line"), F.col("term").alias("term")))))
+    scored = found.join(wanted, "term").groupBy("query_id", "path").agg(F.count("*").alias("matched_terms"), F.sum(F.size("at")).alias("hit_count"), F.slice(F.array_sort(places), 1, samples).alias("hits"))
     scored = scored.withColumn("score", F.col("matched_terms") * 100 + F.least("hit_count", F.lit(50)))
-    return _ranked(scored, ["query_id"], [F.desc("score"), "path"]).where(F.col("rank") <= top_k)
+    best = _ranked(scored, ["query_id"], [F.desc("score"), "path"]).where(F.col("rank") <= top_k)
+    return best.join(cut, "query_id", "left").withColumn("truncated_terms", F.coalesce("truncated_terms", F.lit(0).cast("long")))
 
 
 def query_names(queries: DataFrame) -> DataFrame:
@@ -96,14 +148,22 @@ def query_names(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(identifiers("query")).alias("name_order", "name"))
 
 
-def overlapping(spans: DataFrame, chunks: DataFrame) -> DataFrame:
+def line_buckets(start: str, end: str, bucket: int) -> Column:
+    """The buckets of ``bucket`` lines that lines start to end touch."""
+    return F.sequence(F.floor(F.col(start) / bucket), F.floor(F.greatest(start, end) / bucket))
+
+
+def overlapping(spans: DataFrame, chunks: DataFrame, bucket: int = 64) -> DataFrame:
     """Spans (``file_id, start_line, end_line`` and more) with the chunks of their file that they touch.
 
-    The equality on the file keeps this an equi-join; the line test filters its matches.
+    Both are laid out to buckets of lines, so that they meet by file and bucket, however many chunks the file has; a pair
+    counts in the bucket where the later of the two starts.
     """
     own = chunks.withColumnsRenamed({"start_line": "chunk_start", "end_line": "chunk_end", "kind": "chunk_kind"})
-    s = spans.withColumnsRenamed({"file_id": "span_file"})
-    return s.join(own, (s["span_file"] == own["file_id"]) & (own["chunk_start"] <= s["end_line"]) & (own["chunk_end"] >= s["start_line"])).drop("span_file")
+    own = own.withColumn("__bucket", F.explode(line_buckets("chunk_start", "chunk_end", bucket)))
+    s = spans.withColumn("__bucket", F.explode(line_buckets("start_line", "end_line", bucket)))
+    both = s.join(own, ["file_id", "__bucket"]).where((F.col("chunk_start") <= F.col("end_line")) & (F.col("chunk_end") >= F.col("start_line")))
+    return both.where(F.col("__bucket") == F.floor(F.greatest("chunk_start", "start_line") / bucket)).drop("__bucket")
 
 
 def _first_of_chunk(rows: DataFrame, order: list, top_k: int) -> DataFrame:
@@ -137,7 +197,8 @@ def location_chunks(locations: DataFrame, chunks: DataFrame, top_k: int = 10) ->
     """``locations(query_id, repository, snapshot_id, path, line, n)`` to chunks: the narrowest around the line; a chunk
     counts for its first location; k by the locations' order."""
     own = chunks.select("chunk_id", "repository", "snapshot_id", "path", "start_line", "end_line", "ordinal")
-    found = locations.join(own, ["repository", "snapshot_id", "path"]).where("line between start_line and end_line")
+    own = own.withColumn("__bucket", F.explode(line_buckets("start_line", "end_line", 64)))
+    found = locations.withColumn("__bucket", F.floor(F.col("line") / 64)).join(own, ["repository", "snapshot_id", "path", "__bucket"]).where("line between start_line and end_line").drop("__bucket")
     found = _ranked(found, ["query_id", "n"], [F.col("end_line") - F.col("start_line"), "ordinal"], "narrow").where("narrow = 1").drop("narrow", "ordinal")
     return _first_of_chunk(found, ["n"], top_k)
 

@@ -97,12 +97,12 @@ def prj9_cited_lines(spark, d):
 
 
 def prj10_identifiers(spark, d):
-    return A.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(text.identifiers("text"), " ").alias("names"))
+    return A.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(text.identifiers("text"), " ").alias("names"))
 
 
 def prj11_normalized(spark, d):
     raw = F.concat(F.lit("  \t"), F.replace("text", F.lit(" "), F.lit(" \n  ")), F.lit(" "))
-    return A.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", text.normalized_query(raw).alias("query"))
+    return A.table(spark, d, "conversations").select("conv_id", "turn", text.normalized_query(raw).alias("query"))
 
 
 def prj12_semantic_document(spark, d):
@@ -167,12 +167,12 @@ ORACLES = {
     "prj8_cut_content": "SELECT doc_id, sha256(CASE WHEN length(text) > 1600 THEN regexp_replace(substr(text, 1, 1600), '\\s+$', '') || chr(10) || '…' ELSE text END) AS content_hash, length(text) > 1600 AS content_truncated FROM documents",
     "prj9_cited_lines": f"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls, {N_LINES} AS n FROM documents) SELECT doc_id, sha256(CASE WHEN n < 2 THEN '' ELSE array_to_string(list_slice(ls, 2, least(4, n)), chr(10)) || (CASE WHEN least(4, n) < len(ls) THEN chr(10) ELSE '' END) END) AS content_hash FROM l",
     "prj10_identifiers": """
-        WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS ws FROM conversations WHERE role = 'user'),
+        WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS ws FROM conversations),
         e AS (SELECT conv_id, turn, unnest(ws) AS t, generate_subscripts(ws, 1) AS pos FROM w),
         f AS (SELECT conv_id, turn, t, min(pos) AS pos FROM e WHERE regexp_full_match(t, '[A-Za-z_][A-Za-z0-9_]*') GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS n FROM f)
         SELECT w.conv_id, w.turn, coalesce(string_agg(t, ' ' ORDER BY pos) FILTER (WHERE n <= 16), '') AS names FROM w LEFT JOIN r ON w.conv_id = r.conv_id AND w.turn = r.turn GROUP BY ALL""",
-    "prj11_normalized": "SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS query FROM conversations WHERE role = 'user'",
+    "prj11_normalized": "SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS query FROM conversations",
     "prj12_semantic_document": f"WITH {CHUNKS} SELECT chunk_id, sha256('File: ' || path || chr(10) || 'Lines: ' || start_line || '-' || end_line || chr(10) || 'Kind: line_window' || chr(10) || 'Symbol: (none)' || chr(10) || 'Content:' || chr(10) || content) AS document_hash FROM chunks",
     "chk1_windows": f"WITH {CHUNKS} SELECT repository, path, ordinal, start_line, end_line, content_hash FROM chunks",
     "chk3_parts": f"""

@@ -8,8 +8,9 @@ from sourcelore import adapters as A
 from sourcelore.operators import fusion as U
 from sourcelore.operators import relations as R
 from sourcelore.operators import search as S
-from sourcelore.queries.base import CHUNKS, stable
-from sourcelore.queries.searching import ASKED, BM25, CUT, TOP, WORDS
+from sourcelore.queries.base import stable
+from sourcelore.queries.searching import BM25, CUT, FEW
+from sourcelore.storage import durable
 
 # The inputs, in SQL that Spark and DuckDB both take: parts are definitions, line items are calls, 12 lines make a chunk.
 _NAME = "CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '_') ELSE replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS STRING) END"
@@ -129,10 +130,10 @@ def agg6_resolution(spark, d):
 
 def channels(spark, d):
     """Three channels of chunks for the benchmark queries: words by BM25, by plain frequency, and the shorter texts first."""
-    chunks, queries = A.chunks(spark, d), A.queries(spark, d)
+    chunks, queries = A.chunk_table(spark, d), A.queries(spark, d)
     meta = chunks.select("chunk_id", "snapshot_id")
     word = S.bm25(chunks, queries).select("query_id", F.lit("word").alias("channel"), "rank", "chunk_id", "repository", "path", "start_line")
-    plain = S.term_frequency(chunks, queries).select("query_id", F.lit("symbol_exact").alias("channel"), "rank", "chunk_id", "repository", "path", "start_line")
+    plain = durable(S.term_frequency(chunks, queries).select("query_id", F.lit("symbol_exact").alias("channel"), "rank", "chunk_id", "repository", "path", "start_line"))
     return word.union(plain).union(plain.withColumn("channel", F.lit("relation_source")).where("rank > 5")).join(meta, "chunk_id")
 
 
@@ -141,7 +142,7 @@ def rrf1_fusion(spark, d):
 
 
 def rrf2_repositories(spark, d):
-    members = A.chunks(spark, d).select("snapshot_id", "repository").distinct().where("repository <> 'src3'").select("snapshot_id", F.expr("cast(substring(repository, 4) as int)").alias("ordinal"))
+    members = A.chunks(spark, d).select("snapshot_id", "repository").distinct().select("snapshot_id", F.expr("cast(substring(repository, 4) as int)").alias("ordinal"))
     return U.fuse_repositories(channels(spark, d), members, 10).select("query_id", "chunk_id", "rank", "repository_rank", "ordinal")
 
 
@@ -150,19 +151,19 @@ def agg9_channel_counts(spark, d):
 
 
 def vec1_rerank(spark, d):
-    """Every fiftieth vector as a query, candidates of its label by id."""
+    """Every fiftieth vector as a query; all of its label as candidates, whose first order is that of their ids."""
     e = A.table(spark, d, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("of"))
-    c = e.where("vec_id % 50 <> 0").join(q.select("query_id", "of"), F.col("label") == F.col("of")).select("query_id", F.col("vec_id").alias("chunk_id"), F.expr("cast(row_number() over (partition by query_id order by vec_id) as int)").alias("rank"), F.lit("r").alias("repository"), F.lit("p").alias("path"), F.lit(1).alias("start_line")).where("rank <= 50")
+    c = e.join(q.select("query_id", "of"), F.col("label") == F.col("of")).where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("chunk_id"), F.expr("cast(row_number() over (partition by query_id order by vec_id) as int)").alias("rank"), F.lit("r").alias("repository"), F.lit("p").alias("path"), F.lit(1).alias("start_line"))
     got = U.rerank(c, q.select("query_id", "query_vector"), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")))
     return got.select("query_id", "chunk_id", "rank", "semantic_rank", "fused_rank")
 
 
 def vec2_distances(spark, d):
+    """Every fiftieth vector against all."""
     e = A.table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("of"))
-    pairs = e.join(q, F.col("label") == F.col("of"))
-    return pairs.select("query_id", "vec_id", *[F.round(rule(F.col("q"), F.col("embedding")), 6).alias(name) for name, rule in U.DISTANCES.items()])
+    got = U.distances(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")))
+    return got.select("query_id", F.col("chunk_id").alias("vec_id"), *[(F.round(name, 6) + 0.0).alias(name) for name in U.DISTANCES])
 
 
 def vec3_cache(spark, d):
@@ -194,7 +195,7 @@ C = f"""{D}, nm AS (SELECT p_partkey AS target_key, {_NAME} AS target_name FROM
         FROM src c LEFT JOIN here h ON c.file_id = h.file_id AND c.target_text = h.name LEFT JOIN there t ON c.snapshot_id = t.snapshot_id AND c.target_text = t.name),
     rel AS (SELECT DISTINCT {stable("relation", "file_id", "coalesce(source_symbol_id, '')", "''", "coalesce(target_symbol_id, '')", "coalesce(condition_id, '')", "kind", "target_text", "start_line::VARCHAR", "end_line::VARCHAR")} AS id,
         snapshot_id, file_id, path, kind, source_symbol_id, target_symbol_id, target_text, start_line, end_line, confidence FROM both_)"""
-_CH = f"""{BM25}, {CUT}, fq AS (SELECT query_id, chunk_id, count(*) * 0.1 AS score FROM (SELECT DISTINCT * FROM asked) a JOIN token USING (term) GROUP BY ALL),
+_CH = f"""{BM25}, {CUT}, {FEW}, fq AS (SELECT query_id, chunk_id, count(*) * 0.1 AS score FROM few_asked JOIN token USING (term) GROUP BY ALL),
     met2 AS (SELECT s.*, c.repository, c.snapshot_id, c.path, c.start_line FROM fq s JOIN chunks c USING (chunk_id)),
     first2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, start_line, chunk_id) AS n FROM met2 QUALIFY n <= 50),
     few2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, snapshot_id, path ORDER BY n) AS f FROM first2 QUALIFY f <= 2),
@@ -235,15 +236,14 @@ ORACLES = {
     "agg5_distribution": f"WITH {C} SELECT kind, confidence, count(*)::BIGINT AS relations FROM rel GROUP BY GROUPING SETS ((kind), (confidence), ())",
     "agg6_resolution": f"WITH {C} SELECT snapshot_id, round(avg((target_symbol_id IS NOT NULL)::INTEGER), 9) AS resolved_rate, round(avg((confidence = 'ambiguous_candidate')::INTEGER), 9) AS ambiguous_rate FROM rel WHERE kind = 'calls' GROUP BY 1",
     "rrf1_fusion": f"WITH {_CH} SELECT s.query_id, c.snapshot_id, s.chunk_id, row_number() OVER (PARTITION BY s.query_id ORDER BY fused DESC, best_rank, s.repository, s.path, s.start_line, s.chunk_id)::INTEGER AS rank, best_rank, round(fused, 12) AS fused_score, contributions FROM sums s JOIN chunks c USING (chunk_id) QUALIFY rank <= 10",
-    "rrf2_repositories": f"""WITH {_CH}, loc AS (SELECT *, row_number() OVER (PARTITION BY query_id, repository ORDER BY fused DESC, best_rank, path, start_line, chunk_id)::INTEGER AS repository_rank, substr(repository, 4)::INTEGER AS ordinal FROM sums WHERE repository <> 'src3' QUALIFY repository_rank <= 10)
+    "rrf2_repositories": f"""WITH {_CH}, loc AS (SELECT *, row_number() OVER (PARTITION BY query_id, repository ORDER BY fused DESC, best_rank, path, start_line, chunk_id)::INTEGER AS repository_rank, substr(repository, 4)::INTEGER AS ordinal FROM sums QUALIFY repository_rank <= 10)
         SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY repository_rank, ordinal, fused DESC, path, start_line, chunk_id)::INTEGER AS rank, repository_rank, ordinal FROM loc QUALIFY rank <= 10""",
     "agg9_channel_counts": f"WITH {_CH} SELECT query_id, channel, count(*)::BIGINT AS candidates FROM ch GROUP BY ALL",
-    "vec1_rerank": """WITH c AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id)::INTEGER AS rank, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) AS s FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 50 = 0 WHERE e.vec_id % 50 <> 0 QUALIFY rank <= 50),
+    "vec1_rerank": """WITH c AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id)::INTEGER AS rank, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) AS s FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 50 = 0 WHERE e.vec_id <> q.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::INTEGER AS semantic_rank FROM c)
         SELECT query_id, chunk_id, rank, semantic_rank, row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / (60 + rank) + 0.5::DOUBLE / (60 + semantic_rank) DESC, rank)::INTEGER AS fused_rank FROM r""",
-    "vec2_distances": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_transform(q.embedding, lambda x: x::DOUBLE) AS a, list_transform(e.embedding, lambda x: x::DOUBLE) AS b FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 50 = 0),
+    "vec2_distances": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_transform(q.embedding, lambda x: x::DOUBLE) AS a, list_transform(e.embedding, lambda x: x::DOUBLE) AS b FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0),
         s AS (SELECT query_id, vec_id, list_sum(list_transform(range(1, 65), lambda i: a[i] * b[i])) AS ab, list_sum(list_transform(a, lambda x: x * x)) AS aa, list_sum(list_transform(b, lambda x: x * x)) AS bb, list_sum(list_transform(range(1, 65), lambda i: (a[i] - b[i]) * (a[i] - b[i]))) AS dd FROM p)
-        SELECT query_id, vec_id, round(-ab, 6) AS inner_product, round(sqrt(dd), 6) AS l2, round(1 - ab / (sqrt(aa) * sqrt(bb)), 6) AS cosine FROM s""",
+        SELECT query_id, vec_id, round(-ab, 6) + 0.0 AS inner_product, round(sqrt(dd), 6) + 0.0 AS l2, round(1 - ab / (sqrt(aa) * sqrt(bb)), 6) + 0.0 AS cosine FROM s""",
     "vec3_cache": "WITH h AS (SELECT DISTINCT sha256(text) AS input_hash FROM documents), o AS (SELECT DISTINCT sha256(text) AS input_hash FROM documents WHERE doc_id % 3 = 0) SELECT input_hash, input_hash IN (SELECT input_hash FROM o) AS hit, 64 AS dimension FROM h",
 }
-assert TOP and ASKED and WORDS and CHUNKS

@@ -19,17 +19,17 @@ from sourcelore.queries.base import CHUNKS, FILES, stable
 from sourcelore.queries.searching import BM25, CUT, fixed_queries, files
 from sourcelore.sources import manifests as M
 from sourcelore.sources import tree as T
-from sourcelore.storage import durable, shared_folder
+from sourcelore.storage import durable, scratch
 from sourcelore.streaming import jobs as J
 
 
 def _scratch(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def src2_questions(spark, d):
-    """User turns written as JSON lines, some without terms, some cut off; read back as questions and rejects."""
-    talk = A.table(spark, d, "conversations").where("role = 'user'")
+    """Turns written as JSON lines, some without terms, some cut off; read back as questions and rejects."""
+    talk = A.table(spark, d, "conversations")
     body = F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("question"), F.lit("talk").alias("category"), F.lit(True).alias("synthetic"), F.when(F.col("conv_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"))).alias("query_terms"), F.array().cast("array<struct<path: string>>").alias("required_evidence")))
     path = _scratch(spark, "questions")
     talk.select(F.when(F.col("conv_id") % 7 == 0, F.substring(body, 1, 9)).when(F.col("conv_id") % 11 == 0, F.lit('{"id": "x"}')).otherwise(body).alias("value")).write.text(path)
@@ -55,7 +55,7 @@ def src4_members(spark, d):
 
 
 def hits(spark, d):
-    chunks = A.chunks(spark, d)
+    chunks = A.chunk_table(spark, d)
     found = S.bm25(chunks, A.queries(spark, d), 10).select("query_id", "chunk_id", "rank")
     return found.join(chunks.select("chunk_id", "content", F.col("path").alias("symbol"), "snapshot_id", "start_line", "end_line", "path", "repository", "content_hash", "revision"), "chunk_id").withColumn("content_truncated", F.lit(False))
 
@@ -103,7 +103,7 @@ def annotations(spark, d):
     """Benchmark texts that stand in documents, with the lines they touch."""
     docs = A.table(spark, d, "documents").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
     marks = A.table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("passage"))
-    found = docs.join(marks, F.contains("text", "passage")).withColumn("before", F.split_part("text", "passage", F.lit(1)))
+    found = S.passage_matches(docs.withColumnRenamed("text", "body"), marks).withColumn("before", F.split_part("body", "passage", F.lit(1)))
     breaks = lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit("\n"), F.lit("")))
     return found.select("question_id", "path", (breaks(F.col("before")) + 1).alias("start_line"), (breaks(F.col("before")) + breaks(F.col("passage")) + 1).alias("end_line"))
 
@@ -111,7 +111,7 @@ def annotations(spark, d):
 def results(spark, d):
     """Word search and plain frequency as two retrievers."""
     cols = [F.col("query_id").alias("question_id"), "rank", "path", "start_line", "end_line"]
-    chunks, asked = A.chunks(spark, d), A.queries(spark, d)
+    chunks, asked = A.chunk_table(spark, d), A.queries(spark, d)
     return S.bm25(chunks, asked).select(F.lit("word").alias("retriever"), *cols).union(S.term_frequency(chunks, asked).select(F.lit("plain").alias("retriever"), *cols))
 
 
@@ -149,7 +149,7 @@ def evl4_ablation(spark, d):
 def evl5_routing(spark, d):
     """The repositories whose documents hold a passage against those of the hits; snapshots of even repositories are pinned."""
     want = annotations(spark, d).join(A.chunks(spark, d).select("path", "repository").distinct(), "path").select("question_id", "repository")
-    h = hits(spark, d).where("rank <= 2").select(F.col("query_id").alias("question_id"), "repository", "snapshot_id")
+    h = durable(hits(spark, d)).select(F.col("query_id").alias("question_id"), "repository", "snapshot_id")
     pinned = h.where("cast(substring(repository, 4) as int) % 2 = 0").select("snapshot_id")
     return _rounded(V.routing(want, h, pinned), "routing_recall", "version_accuracy")
 
@@ -234,12 +234,12 @@ _RUN = """ranked AS (SELECT *, sum(length(content)) OVER (PARTITION BY query_id
 _AUD = f"aud AS (SELECT {stable('audit', chr(39) + 'd1' + chr(39), 'user_id::VARCHAR', 'event_id::VARCHAR', 'event_type')} AS id, CASE WHEN event_id % 3 = 0 THEN 'denied' ELSE 'success' END AS outcome, event_id FROM events WHERE event_id % 20 <> 19)"
 _RANGES = "rr AS (SELECT a.question_id, a.path, a.start_line, a.end_line, min(h.rank) FILTER (WHERE a.start_line <= h.end_line AND h.start_line <= a.end_line) AS rank FROM ann a LEFT JOIN hits h ON h.query_id = a.question_id AND h.path = a.path GROUP BY ALL), rq AS (SELECT question_id, count(*) AS n, count(rank) AS f, coalesce(1.0::DOUBLE / min(rank), 0) AS rr FROM rr GROUP BY 1)"
 ORACLES = {
-    "src2_questions": "WITH u AS (SELECT conv_id FROM conversations WHERE role = 'user') SELECT CASE WHEN conv_id % 7 = 0 THEN 'not_json' WHEN conv_id % 11 = 0 THEN 'missing_field' WHEN conv_id % 5 = 0 THEN 'no_query_terms' ELSE 'accepted' END AS outcome, count(*)::BIGINT AS n FROM u GROUP BY 1",
+    "src2_questions": "WITH u AS (SELECT conv_id FROM conversations) SELECT CASE WHEN conv_id % 7 = 0 THEN 'not_json' WHEN conv_id % 11 = 0 THEN 'missing_field' WHEN conv_id % 5 = 0 THEN 'no_query_terms' ELSE 'accepted' END AS outcome, count(*)::BIGINT AS n FROM u GROUP BY 1",
     "src3_scope": f"WITH {FILES} SELECT repository, path FROM files WHERE lang <> 'de' AND NOT contains(path, '/1') AND strlen(text) <= 3000",
     "src4_members": "WITH m AS (SELECT 'sol' || s_nationkey AS solution_id, 'r' || s_suppkey AS repository, 'role' || s_suppkey AS role FROM supplier), g AS (SELECT solution_id, sha256('{\"members\":[' || string_agg('{\"repository\":\"' || repository || '\",\"role\":\"' || role || '\",\"snapshot_id\":\"s1\"}', ',' ORDER BY repository) || '],\"solution\":\"' || solution_id || '\"}') AS manifest_digest FROM m GROUP BY 1) SELECT m.solution_id, repository, (row_number() OVER (PARTITION BY m.solution_id ORDER BY repository) - 1)::INTEGER AS ordinal, manifest_digest FROM m JOIN g USING (solution_id)",
     "evl1_files": f"WITH {_HITS}, w AS (SELECT DISTINCT question_id, path FROM ann), f AS (SELECT w.*, (SELECT min(rank) FROM hits h WHERE h.query_id = w.question_id AND h.path = w.path) AS rank FROM w), q AS (SELECT question_id, count(*) AS n, count(rank) AS f, coalesce(1.0::DOUBLE / min(rank), 0) AS rr FROM f GROUP BY 1) SELECT sum(f)::BIGINT AS files_found, sum(n)::BIGINT AS files_total, round(sum(f)::DOUBLE / sum(n), 9) AS file_recall, round(avg(rr), 9) AS file_mrr FROM q",
     "evl2_ranges": f"WITH {_HITS}, {_RANGES} SELECT sum(f)::BIGINT AS ranges_found, sum(n)::BIGINT AS ranges_total, round(sum(f)::DOUBLE / sum(n), 9) AS range_recall, round(avg(rr), 9) AS range_mrr, count_if(f = n)::BIGINT AS questions_complete, count_if(f > 0 AND f < n)::BIGINT AS questions_partial, count_if(f = 0)::BIGINT AS questions_missed FROM rq",
-    "evl5_routing": f"WITH {_HITS}, g AS (SELECT query_id, string_agg(DISTINCT repository, ',' ORDER BY repository) AS got FROM hits WHERE rank <= 2 GROUP BY 1), w AS (SELECT question_id, string_agg(DISTINCT source, ',' ORDER BY source) AS wanted FROM ann GROUP BY 1) SELECT (SELECT round(avg((coalesce(got, '') = wanted)::INTEGER::DOUBLE), 9) FROM w LEFT JOIN g ON question_id = query_id) AS routing_recall, (SELECT round(avg((substr(repository, 4)::INTEGER % 2 = 0)::INTEGER::DOUBLE), 9) FROM hits WHERE rank <= 2) AS version_accuracy",
+    "evl5_routing": f"WITH {_HITS}, g AS (SELECT query_id, string_agg(DISTINCT repository, ',' ORDER BY repository) AS got FROM hits GROUP BY 1), w AS (SELECT question_id, string_agg(DISTINCT source, ',' ORDER BY source) AS wanted FROM ann GROUP BY 1) SELECT (SELECT round(avg((coalesce(got, '') = wanted)::INTEGER::DOUBLE), 9) FROM w LEFT JOIN g ON question_id = query_id) AS routing_recall, (SELECT round(avg((substr(repository, 4)::INTEGER % 2 = 0)::INTEGER::DOUBLE), 9) FROM hits) AS version_accuracy",
     "evl6_annotations": f"WITH {FILES}, {_ANN}, n AS (SELECT path, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - (CASE WHEN right(text, 1) = chr(10) THEN 1 ELSE 0 END) END AS n FROM files), p AS (SELECT CASE WHEN question_id % 6 = 0 THEN 'missing_file' WHEN end_line + question_id % 5 > n THEN 'lines_out_of_bounds' END AS problem FROM ann JOIN n USING (path)) SELECT problem, count(*)::BIGINT AS n FROM p WHERE problem IS NOT NULL GROUP BY 1",
     "snp6_report": f"WITH {_HITS} SELECT CASE rank WHEN 1 THEN 'unknown_question' WHEN 2 THEN 'other_query' WHEN 3 THEN 'unknown_chunk' WHEN 4 THEN 'other_citation' ELSE 'other_content' END AS problem, count(*)::BIGINT AS n FROM hits WHERE rank <= 5 GROUP BY 1",
     "snk1_publish": f"WITH {CHUNKS}, b AS (SELECT sha256(text) AS id FROM documents UNION SELECT sha256(CASE WHEN doc_id % 10 = 7 THEN text || chr(10) || 'one more line' ELSE text END) FROM documents WHERE doc_id % 10 <> 3), again AS (SELECT DISTINCT snapshot_id FROM chunks WHERE chunk_id < 'chunk_8') SELECT 'blob' AS kind, id FROM b UNION ALL SELECT 'chunk', chunk_id FROM chunks WHERE chunk_id < 'chunk_8' OR snapshot_id NOT IN (SELECT snapshot_id FROM again)",

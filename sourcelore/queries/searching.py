@@ -9,9 +9,12 @@ from sourcelore.functions.ids import stable_id
 from sourcelore.functions.text import decoded, terms
 from sourcelore.operators import search as S
 from sourcelore.queries.base import CHUNKS, FILES, N_LINES, SNAPSHOT
+from sourcelore.storage import durable
 
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
-ASKED = f"asked AS (SELECT item_id AS query_id, unnest(list_slice({WORDS.format('text')}, 1, 8)) AS term FROM benchmark)"
+ASKED = f"asked AS (SELECT item_id AS query_id, unnest({WORDS.format('text')}) AS term FROM benchmark)"
+#: DuckDB: the first 32 distinct terms of each query.
+FEW = f"few_asked AS (SELECT query_id, term FROM (SELECT query_id, term, min(pos) AS pos FROM (SELECT item_id AS query_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS pos FROM (SELECT item_id, {WORDS.format('text')} AS ws FROM benchmark) w) x GROUP BY ALL) y QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 32)"
 #: DuckDB: the best hits of scored(query_id, chunk_id, score).
 CUT = """met AS (SELECT s.*, c.repository, c.snapshot_id, c.path, c.start_line, c.end_line FROM scored s JOIN chunks c USING (chunk_id)),
     first AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, start_line, chunk_id) AS n FROM met QUALIFY n <= 50),
@@ -33,25 +36,36 @@ def files(spark, d):
 
 
 def lex1_bm25(spark, d):
-    return S.bm25(A.chunks(spark, d), A.queries(spark, d)).select(*TOP)
+    return S.bm25(A.chunk_table(spark, d), A.queries(spark, d)).select(*TOP)
 
 
 def lex2_term_frequency(spark, d):
-    return S.term_frequency(A.chunks(spark, d), A.queries(spark, d)).select(*TOP)
+    return S.term_frequency(A.chunk_table(spark, d), A.queries(spark, d)).select(*TOP)
+
+
+def _line_hits(spark, d):
+    """The repositories of odd number are out of scope."""
+    all_files = files(spark, d)
+    return S.line_matches(all_files, A.queries(spark, d), scope=all_files.where("cast(substring(repository, 4) as int) % 2 = 0").select("snapshot_id"))
 
 
 def lex3_lines(spark, d):
-    return S.line_matches(files(spark, d), A.queries(spark, d)).select("query_id", "repository", "path", "line", F.col("score").cast("long").alias("score"), "n")
+    return _line_hits(spark, d).select("query_id", "repository", "path", "line", F.col("score").cast("long").alias("score"), "n")
+
+
+def lex3_chunks(spark, d):
+    """The matching lines' chunks, as a channel of hits."""
+    return S.location_chunks(durable(_line_hits(spark, d)), A.chunks(spark, d), 10).select("query_id", "path", "line", "chunk_id", "rank")
 
 
 def fixed_queries(spark, d):
-    """Three longer terms of each benchmark text."""
+    """The longer terms of each benchmark text."""
     long = F.filter(F.array_distinct(terms("text")), lambda t: F.char_length(t) >= 7)
-    return A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(long, 1, 3).alias("query_terms"))
+    return A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), long.alias("query_terms"))
 
 
 def lex4_fixed_strings(spark, d):
-    return S.fixed_strings(files(spark, d), fixed_queries(spark, d)).select("query_id", "path", "matched_terms", "hit_count", "score", "rank")
+    return S.fixed_strings(files(spark, d), fixed_queries(spark, d)).select("query_id", "path", "matched_terms", "hit_count", "score", "rank", "truncated_terms", F.array_join(F.transform("hits", lambda h: F.concat(h["line"].cast("string"), F.lit(":"), h["term"])), " ").alias("samples"))
 
 
 def locations(spark, d):
@@ -74,25 +88,29 @@ _AT = f"""{CHUNKS}, asked_lines AS (SELECT doc_id % 50 AS query_id, doc_id AS n,
     hit AS (SELECT a.*, c.chunk_id FROM asked_lines a JOIN chunks c ON a.repository = c.repository AND a.path = c.path AND a.line BETWEEN c.start_line AND c.end_line
         QUALIFY row_number() OVER (PARTITION BY a.query_id, a.n ORDER BY c.end_line - c.start_line, c.ordinal) = 1)"""
 
-QUERIES = {f.__name__: f for f in (lex1_bm25, lex2_term_frequency, lex3_lines, lex4_fixed_strings, jon10_locations, jon11_context)}
+_LINE_HITS = f"""{CHUNKS}, {FEW}, l AS (SELECT repository, path, string_split(text, chr(10)) AS ls FROM files WHERE substr(repository, 4)::INTEGER % 2 = 0), n AS (SELECT repository, path, unnest(ls) AS body, generate_subscripts(ls, 1)::INTEGER AS line FROM l),
+    word AS (SELECT DISTINCT repository, path, line, unnest({WORDS.format('body')}) AS term FROM n),
+    m AS (SELECT query_id, repository, path, line, count(*) AS s FROM few_asked JOIN word USING (term) GROUP BY ALL),
+    f AS (SELECT *, greatest(s, sum(s) OVER (PARTITION BY query_id, repository, path))::BIGINT AS score FROM m),
+    line_hit AS (SELECT query_id, repository, path, line, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, repository, path, line)::INTEGER AS n FROM f QUALIFY n <= 50)"""
+
+QUERIES = {f.__name__: f for f in (lex1_bm25, lex2_term_frequency, lex3_lines, lex3_chunks, lex4_fixed_strings, jon10_locations, jon11_context)}
 ORACLES = {
     "lex1_bm25": f"WITH {BM25}, {CUT} SELECT * FROM top",
-    "lex2_term_frequency": f"""WITH {CHUNKS}, {ASKED}, token AS (SELECT chunk_id, unnest({WORDS.format('content')}) AS term FROM chunks),
-        scored AS (SELECT query_id, chunk_id, round((count(*) * 0.1)::DOUBLE, 6) AS score FROM (SELECT DISTINCT * FROM asked) a JOIN token USING (term) GROUP BY ALL), {CUT} SELECT * FROM top""",
-    "lex3_lines": f"""WITH {FILES}, {ASKED}, l AS (SELECT repository, path, string_split(text, chr(10)) AS ls FROM files), n AS (SELECT repository, path, unnest(ls) AS body, generate_subscripts(ls, 1)::INTEGER AS line FROM l),
-        token AS (SELECT DISTINCT repository, path, line, unnest({WORDS.format('body')}) AS term FROM n),
-        m AS (SELECT query_id, repository, path, line, count(*) AS s FROM (SELECT DISTINCT * FROM asked) a JOIN token USING (term) GROUP BY ALL),
-        f AS (SELECT *, greatest(s, sum(s) OVER (PARTITION BY query_id, repository, path))::BIGINT AS score FROM m)
-        SELECT query_id, repository, path, line, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, repository, path, line)::INTEGER AS n FROM f QUALIFY n <= 50""",
+    "lex2_term_frequency": f"""WITH {CHUNKS}, {FEW}, token AS (SELECT chunk_id, unnest({WORDS.format('content')}) AS term FROM chunks),
+        scored AS (SELECT query_id, chunk_id, round((count(*) * 0.1)::DOUBLE, 6) AS score FROM few_asked JOIN token USING (term) GROUP BY ALL), {CUT} SELECT * FROM top""",
+    "lex3_lines": f"WITH {_LINE_HITS} SELECT query_id, repository, path, line, score, n FROM line_hit",
+    "lex3_chunks": f"""WITH {_LINE_HITS}, met AS (SELECT h.*, c.chunk_id FROM line_hit h JOIN chunks c ON h.repository = c.repository AND h.path = c.path AND h.line BETWEEN c.start_line AND c.end_line QUALIFY row_number() OVER (PARTITION BY h.query_id, h.n ORDER BY c.end_line - c.start_line, c.ordinal) = 1),
+        one AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY n) = 1) SELECT query_id, path, line, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n)::INTEGER AS rank FROM one QUALIFY rank <= 10""",
     "lex4_fixed_strings": f"""WITH {FILES}, words AS (SELECT item_id AS query_id, {WORDS.format('text')} AS ws FROM benchmark),
         placed AS (SELECT query_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS pos FROM words), firsts AS (SELECT query_id, term, min(pos) AS pos FROM placed WHERE length(term) >= 7 GROUP BY ALL),
-        asked AS (SELECT query_id, term FROM firsts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 3),
+        asked AS (SELECT query_id, term FROM firsts),
         l AS (SELECT path, string_split(text, chr(10)) AS ls FROM files), n AS (SELECT path, unnest(ls) AS body, generate_subscripts(ls, 1) AS line FROM l),
         h AS (SELECT term, path, line FROM n JOIN (SELECT DISTINCT term FROM asked) t ON contains(n.body, t.term) QUALIFY row_number() OVER (PARTITION BY term, path ORDER BY line) <= 20),
-        k AS (SELECT term, path FROM h QUALIFY row_number() OVER (PARTITION BY term ORDER BY path, line) <= 2000),
-        s AS (SELECT query_id, path, count(DISTINCT term)::BIGINT AS matched_terms, count(*)::BIGINT AS hit_count FROM k JOIN asked USING (term) GROUP BY ALL),
-        r AS (SELECT *, matched_terms * 100 + least(hit_count, 50) AS score FROM s)
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path)::INTEGER AS rank FROM r QUALIFY rank <= 10""",
+        k AS (SELECT term, path, line FROM h QUALIFY row_number() OVER (PARTITION BY term ORDER BY path, line) <= 2000),
+        s AS (SELECT query_id, path, count(DISTINCT term)::BIGINT AS matched_terms, count(*)::BIGINT AS hit_count, array_to_string(list_slice(list(line || ':' || term ORDER BY line, term), 1, 8), ' ') AS samples FROM k JOIN asked USING (term) GROUP BY ALL),
+        r AS (SELECT *, matched_terms * 100 + least(hit_count, 50) AS score FROM s), many AS (SELECT term FROM h GROUP BY term HAVING count(*) > 2000), over_ AS (SELECT query_id, count(*)::BIGINT AS n FROM asked JOIN many USING (term) GROUP BY 1)
+        SELECT r.*, coalesce(o.n, 0) AS truncated_terms, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path)::INTEGER AS rank FROM r LEFT JOIN over_ o USING (query_id) QUALIFY rank <= 10""",
     "jon10_locations": f"WITH {_AT}, one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY n) = 1) SELECT query_id, path, line, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n)::INTEGER AS rank FROM one QUALIFY rank <= 10",
     "jon11_context": f"WITH {_AT} SELECT n AS query_id, path, line, chunk_id FROM hit WHERE n % 9 <> 0",
 }
