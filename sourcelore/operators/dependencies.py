@@ -10,22 +10,30 @@ from sourcelore.storage import durable
 
 
 def candidates(references: DataFrame, paths: DataFrame) -> DataFrame:
-    """``(reference_id, candidate)`` for ``references(reference_id, path, kind, target)`` over ``paths(path)``.
+    """``(reference_id, candidate)`` for ``references(reference_id, path, kind, target)`` over ``paths(path)``."""
+    key = ["directory", "kind", "target"]
+    return references.withColumn("directory", dirname("path")).join(candidates_of(references, paths), key).select("reference_id", "candidate")
+
+
+def candidates_of(references: DataFrame, paths: DataFrame) -> DataFrame:
+    """``(directory, kind, target, candidate)``: each directory and target is looked up once, however many lines ask.
 
     Exact candidates (relative, as it is, under ``include/``) come first; paths that end with the target count only where
     there is none. Build targets stand for their sources or a directory's build files. Targets with $ or % find nothing.
     """
+    key = ["directory", "kind", "target"]
+    asked = references.select(dirname("path").alias("directory"), "kind", "target").distinct()
     clean = F.trim(F.replace("target", F.lit("\\"), F.lit("/")))
     stem = F.regexp_replace(clean, r"\.o$", "")
     built = F.when(F.endswith(clean, F.lit(".o")), F.array(*[F.concat(stem, F.lit(s)) for s in (".c", ".S", ".s", ".rs")])).when(F.endswith(clean, F.lit("/")), F.array(*[F.concat(clean, F.lit(s)) for s in ("Makefile", "Kbuild", "Kconfig")])).otherwise(F.array(clean))
-    good = references.where((clean != "") & ~F.contains(clean, F.lit("$")) & ~F.contains(clean, F.lit("%")))
-    asked = good.select("reference_id", "path", F.explode(F.when(F.col("kind") == "kbuild_target", built).otherwise(F.array(clean))).alias("variant"))
-    forms = F.array(normalized_path(joined_path(dirname("path"), F.col("variant"))), normalized_path("variant"), normalized_path(F.concat(F.lit("include/"), "variant")))
+    good = asked.where((clean != "") & ~F.contains(clean, F.lit("$")) & ~F.contains(clean, F.lit("%")))
+    forms = good.select(*key, F.explode(F.when(F.col("kind") == "kbuild_target", built).otherwise(F.array(clean))).alias("variant"))
+    exact = F.array(normalized_path(joined_path(F.col("directory"), F.col("variant"))), normalized_path("variant"), normalized_path(F.concat(F.lit("include/"), "variant")))
     known = paths.select(F.col("path").alias("candidate")).distinct()
-    direct = asked.select("reference_id", F.explode(F.array_distinct(forms)).alias("candidate")).join(known, "candidate").select("reference_id", "candidate").distinct()
-    rest = asked.join(direct.select("reference_id").distinct(), "reference_id", "left_anti").select("reference_id", normalized_path("variant").alias("end"))
+    direct = forms.select(*key, F.explode(F.array_distinct(exact)).alias("candidate")).join(known, "candidate").select(*key, "candidate").distinct()
+    rest = forms.join(direct.select(*key).distinct(), key, "left_anti").select(*key, normalized_path("variant").alias("end"))
     ends = known.select("candidate", F.explode(path_suffixes("candidate")).alias("end")).join(rest.select("end").distinct(), "end", "left_semi")
-    return direct.union(rest.join(ends, "end").select("reference_id", "candidate").distinct())
+    return direct.union(rest.join(ends, "end").select(*key, "candidate").distinct())
 
 
 def expand(seeds: DataFrame, references: DataFrame, paths: DataFrame, depth: int, most_files: int, most_candidates: int = 8) -> tuple[DataFrame, dict]:

@@ -12,16 +12,34 @@ from sourcelore.functions.text import lines
 EXACT, INFERRED, AMBIGUOUS = "source_exact", "source_inferred", "ambiguous_candidate"
 C_LANGUAGES = ("c", "c-header", "assembly-preprocessed")
 
-# fixed values: the lines that state a fact
-_INCLUDE = r"""^\s*#\s*include\s*([<"])([^>"]+)[>"]"""
-_CONFIG = r"^\s*(?:menu)?config\s+([A-Za-z0-9_]+)\b"
-_DEPENDS = r"^\s*depends\s+on\s+(.+?)\s*$"
+#: An option's name: capitals, digits and underscores.
 _OPTION = r"\b[A-Z][A-Z0-9_]+\b"
-_SELECT = r"^\s*(select|imply)\s+([A-Z][A-Z0-9_]+)(?:\s+if\s+(.+))?\s*$"
-_SOURCE = r'^\s*(?:rsource|source)\s+"([^"]+)"'
-_BUILD_IF = r"^\s*([A-Za-z0-9_./-]+)-\$\((CONFIG_[A-Za-z0-9_]+)\)\s*\+?=\s*(.+?)\s*$"
-_BUILD = r"^\s*([A-Za-z0-9_./-]+)-(y|m)\s*\+?=\s*(.+?)\s*$"
-_LIST = r"^\s*[^#:=]+?(?:\+?=|:=)\s*(.+?)\s*$"
+
+
+def _included(line: Column) -> Column:
+    """What stands behind ``#include`` on a line, with its quotes or brackets; null if it is no such line."""
+    said = F.ltrim(F.substring_index(F.ltrim(line), "#", -1))
+    found = F.regexp_extract(F.ltrim(F.substring(said, F.lit(8), F.char_length(said))), """^("[^">]+|<[^">]+)[">]""", 0)
+    return F.when(F.startswith(F.ltrim(line), F.lit("#")) & F.startswith(said, F.lit("include")) & (found != ""), found)
+
+
+def _unquoted(text: Column) -> Column:
+    return F.substring(text, F.lit(2), F.char_length(text) - 2)
+
+
+def _sourced(line: Column) -> Column:
+    """The file that a configuration line takes in; null if none."""
+    words, quoted = _words(line), F.split(line, '"')
+    return F.when(F.get(words, 0).isin("source", "rsource") & F.startswith(F.get(words, 1), F.lit('"')) & (F.size(quoted) >= 3), F.nullif(F.get(quoted, 1), F.lit("")))
+
+
+def _assigned(line: Column, *signs: str) -> tuple[Column, Column]:
+    """What stands to the left and the right of a build line's assignment, if it is made by one of the signs."""
+    sign = F.regexp_extract(line, r"^[^=]*?([:+?]?=)", 1)
+    at = F.instr(line, "=")
+    ok = sign.isin(*signs)
+    return F.when(ok, F.trim(F.substring(line, F.lit(1), at - F.char_length(sign)))), F.when(ok, F.trim(F.substring(line, at + 1, F.char_length(line))))
+
 
 RELATION = "file_id, kind, source_name, source_kind, target_text, target_kind, target_path, start_line, end_line, condition, confidence".split(", ")
 
@@ -48,40 +66,43 @@ def _relation(rows: DataFrame, kind: Column | str, target: Column, confidence: C
 
 def includes(files: DataFrame) -> DataFrame:
     """``#include`` lines of C: quoted ones are exact, others inferred."""
-    own = numbered(files.where(F.col("language").isin(*C_LANGUAGES))).where(F.regexp_like("line", F.lit(_INCLUDE)))
-    quoted = F.regexp_extract("line", _INCLUDE, 1) == '"'
-    return _relation(own, "includes", F.regexp_extract("line", _INCLUDE, 2), F.when(quoted, EXACT).otherwise(INFERRED), is_path=True)
+    own = numbered(files.where(F.col("language").isin(*C_LANGUAGES))).withColumn("said", _included(F.col("line"))).where("said is not null")
+    return _relation(own, "includes", _unquoted(F.col("said")), F.when(F.startswith("said", F.lit('"')), EXACT).otherwise(INFERRED), is_path=True)
 
 
 def kconfig(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Option definitions, and what each depends on, selects, implies and sources."""
-    own = numbered(files.where("language = 'kconfig'")).withColumn("defined", F.nullif(F.regexp_extract("line", _CONFIG, 1), F.lit("")))
+    own = numbered(files.where("language = 'kconfig'")).withColumn("words", _words(F.col("line")))
+    word = lambda i: F.get("words", i)
+    own = own.withColumn("defined", F.when(word(0).isin("config", "menuconfig"), F.nullif(F.regexp_extract(word(1), r"^\w+", 0), F.lit(""))))
     above = Window.partitionBy("file_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("option", F.last("defined", ignorenulls=True).over(above))
     definitions = own.where("defined is not null").select("file_id", F.col("defined").alias("name"), F.lit("config").alias("kind"), F.lit("definition").alias("role"), F.col("line_number").cast("int").alias("start_line"), F.col("line_number").cast("int").alias("end_line"), F.lit("repository").alias("scope"), F.trim("line").alias("signature"))
     rest = own.where("defined is null")
     bound = rest.where("option is not null")
-    names = F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_extract("line", _DEPENDS, 1), F.lit(_OPTION), F.lit(0))))
-    depends = bound.where(F.regexp_like("line", F.lit(_DEPENDS))).withColumn("target", F.explode(names))
-    selects = bound.where(F.regexp_like("line", F.lit(_SELECT)))
-    sources = rest.where(F.regexp_like("line", F.lit(_SOURCE)))
+    after = lambda n: F.array_join(F.slice("words", n + 1, F.size("words")), " ")
+    names = F.array_sort(F.array_distinct(F.regexp_extract_all(after(2), F.lit(_OPTION), F.lit(0))))
+    depends = bound.where((word(0) == "depends") & (word(1) == "on")).withColumn("target", F.explode(names))
+    selects = bound.where(word(0).isin("select", "imply") & F.regexp_like(word(1), F.lit(r"^[A-Z][A-Z0-9_]+$")) & ((F.size("words") == 2) | ((word(2) == "if") & (F.size("words") > 3))))
+    sources = rest.withColumn("file", _sourced(F.col("line"))).where("file is not null")
     option = F.col("option")
     return definitions, reduce(DataFrame.unionByName, [
         _relation(depends, "depends_on_config", F.col("target"), EXACT, option, "config", "config"),
-        _relation(selects, F.concat(F.regexp_extract("line", _SELECT, 1), F.lit("s_config")), F.regexp_extract("line", _SELECT, 2), EXACT, option, "config", "config", condition=F.nullif(F.trim(F.regexp_extract("line", _SELECT, 3)), F.lit(""))),
-        _relation(sources, "includes_config", F.regexp_extract("line", _SOURCE, 1), EXACT, is_path=True),
+        _relation(selects, F.concat(word(0), F.lit("s_config")), word(1), EXACT, option, "config", "config", condition=F.nullif(after(3), F.lit(""))),
+        _relation(sources, "includes_config", F.col("file"), EXACT, is_path=True),
     ])
 
 
 def kbuild(files: DataFrame) -> DataFrame:
     """``owner-$(CONFIG_X) += targets`` and ``owner-y`` or ``-m``: one relation for each target."""
-    own = numbered(files.where("language = 'kbuild'"))
-    guarded = F.regexp_like("line", F.lit(_BUILD_IF))
-    rows = own.where(guarded | F.regexp_like("line", F.lit(_BUILD))).select(
-        "file_id", "line_number", F.when(guarded, F.regexp_extract("line", _BUILD_IF, 1)).otherwise(F.regexp_extract("line", _BUILD, 1)).alias("owner"), F.when(guarded, F.regexp_extract("line", _BUILD_IF, 2)).alias("config"),
-        F.explode(_words(F.when(guarded, F.regexp_extract("line", _BUILD_IF, 3)).otherwise(F.regexp_extract("line", _BUILD, 3)))).alias("target"),
-    )
-    rows = rows.where(~F.startswith("target", F.lit("$(")) & ~F.col("target").isin("+=", ":="))
+    left, right = _assigned(F.col("line"), "=", "+=")
+    own = numbered(files.where("language = 'kbuild'")).select("file_id", "line_number", left.alias("left"), right.alias("right")).where("left is not null")
+    # the last part of the name says when its targets are built
+    when = F.substring_index("left", "-", -1)
+    owner = F.substring(F.col("left"), F.lit(1), F.char_length("left") - F.char_length(when) - 1)
+    config = F.nullif(F.regexp_extract(when, r"^\$\((CONFIG_\w+)\)$", 1), F.lit(""))
+    rows = own.where(F.contains("left", F.lit("-")) & (when.isin("y", "m") | config.isNotNull()) & F.regexp_like(owner, F.lit("^[A-Za-z0-9_./-]+$")))
+    rows = rows.select("file_id", "line_number", owner.alias("owner"), config.alias("config"), F.explode(_words(F.col("right"))).alias("target")).where(~F.startswith("target", F.lit("$(")))
     return _relation(rows, "kbuild_contains", F.col("target"), EXACT, F.col("owner"), "kbuild_target", is_path=True, condition=F.col("config"))
 
 
@@ -93,16 +114,23 @@ def line_relations(files: DataFrame) -> DataFrame:
 def references(files: DataFrame) -> DataFrame:
     """``(file_id, kind, target, line_number, place)``: what a file needs, in the order it names it."""
     own = numbered(files)
-    c = own.where(F.col("language").isin(*C_LANGUAGES) & F.regexp_like("line", F.lit(_INCLUDE))).select("file_id", F.lit("include").alias("kind"), F.regexp_extract("line", _INCLUDE, 2).alias("target"), "line_number", F.lit(0).alias("place"))
-    k = own.where((F.col("language") == "kconfig") & F.regexp_like("line", F.lit(_SOURCE))).select("file_id", F.lit("kconfig_source").alias("kind"), F.regexp_extract("line", _SOURCE, 1).alias("target"), "line_number", F.lit(0).alias("place"))
-    b = own.where(F.col("language") == "kbuild").select("file_id", F.lit("kbuild_target").alias("kind"), F.posexplode(_words(F.regexp_extract("line", _LIST, 1))).alias("place", "target"), "line_number")
+    c = own.where(F.col("language").isin(*C_LANGUAGES) & _included(F.col("line")).isNotNull()).select("file_id", F.lit("include").alias("kind"), _unquoted(_included(F.col("line"))).alias("target"), "line_number", F.lit(0).alias("place"))
+    k = own.where((F.col("language") == "kconfig") & _sourced(F.col("line")).isNotNull()).select("file_id", F.lit("kconfig_source").alias("kind"), _sourced(F.col("line")).alias("target"), "line_number", F.lit(0).alias("place"))
+    left, right = _assigned(F.col("line"), "=", "+=", ":=")
+    named = own.where(F.col("language") == "kbuild").select("file_id", "line_number", left.alias("left"), right.alias("right")).where((F.col("left") != "") & ~F.contains("left", F.lit("#")) & ~F.contains("left", F.lit(":")))
+    b = named.select("file_id", F.lit("kbuild_target").alias("kind"), F.posexplode(_words(F.col("right"))).alias("place", "target"), "line_number")
     b = b.where(F.regexp_like("target", F.lit(r"(\.o|\.a|/)$")) | F.col("target").isin("Makefile", "Kbuild", "Kconfig")).select("file_id", "kind", "target", "line_number", "place")
     return c.unionByName(k).unionByName(b)
 
 
-def condition_at(rows: DataFrame, conditions: DataFrame) -> DataFrame:
-    """``rows(file_id, start_line, ...)`` with ``condition_id`` of the deepest range around their line, if any."""
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
-    c = conditions.select(F.col("file_id").alias("__file"), F.col("start_line").alias("__from"), F.col("end_line").alias("__to"), "depth", F.col("condition_id"))
-    found = keyed.join(c, (F.col("file_id") == F.col("__file")) & F.col("start_line").between(F.col("__from"), F.col("__to")), "left")
-    return found.groupBy("__row", *rows.columns).agg(F.max_by("condition_id", F.struct("depth", "condition_id")).alias("condition_id")).drop("__row")
+def condition_at(rows: DataFrame, conditions: DataFrame, bucket: int = 64) -> DataFrame:
+    """``rows(file_id, start_line, ...)`` with ``condition_id`` of the deepest range around their line, if any.
+
+    Ranges are laid out to the buckets of lines they touch: a line meets those of its bucket only. The deepest of each
+    place is found once, then it meets the rows.
+    """
+    c = conditions.select("file_id", F.explode(F.sequence(F.floor(F.col("start_line") / bucket), F.floor(F.col("end_line") / bucket))).alias("__bucket"), F.col("start_line").alias("__from"), F.col("end_line").alias("__to"), "depth", "condition_id")
+    places = rows.select("file_id", "start_line").distinct().withColumn("__bucket", F.floor(F.col("start_line") / bucket))
+    near = places.join(c, ["file_id", "__bucket"]).where("start_line between __from and __to")
+    deepest = near.groupBy("file_id", "start_line").agg(F.max_by("condition_id", F.struct("depth", "condition_id")).alias("condition_id"))
+    return rows.join(deepest, ["file_id", "start_line"], "left")

@@ -74,24 +74,39 @@ def resolve_target(relations: DataFrame, maps: tuple[DataFrame, DataFrame]) -> D
 
 def include_paths(relations: DataFrame, paths: DataFrame) -> DataFrame:
     """``(relation_id, candidate)`` for ``relations(relation_id, snapshot_id, path, target)`` over ``paths(snapshot_id, path)``:
-    the normalised relative path, the target as it is, under ``include/``, and every path that ends with it.
+    the normalised relative path, the target as it is, under ``include/``, and every path that ends with it."""
+    found = _candidates_of(relations, paths)
+    return _asked(relations).join(found, ["snapshot_id", "directory", "target"]).select("relation_id", "candidate")
+
+
+def _asked(relations: DataFrame) -> DataFrame:
+    return relations.where(~F.contains("target", F.lit("$"))).withColumns({"target": F.replace("target", F.lit("\\"), F.lit("/")), "directory": dirname("path")})
+
+
+def _candidates_of(relations: DataFrame, paths: DataFrame) -> DataFrame:
+    """``(snapshot_id, directory, target, candidate)``: each directory and target is looked up once, however many lines ask.
 
     Suffixes are laid out only where some target asks for them: all joins are by equality.
     """
-    target = F.replace("target", F.lit("\\"), F.lit("/"))
-    asked = relations.where(~F.contains("target", F.lit("$"))).select("relation_id", "snapshot_id", target.alias("target"), normalized_path(joined_path(dirname("path"), target)).alias("relative"))
-    exact = asked.select("relation_id", "snapshot_id", F.explode(F.array_distinct(F.array("relative", "target", F.concat(F.lit("include/"), "target")))).alias("candidate"))
+    key = ["snapshot_id", "directory", "target"]
+    asked = _asked(relations).select(*key).distinct()
+    exact = asked.select(*key, F.explode(F.array_distinct(F.array(normalized_path(joined_path(F.col("directory"), F.col("target"))), "target", F.concat(F.lit("include/"), "target")))).alias("candidate"))
     direct = exact.join(paths.select("snapshot_id", F.col("path").alias("candidate")), ["snapshot_id", "candidate"])
     ends = paths.select("snapshot_id", F.col("path").alias("candidate"), F.explode(path_suffixes("path")).alias("target"))
     ends = ends.join(asked.select("snapshot_id", "target").distinct(), ["snapshot_id", "target"], "left_semi")
-    by_end = asked.select("relation_id", "snapshot_id", "target").join(ends, ["snapshot_id", "target"])
-    return direct.select("relation_id", "candidate").union(by_end.select("relation_id", "candidate")).distinct()
+    by_end = asked.join(ends, ["snapshot_id", "target"])
+    return direct.select(*key, "candidate").union(by_end.select(*key, "candidate")).distinct()
 
 
 def resolve_include(relations: DataFrame, paths: DataFrame) -> DataFrame:
-    """``relations`` with ``target_path_found`` where there is one candidate, ``candidates``, and vague confidence for several."""
-    found = include_paths(relations, paths).groupBy("relation_id").agg(F.count("*").alias("candidates"), F.min("candidate").alias("only"))
-    out = relations.join(found, "relation_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    """``relations`` with ``target_path_found`` where there is one candidate, ``candidates``, and vague confidence for several.
+
+    Relations meet one row for their directory and target, so nothing multiplies by candidates."""
+    key = ["snapshot_id", "directory", "target"]
+    found = _candidates_of(relations, paths).groupBy(*key).agg(F.count("*").alias("candidates"), F.min("candidate").alias("only")).withColumnsRenamed({"directory": "__directory", "target": "__target"})
+    open_target = F.when(~F.contains("target", F.lit("$")), F.replace("target", F.lit("\\"), F.lit("/")))
+    keyed = relations.withColumns({"__target": open_target, "__directory": dirname("path")})
+    out = keyed.join(found, ["snapshot_id", "__directory", "__target"], "left").drop("__directory", "__target").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
     return out.withColumn("target_path_found", F.when(F.col("candidates") == 1, F.col("only"))).withColumn("confidence", F.when(F.col("candidates") > 1, AMBIGUOUS).otherwise(F.col("confidence"))).drop("only")
 
 

@@ -12,8 +12,8 @@ from sourcelore.operators import relations as R
 
 
 def rendered(spark, d, lines_sql: str, language: str):
-    """One file for each brand: the lines of its parts by key. ``lines_sql`` makes a part's lines."""
-    parts = A.table(spark, d, "part").selectExpr("replace(p_brand, '#', '') as file_id", "p_partkey as k", f"concat_ws('\n', {lines_sql}, '') as piece")
+    """One file for each brand and two hundred part keys: the lines of its parts by key. ``lines_sql`` makes a part's lines."""
+    parts = A.table(spark, d, "part").selectExpr("concat(replace(p_brand, '#', ''), '/', cast(floor(p_partkey / 200) as string)) as file_id", "p_partkey as k", f"concat_ws('\n', {lines_sql}, '') as piece")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "")
     return parts.groupBy("file_id").agg(text.alias("text")).withColumn("language", F.lit(language))
 
@@ -81,9 +81,11 @@ def fct9_references(spark, d):
 
 
 # Paths and references to them, in SQL that Spark and DuckDB both take.
-PATHS = "SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN 'include/' ELSE '' END || 'd' || CAST(p_partkey % 5 AS STRING) || '/h' || CAST(p_partkey % 50 AS STRING) || '.h' AS path FROM {part}"
-REFS = """SELECT l_orderkey * 10 + l_linenumber AS relation_id, 'd' || CAST(l_partkey % 5 AS STRING) || '/s.c' AS path, l_linenumber % 6 AS form, CASE l_linenumber % 6 WHEN 0 THEN 'd' || CAST(l_suppkey % 5 AS STRING) || '/h' || CAST(l_orderkey % 60 AS STRING) || '.h'
-    WHEN 1 THEN '../d' || CAST(l_suppkey % 5 AS STRING) || '/./h' || CAST(l_orderkey % 60 AS STRING) || '.h' WHEN 2 THEN 'h' || CAST(l_orderkey % 60 AS STRING) || '.h' WHEN 3 THEN 'd' || CAST(l_suppkey % 5 AS STRING) || chr(92) || 'h' || CAST(l_orderkey % 60 AS STRING) || '.h' WHEN 4 THEN '$(x)/h1.h' ELSE 'nowhere.h' END AS target FROM {lineitem}"""
+# Fifty parts make a directory; every fourth stands under include/. Line items of a supplier's directory name headers near their part's.
+PATHS = "SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN 'include/' ELSE '' END || 'd' || CAST(CAST(floor(p_partkey / 50) AS INT) AS STRING) || '/h' || CAST(p_partkey % 400 AS STRING) || '.h' AS path FROM {part}"
+_DIR, _HEADER = "'d' || CAST(CAST(floor(l_partkey / 50) AS INT) AS STRING)", "'h' || CAST((l_partkey + l_orderkey % 3) % 400 AS STRING) || '.h'"
+REFS = f"""SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS relation_id, 'd' || CAST(CAST(floor(l_partkey / 50) AS INT) + l_suppkey % 2 AS STRING) || '/s.c' AS path, l_linenumber % 6 AS form, CASE l_linenumber % 6 WHEN 0 THEN {_DIR} || '/' || {_HEADER}
+    WHEN 1 THEN '../' || {_DIR} || '/./' || {_HEADER} WHEN 2 THEN {_HEADER} WHEN 3 THEN {_DIR} || chr(92) || {_HEADER} WHEN 4 THEN '$(x)/h1.h' ELSE 'nowhere.h' END AS target FROM {{lineitem}}"""
 
 
 def _paths_refs(spark, d):
@@ -102,23 +104,29 @@ def dep1_candidates(spark, d):
     return got.groupBy("reference_id").agg(F.count("*").alias("candidates"), F.min("candidate").alias("first"))
 
 
+_NEEDS = f"""SELECT CASE WHEN p_partkey % 4 = 0 THEN 'include/' ELSE '' END || 'd' || CAST(CAST(floor(p_partkey / 50) AS INT) AS STRING) || '/h' || CAST(p_partkey % 400 AS STRING) || '.h' AS path, l_linenumber AS line_number,
+    CAST(l_orderkey % 1000 AS INT) AS place, min('d' || CAST(CAST(floor(l_suppkey * 7 / 50) AS INT) AS STRING) || '/h' || CAST(l_suppkey * 7 % 400 AS STRING) || '.h') AS target FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey GROUP BY ALL"""
+
+
 def dep2_expansion(spark, d):
-    """Two levels from one directory's files: every file names a few others by rule."""
-    paths = spark.sql(PATHS, part=A.table(spark, d, "part"))
-    refs = A.table(spark, d, "lineitem").selectExpr("concat('d', l_partkey % 5, '/h', l_partkey % 50, '.h') as path", "'include' as kind", "concat('h', l_suppkey % 50, '.h') as target", "l_linenumber as line_number", "cast(l_orderkey % 3 as int) as place").distinct()
-    refs = refs.groupBy("path", "line_number", "place").agg(F.min("kind").alias("kind"), F.min("target").alias("target"))
-    chosen, counts = E.expand(paths.where("path like 'd1/%'"), refs, paths, 2, 60, 8)
-    return chosen.withColumn("unresolved", F.lit(counts["unresolved"])).withColumn("truncated", F.lit(counts["truncated"]))
+    """Two levels from the files of every tenth directory; a part's header needs those that its line items name."""
+    part, lineitem = A.table(spark, d, "part"), A.table(spark, d, "lineitem")
+    paths = spark.sql(PATHS, part=part)
+    refs = spark.sql(_NEEDS, part=part, lineitem=lineitem).withColumn("kind", F.lit("include"))
+    chosen, counts = E.expand(paths.where(F.regexp_like("path", F.lit("^d[0-9]*0/"))), refs, paths, 2, 10_000_000, 8)
+    return chosen.select("path", "level").withColumn("unresolved", F.lit(counts["unresolved"]).cast("long"))
 
 
 QUERIES = {f.__name__: f for f in (fct1_conditions, fct2_condition_at, fct3_includes, fct4_occurrences, fct5_calls, chk2_structural, fct6_kconfig, fct6_options, fct7_kbuild, fct8_dispatch, fct9_references, jon6_include_paths, dep1_candidates, dep2_expansion)}
 
-_P = "p AS (SELECT replace(p_brand, '#', '') AS file_id, p_partkey AS k, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INTEGER AS n FROM part)"
+_P = "p AS (SELECT replace(p_brand, '#', '') || '/' || floor(p_partkey / 200)::INTEGER AS file_id, p_partkey AS k, (row_number() OVER (PARTITION BY p_brand, floor(p_partkey / 200) ORDER BY p_partkey) - 1)::INTEGER AS n FROM part)"
 _COND = f"{_P}, c AS (SELECT file_id, 'defined(A' || k || ')' AS expression, n * 8 + 2 AS start_line, n * 8 + 5 AS end_line, 1 AS depth FROM p UNION ALL SELECT file_id, '(defined(A' || k || ')) && (B' || (k % 3) || ')', n * 8 + 4, n * 8 + 4, 2 FROM p UNION ALL SELECT file_id, '!((defined(A' || k || ')))', n * 8 + 7, n * 8 + 7, 1 FROM p)"
 _REF = f"""path_ AS ({PATHS.format(part='part')}), ref AS ({REFS.format(lineitem='lineitem')}), clean AS (SELECT *, replace(target, chr(92), '/') AS t FROM ref),
     asked AS (SELECT *, CASE form WHEN 1 THEN replace(substr(t, 4), '/./', '/') ELSE split_part(path, '/', 1) || '/' || t END AS relative FROM clean WHERE form <> 4),
-    direct AS (SELECT DISTINCT a.relation_id, p.path AS candidate FROM asked a JOIN path_ p ON p.path IN (a.relative, a.t, 'include/' || a.t)),
-    ends AS (SELECT DISTINCT a.relation_id, p.path AS candidate FROM (SELECT DISTINCT relation_id, t FROM asked WHERE form <> 1) a JOIN path_ p ON suffix(p.path, '/' || a.t))"""
+    forms AS (SELECT relation_id, relative AS f FROM asked UNION SELECT relation_id, t FROM asked UNION SELECT relation_id, 'include/' || t FROM asked),
+    direct AS (SELECT DISTINCT relation_id, p.path AS candidate FROM forms JOIN path_ p ON p.path = f),
+    tails AS (SELECT path, substr(path, strpos(path, '/') + 1) AS tail FROM path_ UNION SELECT path, split_part(path, '/', -1) FROM path_),
+    ends AS (SELECT DISTINCT relation_id, path AS candidate FROM (SELECT relation_id, t FROM asked WHERE form <> 1) a JOIN tails ON tail = t)"""
 ORACLES = {
     "fct1_conditions": f"WITH {_COND} SELECT * FROM c",
     "fct2_condition_at": f"WITH {_COND} SELECT file_id, start_line, CASE WHEN start_line % 8 = 2 THEN (SELECT expression FROM c x WHERE x.file_id = l.file_id AND x.start_line = l.start_line AND depth = 1) ELSE (SELECT arg_max(expression, depth) FROM c x WHERE x.file_id = l.file_id AND l.start_line BETWEEN x.start_line AND x.end_line) END AS condition_id FROM (SELECT file_id, n * 8 + unnest([2, 4, 7])::INTEGER AS start_line FROM p) l",
@@ -132,5 +140,14 @@ ORACLES = {
     "fct8_dispatch": "WITH n AS (SELECT count(*)::BIGINT AS n FROM part) SELECT 'includes' AS kind, 'source_exact' AS confidence, n AS relations FROM n UNION ALL SELECT 'includes', 'source_inferred', n FROM n UNION ALL SELECT 'depends_on_config', 'source_exact', 2 * n FROM n UNION ALL SELECT 'selects_config', 'source_exact', n FROM n UNION ALL SELECT 'includes_config', 'source_exact', n FROM n UNION ALL SELECT 'kbuild_contains', 'source_exact', 2 * n FROM n",
     "fct9_references": f"WITH {_P} SELECT file_id, 'include' AS kind, 'p' || k || '.h' AS target, n * 3 + 1 AS line_number, 0 AS place FROM p UNION ALL SELECT file_id, 'include', 'sys/' || (k % 6) || '.h', n * 3 + 2, 0 FROM p UNION ALL SELECT file_id, 'kconfig_source', 'lib/' || (k % 11) || '/Kconfig', n * 4 + 4, 0 FROM p UNION ALL SELECT file_id, 'kbuild_target', 'a' || k || '.o', n * 3 + 1, 0 FROM p UNION ALL SELECT file_id, 'kbuild_target', 'b' || (k % 9) || '.o', n * 3 + 1, 1 FROM p UNION ALL SELECT file_id, 'kbuild_target', 'c' || (k % 4) || '/', n * 3 + 2, 0 FROM p",
     "jon6_include_paths": f"WITH {_REF}, both_ AS (SELECT * FROM direct UNION SELECT * FROM ends), s AS (SELECT relation_id, count(*)::BIGINT AS candidates, min(candidate) AS only_ FROM both_ GROUP BY 1) SELECT r.relation_id, coalesce(candidates, 0) AS candidates, CASE WHEN candidates = 1 THEN only_ END AS found, CASE WHEN candidates > 1 THEN 'ambiguous_candidate' ELSE 'source_exact' END AS confidence FROM ref r LEFT JOIN s USING (relation_id)",
+    "dep2_expansion": f"""WITH RECURSIVE path_ AS ({PATHS.format(part='part')}), need AS ({_NEEDS.format(part='part', lineitem='lineitem')}), tails AS (SELECT path, substr(path, strpos(path, '/') + 1) AS tail FROM path_ UNION SELECT path, split_part(path, '/', -1) FROM path_),
+        dt AS (SELECT DISTINCT split_part(reverse(path), '/', 1) AS x, path, target FROM need), asked AS (SELECT DISTINCT regexp_extract(path, '^(.*)/', 1) AS dir, target FROM need),
+        exact AS (SELECT DISTINCT dir, target, p.path AS c FROM asked JOIN path_ p ON p.path IN (dir || '/' || target, target, 'include/' || target)),
+        cand AS (SELECT * FROM exact UNION SELECT dir, target, path FROM asked a JOIN tails ON tail = target WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.dir = a.dir AND e.target = a.target)),
+        sized AS (SELECT a.dir, a.target, count(c) AS n FROM asked a LEFT JOIN cand USING (dir, target) GROUP BY ALL), edge AS (SELECT DISTINCT n.path, c.c FROM need n JOIN cand c ON c.dir = regexp_extract(n.path, '^(.*)/', 1) AND c.target = n.target JOIN sized s ON s.dir = c.dir AND s.target = c.target WHERE s.n <= 8),
+        zero AS (SELECT path, 0 AS level FROM path_ WHERE regexp_matches(path, '^d[0-9]*0/')), one AS (SELECT DISTINCT c AS path, 1 AS level FROM edge JOIN zero USING (path) WHERE c NOT IN (SELECT path FROM zero)),
+        two AS (SELECT DISTINCT c AS path, 2 AS level FROM edge JOIN one USING (path) WHERE c NOT IN (SELECT path FROM zero) AND c NOT IN (SELECT path FROM one)), all_ AS (SELECT * FROM zero UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two),
+        lost AS (SELECT count(*)::BIGINT AS unresolved FROM need n JOIN (SELECT path FROM zero UNION ALL SELECT path FROM one) z USING (path) JOIN sized s ON s.dir = regexp_extract(n.path, '^(.*)/', 1) AND s.target = n.target WHERE s.n = 0 OR s.n > 8)
+        SELECT path, level, unresolved FROM all_, lost""",
     "dep1_candidates": f"WITH {_REF}, both_ AS (SELECT * FROM direct UNION SELECT * FROM ends WHERE relation_id NOT IN (SELECT relation_id FROM direct)) SELECT relation_id AS reference_id, count(*)::BIGINT AS candidates, min(candidate) AS first FROM both_ GROUP BY 1",
 }

@@ -19,46 +19,71 @@ from sourcelore.plans import pack as G
 from sourcelore.plans import snapshots as N
 from sourcelore.sources import tree as T
 
-DEMO = '''/* Starts the demo. */
-static int demo_init(void)
+SOURCE = '''/* Starts the pump. */
+static int start_pump(void)
 {
-	return helper() + init_idle();
+	return primed() + begin_idle();
 }
 
-#define DEMO_VALUE 3
-typedef struct demo { int a; } demo_t;
-#ifdef CONFIG_DEMO
-int demo_exit(void) { return ops->fallback(); }
+#define PUMP_MAX 3
+typedef struct pump { int a; } pump_t;
+#ifdef CONFIG_PUMP
+int stop_pump(void) { return ops->fallback(); }
 #else
-static int helper(void) { return 1; }
+static int primed(void) { return 1; }
 #endif
-#include "../include/demo.h"
+#include "../include/pump.h"
 '''
 
 
 def test_c_chunks_by_item():
-    found = {c[3]: (c[0], c[1]) for c in cscan.scan(DEMO)["chunks"]}
-    assert found == {"demo_init": ("function", 1), "DEMO_VALUE": ("macro", 7), "demo_t": ("type", 8), "demo_exit": ("function", 10), "helper": ("function", 12)}
+    found = {c[3]: (c[0], c[1]) for c in cscan.scan(SOURCE)["chunks"]}
+    assert found == {"start_pump": ("function", 1), "PUMP_MAX": ("macro", 7), "pump_t": ("type", 8), "stop_pump": ("function", 10), "primed": ("function", 12)}
     assert cscan.scan("int f( { ]")["errors"] == [(1,)] and cscan.scan("")["chunks"] == []
 
 
 def test_c_facts():
-    found = cscan.scan(DEMO)
+    found = cscan.scan(SOURCE)
     scopes = {(o[0], o[2]): o[5] for o in found["occurrences"]}
-    assert scopes["helper", "definition"] == "file" and scopes["demo_exit", "definition"] == "repository"
+    assert scopes["primed", "definition"] == "file" and scopes["stop_pump", "definition"] == "repository"
     calls = {c[1]: (c[0], c[3]) for c in found["calls"]}
-    assert calls == {"helper": ("demo_init", "source_inferred"), "init_idle": ("demo_init", "source_inferred"), "fallback": ("demo_exit", "ambiguous_candidate")}
-    assert [c[:3] for c in found["conditions"]] == [("defined(CONFIG_DEMO)", 10, 10), ("!((defined(CONFIG_DEMO)))", 12, 12)]
+    assert calls == {"primed": ("start_pump", "source_inferred"), "begin_idle": ("start_pump", "source_inferred"), "fallback": ("stop_pump", "ambiguous_candidate")}
+    assert [c[:3] for c in found["conditions"]] == [("defined(CONFIG_PUMP)", 10, 10), ("!((defined(CONFIG_PUMP)))", 12, 12)]
+
+
+def test_branches_take_what_others_leave():
+    text = "#if A\nx\n#elif B\n#  ifndef C\ny\n#else\nz\n#endif\n#else\nw\n#endif\n#endif\n#ifx\n# define if\n#ifdef OPEN\nv"
+    assert cscan.conditions(text) == [
+        ("A", 2, 2, 1), ("!((A)) && (B)", 4, 8, 1), ("(!((A)) && (B)) && (!defined(C))", 5, 5, 2), ("(!((A)) && (B)) && (!((!defined(C))))", 7, 7, 2),
+        ("!((A) || (B))", 10, 10, 1), ("defined(OPEN)", 16, 16, 1),
+    ]
+    assert cscan.conditions("#if\n1\n#elif\n2\n#else") == [("1", 2, 2, 1), ("!((1)) && (1)", 4, 4, 1)] and cscan.conditions("") == []
+
+
+def test_declarations_within_functions():
+    text = "int run(int a)\n{\n\tstruct item *it, *more;\n\ttypedef int number;\n\tint other(int x);\n\tif (a) { size_t inner = 1; use(inner); }\nout:\n\tcase 1: call(it); return a;\n\tstruct point p = { .x = 1 };\n}\nint top;\n"
+    found = {(o[0], o[1], o[3], o[5]) for o in cscan.scan(text)["occurrences"]}
+    assert found == {
+        ("run", "function", 1, "repository"), ("it", "variable", 3, "function:run"), ("number", "type", 4, "function:run"), ("other", "function", 5, "repository"),
+        ("inner", "variable", 6, "function:run"), ("p", "variable", 9, "function:run"), ("top", "variable", 11, "repository"),
+    }
+
+
+def test_lines_of_build_files(spark):
+    files = spark.createDataFrame([("b", "kbuild", "obj-m = a.o\nlib-y := b.o\n# obj-y += c.o\nobj-$(CONFIG_X)+= d/ $(e)\nx-y-objs += f.o\nccflags += g.o\n"), ("k", "kconfig", "select A\nmenuconfig B # x\n imply C_1\n select d\n rsource \"x/Kconfig\"\n source y\n depends on D || !E=n\n"), ("c", "c", " # include <a/b.h> // x\n#include b.h\n#includes \"c.h\"\n")], "file_id string, language string, text string")
+    got = {(r.kind, r.source_name, r.target_text, r.condition, r.start_line) for r in K.line_relations(files).collect()}
+    assert got == {("kbuild_contains", "obj", "a.o", None, 1), ("kbuild_contains", "obj", "d/", "CONFIG_X", 4), ("implys_config", "B", "C_1", None, 3), ("includes_config", None, "x/Kconfig", None, 5), ("includes", None, "a/b.h", None, 1)}
+    assert {(r.file_id, r.target) for r in K.references(files).collect()} == {("b", "a.o"), ("b", "b.o"), ("b", "d/"), ("b", "f.o"), ("b", "g.o"), ("k", "x/Kconfig"), ("c", "a/b.h")}
 
 
 def test_deep_nesting():
-    deep = "#if A\n" * 1100 + "int deep_marker(void) { return 0; }\n" + "#endif\n" * 1100
+    deep = "#if A\n" * 1100 + "int far_inside(void) { return 0; }\n" + "#endif\n" * 1100
     found = cscan.scan(deep)
-    assert [c[3] for c in found["chunks"]] == ["deep_marker"] and [o[0] for o in found["occurrences"]] == ["deep_marker"] and len(found["conditions"]) == 1100
+    assert [c[3] for c in found["chunks"]] == ["far_inside"] and [o[0] for o in found["occurrences"]] == ["far_inside"] and len(found["conditions"]) == 1100
 
 
 def test_build_chunks_by_language(spark):
-    files = spark.createDataFrame([("a", "c", DEMO), ("b", "text", "one\ntwo\nthree\nfour"), ("c", "c", "// nothing\n"), ("d", "text", "")], "file_id string, language string, text string")
+    files = spark.createDataFrame([("a", "c", SOURCE), ("b", "text", "one\ntwo\nthree\nfour"), ("c", "c", "// nothing\n"), ("d", "text", "")], "file_id string, language string, text string")
     rows = cscan.build_chunks(files, 3, 1).collect()
     by = {}
     for r in sorted(rows, key=lambda r: (r.file_id, r.ordinal)):
@@ -74,13 +99,13 @@ def test_windows_reject_a_full_overlap(spark):
 
 
 def test_kconfig_and_kbuild(spark):
-    files = spark.createDataFrame([("k", "kconfig", "config DEMO\n\tdepends on NET && X86\n\tselect HELPER if EXPERT\n"), ("b", "kbuild", "obj-$(CONFIG_DEMO) += demo.o helper.o\n")], "file_id string, language string, text string")
+    files = spark.createDataFrame([("k", "kconfig", "config PUMP\n\tdepends on NET && X86\n\tselect PRIMED if EXPERT\n"), ("b", "kbuild", "obj-$(CONFIG_PUMP) += pump.o primed.o\n")], "file_id string, language string, text string")
     got = {(r.kind, r.source_name, r.target_text, r.condition) for r in K.line_relations(files).collect()}
-    assert got == {("depends_on_config", "DEMO", "NET", None), ("depends_on_config", "DEMO", "X86", None), ("selects_config", "DEMO", "HELPER", "EXPERT"), ("kbuild_contains", "obj", "demo.o", "CONFIG_DEMO"), ("kbuild_contains", "obj", "helper.o", "CONFIG_DEMO")}
+    assert got == {("depends_on_config", "PUMP", "NET", None), ("depends_on_config", "PUMP", "X86", None), ("selects_config", "PUMP", "PRIMED", "EXPERT"), ("kbuild_contains", "obj", "pump.o", "CONFIG_PUMP"), ("kbuild_contains", "obj", "primed.o", "CONFIG_PUMP")}
 
 
 @pytest.mark.parametrize("path,target,known,want", [
-    ("kernel/demo.c", "../include/demo.h", ["include/demo.h", "arch/x86/include/demo.h"], ["include/demo.h"]),
+    ("kernel/pump.c", "../include/pump.h", ["include/pump.h", "arch/x86/include/pump.h"], ["include/pump.h"]),
     ("drivers/net/foo.c", "linux/foo.h", ["drivers/net/foo.c", "include/linux/foo.h", "arch/x86/include/linux/foo.h"], ["arch/x86/include/linux/foo.h", "include/linux/foo.h"]),
     ("a/b.c", "$(x).h", ["$(x).h"], []),
 ])
@@ -126,8 +151,8 @@ def test_scan_filters(spark):
 
 
 def test_evaluation_of_ranges(spark):
-    evidence = spark.createDataFrame([("q", "demo.c", 10, 12), ("q", "demo.h", 3, 3)], "question_id string, path string, start_line int, end_line int")
-    results = spark.createDataFrame([("q", 1, "demo.c", 1, 4), ("q", 2, "demo.h", 1, 5)], "question_id string, rank int, path string, start_line int, end_line int")
+    evidence = spark.createDataFrame([("q", "pump.c", 10, 12), ("q", "pump.h", 3, 3)], "question_id string, path string, start_line int, end_line int")
+    results = spark.createDataFrame([("q", 1, "pump.c", 1, 4), ("q", 2, "pump.h", 1, 5)], "question_id string, rank int, path string, start_line int, end_line int")
     m, f = V.range_metrics(evidence, results, 10).first(), V.file_metrics(evidence, results, 10).first()
     assert (m.range_recall, m.range_mrr, m.questions_partial, f.file_recall, f.file_mrr) == (0.5, 0.5, 1, 1.0, 1.0)
     assert V.file_metrics(evidence.limit(0), results, 10).first().file_recall is None
