@@ -22,8 +22,6 @@ from sourcelore.llm.common import id_crc_mod, whole_text
 PLACES = 1 << 20
 #: At most so many labelled rows of each class are learned from: those with the smallest hash of their id.
 MOST_PER_CLASS = 8_000
-#: At most so many places enter the machine: those that tell the classes apart best.
-MOST_TERMS = 4_096
 _WORD = re.compile(r"\w+")
 
 
@@ -69,7 +67,7 @@ class Machine:
 def train(texts: list[np.ndarray], y: np.ndarray, factors: int = 4, epochs: int = 40, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """Bias, places, linear weights and factors, by Adam on logistic loss where both classes weigh the same.
 
-    Places are chosen first by chi-square (at least 6.6 and two texts).
+    All places that tell the classes apart take part: those with a chi-square of at least 6.6 (one in a hundred by chance) and two texts.
     """
     n, pos = len(y), float(y.sum())
     if pos == 0 or pos == n:
@@ -82,7 +80,6 @@ def train(texts: list[np.ndarray], y: np.ndarray, factors: int = 4, epochs: int
     e = df * pos / n
     chi = (tp - e) ** 2 / np.maximum(e, 1e-9) + (tp - e) ** 2 / np.maximum(df - e, 1e-9)
     good = np.flatnonzero((chi >= 6.6) & (df >= 2))
-    good = np.sort(good[np.lexsort((good, -chi[good]))][:MOST_TERMS])
     place = np.full(len(terms), -1)
     place[good] = np.arange(len(good))
     keep = place[col] >= 0
@@ -123,8 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, mo
 
     Of each class at most ``most_per_class`` ids take part, by a hash of the id: this bound fixes what is broadcast (ids
     and labels only) and what the one training task reads, at any size of the table. An id labelled more than once
-    counts as its largest label; null ids and labels don't count. Without labelled texts, or with one class only, the
-    score is constant. The model (at most ``MOST_TERMS`` rows) comes to the driver.
+    counts as its largest label, an id with several texts by the one of the least hash; null ids and labels don't count.
+    Null and empty texts have no terms; of very long texts the distinct terms count. Without labelled texts, an empty
+    table included, or with one class only, the score is constant. The model comes to the driver: a row for each term of
+    the sample that tells the classes apart.
     """
     spark = docs.sparkSession
     known = labels if learn_from is None else labels.where(learn_from)
@@ -136,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, mo
     def terms(texts: pd.Series) -> pd.Series:
         return texts.map(text_terms)
 
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body")).join(F.broadcast(sample), "id").select("id", "y", terms("body").alias("terms"))
+    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body")).join(F.broadcast(sample), "id")
+    rows = rows.select("id", "y", F.xxhash64("body").alias("h"), terms("body").alias("terms")).groupBy("id", "y").agg(F.min_by("terms", "h").alias("terms"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["id", "y"], kind="stable")
@@ -163,7 +163,8 @@ def score_column(machine: Machine, text: Column) -> Column:
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity``, the score of each whole text (a column of that name is replaced). All rows stay."""
+    """``docs`` with ``toxicity``, the score of each whole text (a column of that name is replaced). All rows stay, repeats too; null
+    and empty texts get the score of no terms, an empty table gives an empty result."""
     return docs.withColumn("toxicity", score_column(machine, whole_text(text_col)))
 
 
