@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelore.functions.ids import col
@@ -50,6 +50,14 @@ def normalized_query(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(text), r"(?U)\s+", " "))
 
 
+def checked_queries(queries: DataFrame, top_k: int) -> tuple[DataFrame, DataFrame]:
+    """``queries(query_id, query)`` with white space made plain, and those of which nothing is left. ``top_k`` is 1 to 100."""
+    if not 1 <= top_k <= 100:
+        raise ValueError("top_k must be between 1 and 100")
+    plain = queries.withColumn("query", normalized_query(F.coalesce("query", F.lit(""))))
+    return plain.where("query <> ''"), plain.where("query = ''").select("query_id", F.lit("empty_query").alias("reason"))
+
+
 def cut_content(text: Column | str, most: int = MOST_CHARACTERS) -> Column:
     """At most ``most`` characters; a cut one loses white space at its end and gets a line with an ellipsis."""
     c = col(text)

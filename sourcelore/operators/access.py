@@ -41,6 +41,33 @@ def visible_rows(rows: DataFrame, snapshots: DataFrame, allowed: DataFrame, prin
     return rows.join(snapshots.join(own, "repository_id", "left_semi").select("snapshot_id"), "snapshot_id", "left_semi")
 
 
+def visible_tables(tables: dict[str, DataFrame], allowed: DataFrame, principal_id: str) -> dict[str, DataFrame]:
+    """The rows of each table that the principal may read, by the rule of its kind.
+
+    Repositories by themselves; snapshots, symbols and solution members by their repository; all that has a ``snapshot_id`` by
+    its snapshot; blobs and analyses if a file that is visible has them; embeddings if their chunk is; a solution snapshot, its
+    events and its solution if any member is. Tables of other names aren't read. All filters are semi-joins.
+    """
+    own = allowed.where(F.col("principal_id") == principal_id).select("repository_id")
+    seen: dict[str, DataFrame] = {}
+    through = lambda name, other, key, other_key: tables[name].join(seen[other].select(F.col(other_key).alias(key)).distinct(), key, "left_semi")
+    for name in tables:
+        if name == "repository":
+            seen[name] = tables[name].join(own.select(F.col("repository_id").alias("id")), "id", "left_semi")
+        elif name in ("snapshot", "logical_symbol", "solution_snapshot_member"):
+            seen[name] = tables[name].join(own, "repository_id", "left_semi")
+    for name in ("snapshot_event", "source_file", "chunk", "source_condition", "symbol_occurrence", "relation"):
+        if name in tables:
+            seen[name] = through(name, "snapshot", "snapshot_id", "id")
+    for name, other, key, other_key in (
+        ("blob", "source_file", "id", "blob_id"), ("analysis_artifact", "source_file", "blob_id", "blob_id"), ("chunk_embedding", "chunk", "chunk_id", "id"), ("solution_snapshot", "solution_snapshot_member", "id", "solution_snapshot_id"),
+        ("solution_snapshot_event", "solution_snapshot_member", "solution_snapshot_id", "solution_snapshot_id"), ("solution", "solution_snapshot", "id", "solution_id"),
+    ):
+        if name in tables:
+            seen[name] = through(name, other, key, other_key)
+    return seen
+
+
 def own_rows(rows: DataFrame, principal_id: str, domain_id: str) -> DataFrame:
     return rows.where((F.col("principal_id") == principal_id) & (F.col("security_domain_id") == domain_id))
 
@@ -88,6 +115,21 @@ def applied_members(current: DataFrame, desired: DataFrame) -> DataFrame:
     return current.select(*key).union(desired.where("active").select(*key)).distinct().join(gone, key, "left_anti")
 
 
+def applied_manifest(current: dict[str, DataFrame], desired: dict[str, DataFrame], now: Column) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables after a manifest, and what forbids it: ``(problem, key)``, empty if it may be written.
+
+    Domains, principals, teams and grants are added or changed, never deleted; memberships and the manifest's grant sources
+    follow ``active``. Identity and domain of a principal are fixed for good. Nothing is written; the same manifest again
+    changes nothing.
+    """
+    after = {name: upserted(current[name], desired[name]) for name in ("domains", "principals", "teams", "grants")}
+    after["members"] = applied_members(current["members"], desired["members"])
+    after["sources"] = applied_sources(current["sources"], desired["sources"], now)
+    moved = moved_identities(current["principals"], desired["principals"]).select(F.lit("moved_identity").alias("problem"), F.col("id").alias("key"))
+    lost = desired["sources"].select("repository_grant_id").join(after["grants"].select(F.col("id").alias("repository_grant_id")), "repository_grant_id", "left_anti").select(F.lit("unknown_grant"), "repository_grant_id")
+    return after, moved.union(lost)
+
+
 def applied_sources(current: DataFrame, desired: DataFrame, now: Column) -> DataFrame:
     """Manifest sources of grants: ``desired(repository_grant_id, permission, active)``; an inactive one is revoked now, unless
     it was before. Sources of other kinds stay as they are."""

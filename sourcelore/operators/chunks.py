@@ -9,6 +9,7 @@ from sourcelore.functions.ids import col, stable_id
 from sourcelore.functions.text import lines
 
 LINES, OVERLAP, MOST_LINES = 120, 20, 240
+LINE_GENERATOR = "line-window-v1"
 
 
 def windows(all_lines: Column, size: int = LINES, overlap: int = OVERLAP, first_line: Column | None = None) -> Column:
@@ -27,7 +28,7 @@ def line_chunks(files: DataFrame, size: int = LINES, overlap: int = OVERLAP, tex
     """One row for each line window: the file's columns without its text, and ordinal, kind, lines, content, symbol, generator."""
     rest = [c for c in files.columns if c not in (text_col, "content")]
     dealt = files.select(*rest, lines(text_col).alias("__lines")).select(*rest, F.posexplode(windows(F.col("__lines"), size, overlap)).alias("ordinal", "w"))
-    return dealt.select(*rest, "ordinal", F.lit("line_window").alias("kind"), "w.start_line", "w.end_line", "w.content", F.lit(None).cast("string").alias("symbol"), F.lit("line-window-v1").alias("generator"))
+    return dealt.select(*rest, "ordinal", F.lit("line_window").alias("kind"), "w.start_line", "w.end_line", "w.content", F.lit(None).cast("string").alias("symbol"), F.lit(LINE_GENERATOR).alias("generator"))
 
 
 def split_large(chunks: DataFrame, most_lines: int = MOST_LINES, overlap: int = OVERLAP) -> DataFrame:
@@ -68,7 +69,3 @@ def chunk_rows(chunks: DataFrame, file_id: str = "file_id") -> DataFrame:
     """Chunks with ``content_hash`` and ``id`` (file, ordinal, lines, hash)."""
     hashed = chunks.withColumn("content_hash", F.sha2("content", 256))
     return hashed.withColumn("id", stable_id("chunk", file_id, "ordinal", "start_line", "end_line", "content_hash"))
-
-
-def generator_counts(chunks: DataFrame, by: str = "repository") -> DataFrame:
-    return chunks.groupBy(by, "generator").agg(F.count("*").alias("chunks"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcelore.functions.ids import stable_id
+from sourcelore.operators.chunks import LINE_GENERATOR
 
 STATES = ("building", "validated", "active")
 
@@ -44,7 +45,8 @@ def activation_events(events: DataFrame, owners: DataFrame, activate: DataFrame)
 
 def order_violations(events: DataFrame) -> DataFrame:
     """Snapshots whose log doesn't begin with building, validated, active."""
-    first = events.groupBy("snapshot_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("event_seq", "state"))), 1, 3), lambda e: e["state"]).alias("states"))
+    early = events.withColumn("__n", F.row_number().over(Window.partitionBy("snapshot_id").orderBy("event_seq"))).where(F.col("__n") <= len(STATES))
+    first = early.groupBy("snapshot_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "state"))), lambda e: e["state"]).alias("states"))
     return first.where(F.col("states") != F.array(*map(F.lit, STATES)))
 
 
@@ -83,15 +85,26 @@ def cache_split(scanned: DataFrame, cache: DataFrame, profile: str) -> tuple[Dat
 ARTIFACT_VERSION = 1
 
 
-def artifacts(chunks: DataFrame) -> DataFrame:
-    """Analyses as nested rows: the chunks of an artifact in their order, with a version."""
-    own = F.array_sort(F.collect_list(F.struct("ordinal", "kind", "start_line", "end_line", "symbol", "content")))
-    return chunks.groupBy("artifact_id").agg(own.alias("chunks")).withColumn("version", F.lit(ARTIFACT_VERSION))
+PAYLOAD = {
+    "chunks": ("ordinal", "kind", "start_line", "end_line", "symbol", "content"), "conditions": ("start_line", "end_line", "depth", "expression"),
+    "occurrences": ("start_line", "end_line", "name", "kind", "role", "scope", "signature"), "relations": ("start_line", "end_line", "kind", "source_name", "target_text", "target_path", "condition", "confidence"),
+}
 
 
-def artifact_chunks(stored: DataFrame) -> DataFrame:
-    """Back to chunk rows; an artifact of another version is an error."""
-    good = F.when(F.col("version") == ARTIFACT_VERSION, F.col("chunks")).otherwise(F.raise_error(F.concat(F.lit("artifact version "), F.col("version").cast("string"))))
+def artifacts(found: dict[str, DataFrame]) -> DataFrame:
+    """Analyses as nested rows, one for each ``artifact_id``: its chunks, conditions, occurrences and relations (those of PAYLOAD
+    that are given, each with the columns named there) in their order, with a version. What is gathered is one file's."""
+    out = None
+    for name, fields in PAYLOAD.items():
+        if name in found:
+            own = found[name].groupBy("artifact_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+            out = own if out is None else out.join(own, "artifact_id", "full_outer")
+    return out.withColumn("version", F.lit(ARTIFACT_VERSION))
+
+
+def artifact_rows(stored: DataFrame, name: str = "chunks") -> DataFrame:
+    """Back to rows of one kind; an artifact of another version is an error."""
+    good = F.when(F.col("version") == ARTIFACT_VERSION, F.col(name)).otherwise(F.raise_error(F.concat(F.lit("artifact version "), F.col("version").cast("string"))))
     return stored.select("artifact_id", F.inline(good))
 
 
@@ -146,8 +159,10 @@ def export(files: DataFrame, path: str) -> DataFrame:
 
 def snapshot_counters(files: DataFrame, chunks: DataFrame, occurrences: DataFrame | None = None, relations: DataFrame | None = None, conditions: DataFrame | None = None) -> DataFrame:
     """Counts per snapshot, one aggregate for each table, joined."""
-    out = files.groupBy("snapshot_id").agg(F.count("*").alias("file_count"), F.countDistinct("blob_id").alias("blob_count"), F.sum("size_bytes").alias("byte_count"))
-    kinds = chunks.groupBy("snapshot_id").agg(F.count("*").alias("chunk_count"), F.count_if(F.col("kind") != "line_window").alias("structured_chunk_count"), F.count_if(F.col("kind") == "line_window").alias("fallback_chunk_count"))
+    errors = [F.coalesce(F.sum("syntax_error_count"), F.lit(0)).alias("parse_error_count")] if "syntax_error_count" in files.columns else []
+    out = files.groupBy("snapshot_id").agg(F.count("*").alias("file_count"), F.countDistinct("blob_id").alias("blob_count"), F.sum("size_bytes").alias("byte_count"), *errors)
+    by_lines = F.col("generator") == LINE_GENERATOR
+    kinds = chunks.groupBy("snapshot_id").agg(F.count("*").alias("chunk_count"), F.count_if(~by_lines).alias("structured_chunk_count"), F.count_if(by_lines).alias("fallback_chunk_count"))
     out = out.join(kinds, "snapshot_id", "left")
     for rows, name in ((occurrences, "symbol_occurrence_count"), (relations, "relation_count"), (conditions, "condition_count")):
         if rows is not None:
@@ -162,10 +177,28 @@ def count_violations(declared: DataFrame, counted: DataFrame) -> DataFrame:
     return long(declared.select("snapshot_id", *names), "declared").join(long(counted.select("snapshot_id", *names), "counted"), ["snapshot_id", "counter"], "full_outer").where(~F.col("declared").eqNullSafe(F.col("counted")))
 
 
-def summary(snapshots: DataFrame, events: DataFrame) -> DataFrame:
-    """The catalog in one row."""
+def summary(snapshots: DataFrame, events: DataFrame, solutions: DataFrame | None = None, solution_events: DataFrame | None = None) -> DataFrame:
+    """The catalog in one row; ``solutions(id, solution_id)`` are solution snapshots, with a log of their own."""
     states = current_states(events)
-    return snapshots.join(states, snapshots["id"] == states["snapshot_id"], "left").agg(F.countDistinct("repository").alias("repositories"), F.count("*").alias("snapshots"), F.count_if(F.col("state") == "active").alias("active_snapshots"))
+    out = snapshots.join(states, snapshots["id"] == states["snapshot_id"], "left").agg(F.countDistinct("repository").alias("repositories"), F.count("*").alias("snapshots"), F.count_if(F.col("state") == "active").alias("active_snapshots"))
+    if solutions is None:
+        return out
+    states = current_states(solution_events)
+    own = solutions.join(states, solutions["id"] == states["snapshot_id"], "left").agg(F.countDistinct("solution_id").alias("solutions"), F.count("*").alias("solution_snapshots"), F.count_if(F.col("state") == "active").alias("active_solution_snapshots"))
+    return out.join(own)  # one row each
+
+
+def published_solutions(members: DataFrame, states: DataFrame, known: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Publish the solutions of ``members`` that break no rule: ``(solution snapshots to add, events to add, violations)``.
+
+    ``known(id, solution_id)`` are those published before, ``log`` their events. The same members again have the same id: nothing
+    is added if it is active, and it is activated again if it was superseded. One is active for each solution.
+    """
+    bad = member_violations(members, states)
+    ids = solution_ids(members.join(bad.select("solution_id").distinct(), "solution_id", "left_anti")).select("id", "solution_id", "digest")
+    new = absent(ids, known)
+    owners = known.select("id", "solution_id").union(new.select("id", "solution_id")).select(F.col("id").alias("snapshot_id"), F.col("solution_id").alias("repository_id"))
+    return new, activation_events(log, owners, ids.select(F.col("id").alias("snapshot_id"))), bad
 
 
 def member_violations(members: DataFrame, states: DataFrame, least: int = 2, most: int = 32) -> DataFrame:

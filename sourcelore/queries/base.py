@@ -105,6 +105,13 @@ def prj11_normalized(spark, d):
     return A.table(spark, d, "conversations").select("conv_id", "turn", text.normalized_query(raw).alias("query"))
 
 
+def prj11_rejects(spark, d):
+    """Turns of which every third is white space only: what is asked, and what is rejected."""
+    asked = A.table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.when(F.col("turn") % 3 == 1, " \t\n").otherwise(F.col("text")).alias("query"))
+    good, bad = text.checked_queries(asked, 10)
+    return good.select("query_id", F.lit("asked").alias("outcome")).union(bad)
+
+
 def prj12_semantic_document(spark, d):
     return A.chunks(spark, d).select("chunk_id", F.sha2(text.semantic_document("path", "start_line", "end_line", "kind", "symbol", "content"), 256).alias("document_hash"))
 
@@ -148,7 +155,7 @@ def agg7_basenames(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     src1_tree, fil1_roots, fil2_globs, fil3_size, fil4_first_files, prj1_language, prj2_decode, prj3_lines, prj4_blobs, prj5_stable_ids, prj6_evidence_ids, prj7_citations,
-    prj8_cut_content, prj9_cited_lines, prj10_identifiers, prj11_normalized, prj12_semantic_document, chk1_windows, chk3_parts, chk4_symbols, chk5_chunk_rows, agg1_manifest, agg7_basenames,
+    prj8_cut_content, prj9_cited_lines, prj10_identifiers, prj11_normalized, prj11_rejects, prj12_semantic_document, chk1_windows, chk3_parts, chk4_symbols, chk5_chunk_rows, agg1_manifest, agg7_basenames,
 )}
 
 ORACLES = {
@@ -172,6 +179,7 @@ ORACLES = {
         f AS (SELECT conv_id, turn, t, min(pos) AS pos FROM e WHERE regexp_full_match(t, '[A-Za-z_][A-Za-z0-9_]*') GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS n FROM f)
         SELECT w.conv_id, w.turn, coalesce(string_agg(t, ' ' ORDER BY pos) FILTER (WHERE n <= 16), '') AS names FROM w LEFT JOIN r ON w.conv_id = r.conv_id AND w.turn = r.turn GROUP BY ALL""",
+    "prj11_rejects": "SELECT conv_id || '-' || turn AS query_id, CASE WHEN turn % 3 = 1 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 'empty_query' ELSE 'asked' END AS outcome FROM conversations",
     "prj11_normalized": "SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS query FROM conversations",
     "prj12_semantic_document": f"WITH {CHUNKS} SELECT chunk_id, sha256('File: ' || path || chr(10) || 'Lines: ' || start_line || '-' || end_line || chr(10) || 'Kind: line_window' || chr(10) || 'Symbol: (none)' || chr(10) || 'Content:' || chr(10) || content) AS document_hash FROM chunks",
     "chk1_windows": f"WITH {CHUNKS} SELECT repository, path, ordinal, start_line, end_line, content_hash FROM chunks",

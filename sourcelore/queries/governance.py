@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcelore import adapters as A
@@ -10,7 +13,8 @@ from sourcelore.operators import access as P
 from sourcelore.plans import snapshots as N
 from sourcelore.queries.base import CHUNKS, FILES, N_LINES, stable
 from sourcelore.sources import tree as T
-from sourcelore.storage import durable
+from sourcelore.sources import manifests as M
+from sourcelore.storage import durable, scratch
 
 NOW = "1998-08-01 00:00:00"
 # The inputs, in SQL that Spark and DuckDB both take.
@@ -23,7 +27,7 @@ GRANTS = """SELECT 'g' || CAST(o_orderkey AS STRING) AS id, CAST(n_regionkey AS
     FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey"""
 SOURCES = """SELECT 's1_' || id AS source_id, id AS repository_grant_id, 'manifest' AS source_kind, permission, CASE WHEN k % 5 = 0 THEN NULL ELSE given_at + INTERVAL 400 DAY END AS expires_at, CASE WHEN state = 'F' THEN given_at END AS revoked_at FROM ({grants}) g WHERE k % 7 <> 0
     UNION ALL SELECT 's2_' || id, id, 'manual', 'read', CAST(NULL AS TIMESTAMP), CASE WHEN k % 4 = 0 THEN given_at END FROM ({grants}) h WHERE k % 13 = 0 AND k % 7 <> 0"""
-_NAMES = ("region", "nation", "customer", "supplier", "orders", "events", "documents")
+_NAMES = ("region", "nation", "customer", "supplier", "orders", "events", "documents", "part")
 
 
 def read(spark, d, sql):
@@ -55,6 +59,21 @@ def acl2_visible_rows(spark, d):
     return P.visible_rows(rows, snaps, _readable(spark, d), who).select("doc_id")
 
 
+def acl2_tables(spark, d):
+    """All kinds of tables over documents and parts, as one principal sees them: rows by kind."""
+    who = "p" + str(read(spark, d, "SELECT min(c_custkey) AS k FROM {customer} WHERE c_custkey % 11 <> 0 AND c_custkey % 3 <> 1").first()[0])
+    docs = A.table(spark, d, "documents").selectExpr("doc_id", "concat('s', doc_id % 80) as snapshot_id", "sha2(text, 256) as blob_id", "cast(doc_id as string) as id")
+    snaps = docs.selectExpr("snapshot_id as id", "concat('r', cast(substring(snapshot_id, 2) as int) % 40) as repository_id").distinct()
+    parts = A.table(spark, d, "part").selectExpr("concat('ss', cast(floor(p_partkey / 3) as int)) as solution_snapshot_id", "concat('r', p_partkey % 50) as repository_id", "concat('sol', cast(floor(p_partkey / 9) as int)) as solution_id")
+    tables = {
+        "repository": snaps.selectExpr("repository_id as id").distinct(), "snapshot": snaps, "snapshot_event": docs.selectExpr("snapshot_id", "doc_id as event_seq"), "source_file": docs.select("id", "snapshot_id", "blob_id"), "chunk": docs.select("id", "snapshot_id"),
+        "blob": docs.selectExpr("blob_id as id").distinct(), "analysis_artifact": docs.select("blob_id").distinct(), "chunk_embedding": docs.selectExpr("id as chunk_id"), "logical_symbol": parts.select("repository_id"), "solution_snapshot_member": parts.select("solution_snapshot_id", "repository_id"),
+        "solution_snapshot": parts.selectExpr("solution_snapshot_id as id", "solution_id").distinct(), "solution_snapshot_event": parts.select("solution_snapshot_id").distinct(), "solution": parts.selectExpr("solution_id as id").distinct(),
+    }
+    seen = P.visible_tables(tables, durable(_readable(spark, d)), who)
+    return reduce(DataFrame.union, [df.agg(F.lit(name).alias("kind"), F.count("*").alias("n")) for name, df in seen.items()])
+
+
 def acl3_own_rows(spark, d):
     """Audit events of one user of one domain."""
     rows = A.table(spark, d, "events").select("event_id", F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("principal_id"), (F.col("event_id") % 2).cast("string").alias("security_domain_id"))
@@ -71,6 +90,36 @@ def acl4_manifest_violations(spark, d):
     return P.manifest_violations(people, read(spark, d, TEAMS), members, grants).groupBy("problem").agg(F.count("*").alias("n"))
 
 
+def _desired(spark, d):
+    """Every fifth principal is turned off and a tenth of the rest is new; some of those known before would move."""
+    people = read(spark, d, PEOPLE).drop("tokens_valid_after").withColumn("k", F.expr("cast(substring(id, 2) as int)"))
+    people = people.where("k % 3 = 0").withColumns({"id": F.expr("case when k % 10 = 1 then concat('new', id) else id end"), "subject": F.expr("case when k % 10 = 1 then concat('new ', subject) when k % 42 = 0 then concat(subject, '!') else subject end"), "status": F.expr("case when k % 5 = 0 then 'inactive' else status end")}).drop("k")
+    grants = read(spark, d, GRANTS).where("k % 3 = 0")
+    return {
+        "domains": read(spark, d, DOMAINS).withColumn("status", F.lit("active")), "principals": people, "teams": read(spark, d, TEAMS).where("id < 't2'").withColumn("status", F.lit("inactive")), "grants": grants.drop("given_at", "state", "k"),
+        "members": read(spark, d, MEMBERS).withColumn("active", F.expr("cast(substring(principal_id, 2) as int) % 2 = 0")), "sources": grants.selectExpr("case when k % 60 = 0 then concat('gone', id) else id end as repository_grant_id", "permission", "k % 2 = 0 as active"),
+    }
+
+
+def _applied(spark, d):
+    current = {"domains": read(spark, d, DOMAINS), "principals": read(spark, d, PEOPLE).drop("tokens_valid_after"), "teams": read(spark, d, TEAMS), "grants": read(spark, d, GRANTS).drop("given_at", "state", "k"), "members": read(spark, d, MEMBERS), "sources": read(spark, d, SOURCES)}
+    return P.applied_manifest(current, _desired(spark, d), _now())
+
+
+def acl5_manifest(spark, d):
+    """All tables after a manifest: rows and active ones by table; applied once more, nothing changes."""
+    after, _ = _applied(spark, d)
+    after = {k: durable(v) for k, v in after.items()}
+    again, _ = P.applied_manifest(after, _desired(spark, d), _now())
+    same = lambda k: again[k].select(*after[k].columns).exceptAll(after[k]).union(after[k].exceptAll(again[k].select(*after[k].columns)))
+    state = {"domains": "status = 'active'", "principals": "status = 'active'", "teams": "status = 'active'", "grants": "permission = 'admin'", "members": "true", "sources": "revoked_at is null"}
+    return reduce(DataFrame.union, [df.agg(F.lit(k).alias("kind"), F.count("*").alias("n"), F.count_if(F.expr(state[k])).alias("active")).join(same(k).agg(F.count("*").alias("changed_again"))) for k, df in after.items()])
+
+
+def acl4_moved(spark, d):
+    return _applied(spark, d)[1]
+
+
 def acl5_apply(spark, d):
     """Every third grant's manifest source turned off."""
     want = read(spark, d, GRANTS).selectExpr("id as repository_grant_id", "permission", "k % 3 <> 0 as active")
@@ -95,6 +144,28 @@ def acl6_collaborators(spark, d):
     return _collaborators(spark, d)
 
 
+def acl6_conflicts(spark, d):
+    """Customers listed again with the flags of the one before them."""
+    own = _collaborators(spark, d).where("permission is not null")
+    return P.collaborator_conflicts(own.union(own.select(F.col("user_id") + 1, "permission")))
+
+
+def src4_security(spark, d):
+    """Security manifests and collaborator snapshots written as JSON, one of each nation, and read back."""
+    path = scratch(spark, "security")
+    people = read(spark, d, PEOPLE).drop("tokens_valid_after").withColumn("principals", F.struct("id", "security_domain_id", "issuer", "subject", "status"))
+    files = people.groupBy("security_domain_id").agg(F.array_sort(F.collect_list("principals")).alias("principals"))
+    empty = {k: F.array().cast(f"array<struct<{M.SECURITY[k].replace(' ', ': ').replace(',: ', ', ')}>>").alias(k) for k in ("teams", "members", "grants")}
+    body = F.to_json(F.struct(F.struct(F.col("security_domain_id").alias("id"), F.lit("n").alias("name"), F.lit("active").alias("status")).alias("domain"), "principals", *empty.values()))
+    files.select("security_domain_id", body.alias("value")).write.partitionBy("security_domain_id").text(path + "/manifest")
+    got = M.read_security(spark, path + "/manifest/*/*.txt")
+    flags = read(spark, d, _FLAGS).withColumn("repository", F.concat(F.lit("r"), (F.col("user_id") % 9).cast("string")))
+    snaps = flags.groupBy("repository").agg(F.array_sort(F.collect_list(F.struct("user_id", "admin", "maintain", "push", "triage", "pull"))).alias("collaborators"))
+    snaps.select("repository", F.to_json(F.struct("repository", F.lit("2026-01-01T00:00:00Z").alias("captured_at"), "collaborators")).alias("value")).write.partitionBy("repository").text(path + "/people")
+    people = M.read_collaborators(spark, path + "/people/*/*.txt").withColumn("permission", P.collaborator_permission(*[F.col(c) for c in ("admin", "maintain", "push", "triage", "pull")]))
+    return got["principals"].select(F.lit("principal").alias("kind"), "id", F.col("status").alias("value")).union(got["domain"].select(F.lit("domain"), "id", "status")).union(people.select(F.lit("collaborator"), F.col("user_id").cast("string"), "permission"))
+
+
 def acl7_plan(spark, d):
     """One repository: direct grants of customers, collaborators by their flags, bindings for most."""
     grants = read(spark, d, "SELECT min(id) AS id, principal_id FROM ({grants}) g WHERE principal_id IS NOT NULL GROUP BY principal_id")
@@ -168,6 +239,21 @@ def snp5_solutions(spark, d):
     return N.member_violations(_members(spark, d), N.current_states(read(spark, d, _LOG)))
 
 
+def snp5_publish(spark, d):
+    """Solutions published, published again, published with other members, and with the first ones again."""
+    good = _members(spark, d).where("solution_id rlike '[13579]$'").withColumn("snapshot_id", F.concat(F.lit("s"), F.col("ordinal").cast("string")))
+    states = good.select("snapshot_id").distinct().withColumn("state", F.when(F.col("snapshot_id") == "s1", "superseded").otherwise("active"))
+    other = good.withColumn("role", F.concat("role", F.lit("x")))
+    known = spark.createDataFrame([], "id string, solution_id string, digest string")
+    log = spark.createDataFrame([], "event_seq long, snapshot_id string, state string")
+    for members in (good, good, other, good):
+        new, events, _ = N.published_solutions(members, states, known, log)
+        known, log = durable(known.union(new)), durable(log.union(events))
+    now = N.current_states(log).select(F.col("snapshot_id").alias("id"), "state")
+    steps = log.groupBy(F.col("snapshot_id").alias("id")).agg(F.count("*").alias("events"))
+    return known.join(now, "id").join(steps, "id").groupBy("solution_id", "state").agg(F.count("*").alias("snapshots"), F.sum("events").alias("events"))
+
+
 def prj13_scope(spark, d):
     one = _snapshots(spark, d, A.tree, "r1")
     log = one.select(F.lit(1).cast("long").alias("event_seq"), F.col("id").alias("snapshot_id"), F.when(F.col("file_count") % 2 == 0, "active").otherwise("validated").alias("state"))
@@ -176,30 +262,17 @@ def prj13_scope(spark, d):
 
 def prj14_solution_scope(spark, d):
     members = _members(spark, d).dropDuplicates(["solution_id", "repository"]).select("solution_id", "repository", F.lit("s").alias("snapshot_id"), F.lit(0).alias("ordinal"))
-    allowed = _readable(spark, d).where("repository_id in ('r1', 'r2', 'r3', 'r4')").select("principal_id", F.replace("repository_id", F.lit("r"), F.lit("repo")).alias("repository"))
+    allowed = _readable(spark, d).select("principal_id", F.replace("repository_id", F.lit("r"), F.lit("repo")).alias("repository"))
     return N.solution_scope(members, allowed).groupBy("principal_id", "partial_visibility").agg(F.count("*").alias("members"))
 
 
-def _counted(spark, d):
-    files = T.scan(A.tree(spark, d)).withColumn("snapshot_id", stable_id("snapshot", "repository", F.lit("r1")))
-    return N.snapshot_counters(files, A.chunks(spark, d))
-
-
-def agg2_counters(spark, d):
-    return _counted(spark, d)
-
-
-def agg3_violations(spark, d):
-    """Declared counts are wrong by one where the number of files is even."""
-    right = _counted(spark, d)
-    wrong = right.withColumn("chunk_count", F.when(F.col("file_count") % 2 == 0, F.col("chunk_count") + 1).otherwise(F.col("chunk_count")))
-    return N.count_violations(wrong, right)
-
-
 def agg4_summary(spark, d):
     snaps = _snapshots(spark, d, A.tree, "r1").union(_snapshots(spark, d, A.changed_tree, "r2"))
     log = snaps.select(F.lit(1).cast("long").alias("event_seq"), F.col("id").alias("snapshot_id"), F.when(F.col("revision") == "r2", "active").otherwise("superseded").alias("state"))
-    return N.summary(snaps, log)
+    members = _members(spark, d).where("solution_id rlike '[13579]$'")
+    solutions = N.solution_ids(members)
+    published = solutions.select(F.lit(1).cast("long").alias("event_seq"), F.col("id").alias("snapshot_id"), F.when(F.endswith("solution_id", F.lit("1")), "superseded").otherwise("active").alias("state"))
+    return N.summary(snaps, log, solutions, published)
 
 
 def cch1_cache(spark, d):
@@ -209,12 +282,6 @@ def cch1_cache(spark, d):
     return hits.select("artifact_id", F.lit(True).alias("hit")).union(misses.select("artifact_id", F.lit(False)))
 
 
-def cch2_artifacts(spark, d):
-    """Chunks packed by blob and taken out again."""
-    chunks = A.chunks(spark, d).groupBy(F.col("blob_id").alias("artifact_id"), "ordinal", "kind", "start_line", "end_line", "symbol", "content").agg(F.count("*").alias("n")).drop("n")
-    return N.artifact_chunks(N.artifacts(chunks)).select("artifact_id", "ordinal", "start_line", F.sha2("content", 256).alias("content_hash"))
-
-
 def snk2_export(spark, d):
     files = T.scan(A.tree(spark, d)).withColumn("snapshot_id", stable_id("snapshot", "repository", F.lit("r1")))
     bad = N.export_violations(files.withColumn("content", F.when(F.col("size_bytes") % 10 == 0, F.concat("content", F.lit("x").cast("binary"))).otherwise(F.col("content")))).groupBy("snapshot_id").agg(F.count("*").alias("bad"))
@@ -234,8 +301,8 @@ def jon14_allowed(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    jon14_allowed, acl1_readable, acl2_visible_rows, acl3_own_rows, acl4_manifest_violations, acl5_apply, acl5_members, acl6_collaborators, acl7_plan, acl8_tokens, acl9_legacy, agg8_grants, snp1_identity, snp2_states, snp2_activation, snp3_order, snp4_changes,
-    snp5_solutions, prj13_scope, prj14_solution_scope, agg2_counters, agg3_violations, agg4_summary, cch1_cache, cch2_artifacts, snk2_export, set3_differences,
+    jon14_allowed, acl1_readable, acl2_visible_rows, acl2_tables, acl4_moved, acl5_manifest, acl6_conflicts, src4_security, snp5_publish, acl3_own_rows, acl4_manifest_violations, acl5_apply, acl5_members, acl6_collaborators, acl7_plan, acl8_tokens, acl9_legacy, agg8_grants, snp1_identity, snp2_states, snp2_activation, snp3_order, snp4_changes,
+    snp5_solutions, prj13_scope, prj14_solution_scope, agg4_summary, cch1_cache, snk2_export, set3_differences,
 )}
 
 _N = f"TIMESTAMP '{NOW}'"
@@ -252,13 +319,25 @@ _SNAPS = f"""{FILES}, {_NEXT}, m1 AS (SELECT repository, {_MAN} AS digest, count
     one AS (SELECT repository, n, {stable('snapshot', 'repository', "'r1'", 'digest', f"'{PROFILE}'")} AS id FROM m1), two AS (SELECT repository, n, {stable('snapshot', 'repository', "'r2'", 'digest', f"'{PROFILE}'")} AS id FROM m2)"""
 _FLAG = "CASE WHEN admin THEN 'admin' WHEN push OR maintain THEN 'write' WHEN pull OR triage THEN 'read' END"
 _MEM = f"mem AS ({MEMBER_ROWS.format(part='part')})"
-_COUNTED = f"""{CHUNKS}, fc AS (SELECT snapshot_id, count(*)::BIGINT AS file_count, count(DISTINCT text)::BIGINT AS blob_count, sum(strlen(text))::BIGINT AS byte_count FROM (SELECT *, {stable('snapshot', 'repository', "'r1'")} AS snapshot_id FROM files) x GROUP BY 1),
-    cc AS (SELECT snapshot_id, count(*)::BIGINT AS chunk_count FROM chunks GROUP BY 1), counted_all AS (SELECT fc.*, coalesce(chunk_count, 0)::BIGINT AS chunk_count, 0::BIGINT AS structured_chunk_count, coalesce(chunk_count, 0)::BIGINT AS fallback_chunk_count FROM fc LEFT JOIN cc USING (snapshot_id))"""
-
 ORACLES = {
     "jon14_allowed": f"WITH {_ACL} SELECT DISTINCT repository_id, repository_id IN (SELECT repository_id FROM may WHERE principal_id < 'p2') AS allowed FROM grants",
     "acl1_readable": f"WITH {_ACL} SELECT * FROM may",
     "acl2_visible_rows": f"WITH {_ACL}, who AS (SELECT 'p' || min(c_custkey) AS id FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 3 <> 1) SELECT doc_id FROM documents WHERE 'r' || (doc_id % 80 % 40) IN (SELECT repository_id FROM may WHERE principal_id = (SELECT id FROM who))",
+    "acl2_tables": f"""WITH {_ACL}, who AS (SELECT 'p' || min(c_custkey) AS id FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 3 <> 1), own AS (SELECT repository_id AS r FROM may WHERE principal_id = (SELECT id FROM who)),
+        doc AS (SELECT doc_id, doc_id % 80 AS s, sha256(text) AS b FROM documents WHERE 'r' || (doc_id % 80 % 40) IN (SELECT r FROM own)), pt AS (SELECT floor(p_partkey / 3)::INTEGER AS ss, floor(p_partkey / 9)::INTEGER AS sol FROM part WHERE 'r' || (p_partkey % 50) IN (SELECT r FROM own)),
+        ss AS (SELECT DISTINCT ss, floor(ss * 3 / 9)::INTEGER AS sol FROM pt)
+        SELECT 'repository' AS kind, count(DISTINCT s % 40) AS n FROM doc UNION ALL SELECT 'snapshot', count(DISTINCT s) FROM doc UNION ALL SELECT unnest(['snapshot_event', 'source_file', 'chunk', 'chunk_embedding']), count(*) FROM doc UNION ALL SELECT unnest(['blob', 'analysis_artifact']), count(DISTINCT b) FROM doc
+        UNION ALL SELECT unnest(['logical_symbol', 'solution_snapshot_member']), count(*) FROM pt UNION ALL SELECT unnest(['solution_snapshot', 'solution_snapshot_event']), count(DISTINCT ss) FROM pt UNION ALL SELECT 'solution', count(DISTINCT sol) FROM pt""",
+    "acl4_moved": f"""WITH {_ACL}, k AS (SELECT substr(id, 2)::INTEGER AS k FROM people) SELECT 'moved_identity' AS problem, 'p' || k AS key FROM k WHERE k % 3 = 0 AND k % 10 <> 1 AND k % 42 = 0 UNION ALL SELECT 'unknown_grant', 'gone' || id FROM grants WHERE k % 3 = 0 AND k % 60 = 0""",
+    "acl5_manifest": f"""WITH {_ACL}, pk AS (SELECT *, substr(id, 2)::INTEGER AS k FROM people), pa AS (SELECT id, CASE WHEN k % 3 = 0 AND k % 10 <> 1 AND k % 5 = 0 THEN 'inactive' ELSE status END AS status FROM pk UNION ALL SELECT 'new' || id, CASE WHEN k % 5 = 0 THEN 'inactive' ELSE status END FROM pk WHERE k % 3 = 0 AND k % 10 = 1),
+        want AS (SELECT CASE WHEN k % 60 = 0 THEN 'gone' || id ELSE id END AS g, k % 2 = 0 AS active FROM grants WHERE k % 3 = 0),
+        src AS (SELECT w.active AS live FROM want w UNION ALL SELECT revoked_at IS NULL FROM sources s WHERE NOT (source_kind = 'manifest' AND repository_grant_id IN (SELECT g FROM want)))
+        SELECT 'domains' AS kind, count(*) AS n, count(*) AS active, 0 AS changed_again FROM domains UNION ALL SELECT 'principals', count(*), count_if(status = 'active'), 0 FROM pa UNION ALL SELECT 'teams', count(*), count_if(status = 'active' AND NOT id < 't2'), 0 FROM teams
+        UNION ALL SELECT 'grants', count(*), count_if(permission = 'admin'), 0 FROM grants UNION ALL SELECT 'members', count_if(substr(principal_id, 2)::INTEGER % 2 = 0), count_if(substr(principal_id, 2)::INTEGER % 2 = 0), 0 FROM members UNION ALL SELECT 'sources', count(*), count_if(live), 0 FROM src""",
+    "acl6_conflicts": f"WITH c AS (SELECT user_id, {_FLAG} AS permission FROM ({duck(_FLAGS)}) f WHERE {_FLAG} IS NOT NULL), a AS (SELECT * FROM c UNION ALL SELECT user_id + 1, permission FROM c) SELECT user_id, count(DISTINCT permission)::BIGINT AS permissions FROM a GROUP BY 1 HAVING count(DISTINCT permission) > 1",
+    "src4_security": f"WITH {_ACL} SELECT 'principal' AS kind, id, status AS value FROM people UNION ALL SELECT DISTINCT 'domain', security_domain_id, 'active' FROM people UNION ALL SELECT 'collaborator', user_id::VARCHAR, {_FLAG} FROM ({duck(_FLAGS)}) f",
+    "snp5_publish": f"""WITH {_MEM}, g AS (SELECT DISTINCT solution_id FROM mem WHERE regexp_matches(solution_id, '[13579]$') AND solution_id IN (SELECT solution_id FROM mem GROUP BY 1 HAVING count(*) BETWEEN 2 AND 32 AND count(DISTINCT repository) = count(*) AND count(DISTINCT ordinal) = count(*)))
+        SELECT solution_id, 'active' AS state, 1 AS snapshots, 5 AS events FROM g UNION ALL SELECT solution_id, 'superseded', 1, 4 FROM g""",
     "acl3_own_rows": "SELECT event_id FROM events WHERE user_id = 7 AND event_id % 2 = 1",
     "acl4_manifest_violations": f"""WITH {_ACL}, pp AS (SELECT id, security_domain_id, issuer, subject FROM people UNION ALL SELECT id, security_domain_id, issuer, subject FROM people WHERE substr(id, 2)::INTEGER % 50 = 0),
         gg AS (SELECT id, CASE WHEN k % 97 = 0 THEN 'nowhere' ELSE security_domain_id END AS dom, CASE WHEN k % 101 = 0 THEN NULL ELSE principal_id END AS pid, team_id, k FROM grants),
@@ -290,13 +369,10 @@ ORACLES = {
         SELECT solution_id, 'member_count' AS problem FROM z WHERE n NOT BETWEEN 2 AND 32 UNION SELECT solution_id, 'duplicate_repository' FROM z WHERE r < n UNION SELECT solution_id, 'unusable_snapshot' FROM mem WHERE snapshot_id NOT IN (SELECT snapshot_id FROM st WHERE state IN ('active', 'superseded'))""",
     "prj13_scope": f"WITH {_SNAPS} SELECT repository, id, 'active' AS state FROM one WHERE n % 2 = 0",
     "prj14_solution_scope": f"""WITH {_ACL}, {_MEM}, u AS (SELECT DISTINCT solution_id, repository FROM mem), n AS (SELECT solution_id, count(*) AS n FROM u GROUP BY 1),
-        s AS (SELECT principal_id, solution_id, count(*) AS seen FROM u JOIN may ON repository = replace(repository_id, 'r', 'repo') WHERE repository_id IN ('r1', 'r2', 'r3', 'r4') GROUP BY ALL)
+        s AS (SELECT principal_id, solution_id, count(*) AS seen FROM u JOIN may ON repository = replace(repository_id, 'r', 'repo') GROUP BY ALL)
         SELECT principal_id, seen < n AS partial_visibility, sum(seen)::BIGINT AS members FROM s JOIN n USING (solution_id) GROUP BY ALL""",
-    "agg2_counters": f"WITH {_COUNTED} SELECT * FROM counted_all",
-    "agg3_violations": f"WITH {_COUNTED} SELECT snapshot_id, 'chunk_count' AS counter, chunk_count + 1 AS declared, chunk_count AS counted FROM counted_all WHERE file_count % 2 = 0",
-    "agg4_summary": f"WITH {_SNAPS} SELECT (SELECT count(*) FROM one)::BIGINT AS repositories, ((SELECT count(*) FROM one) + (SELECT count(*) FROM two))::BIGINT AS snapshots, (SELECT count(*) FROM two)::BIGINT AS active_snapshots",
+    "agg4_summary": f"WITH {_SNAPS}, {_MEM} SELECT (SELECT count(*) FROM one)::BIGINT AS repositories, ((SELECT count(*) FROM one) + (SELECT count(*) FROM two))::BIGINT AS snapshots, (SELECT count(*) FROM two)::BIGINT AS active_snapshots, (SELECT count(DISTINCT solution_id) FROM mem WHERE regexp_matches(solution_id, '[13579]$'))::BIGINT AS solutions, (SELECT count(DISTINCT solution_id) FROM mem WHERE regexp_matches(solution_id, '[13579]$'))::BIGINT AS solution_snapshots, (SELECT count(DISTINCT solution_id) FROM mem WHERE regexp_matches(solution_id, '[3579]$'))::BIGINT AS active_solution_snapshots",
     "cch1_cache": f"WITH {FILES}, {_NEXT}, o AS (SELECT DISTINCT sha256(text) AS b FROM files), n AS (SELECT DISTINCT sha256(text) AS b FROM next) SELECT {stable('analysis', 'b', chr(39) + 'text' + chr(39), chr(39) + PROFILE + chr(39))} AS artifact_id, b IN (SELECT b FROM o) AS hit FROM n",
-    "cch2_artifacts": f"WITH {CHUNKS} SELECT DISTINCT blob_id AS artifact_id, ordinal, start_line, content_hash FROM chunks",
     "snk2_export": f"WITH {FILES} SELECT {stable('snapshot', 'repository', chr(39) + 'r1' + chr(39))} AS snapshot_id, count(*)::BIGINT AS file_count, sum(strlen(text))::BIGINT AS byte_count, sha256(string_agg(path || chr(0) || sha256(text) || chr(10), '' ORDER BY path)) AS export_digest, count_if(strlen(text) % 10 = 0)::BIGINT AS bad FROM files GROUP BY repository",
     "set3_differences": f"WITH {FILES} SELECT repository, path, 'removed' AS side FROM files WHERE doc_id % 10 = 3",
 }

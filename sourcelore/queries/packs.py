@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sourcelore import adapters as A
-from sourcelore.functions.ids import citation, stable_id
-from sourcelore.functions.text import decoded, lines
+from sourcelore.functions.ids import citation
+from sourcelore.functions.text import lines
 from sourcelore.operators import fusion as U
 from sourcelore.operators import search as S
 from sourcelore.plans import evaluate as V
 from sourcelore.plans import pack as G
 from sourcelore.plans import snapshots as N
-from sourcelore.queries import code
+from sourcelore.queries import code, searching
 from sourcelore.queries.base import CHUNKS, FILES, stable
-from sourcelore.queries.searching import BM25, CUT, fixed_queries, files
+from sourcelore.queries.searching import BM25, CUT, WORDS, fixed_queries, files
 from sourcelore.sources import manifests as M
 from sourcelore.sources import tree as T
 from sourcelore.storage import durable, scratch
@@ -211,29 +209,43 @@ def str1_audit_stream(spark, d):
     return spark.read.parquet(out).select("id", "outcome")
 
 
-def str2_source_stream(spark, d):
-    """Two versions of the tree as files that arrive, read by the stream; then all again, which adds nothing."""
-    source, out = _scratch(spark, "files-in"), _scratch(spark, "stream-chunks")
-    for make in (A.tree, A.changed_tree):
-        make(spark, d).write.mode("append").parquet(source)
-    for _ in range(2):
-        rows = spark.readStream.schema("repository string, path string, content binary").option("maxFilesPerTrigger", 4).parquet(source)
-        J.stream_sources(rows, out, out + f"-log-{uuid.uuid4().hex}", "profile-1", A.CHUNK_LINES, A.CHUNK_OVERLAP).awaitTermination()
-    return spark.read.parquet(out).select("blob_id", "ordinal", "start_line", "end_line")
-
-
 QUERIES = {f.__name__: f for f in (
     src2_questions, src3_scope, src4_members, pck1_evidence, pck2_symbols, jon13_links, pck3_coverage, pck4_packs, evl1_files, evl2_ranges, evl3_compare, evl4_ablation, evl5_routing, evl6_annotations, snp6_report, set4_found, snk1_publish,
-    snk3_audit, str1_audit_stream, str2_source_stream,
+    snk3_audit, str1_audit_stream,
 )}
 
 _ANN = r"""ann AS (SELECT question_id, path, (length(before) - length(replace(before, chr(10), '')) + 1)::INTEGER AS start_line, (length(before) - length(replace(before, chr(10), '')) + length(passage) - length(replace(passage, chr(10), '')) + 1)::INTEGER AS end_line, source
     FROM (SELECT item_id AS question_id, b.text AS passage, lang || '/' || doc_id || '.txt' AS path, source, left(d.text, position(b.text IN d.text) - 1) AS before FROM documents d JOIN benchmark b ON contains(d.text, b.text)) x)"""
 _HITS = f"{BM25}, {CUT}, hits AS (SELECT t.query_id, t.rank, c.* FROM top t JOIN chunks c USING (chunk_id)), {_ANN}"
-_RUN = """ranked AS (SELECT *, sum(length(content)) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM hits)"""
 _AUD = f"aud AS (SELECT {stable('audit', chr(39) + 'd1' + chr(39), 'user_id::VARCHAR', 'event_id::VARCHAR', 'event_type')} AS id, CASE WHEN event_id % 3 = 0 THEN 'denied' ELSE 'success' END AS outcome, event_id FROM events WHERE event_id % 20 <> 19)"
 _RANGES = "rr AS (SELECT a.question_id, a.path, a.start_line, a.end_line, min(h.rank) FILTER (WHERE a.start_line <= h.end_line AND h.start_line <= a.end_line) AS rank FROM ann a LEFT JOIN hits h ON h.query_id = a.question_id AND h.path = a.path GROUP BY ALL), rq AS (SELECT question_id, count(*) AS n, count(rank) AS f, coalesce(1.0::DOUBLE / min(rank), 0) AS rr FROM rr GROUP BY 1)"
+_WALK = f"""{_HITS}, walk AS (SELECT DISTINCT query_id, 0::BIGINT AS rank, NULL::VARCHAR AS chunk_id, NULL::VARCHAR AS disposition, NULL::VARCHAR AS kept, false AS content_truncated, 0 AS items, 0::BIGINT AS used FROM hits
+        UNION ALL SELECT query_id, rank, chunk_id, disposition, kept, kept IS NOT NULL AND NOT fits, items + (kept IS NOT NULL)::INTEGER, used + coalesce(length(kept), 0)
+        FROM (SELECT *, CASE WHEN disposition = 'selected' THEN CASE WHEN fits THEN content ELSE regexp_replace(left(content, greatest(1, 2799 - used)::BIGINT), '\\s+$', '') || '…' END END AS kept
+            FROM (SELECT w.query_id, h.rank, h.chunk_id, h.content, w.items, w.used, length(h.content) <= 2800 - w.used AS fits, CASE WHEN w.items >= 6 THEN 'item_budget' WHEN 2800 - w.used < 64 THEN 'token_budget' ELSE 'selected' END AS disposition FROM walk w JOIN hits h ON h.query_id = w.query_id AND h.rank = w.rank + 1) x) y),
+    totals AS (SELECT query_id, count_if(disposition = 'selected') AS items, sum(coalesce(length(kept), 0))::BIGINT AS chars, count_if(disposition <> 'selected') AS omitted, string_agg(chunk_id, ',' ORDER BY rank) FILTER (WHERE disposition = 'selected') AS picked FROM walk WHERE rank > 0 GROUP BY 1)"""
+_CITE = "snapshot_id || '@r1:' || path || ':' || start_line || '-' || end_line"
+_CONTEXTS = lambda symbols, occurrences, relations: f"""{code.C}, oc AS (SELECT name, snapshot_id, {_CITE} AS citation, role, row_number() OVER (PARTITION BY name, snapshot_id ORDER BY {_CITE}, role) AS n FROM defs),
+    rl AS (SELECT *, row_number() OVER (PARTITION BY name, snapshot_id ORDER BY citation, target_text) AS n FROM (SELECT DISTINCT source_name AS name, snapshot_id, {_CITE} AS citation, target_text FROM calls) x),
+    oo AS (SELECT name, snapshot_id, least(count(*), {occurrences})::INTEGER AS occurrences, count(*) > {occurrences} AS more FROM oc GROUP BY ALL), rr AS (SELECT name, snapshot_id, least(count(*), {relations})::INTEGER AS relations, count(*) > {relations} AS more FROM rl GROUP BY ALL),
+    ctx AS (SELECT query_id, name, snapshot_id, coalesce(occurrences, 0) AS occurrences, coalesce(relations, 0) AS relations, coalesce(o.more, false) OR coalesce(r.more, false) AS truncated FROM names JOIN (oo o FULL JOIN rr r USING (name, snapshot_id)) USING (name) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY name_order, snapshot_id) <= {symbols})"""
+_MEASURES = f"""WITH {_ANN}, word AS ({searching.ORACLES['lex1_bm25']}), plain AS ({searching.ORACLES['lex2_term_frequency']}), res AS (SELECT 'word' AS retriever, * FROM word UNION ALL SELECT 'plain', * FROM plain), both_ AS (SELECT unnest(['word', 'plain']) AS retriever),
+    fr AS (SELECT b.retriever, w.question_id, w.path, (SELECT min(h.rank) FROM res h WHERE h.retriever = b.retriever AND h.query_id = w.question_id AND h.path = w.path) AS rank FROM (SELECT DISTINCT question_id, path FROM ann) w, both_ b),
+    rg AS (SELECT b.retriever, w.question_id, (SELECT min(h.rank) FROM res h WHERE h.retriever = b.retriever AND h.query_id = w.question_id AND h.path = w.path AND w.start_line <= h.end_line AND h.start_line <= w.end_line) AS rank FROM (SELECT DISTINCT question_id, path, start_line, end_line FROM ann) w, both_ b),
+    q AS (SELECT 'file' AS what, retriever, question_id, count(*) AS n, count(rank) AS f, coalesce(1.0::DOUBLE / min(rank), 0) AS rr FROM fr GROUP BY ALL UNION ALL SELECT 'range', retriever, question_id, count(*), count(rank), coalesce(1.0::DOUBLE / min(rank), 0) FROM rg GROUP BY ALL),
+    m AS (SELECT what || '_recall' AS metric, retriever, sum(f)::DOUBLE / sum(n) AS v FROM q GROUP BY ALL UNION ALL SELECT what || '_mrr', retriever, avg(rr) FROM q GROUP BY what, retriever), p AS (SELECT metric, max(v) FILTER (WHERE retriever = 'plain') AS base, max(v) FILTER (WHERE retriever = 'word') AS other FROM m GROUP BY 1)"""
 ORACLES = {
+    "set4_found": f"WITH {_ANN}, base AS ({searching.ORACLES['lex4_fixed_strings']}) SELECT DISTINCT question_id, a.path FROM ann a JOIN base b ON b.query_id = a.question_id AND b.path = a.path",
+    "evl3_compare": f"{_MEASURES} SELECT metric, round(base, 9) AS base, round(other, 9) AS other, round(other - base, 9) AS delta FROM p",
+    "pck1_evidence": f"WITH RECURSIVE {_WALK} SELECT query_id, rank::INTEGER AS rank, chunk_id, disposition, length(kept)::INTEGER AS kept_chars, content_truncated FROM walk WHERE rank > 0",
+    "pck3_coverage": f"WITH RECURSIVE {_WALK}, a AS (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -item_id - 1 FROM benchmark) SELECT query_id, CASE WHEN coalesce(items, 0) > 0 THEN 'available_unassessed' ELSE 'none' END AS evidence_status, (1 + coalesce((omitted > 0)::INTEGER, 0))::INTEGER AS gaps, (query_id % 3 = 0)::INTEGER AS warnings FROM a LEFT JOIN totals USING (query_id)",
+    "pck4_packs": f"""WITH RECURSIVE {_WALK}, a AS (SELECT item_id AS query_id, array_to_string({WORDS.format('text')}, ' ') AS query FROM benchmark)
+        SELECT query_id, 'pack_' || substr(sha256('{{"chars":"' || coalesce(chars::VARCHAR, '') || '","evidence":"' || coalesce(picked, '') || '","omitted":"' || coalesce(omitted::VARCHAR, '') || '","query":"' || query || '"}}'), 1, 24) AS id, items::INTEGER AS items FROM a LEFT JOIN totals USING (query_id)""",
+    "pck2_symbols": f"WITH {_CONTEXTS(6, 4, 8)} SELECT query_id, name, snapshot_id, occurrences, relations, truncated FROM ctx",
+    "jon13_links": f"""WITH {_CONTEXTS(50, 4, 200)}, s AS (SELECT query_id, c.snapshot_id, citation, target_text FROM ctx c JOIN rl r ON r.name = c.name AND r.snapshot_id = c.snapshot_id AND r.n <= 200),
+        t AS (SELECT query_id, c.name, c.snapshot_id, arg_min(citation, n) AS citation FROM ctx c JOIN oc o ON o.name = c.name AND o.snapshot_id = c.snapshot_id AND o.n <= 4 WHERE role = 'definition' GROUP BY ALL),
+        l AS (SELECT DISTINCT s.query_id, t.name AS symbol, s.snapshot_id AS a, s.citation AS source_citation, t.snapshot_id AS b, t.citation AS target_citation FROM s JOIN t ON s.query_id = t.query_id AND s.target_text = t.name AND s.snapshot_id <> t.snapshot_id)
+        SELECT query_id, symbol, source_citation, target_citation FROM l QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY symbol, a, source_citation, b, target_citation) <= 50""",
     "src2_questions": "WITH u AS (SELECT conv_id FROM conversations) SELECT CASE WHEN conv_id % 7 = 0 THEN 'not_json' WHEN conv_id % 11 = 0 THEN 'missing_field' WHEN conv_id % 5 = 0 THEN 'no_query_terms' ELSE 'accepted' END AS outcome, count(*)::BIGINT AS n FROM u GROUP BY 1",
     "src3_scope": f"WITH {FILES} SELECT repository, path FROM files WHERE lang <> 'de' AND NOT contains(path, '/1') AND strlen(text) <= 3000",
     "src4_members": "WITH m AS (SELECT 'sol' || s_nationkey AS solution_id, 'r' || s_suppkey AS repository, 'role' || s_suppkey AS role FROM supplier), g AS (SELECT solution_id, sha256('{\"members\":[' || string_agg('{\"repository\":\"' || repository || '\",\"role\":\"' || role || '\",\"snapshot_id\":\"s1\"}', ',' ORDER BY repository) || '],\"solution\":\"' || solution_id || '\"}') AS manifest_digest FROM m GROUP BY 1) SELECT m.solution_id, repository, (row_number() OVER (PARTITION BY m.solution_id ORDER BY repository) - 1)::INTEGER AS ordinal, manifest_digest FROM m JOIN g USING (solution_id)",
@@ -245,7 +257,4 @@ ORACLES = {
     "snk1_publish": f"WITH {CHUNKS}, b AS (SELECT sha256(text) AS id FROM documents UNION SELECT sha256(CASE WHEN doc_id % 10 = 7 THEN text || chr(10) || 'one more line' ELSE text END) FROM documents WHERE doc_id % 10 <> 3), again AS (SELECT DISTINCT snapshot_id FROM chunks WHERE chunk_id < 'chunk_8') SELECT 'blob' AS kind, id FROM b UNION ALL SELECT 'chunk', chunk_id FROM chunks WHERE chunk_id < 'chunk_8' OR snapshot_id NOT IN (SELECT snapshot_id FROM again)",
     "snk3_audit": f"WITH {_AUD} SELECT DISTINCT id, outcome FROM aud WHERE event_id % 4 <> 0",
     "str1_audit_stream": f"WITH {_AUD} SELECT DISTINCT id, outcome FROM aud",
-    "str2_source_stream": f"""WITH t AS (SELECT DISTINCT text FROM (SELECT text FROM documents UNION ALL SELECT CASE WHEN doc_id % 10 = 7 THEN text || chr(10) || 'one more line' ELSE text END FROM documents WHERE doc_id % 10 <> 3) x), n AS (SELECT sha256(text) AS blob_id, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - (CASE WHEN right(text, 1) = chr(10) THEN 1 ELSE 0 END) END)::INTEGER AS n FROM t),
-        w AS (SELECT blob_id, n, unnest(generate_series(0, greatest(0, n - {A.CHUNK_OVERLAP} - 1), {A.CHUNK_LINES - A.CHUNK_OVERLAP})) AS s FROM n WHERE n > 0) SELECT blob_id, (s // {A.CHUNK_LINES - A.CHUNK_OVERLAP})::INTEGER AS ordinal, (s + 1)::INTEGER AS start_line, least(s + {A.CHUNK_LINES}, n)::INTEGER AS end_line FROM w""",
 }
-assert decoded and stable_id and _RUN

@@ -218,10 +218,10 @@ def test_grant_sources_live_and_die(spark):
 
 def test_snapshot_artifacts_of_another_version_fail(spark):
     chunks = spark.createDataFrame([("a", 0, "k", 1, 2, None, "x")], "artifact_id string, ordinal int, kind string, start_line int, end_line int, symbol string, content string")
-    packed = N.artifacts(chunks)
-    assert N.artifact_chunks(packed).count() == 1
+    packed = N.artifacts({"chunks": chunks})
+    assert N.artifact_rows(packed).count() == 1
     with pytest.raises(Exception, match="artifact version"):
-        N.artifact_chunks(packed.withColumn("version", F.lit(9))).collect()
+        N.artifact_rows(packed.withColumn("version", F.lit(9))).collect()
 
 
 def test_bm25_statistics_cover_all_chunks_but_hits_the_scope(spark):
