@@ -79,17 +79,17 @@ def _delete(path: str) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def tiles(rows: DataFrame, keys: list[str], most_build: int = 2048, most_probe: int = 8192) -> DataFrame:
+def tiles(rows: DataFrame, keys: list[str], most_build: int = 2048, most_probe: int = 8192, sizes: DataFrame | None = None) -> DataFrame:
     """Deal the rows of every key group out to tiles of bounded size, as columns ``i, j``.
 
     ``rows`` has ``role`` (0: build, 1: probe) and ``c`` (an id) besides the keys. Every pair of a build and a probe of a
     group meets in exactly one tile. Groups within the bounds are one tile; in others each build goes to one row of
-    tiles and each probe to one column, by a hash of its id.
+    tiles and each probe to one column, by a hash of its id. ``sizes(*keys, role, n)`` spares reading the rows twice.
     """
-    large = rows.groupBy(*keys).agg(
-        F.ceil(F.count_if(F.col("role") == 0) / most_build).cast("int").alias("ni"), F.ceil(F.count_if(F.col("role") == 1) / most_probe).cast("int").alias("nj")
-    ).where("ni > 1 or nj > 1")
-    large = large.select(*keys, F.greatest("ni", F.lit(1)).alias("ni"), F.greatest("nj", F.lit(1)).alias("nj"))
+    sizes = rows.groupBy(*keys, "role").agg(F.count("*").alias("n")) if sizes is None else sizes
+    parts = lambda role, most: F.ceil(F.max(F.when(F.col("role") == role, F.col("n"))) / most).cast("int")
+    large = sizes.groupBy(*keys).agg(parts(0, most_build).alias("ni"), parts(1, most_probe).alias("nj")).where("ni > 1 or nj > 1")
+    large = large.select(*keys, F.coalesce("ni", F.lit(1)).alias("ni"), F.coalesce("nj", F.lit(1)).alias("nj"))
     own = lambda n: F.array(F.pmod(F.xxhash64("c"), F.coalesce(F.col(n), F.lit(1))).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1)
     dealt = rows.join(large, keys, "left").withColumn("i", F.explode(F.when(F.col("role") == 0, own("ni")).otherwise(every("ni"))))

@@ -5,16 +5,21 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import cache
-from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from sourcelore.llm.common import components, local_components, stored, tiles
 
 
+def vector_type(table: DataFrame, vec_col: str) -> str:
+    """Single precision for vectors that have it, else double: it halves what is shuffled."""
+    return "array<float>" if isinstance(table.schema[vec_col].dataType.elementType, FloatType) else "array<double>"
+
+
 def usable(v: Column) -> Column:
     """Not null, not empty, all components finite and not null, not all zero."""
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
@@ -44,98 +49,149 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * (a @ b.T)
 
 
-def _links(builds: np.ndarray, probes: np.ndarray, block: int, limit: float, min_cosine: float, blocks: int) -> np.ndarray:
-    """Mask of (probe, build) at or over the cosine whose first block within its budget is this one."""
-    d = builds.shape[1]
-    norm = lambda x: np.sqrt((x**2).sum(1))
-    nb, np_ = norm(builds), norm(probes)
-    ub, up = builds / nb[:, None], probes / np_[:, None]
-    turn = rotation(d)
-    rb, rp = ub @ turn, up @ turn
-    part = spans(d, blocks)
-    s, e = part[block]
-    found = _squares(rp[:, s:e], rb[:, s:e]) <= limit * (e - s) / d
-    rows = np.flatnonzero(found.any(1))
-    if not len(rows):
-        return found
-    own = found[rows]
-    for s, e in part[:block]:
-        own &= _squares(rp[rows, s:e], rb[:, s:e]) > limit * (e - s) / d
-    cosine = up[rows] @ ub.T
-    own &= cosine >= min_cosine - 1e-9
-    for i, j in zip(*np.nonzero(own & (cosine < min_cosine + 1e-9))):  # too close to the bound for a product of matrices
-        own[i, j] = (probes[rows[i]] * builds[j]).sum() / (np_[rows[i]] * nb[j]) >= min_cosine
-    found[:] = False
-    found[rows] = own
-    return found
-
-
-def near_duplicates(table: DataFrame, min_cosine: float = 0.98, blocks: int = 4, grid_dims: int = 2, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+#: Cells are fitted on at most so many vectors, those with the smallest hash; every vector is joined.
+MOST_FITTED = 16_000
+#: A cell for so many vectors, and at most so many cells a block: this bounds what is broadcast.
+PER_CELL, MOST_CELLS = 1_024, 1_024
+#: So many neighbouring cells are joined by one task.
+CELLS_A_SHARD = 8
+
+
+def cells(x: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's cell (that of its nearest centroid), and a mask of the cells that may hold vectors within ``reach``.
+
+    What is nearer to centroid j than to i lies beyond their bisector; a vector that lies further than ``reach`` on i's side
+    has no such neighbour. The bisectors with the six nearest centroids are tried.
+    """
+    far = _squares(x, centroids)
+    near = np.argsort(far, axis=1, kind="stable")[:, :6]
+    apart = 2 * np.sqrt(np.maximum(_squares(centroids, centroids), 1e-24))
+    open_ = np.ones(far.shape, bool)
+    for i in near.T:
+        open_ &= (far - np.take_along_axis(far, i[:, None], 1)) / apart[i] <= reach + 1e-9
+    return near[:, 0], open_
+
+
+class Verifier:
+    """Pairs of builds and probes whose first block within its budget is this one, and whose cosine is at or over the bound."""
+
+    def __init__(self, builds: np.ndarray, probes: np.ndarray, block: int, limit: float, min_cosine: float, blocks: int) -> None:
+        self.d = builds.shape[1]
+        self.raw, self.block, self.limit, self.min_cosine = (probes, builds), block, limit, min_cosine
+        self.norm = [np.sqrt((x**2).sum(1)) for x in self.raw]
+        self.unit = [x / n[:, None] for x, n in zip(self.raw, self.norm)]
+        self.turned = [x @ rotation(self.d) for x in self.unit]
+        self.parts = spans(self.d, blocks)
+
+    def near(self, p: np.ndarray, b: np.ndarray, block: int) -> np.ndarray:
+        s, e = self.parts[block]
+        return _squares(self.turned[0][p, s:e], self.turned[1][b, s:e]) <= self.limit * (e - s) / self.d
+
+    def links(self, p: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The linked ones among the given probes and builds, as indexes."""
+        i, j = np.nonzero(self.near(p, b, self.block))
+        i, j = p[i], b[j]
+        for s, e in self.parts[: self.block]:
+            first = ((self.turned[0][i, s:e] - self.turned[1][j, s:e]) ** 2).sum(1) > self.limit * (e - s) / self.d
+            i, j = i[first], j[first]
+        product = (self.raw[0][i] * self.raw[1][j]).sum(1)
+        linked = product / (self.norm[0][i] * self.norm[1][j]) >= self.min_cosine
+        return i[linked], j[linked]
+
+
+def near_duplicates(table: DataFrame, min_cosine: float = 0.98, blocks: int = 4, per_cell: int = PER_CELL, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``(id_col, n_links, component_id, kept)`` for every row: links are pairs of one label with cosine >= ``min_cosine``.
 
     For unit vectors that is a squared distance of at most 2 - 2 * min_cosine. Rotated vectors are split into blocks of
     dimensions; by the pigeonhole principle some block holds at most its share of that distance. So each block is
-    range-joined on its own: a grid of cells twice the range wide over its first dimensions; every vector is at home
-    in one cell and probes the cells that its range touches. Pairs within a block's budget are verified by the exact
-    cosine, and count in their first such block only, so no pair is counted twice.
+    range-joined on its own: every vector is at home in the cell of its nearest centroid there, and probes the cells that its
+    range may touch, a shard of neighbouring cells at a time. The number of cells grows with the table. Pairs within a
+    block's budget are verified by the exact cosine, and count in their first such block only, so no pair is counted twice.
 
-    Equal vectors of a label are one class with a count; they are never paired up. Crowded cells are dealt out to tiles of
+    Equal vectors of a label are one class with a count; they are never paired up. Crowded shards are dealt out to tiles of
     bounded size. Pairs don't leave their task: it sends the links of each class as a number, and a forest that
     connects what is linked. Vectors that are null, empty, zero or hold null or non-finite components, and those
-    with a null label, link with nothing: n_links 0, their own id as component. Vectors of different lengths never link.
-    Rows that repeat an id are vectors of their own. An empty table gives an empty result.
+    with a null label, link with nothing: n_links 0, their own id as component. Vectors of different lengths never link;
+    lengths other than the commonest have one cell a block. Components are compared as doubles. Rows that repeat an id are
+    vectors of their own. Other columns are ignored. An empty table gives an empty result.
     """
     if not -1 < min_cosine <= 1:
         raise ValueError("min_cosine must be in (-1, 1]")
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(vector_type(table, vec_col)).alias("v"), F.col(label_col).cast("string").alias("label"))
     rows = rows.withColumn("ok", usable(F.col("v")) & F.col("label").isNotNull())
     classes = stored(rows.where("ok").groupBy("label", "v").agg(F.count("*").alias("n"), F.min("id").alias("least")).withColumn("c", F.monotonically_increasing_id()), "vectors")
     limit = 2 - 2 * min_cosine + 1e-9
+    length = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    common, k = (length["d"], max(1, min(MOST_CELLS, length["n"] // per_cell))) if length else (0, 1)
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def turned(x: np.ndarray) -> np.ndarray:
+        return (x / np.sqrt((x**2).sum(1))[:, None]) @ rotation(x.shape[1])
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x = turned(matrix(group.sort_values("c", kind="stable")["v"]))
+        made = [(block, c.tolist()) for block, (s, e) in enumerate(spans(common, blocks)) for c in balanced_centroids(x[:, s:e], k, 2)]
+        return pd.DataFrame(made, columns=["block", "x"])
+
+    sample = classes.where(F.size("v") == common).orderBy(F.xxhash64("v"), "c").limit(MOST_FITTED).select("c", "v").withColumn("all", F.lit(0))
+    fitted = sample.groupBy("all").applyInPandas(fit, "block int, x array<double>").toPandas() if k > 1 else None
+    centroids = {b: np.array(own["x"].tolist()) for b, own in fitted.groupby("block", sort=True)} if k > 1 else {}
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, int, int, int, np.ndarray, np.ndarray]]:
+        """Of each batch: rows, length, block, role, and which row goes to which cell."""
         for batch in batches:
-            size = batch["v"].map(len)
-            for d, own in batch.groupby(size.to_numpy()):
-                x = matrix(own["v"])
-                turned = (x / np.sqrt((x**2).sum(1))[:, None]) @ rotation(int(d))
+            for d, own in batch.groupby(batch["v"].map(len).to_numpy()):
+                y = turned(matrix(own["v"]))
                 for block, (s, e) in enumerate(spans(int(d), blocks)):
-                    reach = np.sqrt(limit * (e - s) / d)
-                    side, flat = 2 * reach, turned[:, s : s + min(grid_dims, e - s)]
-                    home = np.floor(flat / side).astype(np.int64)
-                    low, high = np.floor((flat - reach) / side).astype(np.int64), np.floor((flat + reach) / side).astype(np.int64)
-                    yield _sent(own, d, block, 0, home)
-                    for corner in product((0, 1), repeat=flat.shape[1]):
-                        pick = np.array(corner, dtype=bool)
-                        keep = ~((high == low) & pick).any(1)  # the range touches one cell along that dimension
-                        yield _sent(own[keep], d, block, 1, np.where(pick, high, low)[keep])
-
-    def _sent(own: pd.DataFrame, d: int, block: int, role: int, cell: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"label": own["label"], "d": np.int32(d), "block": np.int32(block), "cell": [" ".join(map(str, x)) for x in cell.tolist()], "role": np.int32(role), "c": own["c"], "n": own["n"], "v": own["v"]})
-
-    keys = ["label", "d", "block", "cell"]
-    sent = classes.select("label", "c", "n", "v").mapInPandas(send, "label string, d int, block int, cell string, role int, c long, n long, v array<float>")
+                    centre = centroids.get(block) if d == common else None
+                    if centre is None:
+                        zero = np.zeros(len(own), np.int64)
+                        yield from ((own, int(d), block, role, np.arange(len(own)), zero) for role in (0, 1))
+                        continue
+                    home, open_ = cells(y[:, s:e], centre, np.sqrt(limit * (e - s) / d))
+                    yield own, int(d), block, 0, np.arange(len(own)), home
+                    yield own, int(d), block, 1, *np.nonzero(open_)
+
+    keys = ["label", "d", "block", "shard"]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own, d, block, role, row, cell in dealt(batches):
+            at = pd.DataFrame({"row": row, "shard": (cell // CELLS_A_SHARD).astype(np.int32)}).drop_duplicates()
+            size = pd.DataFrame({"label": own["label"].to_numpy()[at["row"]], "shard": at["shard"]}).value_counts().reset_index(name="n")
+            yield pd.DataFrame({"label": size["label"], "d": np.int32(d), "block": np.int32(block), "shard": size["shard"], "role": np.int32(role), "n": size["n"]})
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own, d, block, role, row, cell in dealt(batches):
+            at = pd.DataFrame({"row": row, "shard": (cell // CELLS_A_SHARD).astype(np.int32), "cell": cell.astype(np.int32)}).groupby(["row", "shard"])["cell"].agg(list).reset_index()
+            pick = own.iloc[at["row"].to_numpy()].reset_index(drop=True)
+            yield pd.DataFrame({"label": pick["label"], "d": np.int32(d), "block": np.int32(block), "shard": at["shard"], "role": np.int32(role), "cells": at["cell"], "c": pick["c"], "n": pick["n"], "v": pick["v"]})
+
+    sizes = classes.select("label", "v").mapInPandas(count, "label string, d int, block int, shard int, role int, n long").groupBy(*keys, "role").agg(F.sum("n").alias("n"))
+    sent = classes.select("label", "c", "n", "v").mapInPandas(send, "label string, d int, block int, shard int, role int, cells array<int>, c long, n long, v " + vector_type(table, vec_col))
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         builds, probes = group[group["role"] == 0], group[group["role"] == 1]
         if builds.empty or probes.empty:
             return pd.DataFrame({"c": [], "links": [], "other": []})
-        block, nodes = int(group["block"].iloc[0]), np.unique(group["c"].to_numpy())
+        nodes = np.unique(group["c"].to_numpy())
         bc, pc, weight = builds["c"].to_numpy(), probes["c"].to_numpy(), builds["n"].to_numpy(np.int64)
         at_b, at_p = np.searchsorted(nodes, bc), np.searchsorted(nodes, pc)
-        xb, xp = matrix(builds["v"]), matrix(probes["v"])
+        verify = Verifier(matrix(builds["v"]), matrix(probes["v"]), int(group["block"].iloc[0]), limit, min_cosine, blocks)
+        home = np.array([x[0] for x in builds["cells"]])
+        asks = np.repeat(np.arange(len(probes)), [len(x) for x in probes["cells"]]), np.concatenate(probes["cells"].to_numpy())
         label, links = np.arange(len(nodes)), np.zeros(len(probes), np.int64)
-        for at in range(0, len(probes), 512):
-            part = slice(at, at + 512)
-            found = _links(xb, xp[part], block, limit, min_cosine, blocks) & (pc[part][:, None] != bc[None, :])
-            links[part] = found @ weight
-            p, b = np.nonzero(found)
-            if len(p):
-                a, o = np.concatenate((at_p[part][p], np.arange(len(nodes)))), np.concatenate((at_b[b], label))
-                label = local_components(len(nodes), a, o)
+        for cell in np.unique(home):
+            b, asking = np.flatnonzero(home == cell), asks[0][asks[1] == cell]
+            for at in range(0, len(asking), 512):
+                p, q = verify.links(asking[at : at + 512], b)
+                other = pc[p] != bc[q]
+                p, q = p[other], q[other]
+                if len(p):
+                    np.add.at(links, p, weight[q])
+                    label = local_components(len(nodes), np.concatenate((at_p[p], np.arange(len(nodes)))), np.concatenate((at_b[q], label)))
         some, moved = links > 0, np.flatnonzero(label != np.arange(len(nodes)))
         return pd.DataFrame({"c": np.concatenate((pc[some], nodes[moved])), "links": np.concatenate((links[some], np.zeros(len(moved), np.int64))), "other": pd.array([None] * int(some.sum()) + nodes[label[moved]].tolist(), dtype="Int64")})
 
-    found = stored(tiles(sent, keys).groupBy(*keys, "i", "j").applyInPandas(join, "c long, links long, other long"), "links")
+    found = stored(tiles(sent, keys, sizes=sizes).groupBy(*keys, "i", "j").applyInPandas(join, "c long, links long, other long"), "links")
     roots = components(found.where("other is not null").select(F.col("c").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("c").agg(F.sum("links").alias("links"))
     placed = classes.join(counts, "c", "left").join(roots, F.col("c") == roots.node, "left").select("label", "v", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "c").alias("root"))
@@ -299,7 +355,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, list_size: int = 25
     candidates than ``k``: all that are found. An empty table gives an empty result.
     """
     spark = table.sparkSession
-    rows = table.select(F.col(id_col).cast("long").alias("c"), F.col(vec_col).cast("array<float>").alias("v"), is_query.alias("query")).where(F.col("c").isNotNull() & usable(F.col("v")))
+    rows = table.select(F.col(id_col).cast("long").alias("c"), F.col(vec_col).cast(vector_type(table, vec_col)).alias("v"), is_query.alias("query")).where(F.col("c").isNotNull() & usable(F.col("v")))
     length = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).alias("reach")).orderBy(F.desc("n"), "d").first()
     empty = "query_id long, rank int, vec_id long, score double"
     if length is None:
@@ -336,7 +392,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, list_size: int = 25
         at = pd.DataFrame({"row": row, "shard": (to // SHARD).astype(np.int32), "list": to.astype(np.int32)}).groupby(["row", "shard"])["list"].agg(list).reset_index()
         return pd.DataFrame({"shard": at["shard"], "role": np.int32(role), "lists": at["list"], "c": own["c"].to_numpy()[at["row"]], "v": own["v"].to_numpy()[at["row"]]})
 
-    sent = rows.mapInPandas(send, "shard int, role int, lists array<int>, c long, v array<float>")
+    sent = stored(rows.mapInPandas(send, "shard int, role int, lists array<int>, c long, v " + vector_type(table, vec_col)), "sent")
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         builds, probes = group[group["role"] == 0], group[group["role"] == 1]

@@ -53,16 +53,39 @@ def test_vector_duplicates_equal_brute_force(spark):
     x = clustered(400)
     rows = [(i, v.tolist(), int(i % 3)) for i, v in enumerate(x)]
     rows += [(500 + i, (x[5] * (1 + i % 3)).tolist(), 2) for i in range(60)] + ODD + [(7, x[7].tolist(), 1), (906, [1.0, 2.0], 1), (907, [2.0, 4.0], 1)]
-    got = vectors.near_duplicates(vecs_of(spark, rows)).collect()
+    got = vectors.near_duplicates(vecs_of(spark, rows), per_cell=20).collect()
     assert sorted(map(tuple, got)) == brute_links(rows)
     assert sum(r.n_links for r in got) > 500
 
 
 def test_crowded_cells_are_dealt_out_and_lose_nothing(spark, monkeypatch):
     whole = vectors.tiles
-    monkeypatch.setattr(vectors, "tiles", lambda rows, keys: whole(rows, keys, 16, 40))
+    monkeypatch.setattr(vectors, "tiles", lambda rows, keys, sizes: whole(rows, keys, 16, 40, sizes))
     rows = [(i, v.tolist(), 1) for i, v in enumerate(clustered(300, seed=3))]
-    assert sorted(map(tuple, vectors.near_duplicates(vecs_of(spark, rows)).collect())) == brute_links(rows)
+    for per_cell in (1000, 12):
+        assert sorted(map(tuple, vectors.near_duplicates(vecs_of(spark, rows), per_cell=per_cell).collect())) == brute_links(rows)
+
+
+@pytest.mark.parametrize("scale", [0.02, 0.1, 0.3])
+def test_cells_lose_no_neighbour(scale):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 5)) * scale
+    home, open_ = vectors.cells(x, x[rng.choice(400, 30, False)], 0.1)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i, j in zip(*np.nonzero(far <= 0.1)):
+        assert open_[i, home[j]]
+    assert open_.mean() < 1 or scale < 0.1
+
+
+def test_vectors_of_doubles_link_as_they_are(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 6))
+    x[30:] = x[:30] + rng.normal(scale=0.21, size=(30, 6))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(table).collect()}
+    unit = x / np.sqrt((x**2).sum(1))[:, None]
+    assert got == {i: int((unit @ unit[i] >= 0.98).sum()) - 1 for i in range(60)} and sum(got.values()) > 10
 
 
 def test_nearest_recall_order_and_ties(spark):
