@@ -40,10 +40,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
 
 def poisson_count(rate: Column, distribution: Column, parts: Column, seed: int, row: list[Column]) -> Column:
     """The count whose cumulative probability first exceeds the row's own uniform number, summed over the parts."""
-    return F.when(rate > 0, F.aggregate(
-        F.sequence(F.lit(1), parts), F.lit(0),
-        lambda total, part: total + F.size(F.filter(distribution, lambda p: p <= uniform(F.lit(str(seed)), *row, part.cast("string")))),
-    )).otherwise(F.lit(0))
+    draws = F.transform(F.sequence(F.lit(1), parts), lambda part: uniform(F.lit(str(seed)), *row, part.cast("string")))
+    return F.when(rate > 0, F.aggregate(draws, F.lit(0), lambda total, u: total + F.size(F.filter(distribution, lambda p: p <= u)))).otherwise(F.lit(0))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, total: float = 1.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
