@@ -16,7 +16,7 @@ def file_metrics(evidence: DataFrame, results: DataFrame, top_k: int, by: tuple[
     wanted = evidence.select("question_id", "path").distinct()
     first = results.where(F.col("rank") <= top_k).groupBy(*by, "question_id", "path").agg(F.min("rank").alias("rank"))
     if by:
-        wanted = wanted.crossJoin(F.broadcast(results.select(*by).distinct()))  # a row for each of a few retrievers
+        wanted = wanted.crossJoin(results.select(*by).distinct())  # a row for each of a few retrievers
     ranks = wanted.join(first, [*by, "question_id", "path"], "left")
     per = ranks.groupBy(*by, "question_id").agg(F.count("*").alias("expected"), F.count("rank").alias("found"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("rr"))
     return per.groupBy(*by).agg(F.sum("found").alias("files_found"), F.sum("expected").alias("files_total"), (F.sum("found") / F.sum("expected")).alias("file_recall"), F.avg("rr").alias("file_mrr"))
@@ -26,7 +26,7 @@ def range_ranks(evidence: DataFrame, results: DataFrame, top_k: int, by: tuple[s
     """Each expected range with the first rank whose lines overlap it."""
     e = evidence.select("question_id", "path", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
     if by:
-        e = e.crossJoin(F.broadcast(results.select(*by).distinct()))  # a row for each of a few retrievers
+        e = e.crossJoin(results.select(*by).distinct())  # a row for each of a few retrievers
     r = results.where(F.col("rank") <= top_k).select(*by, "question_id", "path", "rank", "start_line", "end_line")
     both = e.join(r, [*by, "question_id", "path"], "left").withColumn("hit", F.when((F.col("from_line") <= F.col("end_line")) & (F.col("start_line") <= F.col("to_line")), F.col("rank")))
     return both.groupBy(*by, "question_id", "path", "from_line", "to_line").agg(F.min("hit").alias("rank"))

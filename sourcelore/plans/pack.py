@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from sourcelore.functions.ids import evidence_id
 from sourcelore.functions.text import identifiers
 
-CHARS_PER_TOKEN, LEAST_CHARS, MOST_LINKS = 4, 64, 50
+CHARS_PER_TOKEN, LEAST_CHARS, MOST_LINKS, MOST_CANDIDATES = 4, 64, 50, 100
 
 
 def evidence(hits: DataFrame, token_budget: int = 1_000, most_items: int = 10) -> DataFrame:
     """``hits(query_id, rank, chunk_id, content, content_truncated, ...)`` with what becomes of each: ``disposition`` (selected,
     item_budget, token_budget) and the ``content`` that is kept.
 
-    A walk in rank order over at most 100 rows a query: an item too long is cut to what is left and loses the white space
+    A walk in rank order over three candidates an item, at most 100: an item too long is cut to what is left and loses the white space
     at its end, so what is left for the next follows from the cut, not from a running sum.
     """
     row = F.struct("rank", "chunk_id", "content", "content_truncated")
-    walked = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    walked = hits.where(F.col("rank") <= min(MOST_CANDIDATES, 3 * most_items)).groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
     # one row of the walk; it also gives the element type of the list of done ones
     done_type = "array<struct<chunk_id string, disposition string, content string, content_truncated boolean>>"
     left = lambda s: F.lit(token_budget * CHARS_PER_TOKEN) - s["used"]

@@ -150,7 +150,7 @@ def agg1_manifest(spark, d):
 
 def agg7_basenames(spark, d):
     paths = A.table(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/f"), (F.col("doc_id") % 13).cast("string"), F.lit(".txt")).alias("path"))
-    return T.basename_index(paths).select("basename", F.array_join("paths", "\n").alias("paths"))
+    return T.basename_index(paths)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -195,5 +195,5 @@ ORACLES = {
         FROM p, (SELECT unnest(['macro', 'function', 'type', 'declaration', 'macro_invocation']) AS kind) k""",
     "chk5_chunk_rows": f"WITH {CHUNKS} SELECT chunk_id, file_id, ordinal, 'line-window-v1' AS generator FROM chunks",
     "agg1_manifest": f"WITH {FILES} SELECT repository, sha256(string_agg(path || chr(0) || sha256(text) || chr(0) || strlen(text) || chr(10), '' ORDER BY path)) AS manifest_digest, count(*)::BIGINT AS file_count, sum(strlen(text))::BIGINT AS byte_count FROM files GROUP BY repository",
-    "agg7_basenames": "WITH p AS (SELECT DISTINCT source || '/' || lang || '/f' || (doc_id % 13) || '.txt' AS path, 'f' || (doc_id % 13) || '.txt' AS basename FROM documents) SELECT basename, string_agg(path, chr(10) ORDER BY path) AS paths FROM p GROUP BY basename",
+    "agg7_basenames": "WITH p AS (SELECT DISTINCT source || '/' || lang || '/f' || (doc_id % 13) || '.txt' AS path, 'f' || (doc_id % 13) || '.txt' AS basename FROM documents) SELECT basename, path FROM p",
 }

@@ -213,6 +213,12 @@ def snp2_states(spark, d):
     return N.current_states(read(spark, d, _LOG))
 
 
+def snp2_violations(spark, d):
+    """Repositories of ten snapshots each, read from a log that no rule has kept."""
+    log = read(spark, d, _LOG)
+    return N.active_violations(log, log.select("snapshot_id").distinct().withColumn("repository_id", F.expr("cast(substring(snapshot_id, 2) as int) % 10")))
+
+
 def snp2_activation(spark, d):
     """Three activations one after the other over the repositories of the tree: r1, r2, r1 again."""
     one, two = durable(_snapshots(spark, d, A.tree, "r1")), durable(_snapshots(spark, d, A.changed_tree, "r2"))
@@ -263,7 +269,8 @@ def prj13_scope(spark, d):
 def prj14_solution_scope(spark, d):
     members = _members(spark, d).dropDuplicates(["solution_id", "repository"]).select("solution_id", "repository", F.lit("s").alias("snapshot_id"), F.lit(0).alias("ordinal"))
     allowed = _readable(spark, d).select("principal_id", F.replace("repository_id", F.lit("r"), F.lit("repo")).alias("repository"))
-    return N.solution_scope(members, allowed).groupBy("principal_id", "partial_visibility").agg(F.count("*").alias("members"))
+    seen = N.solution_scope(members, allowed).withColumn("shown", N.hidden_when_partial(F.col("solution_id")))
+    return seen.groupBy("principal_id", "partial_visibility").agg(F.count("*").alias("members"), F.countDistinct("shown").alias("solutions_shown"))
 
 
 def agg4_summary(spark, d):
@@ -301,7 +308,7 @@ def jon14_allowed(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    jon14_allowed, acl1_readable, acl2_visible_rows, acl2_tables, acl4_moved, acl5_manifest, acl6_conflicts, src4_security, snp5_publish, acl3_own_rows, acl4_manifest_violations, acl5_apply, acl5_members, acl6_collaborators, acl7_plan, acl8_tokens, acl9_legacy, agg8_grants, snp1_identity, snp2_states, snp2_activation, snp3_order, snp4_changes,
+    jon14_allowed, acl1_readable, acl2_visible_rows, acl2_tables, acl4_moved, acl5_manifest, acl6_conflicts, src4_security, snp5_publish, acl3_own_rows, acl4_manifest_violations, acl5_apply, acl5_members, acl6_collaborators, acl7_plan, acl8_tokens, acl9_legacy, agg8_grants, snp1_identity, snp2_states, snp2_violations, snp2_activation, snp3_order, snp4_changes,
     snp5_solutions, prj13_scope, prj14_solution_scope, agg4_summary, cch1_cache, snk2_export, set3_differences,
 )}
 
@@ -360,6 +367,7 @@ ORACLES = {
     "agg8_grants": f"WITH {_ACL} {_EFFECT}",
     "snp1_identity": f"WITH {_SNAPS}, three AS (SELECT repository, {stable('snapshot', 'repository', chr(39) + 'r1' + chr(39), 'digest', chr(39) + PROFILE + chr(39))} AS id FROM m2) SELECT repository, 'first' AS run, id FROM one UNION ALL SELECT repository, 'changed', id FROM three WHERE id NOT IN (SELECT id FROM one)",
     "snp2_states": f"SELECT snapshot_id, arg_max(state, event_seq) AS state, max(event_seq)::BIGINT AS event_seq FROM ({duck(_LOG)}) l GROUP BY 1",
+    "snp2_violations": f"WITH l AS ({duck(_LOG)}), c AS (SELECT snapshot_id, arg_max(state, event_seq) AS state FROM l GROUP BY 1) SELECT substr(snapshot_id, 2)::INTEGER % 10 AS repository_id, count(*)::BIGINT AS active FROM c WHERE state = 'active' GROUP BY 1 HAVING count(*) > 1",
     "snp2_activation": f"""WITH {_SNAPS}, e AS (SELECT 1 AS step, id, s AS state, CASE s WHEN 'building' THEN 0 WHEN 'validated' THEN 1 ELSE 3 END AS o FROM one, (SELECT unnest(['building', 'validated', 'active']) AS s) x
         UNION ALL SELECT 2, id, s, CASE s WHEN 'building' THEN 0 WHEN 'validated' THEN 1 ELSE 3 END FROM two, (SELECT unnest(['building', 'validated', 'active']) AS s) x UNION ALL SELECT 2, id, 'superseded', 2 FROM one WHERE repository IN (SELECT repository FROM two)
         UNION ALL SELECT 3, id, 'active', 3 FROM one WHERE repository IN (SELECT repository FROM two) UNION ALL SELECT 3, id, 'superseded', 2 FROM two) SELECT row_number() OVER (ORDER BY step, o, id)::BIGINT AS event_seq, id AS snapshot_id, state FROM e""",
@@ -370,7 +378,7 @@ ORACLES = {
     "prj13_scope": f"WITH {_SNAPS} SELECT repository, id, 'active' AS state FROM one WHERE n % 2 = 0",
     "prj14_solution_scope": f"""WITH {_ACL}, {_MEM}, u AS (SELECT DISTINCT solution_id, repository FROM mem), n AS (SELECT solution_id, count(*) AS n FROM u GROUP BY 1),
         s AS (SELECT principal_id, solution_id, count(*) AS seen FROM u JOIN may ON repository = replace(repository_id, 'r', 'repo') GROUP BY ALL)
-        SELECT principal_id, seen < n AS partial_visibility, sum(seen)::BIGINT AS members FROM s JOIN n USING (solution_id) GROUP BY ALL""",
+        SELECT principal_id, seen < n AS partial_visibility, sum(seen)::BIGINT AS members, count(CASE WHEN seen = n THEN 1 END)::BIGINT AS solutions_shown FROM s JOIN n USING (solution_id) GROUP BY ALL""",
     "agg4_summary": f"WITH {_SNAPS}, {_MEM} SELECT (SELECT count(*) FROM one)::BIGINT AS repositories, ((SELECT count(*) FROM one) + (SELECT count(*) FROM two))::BIGINT AS snapshots, (SELECT count(*) FROM two)::BIGINT AS active_snapshots, (SELECT count(DISTINCT solution_id) FROM mem WHERE regexp_matches(solution_id, '[13579]$'))::BIGINT AS solutions, (SELECT count(DISTINCT solution_id) FROM mem WHERE regexp_matches(solution_id, '[13579]$'))::BIGINT AS solution_snapshots, (SELECT count(DISTINCT solution_id) FROM mem WHERE regexp_matches(solution_id, '[3579]$'))::BIGINT AS active_solution_snapshots",
     "cch1_cache": f"WITH {FILES}, {_NEXT}, o AS (SELECT DISTINCT sha256(text) AS b FROM files), n AS (SELECT DISTINCT sha256(text) AS b FROM next) SELECT {stable('analysis', 'b', chr(39) + 'text' + chr(39), chr(39) + PROFILE + chr(39))} AS artifact_id, b IN (SELECT b FROM o) AS hit FROM n",
     "snk2_export": f"WITH {FILES} SELECT {stable('snapshot', 'repository', chr(39) + 'r1' + chr(39))} AS snapshot_id, count(*)::BIGINT AS file_count, sum(strlen(text))::BIGINT AS byte_count, sha256(string_agg(path || chr(0) || sha256(text) || chr(10), '' ORDER BY path)) AS export_digest, count_if(strlen(text) % 10 = 0)::BIGINT AS bad FROM files GROUP BY repository",

@@ -115,5 +115,5 @@ def manifest(scanned: DataFrame) -> DataFrame:
 
 
 def basename_index(paths: DataFrame) -> DataFrame:
-    """Paths by file name, sorted."""
-    return paths.groupBy(basename("path").alias("basename")).agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    """``(basename, path)``, each once: a name that very many directories have is as many rows, never one."""
+    return paths.select(basename("path").alias("basename"), "path").distinct()
