@@ -72,6 +72,16 @@ def cells(x: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarra
     return near[:, 0], open_
 
 
+def by_shard(row: np.ndarray, to: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Rows and the shards (``size`` numbers each) of what they go to, each pair once, with the numbers there."""
+    order = np.lexsort((to, row))
+    row, to = row[order], to[order].astype(np.int32)
+    shard = to // size
+    cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(shard) != 0)) + 1
+    first = np.concatenate(([0], cut)) if len(row) else np.zeros(0, np.int64)
+    return row[first], shard[first], np.split(to, cut) if len(row) else []
+
+
 class Verifier:
     """Pairs of builds and probes whose first block within its budget is this one, and whose cosine is at or over the bound."""
 
@@ -155,15 +165,15 @@ def near_duplicates(table: DataFrame, min_cosine: float = 0.98, blocks: int = 4,
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own, d, block, role, row, cell in dealt(batches):
-            at = pd.DataFrame({"row": row, "shard": (cell // CELLS_A_SHARD).astype(np.int32)}).drop_duplicates()
-            size = pd.DataFrame({"label": own["label"].to_numpy()[at["row"]], "shard": at["shard"]}).value_counts().reset_index(name="n")
+            at, shard, _ = by_shard(row, cell, CELLS_A_SHARD)
+            size = pd.DataFrame({"label": own["label"].to_numpy()[at], "shard": shard}).value_counts().reset_index(name="n")
             yield pd.DataFrame({"label": size["label"], "d": np.int32(d), "block": np.int32(block), "shard": size["shard"], "role": np.int32(role), "n": size["n"]})
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own, d, block, role, row, cell in dealt(batches):
-            at = pd.DataFrame({"row": row, "shard": (cell // CELLS_A_SHARD).astype(np.int32), "cell": cell.astype(np.int32)}).groupby(["row", "shard"])["cell"].agg(list).reset_index()
-            pick = own.iloc[at["row"].to_numpy()].reset_index(drop=True)
-            yield pd.DataFrame({"label": pick["label"], "d": np.int32(d), "block": np.int32(block), "shard": at["shard"], "role": np.int32(role), "cells": at["cell"], "c": pick["c"], "n": pick["n"], "v": pick["v"]})
+            at, shard, held = by_shard(row, cell, CELLS_A_SHARD)
+            pick = own.iloc[at].reset_index(drop=True)
+            yield pd.DataFrame({"label": pick["label"], "d": np.int32(d), "block": np.int32(block), "shard": shard, "role": np.int32(role), "cells": held, "c": pick["c"], "n": pick["n"], "v": pick["v"]})
 
     sizes = classes.select("label", "v").mapInPandas(count, "label string, d int, block int, shard int, role int, n long").groupBy(*keys, "role").agg(F.sum("n").alias("n"))
     sent = classes.select("label", "c", "n", "v").mapInPandas(send, "label string, d int, block int, shard int, role int, cells array<int>, c long, n long, v " + vector_type(table, vec_col))
@@ -389,8 +399,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, list_size: int = 25
 
     def _sent(own: pd.DataFrame, role: int, row: np.ndarray, to: np.ndarray) -> pd.DataFrame:
         """One row for each vector and shard, with its lists there."""
-        at = pd.DataFrame({"row": row, "shard": (to // SHARD).astype(np.int32), "list": to.astype(np.int32)}).groupby(["row", "shard"])["list"].agg(list).reset_index()
-        return pd.DataFrame({"shard": at["shard"], "role": np.int32(role), "lists": at["list"], "c": own["c"].to_numpy()[at["row"]], "v": own["v"].to_numpy()[at["row"]]})
+        at, shard, lists = by_shard(row, to, SHARD)
+        return pd.DataFrame({"shard": shard, "role": np.int32(role), "lists": lists, "c": own["c"].to_numpy()[at], "v": own["v"].to_numpy()[at]})
 
     sent = stored(rows.mapInPandas(send, "shard int, role int, lists array<int>, c long, v " + vector_type(table, vec_col)), "sent")
 
