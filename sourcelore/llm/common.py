@@ -2,83 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 import numpy as np
-from py4j.protocol import Py4JError
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourcelore.storage import dropped
+from sourcelore.storage import durable as stored
+
+__all__ = ["ascii_lower", "components", "dropped", "id_crc_mod", "local_components", "stored", "tiles", "whole_text"]
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Space and the bytes 0x09 to 0x0D: what bytes.split() and bytes.strip() take as white space too.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-_own: list[str] = []
-_used: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session (tests) gets a temporary folder; on a cluster this is an error, because
-    executors wouldn't see each other's files.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="sourcelore-"))
-        path = _own[0]
-    return path.rstrip("/")
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: a cut of the lineage that outlives executors.
-
-    The shuffle files of the write go as soon as it ends, so that the steps of a long job don't pile up on disk. The
-    table goes by ``dropped``, or when the Python process ends.
-    """
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/sourcelore-{spark.sparkContext.applicationId}"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    if folder not in _used:
-        _used.add(folder)
-        atexit.register(_delete, folder)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete what ``stored`` wrote for tables that no later step reads."""
-    for table in tables:
-        _delete(table.stored_at)
-
-
-def _delete(path: str) -> None:
-    context = SparkContext._active_spark_context
-    if context is not None:
-        with contextlib.suppress(Py4JError, OSError):  # what isn't deleted only takes room
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def tiles(rows: DataFrame, keys: list[str], most_build: int = 2048, most_probe: int = 8192, sizes: DataFrame | None = None) -> DataFrame:
     """Deal the rows of every key group out to tiles of bounded size, as columns ``i, j``.
 
