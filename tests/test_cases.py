@@ -244,3 +244,42 @@ def test_export_is_verified_and_idempotent(spark, tmp_path):
         N.export(files.where("path = 'a.c'"), str(tmp_path / "out"))
     with pytest.raises(ValueError, match="differ"):
         N.export(files.withColumn("size_bytes", F.lit(9).cast("long")), str(tmp_path / "other"))
+
+
+def test_substrings_and_passages_meet_like_a_plain_search(spark):
+    texts = [("a", "The quick brown fox jumps"), ("b", "over the lazy dog, the end"), ("c", ""), ("d", "é quick"), ("e", "x\ny quick brown fox jumps over all\nz"), ("f", None)]
+    terms = ["quick", "ck brown f", "e", "é", "the", "The quick brown fox jumps", "zz", "", "og,"]
+    rows = spark.createDataFrame(texts, "path string, body string")
+    got = {(r.path, r.term) for r in S.substring_matches(rows, spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert got == {(p, t) for p, b in texts for t in terms if t and t in (b or "")}
+    passages = [(1, "quick brown fox jumps over"), (2, "ick brown fox jumps ov"), (3, "fox"), (4, "x\ny quick brown fox jumps over all\nz"), (5, "brown fox jumps over the lazy"), (6, "lazy dog"), (7, "The quick brown fox jumps")]
+    found = [(r.path, r.id) for r in S.passage_matches(rows, spark.createDataFrame(passages, "id int, passage string")).collect()]
+    assert sorted(found) == sorted((p, i) for p, b in texts for i, s in passages if s in (b or ""))
+
+
+def test_spans_meet_chunks_once(spark):
+    import random
+
+    rng = random.Random(1)
+    ranges = lambda n: [(f"f{rng.randrange(3)}", s := rng.randrange(1, 400), s + rng.choice([0, 1, 5, 90, 300]), i) for i in range(n)]
+    spans, chunks = ranges(60), ranges(80)
+    got = S.overlapping(spark.createDataFrame(spans, "file_id string, start_line int, end_line int, n int"), spark.createDataFrame(chunks, "file_id string, start_line int, end_line int, chunk_id int").withColumn("kind", F.lit("k"))).select("n", "chunk_id").collect()
+    assert sorted(map(tuple, got)) == sorted((n, c) for f, a, b, n in spans for g, x, y, c in chunks if f == g and x <= b and y >= a)
+    lines = [(f, a, i) for f, a, _, i in ranges(50)]
+    conditions = [(f, a, b, i % 5, f"c{i}") for f, a, b, i in ranges(40)]
+    found = K.condition_at(spark.createDataFrame(lines, "file_id string, start_line int, i int"), spark.createDataFrame(conditions, "file_id string, start_line int, end_line int, depth int, condition_id string")).collect()
+    assert {r.i: r.condition_id for r in found} == {i: max(((d, c) for g, x, y, d, c in conditions if g == f and x <= a <= y), default=(0, None))[1] for f, a, i in lines}
+
+
+def test_hashed_vectors_equal_a_plain_count(spark, sf_dir):
+    import math
+    import zlib
+
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()] + ["", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in rows.select("i", U.embed_column(F.col("text")).alias("v")).collect():
+        want = [0.0] * 64
+        for w in (texts[r.i] or "").lower().split():
+            want[zlib.crc32(w.encode()) % 64] += 1 if zlib.crc32(w.encode()) & 0x10000 else -1
+        size = math.sqrt(sum(x * x for x in want)) or 1
+        assert list(r.v) == pytest.approx([x / size for x in want], abs=1e-6)
