@@ -5,9 +5,9 @@ has no arc, the failure arc leads to the root at the state's backoff weight, and
 text is scored in one walk from left to right that carries the state and adds up log10 probabilities.
 
 The whole model is too large for one place. Texts are dealt out to blocks of bounded size; a block asks for the counts of
-its own words and pairs only, and gets the part of the automaton that its texts can walk through. It names a word by its
-place among its sorted words. Pairs are dealt out to buckets by a hash; a block sends a bucket its pairs in order, packed,
-and the answer is a bit for each of them and the counts of those kept.
+its own words and pairs only, and gets the part of the automaton that its texts can walk through. A word goes by 63 bits
+of its SipHash. Words and pairs are dealt out to buckets by their numbers; a block sends a bucket what it has, in order and
+packed, and the answer is packed in the same order. So a word is one number from each block, however often it stands there.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pandas.util import hash_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelore.llm.common import stored, whole_text
@@ -25,6 +26,11 @@ END = "\n"
 START = -1
 
 
+def word_numbers(words: pa.Array) -> np.ndarray:
+    """Words as numbers of 63 bits, by the SipHash of pandas with its fixed key."""
+    return hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64) & ((1 << 63) - 1)
+
+
 class Tokens:
     """A block's texts as codes: A-Z lower-cased words between ASCII white space, then the end, text by text. A word's code
     is its place among the block's sorted words, whatever the order of the texts; the end's is the last."""
@@ -51,6 +57,10 @@ class Tokens:
         self.text = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def numbers(self) -> np.ndarray:
+        """Each code's word as a number of 63 bits."""
+        return word_numbers(self.words)
+
     def pairs(self) -> np.ndarray:
         """(code before, or ``end + 1`` at the start) * (end + 2) + code, for every token."""
         before = np.empty_like(self.codes)
@@ -60,24 +70,22 @@ class Tokens:
 
 
 class Automaton:
-    """``arcs``: state * width + code to log10 probability; ``back``: log10 weight of each state's failure arc; ``root``:
-    log10 probability of each code. A code's state is itself if ``is_state``, else the root (-1)."""
-
-    def __init__(self, width: int, arcs: dict[int, float], back: list[float], root: list[float], is_state: list[bool]) -> None:
-        self.width, self.arcs, self.back, self.root = width, arcs, back, root
-        self.next = [c if s else -1 for c, s in enumerate(is_state)]
-
-    def walk(self, codes: list[int], start: int) -> float:
-        arcs, back, root, next_, width = self.arcs.get, self.back, self.root, self.next, self.width
-        state, total = start, 0.0
-        for code in codes:
-            if state < 0:
-                total += root[code]
-            else:
-                found = arcs(state * width + code)
-                total += back[state] + root[code] if found is None else found
-            state = next_[code]
-        return total
+    """``arcs``: sorted state * width + code, with ``weights``, their log10 probabilities; ``back``: log10 weight of each state's
+    failure arc; ``root``: log10 probability of each code. A code leads to its own state if it has one, else to the root."""
+
+    def __init__(self, width: int, arcs: np.ndarray, weights: np.ndarray, back: np.ndarray, root: np.ndarray, is_state: np.ndarray) -> None:
+        self.width, self.arcs, self.weights, self.back, self.root = width, arcs, weights, back, root
+        self.next = np.where(is_state, np.arange(len(is_state)), -1)
+
+    def walk(self, codes: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
+        """The log10 probability of each token, texts from left to right. The state that a token is read in follows from the one
+        before it alone, so all are carried on at once; each takes its arc, or fails to the root at the state's weight."""
+        state = np.append(start, self.next[codes[:-1]])
+        state[starts] = start
+        asked = state * self.width + codes
+        at = np.minimum(np.searchsorted(self.arcs, asked), max(len(self.arcs) - 1, 0))
+        found = (state >= 0) & (self.arcs[at] == asked) if len(self.arcs) else np.zeros(len(codes), bool)
+        return np.where(found, self.weights[at] if len(self.arcs) else 0.0, np.where(state >= 0, self.back[state], 0.0) + self.root[codes])
 
 
 def _freed(out: pa.Table) -> pa.Table:
@@ -87,8 +95,8 @@ def _freed(out: pa.Table) -> pa.Table:
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
-    column = table.column(name).combine_chunks()
-    return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+    chunks = table.column(name).chunks
+    return pa.concat_arrays(chunks) if chunks else pa.array([], table.schema.field(name).type)
 
 
 def _bytes(x: np.ndarray) -> bytes:
@@ -108,8 +116,33 @@ def _bucket(h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
 
 
+def _parts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of what is in order, and where each starts and ends."""
+    buckets, starts = np.unique(bucket, return_index=True)
+    return buckets, starts, np.append(starts[1:], len(bucket))
+
+
+class Words:
+    """A block's words, ordered by number and so by bucket."""
+
+    def __init__(self, numbers: np.ndarray, buckets: int) -> None:
+        self.order = np.argsort(numbers)
+        self.numbers = numbers[self.order]
+        self.buckets, self.starts, self.ends = _parts(((self.numbers >> 32) * buckets) >> 31)  # larger numbers, later buckets
+
+    def counts(self, told: dict[int, bytes], buckets: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each code's count and its id (-2 for fewer than ``least``), from the answers by bucket."""
+        c, ids = np.empty(len(self.order), np.int64), np.full(len(self.order), -2, np.int64)
+        for bucket, s, e in zip(self.buckets.tolist(), self.starts.tolist(), self.ends.tolist()):
+            said = _numbers(told[bucket])
+            own = self.order[s:e]
+            c[own] = said[: e - s]
+            ids[own[said[: e - s] >= least]] = said[e - s :] * buckets + bucket
+        return c, ids
+
+
 class Pairs:
-    """A block's different pairs of states and words with ids, ordered by bucket and ids. ``ids``: of each code, -2 for none."""
+    """A block's different pairs of states and words with ids, ordered by bucket and codes. ``ids``: of each code, -2 for none."""
 
     def __init__(self, t: Tokens, ids: np.ndarray, buckets: int) -> None:
         width = t.end + 2
@@ -118,11 +151,10 @@ class Pairs:
         self.good = (ids[self.all // width] > -2) & (ids[self.all % width] > -2)
         every = np.unique(self.all[self.good])
         h, w = ids[every // width], ids[every % width]
-        bucket = _bucket(h, w, buckets)
-        order = np.lexsort((w, h, bucket))
+        bucket = _bucket(h, w, buckets).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
         self.every, self.order, self.h, self.w = every, order, h[order], w[order]
-        self.buckets, self.starts = np.unique(bucket[order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(order))
+        self.buckets, self.starts, self.ends = _parts(bucket[order])
 
     def times(self, taken: np.ndarray) -> np.ndarray:
         """How often each occurs among the tokens for which ``taken`` holds."""
@@ -132,19 +164,32 @@ class Pairs:
         return times[self.order]
 
 
-def score(docs: DataFrame, training: Column, min_word: int = 10, min_share: float = 0.0, min_pair: int = 3, discount: float = 0.75, block_bytes: int = 8 << 20, least_blocks: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Sums:
+    """What the blocks sent to one bucket of words: its distinct words with their counts, and which of them each block has.
+    Frequent words have places in the bucket, from 0 on: a word's id is its place times the number of buckets, plus the bucket."""
+
+    def __init__(self, group: pa.Table, least: int) -> None:
+        parts = [_numbers(x).reshape(2, -1) for x in group.column("packed").to_pylist()]
+        self.words, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+        self.c = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(self.words)).astype(np.int64)
+        self.own = np.split(at, np.cumsum([p.shape[1] for p in parts])[:-1])
+        self.frequent = self.c >= least
+        self.place = np.cumsum(self.frequent) - 1
+
+
+def score(docs: DataFrame, training: Column, min_word: int = 10, min_pair: int = 3, discount: float = 0.75, block_bytes: int = 8 << 20, least_blocks: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, learned boolean, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
     The model learns from the rows for which ``training`` holds: all their words are counted, and all pairs of
-    neighbours that occur ``min_word`` times each (and make up ``min_share`` of all tokens each, where that is asked for). A
-    word's probability is (c - d) / N, with d the absolute discount
+    neighbours that occur ``min_word`` times each. A word's probability is (c - d) / N, with d the absolute discount
     n1 / (n1 + 2 n2); what is taken away goes to one unknown word. A pair found ``min_pair`` times keeps its discounted
     share of the state's count, and the rest of the state goes to the root as backoff weight; both add up, so every
     state's probabilities sum to 1. ``base_score`` is the add-one unigram score over the known words and an unknown one.
 
-    Null and empty texts are the end alone. Rows that repeat an id are texts of their own. With no training rows
+    Null and empty texts are the end alone. Rows that repeat an id are texts of their own. A very long text is walked as a
+    whole, in its block. Words of equal count are treated alike, so ties need no order. With no training rows
     everything is unknown and scores 0. Empty tables give an empty result; other columns are ignored. No step gathers
-    more than a block's texts and their own words and pairs, nor more of a word or pair than one row from each block.
+    more than a block's texts and their own words and pairs, nor more of a word or pair than one number from each block.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("body"), F.coalesce(training, F.lit(False)).alias("train"))
     size = texts.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
@@ -153,42 +198,51 @@ def score(docs: DataFrame, training: Column, min_word: int = 10, min_share: floa
 
     buckets = 2 * blocks
 
+    binary = "block int, bucket int, packed binary"
+
+    def packed(block: int, buckets: np.ndarray, parts: list[bytes]) -> pa.Table:
+        return _freed(pa.table([pa.array([block] * len(parts), pa.int32()), pa.array(buckets, pa.int32()), pa.array(parts, pa.binary())], ["block", "bucket", "packed"]))
+
     def count_words(group: pa.Table) -> pa.Table:
         t = Tokens(_column(group, "body"))
         train = _column(group, "train").to_numpy(zero_copy_only=False).astype(bool)
         n = np.bincount(t.codes[train[t.text]], minlength=t.end + 1)
-        block = np.full(len(n), group.column("block")[0].as_py(), np.int32)
-        return _freed(pa.table({"word": t.words, "block": block, "code": pa.array(np.arange(len(n)), pa.int32()), "n": pa.array(n, pa.int64())}))
-
-    of_word = Window.partitionBy("word")
-    words = texts.groupBy("block").applyInArrow(count_words, "word string, block int, code int, n long")
-    words = words.select("block", "code", "word", F.sum("n").over(of_word).alias("c"), (F.col("block") == F.min("block").over(of_word)).alias("first")).withColumn("at", F.monotonically_increasing_id())
-    words = stored(words.select("block", "code", "c", "first", (F.col("word") == END).alias("end"), F.min("at").over(of_word).alias("id")), "words")
-    total = words.where("first").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.max(F.when(F.col("end"), F.col("c"))).alias("texts")).first()
-    n, v, starts = total["n"] or 0, total["v"] or 0, total["texts"] or 0
-    least = max(min_word, min_share * n)
+        own = Words(t.numbers(), buckets)
+        n = n[own.order]
+        return packed(group.column("block")[0].as_py(), own.buckets, [_bytes(np.concatenate((np.diff(own.numbers[s:e], prepend=0), n[s:e]))) for s, e in zip(own.starts.tolist(), own.ends.tolist())])
+
+    def sum_words(group: pa.Table) -> pa.Table:
+        sums = Sums(group, min_word)
+        m, c = len(sums.own), sums.c
+        end = word_numbers(pa.array([END]))[0]
+        said = [c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum(), c[sums.words == end].sum()]
+        none = lambda kind: pa.nulls(1, kind)
+        columns = [pa.concat_arrays((_column(group, "block"), none(pa.int32()))), pa.concat_arrays((_column(group, "bucket"), none(pa.int32()))), pa.concat_arrays((pa.array([_bytes(np.concatenate((c[own], sums.place[own][sums.frequent[own]]))) for own in sums.own], pa.binary()), none(pa.binary())))]
+        columns += [pa.concat_arrays((pa.nulls(m, pa.int64()), pa.array([int(x)], pa.int64()))) for x in said]
+        return _freed(pa.table(columns, ["block", "bucket", "packed", "n", "v", "n1", "n2", "texts"]))
+
+    asked_words = stored(texts.groupBy("block").applyInArrow(count_words, binary), "words")
+    counted = stored(asked_words.groupBy("bucket").applyInArrow(sum_words, f"{binary}, n long, v long, n1 long, n2 long, texts long"), "counts")
+    total = counted.where("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2", "texts")]).first()
+    n, v, starts = total["n"], total["v"], total["texts"]
     taken = min(0.9, max(0.1, total["n1"] / (total["n1"] + 2 * total["n2"]))) if total["n1"] else 0.5
+    counts = counted.where("block is not null").select("block", "bucket", "packed")
 
-    def own_ids(t: Tokens, code: np.ndarray, id_: np.ndarray) -> np.ndarray:
-        ids = np.full(t.end + 1, -2, np.int64)
-        ids[code] = id_
-        return ids
-
-    def count_pairs(group: pa.Table, model: pa.Table) -> pa.Table:
-        block, bucket, packed = [], [], []
-        if len(group):
-            t = Tokens(_column(group, "body"))
-            own = Pairs(t, own_ids(t, _column(model, "code").to_numpy(), _column(model, "id").to_numpy()), buckets)
-            n = own.times(_column(group, "train").to_numpy(zero_copy_only=False).astype(bool)[t.text])
-            bucket = own.buckets.tolist()
-            block = [group.column("block")[0].as_py()] * len(bucket)
-            packed = [_bytes(np.concatenate((np.diff(own.h[s:e], prepend=0), own.w[s:e], n[s:e]))) for s, e in zip(own.starts.tolist(), own.ends.tolist())]
-        return _freed(pa.table([pa.array(block, pa.int32()), pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], ["block", "bucket", "packed"]))
+    def by_bucket(rows: pa.Table) -> dict[int, bytes]:
+        return dict(zip(rows.column("bucket").to_pylist(), rows.column("packed").to_pylist()))
+
+    def count_pairs(group: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(group):
+            return packed(0, np.zeros(0, np.int32), [])
+        t = Tokens(_column(group, "body"))
+        own = Pairs(t, Words(t.numbers(), buckets).counts(by_bucket(told), buckets, min_word)[1], buckets)
+        times = own.times(_column(group, "train").to_numpy(zero_copy_only=False).astype(bool)[t.text])
+        return packed(group.column("block")[0].as_py(), own.buckets, [_bytes(np.concatenate((own.h[s:e], own.w[s:e], times[s:e]))) for s, e in zip(own.starts.tolist(), own.ends.tolist())])
 
     def sum_pairs(group: pa.Table) -> pa.Table:
         parts = [_numbers(x).reshape(3, -1) for x in group.column("packed").to_pylist()]
         size = [p.shape[1] for p in parts]
-        h, h_at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+        h, h_at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         w, w_at = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
         n = np.concatenate([p[2] for p in parts])
         del parts
@@ -203,17 +257,27 @@ def score(docs: DataFrame, training: Column, min_word: int = 10, min_share: floa
         m, k = len(answers), len(some)
         none = lambda length, kind: pa.nulls(length, kind)
         columns = [(_column(group, "block"), none(k, pa.int32())), (_column(group, "bucket"), none(k, pa.int32())), (pa.array(answers, pa.binary()), none(k, pa.binary())), (none(m, pa.int64()), pa.array(h[some])), (none(m, pa.float64()), pa.array(used[some], pa.float64()))]
-        return _freed(pa.table([pa.concat_arrays(x) for x in columns], ["block", "bucket", "answer", "h", "used"]))
+        return _freed(pa.table([pa.concat_arrays(x) for x in columns], ["block", "bucket", "packed", "h", "used"]))
 
-    frequent = words.where(F.col("c") >= least).select("block", "code", "id")
-    asked = texts.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(count_pairs, "block int, bucket int, packed binary")
-    pairs = stored(asked.groupBy("bucket").applyInArrow(sum_pairs, "block int, bucket int, answer binary, h long, used double"), "pairs")
-    used = pairs.where("h is not null").groupBy("h").agg(F.sum("used").alias("used"))
+    asked = texts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(count_pairs, binary)
+    pairs = stored(asked.groupBy("bucket").applyInArrow(sum_pairs, f"{binary}, h long, used double"), "pairs")
+    used = stored(pairs.where("h is not null").groupBy("h").agg(F.sum("used").alias("used")), "used")
     start_used = used.where(F.col("h") == START).agg(F.max("used")).first()[0] or 0.0
-    states = words.where(F.col("c") >= least).join(used, F.col("id") == F.col("h"), "left").select("block", "code", "id", "c", F.coalesce("used", F.lit(0.0)).alias("used"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("answer"))
-    rest = words.where(F.col("c") < least).select("block", "code", F.lit(None).cast("long").alias("id"), "c", F.lit(None).cast("double").alias("used"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("answer"))
-    answers = pairs.where("h is null").select("block", F.lit(None).cast("int").alias("code"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("used"), "bucket", "answer")
-    model = states.union(rest).union(answers)
+
+    def share(group: pa.Table, used: pa.Table) -> pa.Table:
+        """The mass that each block's frequent words keep for their arcs."""
+        if not len(group):
+            return packed(0, np.zeros(0, np.int32), [])
+        sums = Sums(group, min_word)
+        mass = np.zeros(int(sums.frequent.sum()))
+        mass[_column(used, "h").to_numpy() // buckets] = _column(used, "used").to_numpy()
+        parts = [_bytes(mass[sums.place[own][sums.frequent[own]]].view("<i8")) for own in sums.own]
+        return _freed(pa.table([_column(group, "block"), _column(group, "bucket"), pa.array(parts, pa.binary())], ["block", "bucket", "packed"]))
+
+    own_used = used.where(F.col("h") != START).select(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"), "h", "used")
+    shares = asked_words.groupBy("bucket").cogroup(own_used.groupBy("bucket")).applyInArrow(share, binary)
+    kind = lambda df, k: df.select("block", "bucket", "packed", F.lit(k).alias("kind"))
+    model = kind(counts, 0).union(kind(shares, 1)).union(kind(pairs.where("h is null"), 2))
 
     def walk(group: pa.Table, model: pa.Table) -> pa.Table:
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -221,32 +285,32 @@ def score(docs: DataFrame, training: Column, min_word: int = 10, min_share: floa
         if not len(group):
             return pa.table([pa.array([], k) for k in kinds], names)
         t = Tokens(_column(group, "body"))
-        own = model.filter(pc.is_valid(model.column("code")))
-        code = _column(own, "code").to_numpy()
-        c, mass = np.zeros(t.end + 1, np.int64), np.full(t.end + 1, -1.0)
-        c[code] = _column(own, "c").to_numpy()
-        mass[code] = _column(own, "used").fill_null(-1.0).to_numpy()
-        is_state = mass >= 0
+        told = [by_bucket(model.filter(pc.equal(model.column("kind"), k))) for k in range(3)]
+        own = Words(t.numbers(), buckets)
+        c, ids = own.counts(told[0], buckets, min_word)
+        is_state, mass = ids >= 0, np.full(t.end + 1, -1.0)
+        at = own.order[is_state[own.order]]
+        mass[at] = np.concatenate([_numbers(told[1][b]) for b in own.buckets.tolist()]).view("<f8")
         width = t.end + 2
         prob = np.where(c > 0, (c - taken) / max(n, 1), taken * v / n if n else 1.0)
         gamma = np.ones(width)
         gamma[:-1][is_state] = 1 - mass[is_state] / c[is_state]
         gamma[-1] = 1 - start_used / starts if starts else 1.0
         # the answers to this block's pairs, bucket by bucket
-        pair = Pairs(t, own_ids(t, code, _column(own, "id").fill_null(-2).to_numpy()), buckets)
-        told = model.filter(pc.is_valid(model.column("bucket")))
-        answer = dict(zip(told.column("bucket").to_pylist(), told.column("answer").to_pylist()))
+        pair, answer = Pairs(t, ids, buckets), told[2]
         seen = np.zeros(len(pair.every), np.int64)
         for bucket, s, e in zip(pair.buckets.tolist(), pair.starts.tolist(), pair.ends.tolist()):
             bits = -(-(e - s) // 8)
             at = s + np.flatnonzero(np.unpackbits(np.frombuffer(answer[bucket], np.uint8, bits), count=e - s))
             seen[at] = _numbers(answer[bucket][bits:])
-        every, seen = pair.every[pair.order][seen > 0], seen[seen > 0]
+        counted = np.zeros(len(pair.every), np.int64)
+        counted[pair.order] = seen
+        every, seen = pair.every[counted > 0], counted[counted > 0]
         h, w = every // width, every % width
         arc = np.log10((seen - discount) / np.append(c, starts)[h] + gamma[h] * prob[w])
-        del own, pair, told, answer, model
-        automaton = Automaton(width, dict(zip(every.tolist(), arc.tolist())), np.log10(gamma).tolist(), np.log10(prob).tolist(), is_state.tolist())
-        scores = [automaton.walk(t.codes[s : s + m].tolist(), t.end + 1) for s, m in zip(t.starts.tolist(), t.sizes.tolist())]
+        del own, pair, told, answer, model, ids
+        automaton = Automaton(width, every, arc, np.log10(gamma), np.log10(prob), is_state)
+        scores = np.bincount(t.text, weights=automaton.walk(t.codes, t.starts, t.end + 1), minlength=len(group))
         base = np.bincount(t.text, weights=np.log10(c + 1.0)[t.codes], minlength=len(group)) - t.sizes * np.log10(float(n + v + 1))
         known = np.bincount(t.text, weights=(c > 0)[t.codes], minlength=len(group)).astype(np.int64)
         return _freed(pa.table([_column(group, "id"), _column(group, "train"), pa.array(t.sizes, pa.int64()), pa.array(known), pa.array(np.full(len(group), n, np.int64)), pa.array(base), pa.array(scores, pa.float64())], names))

@@ -74,15 +74,6 @@ def test_scores_equal_a_direct_model(spark, sf_dir):
     assert sum(g[6] for g in held) > sum(g[5] for g in held)
 
 
-def test_states_hold_a_share_of_all_tokens(spark):
-    rows = [(i, "a b " * 30 + f"rare{i} c " * 3) for i in range(40)]
-    direct_rare = check(spark, rows, min_word=1, min_pair=1, min_share=0)
-    docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], SCHEMA)
-    shared = sorted((str(r[0]), *r[1:]) for r in lm.score(docs, id_crc_mod("doc_id", 7) != 2, min_word=1, min_pair=1, min_share=0.02).collect())
-    n = direct_rare[0][4]
-    assert n * 0.02 > 3 and [s[:6] for s in shared] == [d[:6] for d in direct_rare] and [s[6] for s in shared] != [d[6] for d in direct_rare]
-
-
 @pytest.mark.parametrize("rows", [[(2, "a b a b")], [(i, "a b c") for i in range(1, 9)], [(3, None)]])
 def test_small_tables(spark, rows):
     check(spark, rows, min_word=1, min_pair=1, least_blocks=2)
