@@ -23,10 +23,20 @@ def query_terms(queries: DataFrame, distinct: bool = False, most: int | None = N
     return queries.select("query_id", F.explode(found).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+MOST_BROADCAST = 200_000
+
+
+def _meet(dealt: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """An equi-join of exploded rows with what is asked. Spark's estimate doesn't see the explode and may take the large side for
+    small: what is asked is broadcast if it is counted to be small, else both sides are shuffled."""
+    small = asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return dealt.join(F.broadcast(asked), key) if small else dealt.hint("merge").join(asked, key)
+
+
 def postings(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(chunk_id, term, tf, size)`` of the wanted terms: a chunk's other terms never leave its row's task."""
     tokens = chunks.select("chunk_id", terms("content").alias("tokens")).withColumn("size", F.size("tokens"))
-    return tokens.select("chunk_id", "size", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term").groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
+    return _meet(tokens.select("chunk_id", "size", F.explode("tokens").alias("term")), wanted.select("term").distinct(), "term").groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
 
 
 def _cut_hits(scored: DataFrame, chunks: DataFrame, top_k: int, order: list) -> DataFrame:
@@ -98,7 +108,7 @@ def substring_matches(texts: DataFrame, terms_: DataFrame) -> DataFrame:
     for n in sorted((r["n"] for r in sized.select("n").distinct().collect()), reverse=True) or _GRAMS[:1]:  # three at most
         body = F.col("body")
         dealt = texts.where(F.char_length("body") >= n).withColumn("gram", F.explode(F.array_distinct(grams(body, n))))
-        part = dealt.join(key.where(F.col("n") == n).select("term", "gram"), "gram").where(F.contains("body", "term")).drop("gram")
+        part = _meet(dealt, key.where(F.col("n") == n).select("term", "gram"), "gram").where(F.contains("body", "term")).drop("gram")
         found = part if found is None else found.union(part)
     return found
 
@@ -115,7 +125,7 @@ def passage_matches(texts: DataFrame, passages: DataFrame) -> DataFrame:
     own = texts.withColumn("__row", F.monotonically_increasing_id()).withColumn("__words", F.split("body", r"\s+"))
     starts = F.when(F.size("__words") >= 3, F.sequence(F.lit(0), F.size("__words") - 3)).otherwise(F.array().cast("array<int>"))
     dealt = own.select(*texts.columns, F.explode(F.array_distinct(F.transform(starts, lambda i: three(F.col("__words"), i)))).alias("__key"))
-    found = dealt.join(long, "__key").where(F.contains("body", "passage")).drop("__key")
+    found = _meet(dealt, long, "__key").where(F.contains("body", "passage")).drop("__key")
     short = passages.where(F.size(words) < 5)
     if short.isEmpty():
         return found
