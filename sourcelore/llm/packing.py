@@ -37,6 +37,11 @@ _PLAIN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xA
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
+def byte_characters(text: str) -> str:
+    """A text's bytes as byte-level vocabularies write them."""
+    return text.encode().decode("latin-1").translate(_BYTES)
+
+
 class WordIds:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelore.llm import html, lines, lm, mixing, packing, simhash, substrings, toxicity, vectors
+from sourcelore.llm import html, lines, lm, mixing, packing, simhash, substrings, tokens, toxicity, vectors
 from sourcelore.llm.common import id_crc_mod
 
 
@@ -62,6 +62,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), alpha=0.5, total=1.0, seed=42)
 
 
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_html": op2_html,
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_vectors": op9_vectors,
     "op10_mixing": op10_mixing,
+    "op13_tokens": op13_tokens,
 }
 
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
