@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelore.llm import html, lines, lm, mixing, packing, simhash, substrings, tokens, toxicity, vectors
+from sourcelore.llm import html, lines, lm, mixing, packing, ranked, simhash, substrings, tokens, toxicity, vectors
 from sourcelore.llm.common import id_crc_mod
 
 
@@ -62,6 +62,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), alpha=0.5, total=1.0, seed=42)
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -78,12 +82,16 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_vectors": op9_vectors,
     "op10_mixing": op10_mixing,
+    "op11_ranked": op11_ranked,
     "op13_tokens": op13_tokens,
 }
 
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _UNIFORM = "(('0x' || substr(md5({}), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0"
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"unnest(regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+
 ORACLES = {
     "op6_lines": f"""
         WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -108,4 +116,16 @@ ORACLES = {
         copies AS (SELECT doc_id, rate, n, unnest(generate_series(1, n))::INTEGER AS mix_copy FROM times)
         SELECT d.*, c.n AS mix_copies, c.rate AS mix_rate, c.mix_copy, {_UNIFORM.format("'42:order:' || d.doc_id || ':' || c.mix_copy")} AS mix_key
         FROM documents d JOIN copies c ON d.doc_id = c.doc_id""",
+    "op11_ranked": f"""
+        WITH held AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, {_TERMS} AS term FROM documents) GROUP BY ALL),
+        sized AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM held GROUP BY doc_id),
+        total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sized),
+        asked AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, {_TERMS} AS term FROM benchmark) GROUP BY ALL),
+        weighed AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+                    FROM held, total WHERE term IN (SELECT term FROM asked) GROUP BY term),
+        measured AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM sized, total),
+        scored AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+                   FROM asked JOIN weighed USING (term) JOIN held USING (term) JOIN measured USING (doc_id) GROUP BY ALL)
+        SELECT item_id, rank, doc_id, score FROM
+        (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0) WHERE rank <= 20""",
 }
