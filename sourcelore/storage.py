@@ -38,8 +38,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, name: str = "table") -> DataFrame:
+def durable(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: a cut of the lineage that outlives executors.
+    Rows of one value of ``by`` go to a folder of their own, so that a filter on it reads no others.
 
     The shuffle files of the write go as soon as it ends, so that the steps of a long job don't pile up on disk.
     """
@@ -48,7 +49,7 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
