@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelore.llm import html, lines, lm, mixing, packing, ranked, simhash, substrings, tokens, toxicity, vectors
+from sourcelore.llm import collocations, html, lines, lm, mixing, packing, ranked, simhash, substrings, tokens, toxicity, vectors
 from sourcelore.llm.common import id_crc_mod
 
 
@@ -66,6 +66,11 @@ def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"), min_count=10, max_words=3, within_percent=50, top=2000)
+    return found.drop("words")
+
+
 def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -83,6 +88,7 @@ QUERIES = {
     "op9_vectors": op9_vectors,
     "op10_mixing": op10_mixing,
     "op11_ranked": op11_ranked,
+    "op12_collocations": op12_collocations,
     "op13_tokens": op13_tokens,
 }
 
@@ -128,4 +134,28 @@ ORACLES = {
                    FROM asked JOIN weighed USING (term) JOIN held USING (term) JOIN measured USING (doc_id) GROUP BY ALL)
         SELECT item_id, rank, doc_id, score FROM
         (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0) WHERE rank <= 20""",
+    "op12_collocations": f"""
+        WITH pieces AS (SELECT lang, doc, unnest(ps) AS piece, generate_subscripts(ps, 1) AS p FROM
+             (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents)),
+        words AS (SELECT lang, doc, p, list_filter(regexp_split_to_array(piece, '[ \\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+        placed AS (SELECT lang, doc, p, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM words),
+        runs AS (SELECT lang, w AS w1, lead(w) OVER own AS w2, lead(w, 2) OVER own AS w3 FROM placed WINDOW own AS (PARTITION BY doc, p ORDER BY i)),
+        f1 AS (SELECT lang, w1, count(*)::HUGEINT AS a FROM runs GROUP BY ALL),
+        total AS (SELECT lang, sum(a)::BIGINT AS n FROM f1 GROUP BY lang),
+        f2 AS (SELECT lang, w1, w2, count(*)::HUGEINT AS a FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS a FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        around AS (SELECT lang, w1, w2, max(a) AS most FROM (SELECT lang, w1, w2, a FROM f3 UNION ALL SELECT lang, w2, w3, a FROM f3) GROUP BY ALL),
+        cuts AS (SELECT b.lang, b.w1 || ' ' || b.w2 AS phrase, b.a, x.a AS l, y.a AS r, 1 AS k
+                 FROM f2 b JOIN f1 x ON b.lang = x.lang AND b.w1 = x.w1 JOIN f1 y ON b.lang = y.lang AND b.w2 = y.w1
+                 LEFT JOIN around o ON b.lang = o.lang AND b.w1 = o.w1 AND b.w2 = o.w2 WHERE o.most IS NULL OR 100 * o.most < 50 * b.a
+                 UNION ALL
+                 SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.a, x.a, y.a, 1
+                 FROM f3 c JOIN f1 x ON c.lang = x.lang AND c.w1 = x.w1 JOIN f2 y ON c.lang = y.lang AND c.w2 = y.w1 AND c.w3 = y.w2
+                 UNION ALL
+                 SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.a, x.a, y.a, 2
+                 FROM f3 c JOIN f2 x ON c.lang = x.lang AND c.w1 = x.w1 AND c.w2 = x.w2 JOIN f1 y ON c.lang = y.lang AND c.w3 = y.w1),
+        scored AS (SELECT *, (1000000::HUGEINT * a * a) // (l * r) AS score FROM cuts),
+        least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least)
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }
