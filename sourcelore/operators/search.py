@@ -181,9 +181,14 @@ def _first_of_chunk(rows: DataFrame, order: list, top_k: int) -> DataFrame:
     return _ranked(rows, ["query_id"], order).where(F.col("rank") <= top_k)
 
 
+def _names_once(names: DataFrame) -> DataFrame:
+    """A name that a query has more than once counts where it stands first."""
+    return names.groupBy("query_id", "name").agg(F.min("name_order").alias("name_order"))
+
+
 def symbol_hits(names: DataFrame, symbols: DataFrame, occurrences: DataFrame, chunks: DataFrame, top_k: int = 20) -> DataFrame:
     """Exact symbols: per name its first 3k places (definitions, declarations, other), then by name; one row a chunk."""
-    found = names.join(symbols.select(F.col("id").alias("logical_symbol_id"), "name"), "name").join(occurrences.select("logical_symbol_id", "role", "file_id", "start_line", "end_line"), "logical_symbol_id")
+    found = _names_once(names).join(symbols.select(F.col("id").alias("logical_symbol_id"), "name"), "name").join(occurrences.select("logical_symbol_id", "role", "file_id", "start_line", "end_line"), "logical_symbol_id")
     found = overlapping(found, chunks.select("chunk_id", "file_id", "path", "repository", "snapshot_id", "start_line", "end_line"))
     role = F.when(F.col("role") == "definition", 0).when(F.col("role") == "declaration", 1).otherwise(2)
     found = _ranked(found, ["query_id", "name"], [role, "path", "start_line", "chunk_id"], "of_name").where(F.col("of_name") <= min(3 * top_k, 100))
@@ -192,6 +197,7 @@ def symbol_hits(names: DataFrame, symbols: DataFrame, occurrences: DataFrame, ch
 
 def relation_hits(names: DataFrame, symbols: DataFrame, relations: DataFrame, chunks: DataFrame, top_k: int = 20) -> DataFrame:
     """Relations whose source, target or text has one of the names: three equi-joins, united; never an OR join."""
+    names = _names_once(names)
     ids = names.join(symbols.select(F.col("id").alias("symbol_id"), "name"), "name").select("query_id", "name_order", "symbol_id")
     rel = relations.select(F.col("id").alias("relation_id"), F.col("source_file_id").alias("file_id"), "source_symbol_id", "target_symbol_id", "target_text", "start_line", "end_line", "confidence")
     cols = ["query_id", "name_order", "relation_id", "file_id", "start_line", "end_line", "confidence"]

@@ -222,8 +222,9 @@ ORACLES = {
         h AS (SELECT name, id FROM rel JOIN ids ON source_symbol_id = logical_symbol_id UNION SELECT name, id FROM rel JOIN ids ON target_symbol_id = logical_symbol_id UNION SELECT name, id FROM rel JOIN n ON target_text = name),
         r AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY snapshot_id, path, start_line, kind, id)::INTEGER AS rank, path, start_line FROM h JOIN rel USING (id) QUALIFY rank <= 20)
         SELECT name, 'occurrence' AS part, rank, path, start_line FROM o UNION ALL SELECT name, 'relation', rank, path, start_line FROM r""",
-    "sym1_symbols": f"""WITH {D}, f AS (SELECT n.query_id, n.name, n.name_order, s.role, s.start_line, c.chunk_id, c.path FROM names n JOIN defs s USING (name) JOIN {_OVER}),
-        g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, name ORDER BY CASE role WHEN 'definition' THEN 0 ELSE 1 END, path, start_line, chunk_id) <= 30),
+    "sym1_symbols": f"""WITH {D}, once AS (SELECT query_id, name, min(name_order) AS name_order FROM names GROUP BY ALL),
+        f AS (SELECT n.query_id, n.name, n.name_order, s.role, s.start_line, c.chunk_id, c.path FROM once n JOIN defs s USING (name) JOIN {_OVER}),
+        g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, name ORDER BY CASE role WHEN 'definition' THEN 0 WHEN 'declaration' THEN 1 ELSE 2 END, path, start_line, chunk_id) <= 30),
         k AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY name_order, CASE role WHEN 'definition' THEN 0 ELSE 1 END, path, start_line) = 1)
         SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY name_order, CASE role WHEN 'definition' THEN 0 ELSE 1 END, path, start_line, chunk_id)::INTEGER AS rank FROM k QUALIFY rank <= 10""",
     "rel1_relations": f"""WITH {C}, ids AS (SELECT DISTINCT query_id, name_order, logical_symbol_id FROM names JOIN defs USING (name)),

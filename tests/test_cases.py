@@ -283,3 +283,17 @@ def test_hashed_vectors_equal_a_plain_count(spark, sf_dir):
             want[zlib.crc32(w.encode()) % 64] += 1 if zlib.crc32(w.encode()) & 0x10000 else -1
         size = math.sqrt(sum(x * x for x in want)) or 1
         assert list(r.v) == pytest.approx([x / size for x in want], abs=1e-6)
+
+
+def test_repeated_names_of_a_query_count_where_they_stand_first(spark):
+    symbols = spark.createDataFrame([("s1", "alpha"), ("s2", "beta")], "id string, name string")
+    places = [("s1", "declaration", 8), ("s1", "definition", 30), ("s1", "use", 2), ("s2", "definition", 41)]
+    occurrences = spark.createDataFrame([(s, r, "f", n, n) for s, r, n in places], "logical_symbol_id string, role string, file_id string, start_line int, end_line int")
+    chunks = spark.createDataFrame([(f"c{i}", "f", "p", "r", "s", 10 * i, 10 * i + 9) for i in range(5)], "chunk_id string, file_id string, path string, repository string, snapshot_id string, start_line int, end_line int").withColumn("kind", F.lit("k"))
+    relations = spark.createDataFrame([(f"r{n}", "f", a, b, "x", n, n, "source_exact") for a, b, n in (("s1", None, 12), ("s2", "s1", 22), (None, "s2", 3))], "id string, source_file_id string, source_symbol_id string, target_symbol_id string, target_text string, start_line int, end_line int, confidence string")
+    once = spark.createDataFrame([(1, "alpha", 0), (1, "beta", 1)], "query_id int, name string, name_order int")
+    twice = once.union(spark.createDataFrame([(1, "alpha", 5), (1, "beta", 2), (1, "alpha", 9)], once.schema))
+    for k in (1, 2, 20):
+        by = lambda names: [[(r.rank, r.chunk_id, r.name_order) for r in f.orderBy("rank").collect()] for f in (S.symbol_hits(names, symbols, occurrences, chunks, k), S.relation_hits(names, symbols, relations, chunks, k))]  # noqa: B023, E731
+        assert by(once) == by(twice)
+    assert by(once)[0] == [(1, "c3", 0), (2, "c0", 0), (3, "c4", 1)]
