@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sourcelore.functions.ids import stable_id
 from sourcelore.functions.text import decoded, terms
+from sourcelore.operators import index
 from sourcelore.operators.chunks import chunk_rows, line_chunks
 from sourcelore.sources.tree import scan
-from sourcelore.storage import durable
+from sourcelore.storage import durable, scratch, version
 
 CHUNK_LINES, CHUNK_OVERLAP = 6, 2
 
@@ -30,9 +31,32 @@ def changed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("source").alias("repository"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), text.cast("binary").alias("content"))
 
 
+#: What ingest has stored in this process: by application, table and the table's version.
+_stored: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, make):
+    key = (what, spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _stored:
+        _stored[key] = make()
+    return _stored[key]
+
+
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks, written once: search reads them several times."""
-    return durable(chunks(spark, sf_dir), "chunks")
+    """The chunks as ingest stores them: cut once for each version of the documents, and read by every search."""
+    return spark.read.parquet(_once(spark, sf_dir, "chunks", lambda: durable(chunks(spark, sf_dir), "chunks").stored_at))
+
+
+def word_index(spark: SparkSession, sf_dir: str) -> index.WordIndex:
+    """The stored index of these chunks, written in two batches: the repositories of even number, then the others."""
+
+    def made() -> str:
+        path, rows = scratch(spark, "index"), chunk_table(spark, sf_dir)
+        index.add_snapshots(rows.where("cast(substring(repository, 4) as int) % 2 = 0"), path)
+        index.add_snapshots(rows, path)
+        return path
+
+    return index.WordIndex(spark, _once(spark, sf_dir, "index", made))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

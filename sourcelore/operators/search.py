@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcelore.functions.text import identifiers, lines, terms
+from sourcelore.operators.automaton import lines_with
 from sourcelore.storage import durable
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -137,20 +138,22 @@ def passage_matches(texts: DataFrame, passages: DataFrame) -> DataFrame:
 def fixed_strings(files: DataFrame, queries: DataFrame, top_k: int = 10, per_file: int = 20, most_hits: int = 2_000, samples: int = 8) -> DataFrame:
     """The baseline: case-sensitive substrings, ``queries(query_id, query_terms)``; a file scores 100 for each distinct term
     and 1 for each hit up to 50. At most 20 lines of a file and 2,000 of a term count; ``truncated_terms`` says how many of
-    the query's terms had more. ``hits`` are the file's first 8 by line and term."""
+    the query's terms had more. ``hits`` are the file's first 8 by line and term. One pass finds all terms (see ``automaton``)."""
     wanted = queries.select("query_id", F.explode(F.array_distinct("query_terms")).alias("term")).where(F.char_length("term").between(1, 128))
-    distinct = wanted.select("term").distinct()
-    own = files.select("path", F.posexplode(lines("text")).alias("line", "body"))
-    hits = substring_matches(own, distinct)
-    hits = _ranked(hits, ["term", "path"], ["line"], "in_file").where(F.col("in_file") <= per_file)
-    hits = _ranked(hits, ["term"], ["path", "line"], "of_term")
-    found = hits.where(F.col("of_term") <= most_hits).groupBy("term", "path").agg(F.collect_list(F.col("line") + 1).alias("at"))  # per_file lines at most
-    cut = hits.where(F.col("of_term") == most_hits + 1).select("term").distinct().join(wanted, "term").groupBy("query_id").agg(F.count("*").alias("truncated_terms"))
-    places = F.flatten(F.collect_list(F.transform("at", lambda line: F.struct(line.alias("line"), F.col("term").alias("term")))))
-    scored = found.join(wanted, "term").groupBy("query_id", "path").agg(F.count("*").alias("matched_terms"), F.sum(F.size("at")).alias("hit_count"), F.slice(F.array_sort(places), 1, samples).alias("hits"))
+    found = lines_with(files, wanted, per_file, most_hits + 1)
+    by_path = Window.partitionBy("term").orderBy("path")
+    found = found.withColumn("__n", F.row_number().over(by_path)).where(F.col("__n") <= most_hits + 1).drop("__n")  # a line each at least
+    found = found.withColumn("before", F.coalesce(F.sum(F.size("at")).over(by_path.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    found = durable(found.where(F.col("before") <= most_hits), "found")
+    cut = found.where(F.col("before") + F.size("at") > most_hits).select("term").distinct().join(wanted, "term").groupBy("query_id").agg(F.count("*").alias("truncated_terms"))
+    found = found.select("term", "path", F.transform(F.slice("at", 1, (most_hits - F.col("before")).cast("int")), lambda line: line + 1).alias("at")).where(F.size("at") > 0)
+    scored = found.join(wanted, "term").groupBy("query_id", "path").agg(F.count("*").alias("matched_terms"), F.sum(F.size("at")).alias("hit_count"))
     scored = scored.withColumn("score", F.col("matched_terms") * 100 + F.least("hit_count", F.lit(50)))
-    best = _ranked(scored, ["query_id"], [F.desc("score"), "path"]).where(F.col("rank") <= top_k)
-    return best.join(cut, "query_id", "left").withColumn("truncated_terms", F.coalesce("truncated_terms", F.lit(0).cast("long")))
+    best = durable(_ranked(scored, ["query_id"], [F.desc("score"), "path"]).where(F.col("rank") <= top_k), "best")
+    # the places of the best files only
+    places = F.flatten(F.collect_list(F.transform("at", lambda line: F.struct(line.alias("line"), F.col("term").alias("term")))))
+    shown = best.select("query_id", "path").join(wanted, "query_id").join(found, ["term", "path"]).groupBy("query_id", "path").agg(F.slice(F.array_sort(places), 1, samples).alias("hits"))
+    return best.join(shown, ["query_id", "path"]).join(cut, "query_id", "left").withColumn("truncated_terms", F.coalesce("truncated_terms", F.lit(0).cast("long")))
 
 
 def query_names(queries: DataFrame) -> DataFrame:

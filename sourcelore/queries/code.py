@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sourcelore import adapters as A
@@ -151,11 +152,13 @@ def agg9_channel_counts(spark, d):
 
 
 def vec1_rerank(spark, d):
-    """Every fiftieth vector as a query; all of its label as candidates, whose first order is that of their ids."""
+    """Every fiftieth vector as a query; its candidates are the hundred best of all others by the first eight components."""
     e = A.table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("of"))
-    c = e.join(q.select("query_id", "of"), F.col("label") == F.col("of")).where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("chunk_id"), F.expr("cast(row_number() over (partition by query_id order by vec_id) as int)").alias("rank"), F.lit("r").alias("repository"), F.lit("p").alias("path"), F.lit(1).alias("start_line"))
-    got = U.rerank(c, q.select("query_id", "query_vector"), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")))
+    rough = F.slice("embedding", 1, 8).alias("vector")
+    near = U.best_products(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), rough), e.select(F.col("vec_id").alias("chunk_id"), rough), 101).where("chunk_id <> query_id")
+    c = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("rank <= 100").select("query_id", "chunk_id", "rank", F.lit("r").alias("repository"), F.lit("p").alias("path"), F.lit(1).alias("start_line"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    got = U.rerank(c, q, e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")))
     return got.select("query_id", "chunk_id", "rank", "semantic_rank", "fused_rank")
 
 
@@ -240,7 +243,9 @@ ORACLES = {
     "rrf2_repositories": f"""WITH {_CH}, loc AS (SELECT *, row_number() OVER (PARTITION BY query_id, repository ORDER BY fused DESC, best_rank, path, start_line, chunk_id)::INTEGER AS repository_rank, substr(repository, 4)::INTEGER AS ordinal FROM sums QUALIFY repository_rank <= 10)
         SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY repository_rank, ordinal, fused DESC, path, start_line, chunk_id)::INTEGER AS rank, repository_rank, ordinal FROM loc QUALIFY rank <= 10""",
     "agg9_channel_counts": f"WITH {_CH} SELECT query_id, channel, count(*)::BIGINT AS candidates FROM ch GROUP BY ALL",
-    "vec1_rerank": """WITH c AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id)::INTEGER AS rank, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) AS s FROM embeddings e JOIN embeddings q ON e.label = q.label AND q.vec_id % 50 = 0 WHERE e.vec_id <> q.vec_id),
+    "vec1_rerank": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_sum(list_transform(range(1, 9), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)), 12) AS rough, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) AS s
+            FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
+        c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rough DESC, chunk_id)::INTEGER AS rank FROM p QUALIFY rank <= 100),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id)::INTEGER AS semantic_rank FROM c)
         SELECT query_id, chunk_id, rank, semantic_rank, row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / (60 + rank) + 0.5::DOUBLE / (60 + semantic_rank) DESC, rank)::INTEGER AS fused_rank FROM r""",
     "vec2_distances": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_transform(q.embedding, lambda x: x::DOUBLE) AS a, list_transform(e.embedding, lambda x: x::DOUBLE) AS b FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0),

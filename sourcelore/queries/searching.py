@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sourcelore import adapters as A
 from sourcelore.functions.ids import stable_id
 from sourcelore.functions.text import decoded, terms
+from sourcelore.operators import index as W
 from sourcelore.operators import search as S
 from sourcelore.queries.base import CHUNKS, FILES, N_LINES, SNAPSHOT
 from sourcelore.storage import durable
@@ -35,12 +36,24 @@ def files(spark, d):
     return A.tree(spark, d).select("repository", "path", stable_id("snapshot", "repository", F.lit("r1")).alias("snapshot_id"), decoded("content").alias("text"))
 
 
+def lex1_index(spark, d):
+    """The stored index, written in two batches: every term with its chunks and its occurrences."""
+    found = A.word_index(spark, d).postings
+    return found.groupBy("term").agg(F.sum("n").alias("chunks"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("occurrences"))
+
+
 def lex1_bm25(spark, d):
+    """By the stored index and its bounds."""
+    return W.bm25(A.word_index(spark, d), A.queries(spark, d)).select(*TOP)
+
+
+def lex1_scan(spark, d):
+    """The same without an index."""
     return S.bm25(A.chunk_table(spark, d), A.queries(spark, d)).select(*TOP)
 
 
 def lex2_term_frequency(spark, d):
-    return S.term_frequency(A.chunk_table(spark, d), A.queries(spark, d)).select(*TOP)
+    return W.term_frequency(A.word_index(spark, d), A.queries(spark, d)).select(*TOP)
 
 
 def _line_hits(spark, d):
@@ -59,9 +72,8 @@ def lex3_chunks(spark, d):
 
 
 def fixed_queries(spark, d):
-    """The longer terms of each benchmark text."""
-    long = F.filter(F.array_distinct(terms("text")), lambda t: F.char_length(t) >= 7)
-    return A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), long.alias("query_terms"))
+    """The distinct terms of each benchmark text, of every length."""
+    return A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(terms("text")).alias("query_terms"))
 
 
 def lex4_fixed_strings(spark, d):
@@ -94,16 +106,18 @@ _LINE_HITS = f"""{CHUNKS}, {FEW}, l AS (SELECT repository, path, string_split(te
     f AS (SELECT *, greatest(s, sum(s) OVER (PARTITION BY query_id, repository, path))::BIGINT AS score FROM m),
     line_hit AS (SELECT query_id, repository, path, line, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, repository, path, line)::INTEGER AS n FROM f QUALIFY n <= 50)"""
 
-QUERIES = {f.__name__: f for f in (lex1_bm25, lex2_term_frequency, lex3_lines, lex3_chunks, lex4_fixed_strings, jon10_locations, jon11_context)}
+QUERIES = {f.__name__: f for f in (lex1_index, lex1_bm25, lex1_scan, lex2_term_frequency, lex3_lines, lex3_chunks, lex4_fixed_strings, jon10_locations, jon11_context)}
 ORACLES = {
+    "lex1_index": f"WITH {CHUNKS}, token AS (SELECT chunk_id, unnest({WORDS.format('content')}) AS term FROM chunks) SELECT term, count(DISTINCT chunk_id)::BIGINT AS chunks, count(*)::BIGINT AS occurrences FROM token GROUP BY term",
     "lex1_bm25": f"WITH {BM25}, {CUT} SELECT * FROM top",
+    "lex1_scan": f"WITH {BM25}, {CUT} SELECT * FROM top",
     "lex2_term_frequency": f"""WITH {CHUNKS}, {FEW}, token AS (SELECT chunk_id, unnest({WORDS.format('content')}) AS term FROM chunks),
         scored AS (SELECT query_id, chunk_id, round((count(*) * 0.1)::DOUBLE, 6) AS score FROM few_asked JOIN token USING (term) GROUP BY ALL), {CUT} SELECT * FROM top""",
     "lex3_lines": f"WITH {_LINE_HITS} SELECT query_id, repository, path, line, score, n FROM line_hit",
     "lex3_chunks": f"""WITH {_LINE_HITS}, met AS (SELECT h.*, c.chunk_id FROM line_hit h JOIN chunks c ON h.repository = c.repository AND h.path = c.path AND h.line BETWEEN c.start_line AND c.end_line QUALIFY row_number() OVER (PARTITION BY h.query_id, h.n ORDER BY c.end_line - c.start_line, c.ordinal) = 1),
         one AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY n) = 1) SELECT query_id, path, line, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n)::INTEGER AS rank FROM one QUALIFY rank <= 10""",
     "lex4_fixed_strings": f"""WITH {FILES}, words AS (SELECT item_id AS query_id, {WORDS.format('text')} AS ws FROM benchmark),
-        placed AS (SELECT query_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS pos FROM words), firsts AS (SELECT query_id, term, min(pos) AS pos FROM placed WHERE length(term) >= 7 GROUP BY ALL),
+        placed AS (SELECT query_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS pos FROM words), firsts AS (SELECT query_id, term, min(pos) AS pos FROM placed GROUP BY ALL),
         asked AS (SELECT query_id, term FROM firsts),
         l AS (SELECT path, string_split(text, chr(10)) AS ls FROM files), n AS (SELECT path, unnest(ls) AS body, generate_subscripts(ls, 1) AS line FROM l),
         h AS (SELECT term, path, line FROM n JOIN (SELECT DISTINCT term FROM asked) t ON contains(n.body, t.term) QUALIFY row_number() OVER (PARTITION BY term, path ORDER BY line) <= 20),

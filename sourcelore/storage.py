@@ -57,6 +57,22 @@ def durable(df: DataFrame, name: str = "table", by: str | None = None) -> DataFr
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def version(spark: SparkSession, path: str) -> str:
+    """What tells one state of a stored table from another: the newest change and the size of all its files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary, listing = fs.getContentSummary(at), fs.listFiles(at, True)
+    newest = 0
+    while listing.hasNext():
+        newest = max(newest, listing.next().getModificationTime())
+    return f"{summary.getFileCount()}-{summary.getLength()}-{newest}"
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete what ``durable`` wrote for tables that no later step reads."""
     for table in tables:
