@@ -2,7 +2,7 @@
 
 Texts are cut into words once, in blocks, and blocks are dealt out to a few shards. Shards are scanned in a cycle, and one
 scan counts phrases of all lengths at once: words from the first scan on, a longer phrase from the scan after both its
-subphrases (all words but the last, all but the first) have been found often enough so far. A phrase is counted until it
+subphrases (all words but the last, all but the first) are seen to have been found often enough so far. A phrase is counted until it
 has seen each block once, from wherever in the cycle it began. So most pairs and triples are complete shortly after the
 words are, not a whole pass later for each length, and a phrase with a rare part is never counted.
 
@@ -26,29 +26,31 @@ from sourcelore.llm.common import dropped, stored, whole_text
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b == 0x09 else 0x0A if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 _GRAMS = "block long, level int, left long, right long, n long"
-_WORD = pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
 
-def coded(texts: dict[str, list[bytes]]) -> tuple[np.ndarray, list[dict]]:
-    """A block's words by number, text by text, with 0 where a piece ends; and the words from number 1 on, most frequent
-    first, each with its language and how often it occurs. ``texts``: by language."""
-    parts, known, made = [np.zeros(1, np.int64)], [], 1
+def coded(texts: dict[str, list[bytes]]) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """A block's words by number, text by text, with 0 where a piece ends; and of the words from number 1 on, most frequent
+    first, the language, the word and how often it occurs. ``texts``: by language."""
+    parts, known, langs, made = [np.zeros(1, np.int64)], [], [], 1
     for lang in sorted(texts):
         found = pa.array(b"\n".join(texts[lang]).translate(_LOWER).replace(b"\n", b" \n ").split(b" "), pa.binary()).dictionary_encode()
-        words = found.dictionary.to_pylist()
-        real = np.array([w not in (b"", b"\n") for w in words], bool)
+        words = found.dictionary
+        real = ~np.isin(np.arange(len(words)), [words.index(w).as_py() for w in (b"", b"\n")])
         number = np.where(real, np.cumsum(real) - 1 + made, 0)
-        number[[i for i, w in enumerate(words) if w == b""]] = -1
+        empty = words.index(b"").as_py()
+        if empty >= 0:
+            number[empty] = -1
         codes = number[found.indices.to_numpy()]
         parts += [codes[codes >= 0], np.zeros(1, np.int64)]
-        known += [(lang, w.decode()) for w in words if w not in (b"", b"\n")]
-        made = 1 + len(known)
+        known.append(words.filter(pa.array(real)).cast(pa.string()))
+        langs.append(pa.array([lang], pa.string()).take(pa.array(np.zeros(len(known[-1]), np.int32))))
+        made += len(known[-1])
     codes = np.concatenate(parts)
     n = np.bincount(codes, minlength=made)
     order = np.argsort(-n[1:], kind="stable")
     place = np.zeros(made, np.int64)
     place[order + 1] = np.arange(1, made)
-    return place[codes], [{"lang": known[i][0], "word": known[i][1], "n": int(n[i + 1])} for i in order]
+    return place[codes], pa.concat_arrays(langs).take(pa.array(order)), pa.concat_arrays(known).take(pa.array(order)), n[1:][order]
 
 
 def segments(text: bytes, most: int) -> Iterator[bytes]:
@@ -107,7 +109,8 @@ def scan(codes: np.ndarray, known: list[tuple[np.ndarray, ...]], step: int, shar
 
 
 def _blocks(docs: DataFrame, shards: int, block_bytes: int, lang_col: str, text_col: str) -> DataFrame:
-    """``(block, codes, words, shard)``: words and their numbers, in folders by shard."""
+    """``(block, number, lang, word, n, codes, shard)``: a row for each word of a block, and one with number 0 that has its codes;
+    in folders by shard."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), whole_text(text_col).alias("body")).where("body <> ''")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +119,12 @@ def _blocks(docs: DataFrame, shards: int, block_bytes: int, lang_col: str, text_
         held = made = 0
 
         def block() -> pa.RecordBatch:
-            codes, words = coded(own)
-            row = [[(task << 33) + made], [_bytes(codes)], [words], [(task + made) % shards]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.int64(), pa.binary(), pa.list_(_WORD), pa.int32()])], ["block", "codes", "words", "shard"])
+            codes, langs, words, n = coded(own)
+            m = len(words)
+            none = lambda kind: pa.nulls(1, kind)
+            columns = [pa.array(np.full(m + 1, (task << 33) + made)), pa.array(np.arange(m + 1)), pa.concat_arrays([none(pa.string()), langs]), pa.concat_arrays([none(pa.string()), words]), pa.concat_arrays([none(pa.int64()), pa.array(n)])]
+            columns += [pa.concat_arrays([pa.array([_bytes(codes)], pa.binary()), pa.nulls(m, pa.binary())]), pa.array(np.full(m + 1, (task + made) % shards, np.int32))]
+            return pa.RecordBatch.from_arrays(columns, ["block", "number", "lang", "word", "n", "codes", "shard"])
 
         for batch in batches:
             for lang, body in zip(batch.column("lang").to_pylist(), batch.column("body")):
@@ -131,7 +137,7 @@ def _blocks(docs: DataFrame, shards: int, block_bytes: int, lang_col: str, text_
         if own:
             yield block()
 
-    cut_up = texts.mapInArrow(cut, "block long, codes binary, words array<struct<lang:string,word:string,n:long>>, shard int")
+    cut_up = texts.mapInArrow(cut, "block long, number long, lang string, word string, n long, codes binary, shard int")
     return stored(cut_up, "blocks", by="shard")
 
 
@@ -154,58 +160,70 @@ def _scanned(blocks: DataFrame, answers: DataFrame, step: int, shards: int, max_
     return blocks.select("block", "codes").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(visit, _GRAMS)
 
 
-def count_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, shards: int = 3, block_bytes: int = 8 << 20, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+def count_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, shards: int = 2, block_bytes: int = 8 << 20, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
     """``(lang, n)``: the words of each language; and for each length from 1 on, all phrases found ``min_count`` times, as
     ``(id, lang, words, n, prefixes, suffixes, left, right)``: counts of the first 1, 2, ... words and of the last ones, and
     the ids of the subphrases (null for words)."""
     blocks = _blocks(docs, shards, block_bytes, lang_col, text_col)
-    words = blocks.select("shard", "block", F.posexplode("words").alias("at", "w")).select("shard", "block", (F.col("at") + 1).cast("long").alias("number"), "w.lang", "w.word", "w.n")
+    words = blocks.where("number > 0").drop("codes")
     grams: list[DataFrame] = []  # by step
-    frequent: list[DataFrame | None] = [None] * max_words  # by length less 1: key columns, id, since
+    #: By length less 1: what has been found min_count times so far, as key columns, n, id and since (the step that saw it reach that).
+    frequent: list[DataFrame | None] = [None] * max_words
+    told: dict[int, DataFrame] = {}  # what blocks know of their words, by shard, once all words are counted
     key = lambda level: ["lang", "word"] if level == 1 else ["left", "right"]
+    seen, unseen = [False] * max_words, [False] * max_words
     step, changed = 0, -1  # the last step that told of something which may make longer phrases active
     while step < shards or step <= changed + shards:
         shard = step % shards
         if frequent[0] is not None:
-            answers = words.where(F.col("shard") == shard).join(frequent[0], key(1)).select(F.col("block").alias("of"), F.lit(1).alias("level"), F.col("number").alias("left"), F.lit(0).cast("long").alias("right"), "id", "since")
+            answers = told.get(shard)
+            if answers is None:
+                own = words.where(F.col("shard") == shard).drop("n").join(frequent[0].hint("shuffle_hash"), key(1))
+                answers = own.select(F.col("block").alias("of"), F.lit(1).alias("level"), F.col("number").alias("left"), F.lit(0).cast("long").alias("right"), "id", "since")
+                if step >= shards and max_words > 2:
+                    answers = told[shard] = stored(answers, "told")
             for level in range(2, max_words):
                 if frequent[level - 1] is not None:
                     for visit in range(shard, step, shards):  # a block is told of phrases that it has sent, from its next visit on
-                        own = grams[visit].where(F.col("level") == level).join(frequent[level - 1], key(level))
+                        own = grams[visit].where(F.col("level") == level).join(frequent[level - 1].drop("n").hint("shuffle_hash"), key(level))
                         answers = answers.union(own.select(F.col("block").alias("of"), F.lit(level).alias("level"), "left", "right", "id", F.greatest("since", F.lit(visit))))
-            grams.append(stored(_scanned(blocks.where(F.col("shard") == shard), answers, step, shards, max_words), "grams"))
+            grams.append(stored(_scanned(blocks.where((F.col("shard") == shard) & (F.col("number") == 0)), answers, step, shards, max_words), "grams"))
         else:
             grams.append(stored(docs.sparkSession.createDataFrame([], _GRAMS), "grams"))
         for level in range(1, max_words):
+            if step < shards if level == 1 else not grams[-1].where(F.col("level") == level).isEmpty():
+                unseen[level - 1], changed = True, step
+            # looked at after the first scan that has any, and then at the end of each cycle: sums are over all scans so far
+            if not unseen[level - 1] or (seen[level - 1] and shard < shards - 1):
+                continue
+            unseen[level - 1], seen[level - 1] = False, True
             counted = words.where(F.col("shard") <= step) if level == 1 else _of(grams, level)
-            if level == 1 and step >= shards or level > 1 and grams[-1].where(F.col("level") == level).isEmpty():
-                continue  # nothing new of this length
-            changed = step
-            counted = counted.select(*key(level), "n", F.lit(False).alias("known"))
+            none = F.lit(None).cast("long")
+            counted = counted.select(*key(level), "n", none.alias("id"), none.cast("int").alias("since"))
             if frequent[level - 1] is not None:
-                counted = counted.union(frequent[level - 1].select(*key(level), F.lit(0).cast("long"), F.lit(True)))
-            new = counted.groupBy(*key(level)).agg(F.sum("n").alias("n"), F.max("known").alias("known")).where((F.col("n") >= min_count) & ~F.col("known"))
-            new = stored(new.select(*key(level), (F.monotonically_increasing_id() + F.lit(step << 56)).alias("id"), F.lit(step).alias("since")), "frequent")
-            if not new.isEmpty():
-                frequent[level - 1] = new if frequent[level - 1] is None else frequent[level - 1].union(new)
+                counted = counted.union(frequent[level - 1].select(*key(level), F.lit(0).cast("long"), "id", "since"))
+            found = counted.groupBy(*key(level)).agg(F.sum("n").alias("n"), F.max("id").alias("id"), F.max("since").alias("since")).where(F.col("n") >= min_count)
+            new_id = F.monotonically_increasing_id() + F.lit(step << 56)
+            found = stored(found.select(*key(level), "n", F.coalesce("id", new_id).alias("id"), F.coalesce("since", F.lit(step)).alias("since")), "frequent")
+            frequent[level - 1] = None if found.isEmpty() else found
         step += 1
 
     sizes = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
     if frequent[0] is None:
         return sizes, []
-    total = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     none = F.lit(None).cast("long")
-    levels = [stored(total.join(frequent[0], key(1)).select("id", "lang", F.array("word").alias("words"), "n", F.array("n").alias("prefixes"), F.array("n").alias("suffixes"), none.alias("left"), none.alias("right")), "phrases")]
+    levels = [frequent[0].select("id", "lang", F.array("word").alias("words"), "n", F.array("n").alias("prefixes"), F.array("n").alias("suffixes"), none.alias("left"), none.alias("right"))]
     for level in range(2, max_words + 1):
-        total = _of(grams, level).groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-        ids = frequent[level - 1]  # the longest phrases have none
-        total = total.withColumn("id", none) if ids is None else total.join(ids.select("left", "right", "id"), ["left", "right"])
+        if level < max_words and frequent[level - 1] is not None:
+            total = frequent[level - 1].drop("since")
+        else:  # the longest phrases make no others active, so they are summed up once, here
+            total = _of(grams, level).groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).withColumn("id", none)
         of = lambda side, *names: levels[-1].select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names])  # noqa: B023, E731
         made = total.join(of("left", "lang", "words", "prefixes"), "left").join(of("right", "words", "suffixes"), "right")
         grown = lambda side, c: F.concat(f"{side}_{c}", F.array("n"))
         made = made.select("id", F.col("left_lang").alias("lang"), F.concat("left_words", F.slice("right_words", -1, 1)).alias("words"), "n", grown("left", "prefixes").alias("prefixes"), grown("right", "suffixes").alias("suffixes"), "left", "right")
         levels.append(stored(made, "phrases"))
-    dropped(blocks, *grams)
+    dropped(blocks, *grams, *told.values())
     return sizes, levels
 
 
@@ -221,7 +239,7 @@ _CUTS = """transform(sequence(1, size(words) - 1), k -> struct(
     (1000000 * cast(n as decimal(15,0)) * cast(n as decimal(15,0))) div (cast(prefixes[k - 1] as decimal(19,0)) * cast(suffixes[size(words) - k - 1] as decimal(19,0))) as score, k as k))"""
 
 
-def collocations(docs: DataFrame, min_count: int = 10, max_words: int = 3, within_percent: int = 50, top: int = 2000, shards: int = 3, block_bytes: int = 8 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = 10, max_words: int = 3, within_percent: int = 50, top: int = 2000, shards: int = 2, block_bytes: int = 8 << 20, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``(lang, rank, phrase, words, a, l, r, n, score)``: each language's ``top`` phrases of 2 to ``max_words`` words.
 
     Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line breaks, and these into words at spaces and tabs. A
