@@ -257,18 +257,14 @@ class Lists:
                         heapq.heappop(best)
         return sorted((-f, s) for f, s in best)[:wanted]
 
-    def near(self, x: np.ndarray, least: int, ratio: float, beam: int) -> list[int]:
-        """The ``least`` lists nearest to x, and all others within ``1 + ratio`` of the nearest: the beam grows until it holds
-        them, and where that is a large part of the lists, all are compared."""
-        k, width = len(self.centroids), max(beam, least)
+    def near(self, x: np.ndarray, least: int, ratio: float) -> list[int]:
+        """The ``least`` lists nearest to x, and all others within ``1 + ratio`` of the nearest, by the graph: the beam is
+        ``least`` wide at first, and twice as wide each time until it holds them."""
+        width = least
         while True:
-            if 4 * width >= k:
-                far = ((self.centroids - x) ** 2).sum(1)
-                found = [(float(far[s]), s) for s in np.argsort(far, kind="stable").tolist()]
-            else:
-                found = self.search(x, width, width)
+            found = self.search(x, width, width)
             bound = (1 + ratio) * np.sqrt(found[0][0])
-            if len(found) == k or len(found) >= least and np.sqrt(found[-1][0]) > bound:
+            if width >= len(self.centroids) or np.sqrt(found[-1][0]) > bound:
                 return [s for i, (f, s) in enumerate(found) if i < least or np.sqrt(f) <= bound]
             width *= 2
 
@@ -350,12 +346,12 @@ def lists_needed(rows: DataFrame, centroids: np.ndarray, reach: float, k: int, r
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1 if len(need) else 1
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 20, list_size: int = 256, replicas: int = 3, spread: float = 0.03, ratio: float = 0.15, least_lists: int = 16, beam: int = 1024, recall: float = 0.97, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, k: int = 20, list_size: int = 256, replicas: int = 3, spread: float = 0.03, ratio: float = 0.15, least_lists: int = 16, recall: float = 0.97, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` rows of the largest inner product, its own id left out.
 
     Vectors go to the posting list of their nearest centroid, and those near a border to up to ``replicas`` lists whose
     distance is within ``1 + spread`` of the nearest. A query searches the graph of centroids and reads the lists within
-    ``1 + ratio`` of its nearest, by a search of width ``beam`` at first, and ``least_lists`` at least, or as many as find
+    ``1 + ratio`` of its nearest, and ``least_lists`` at least, or as many as find
     ``recall`` of the true neighbours of a bounded sample of the queries, which is compared with all rows of this table:
     with little structure in the vectors that is a large part of the lists, at any size. Neighbouring lists travel
     together, SHARD at a time; long and popular ones are cut into tiles, so a task never holds an unbounded list. Scores are exact, in double precision on the original vectors; ties go to the smaller id.
@@ -393,7 +389,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, list_size: int = 25
             if len(asked):
                 out = []
                 for at, q in enumerate(np.column_stack((matrix(asked["v"]), np.zeros(len(asked))))):
-                    out += [(at, s) for s in index.near(q, least, ratio, beam)]
+                    out += [(at, s) for s in index.near(q, least, ratio)]
                 at, to = map(np.array, zip(*out))
                 yield _sent(asked, 1, at, to)
 

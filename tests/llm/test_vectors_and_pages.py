@@ -200,3 +200,20 @@ def test_pages_against_their_articles(spark, sf_dir):
         body = r.html[r.html.find("<article>") :].split("</article>")[0]
         lines = [" ".join(entities.unescape(s).split()) for s in re.sub(r"<[^>]*>?", "", re.sub(r"<(/?)(p|h1|br|article)>", "\n", body)).split("\n")]
         assert r.text == "\n".join(s for s in lines if s)
+
+
+@pytest.mark.parametrize("k", [1, 3, 64, 1000])
+def test_lists_are_found_by_the_graph_at_every_size(monkeypatch, k):
+    rng = np.random.default_rng(k)
+    index = vectors.Lists(rng.normal(size=(k, 24)))
+    searches = []
+    search = vectors.Lists.search
+    monkeypatch.setattr(vectors.Lists, "search", lambda *a: searches.append(1) or search(*a))
+    hit = want = 0
+    for x in rng.normal(size=(40, 24)):
+        far = np.sqrt(((index.centroids - x) ** 2).sum(1))
+        true = set(np.argsort(far, kind="stable")[:16].tolist()) | set(np.flatnonzero(far <= 1.1 * far.min()).tolist())
+        found = index.near(x, 16, 0.1)
+        assert len(found) == len(set(found)) and found[0] == far.argmin()
+        hit, want = hit + len(true & set(found)), want + len(true)
+    assert len(searches) >= 40 and hit >= 0.97 * want
