@@ -35,8 +35,8 @@ def changed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 _stored: dict[tuple, object] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, what: str, make):
-    key = (what, spark.sparkContext.applicationId, sf_dir, version(spark, f"{sf_dir}/documents.parquet"))
+def once(spark: SparkSession, sf_dir: str, what: str, make, tables: tuple[str, ...] = ("documents",)):
+    key = (what, spark.sparkContext.applicationId, sf_dir, *[version(spark, f"{sf_dir}/{t}.parquet") for t in tables])
     if key not in _stored:
         _stored[key] = make()
     return _stored[key]
@@ -44,7 +44,7 @@ def _once(spark: SparkSession, sf_dir: str, what: str, make):
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks as ingest stores them: cut once for each version of the documents, and read by every search."""
-    return spark.read.parquet(_once(spark, sf_dir, "chunks", lambda: durable(chunks(spark, sf_dir), "chunks").stored_at))
+    return spark.read.parquet(once(spark, sf_dir, "chunks", lambda: durable(chunks(spark, sf_dir), "chunks").stored_at))
 
 
 def word_index(spark: SparkSession, sf_dir: str) -> index.WordIndex:
@@ -56,7 +56,7 @@ def word_index(spark: SparkSession, sf_dir: str) -> index.WordIndex:
         index.add_snapshots(rows, path)
         return path
 
-    return index.WordIndex(spark, _once(spark, sf_dir, "index", made))
+    return index.WordIndex(spark, once(spark, sf_dir, "index", made))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

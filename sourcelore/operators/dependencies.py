@@ -36,6 +36,23 @@ def candidates_of(references: DataFrame, paths: DataFrame) -> DataFrame:
     return direct.union(rest.join(ends, "end").select(*key, "candidate").distinct())
 
 
+def _firsts(rows: DataFrame, most: int) -> tuple[DataFrame, str | None]:
+    """The first ``most`` of ``rows(reference_id, candidate)`` in that order, and the reference of the next row, if there is one.
+
+    Rows are dealt to ranges; the ranges' counts, added up in order, say which one holds the last row, and only within that one
+    are rows numbered. So no task sees more than a range, whatever ``most`` is.
+    """
+    dealt = durable(rows.select("reference_id", "candidate").repartitionByRange("reference_id", "candidate").withColumn("part", F.spark_partition_id()))
+    before = 0
+    for part, n in sorted(map(tuple, dealt.groupBy("part").count().collect())):  # a row a partition
+        if before + n > most:
+            within = dealt.where(F.col("part") == part).withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("reference_id", "candidate")))
+            stop = within.where(F.col("at") == most - before + 1).first()["reference_id"]
+            return dealt.where(F.col("part") < part).select("candidate").union(within.where(F.col("at") <= most - before).select("candidate")), stop
+        before += n
+    return dealt.select("candidate"), None
+
+
 def expand(seeds: DataFrame, references: DataFrame, paths: DataFrame, depth: int, most_files: int, most_candidates: int = 8) -> tuple[DataFrame, dict]:
     """Files that ``seeds(path)`` need, level by level, with counters.
 
@@ -57,17 +74,14 @@ def expand(seeds: DataFrame, references: DataFrame, paths: DataFrame, depth: int
         sized = own.join(size, "reference_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         fresh = found.join(sized.where(F.col("n").between(1, most_candidates)).select("reference_id"), "reference_id", "left_semi").join(chosen.select(F.col("path").alias("candidate")), "candidate", "left_anti")
         first = fresh.groupBy("candidate").agg(F.min("reference_id").alias("reference_id"))
-        # new files of one level only; a run over most_files ends the expansion
-        budget = most_files - counts["dependency_files"]
-        picked = first.orderBy("reference_id", "candidate").limit(budget + 1).withColumn("at", F.row_number().over(Window.orderBy("reference_id", "candidate")))
-        stop = picked.where(F.col("at") == budget + 1).select("reference_id").first()
-        seen = sized if stop is None else sized.where(F.col("reference_id") <= stop[0])
+        picked, stop = _firsts(first, most_files - counts["dependency_files"])
+        seen = sized if stop is None else sized.where(F.col("reference_id") <= stop)
         over = F.col("n") > most_candidates
         row = seen.agg(F.count_if((F.col("n") == 0) | over).alias("u"), F.count_if(F.col("n") > 1).alias("a"), F.count_if(over).alias("o")).first()
         counts["unresolved"] += row["u"]
         counts["ambiguous"] += row["a"]
         counts["truncated"] |= bool(row["o"]) or stop is not None
-        new = durable(picked.where(F.col("at") <= budget).select(F.col("candidate").alias("path"), F.lit(level).alias("level")))
+        new = durable(picked.select(F.col("candidate").alias("path"), F.lit(level).alias("level")))
         n = new.count()
         counts["dependency_files"] += n
         if n:

@@ -20,7 +20,7 @@ from sourcelore.functions.text import terms
 from sourcelore.operators.search import B, K1, LEAST_IDF, PER_FILE, query_terms
 from sourcelore.storage import durable, exists
 
-RANGE = 128
+RANGE = 16
 BUCKETS, SPREAD = 16, 16
 #: Up to so many distinct asked terms are written into the filter of the scan.
 MOST_PUSHED = 1_000
@@ -94,18 +94,12 @@ def _entries(blocks: DataFrame) -> DataFrame:
     return blocks.select(*[c for c in blocks.columns if c not in ("nos", "tfs", "sizes")], at).withColumnsRenamed({"nos": "no", "tfs": "tf", "sizes": "size"})
 
 
-def _least_of_best(partial: DataFrame, k: int) -> DataFrame:
-    """``(query_id, floor)``: the k-th best score of each query, where it has k."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    return partial.select("query_id", "score", F.row_number().over(order).alias("n")).where(F.col("n") <= k).where(F.col("n") == k).select("query_id", F.col("score").alias("floor"))
-
-
 class Bounded:
     """A search of the ``first`` best chunks of each query, as steps that read as little as the bounds allow.
 
     ``heads``: the asked terms' blocks without postings. ``plan``: for each query and term its weight, the most that it
-    can add to a score, and whether it is ``rare`` (the query's rarest terms, of some ``first`` * 10 postings),
-    ``needed`` (a chunk without any such term can't be among the best) or neither.
+    can add to a score, and whether it is ``rare`` (the query's rarest terms, of some ``first`` * 10 postings) or
+    ``needed`` (a chunk without any such term can't be among the best).
     """
 
     def __init__(self, index: WordIndex, queries: DataFrame, first: int, scope: DataFrame | None = None) -> None:
@@ -120,20 +114,21 @@ class Bounded:
         rarest = Window.partitionBy("query_id").orderBy("n", "term").rowsBetween(Window.unboundedPreceding, -1)
         own = durable(own.withColumn("rare", F.coalesce(F.sum("n").over(rarest), F.lit(0)) < 10 * first), "weights")
         self.inside = None if scope is None else index.chunks.join(scope.select("snapshot_id").distinct(), "snapshot_id", "left_semi").select("batch", "no")
-        floor = _least_of_best(self.sums(own.where("rare")), first)
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "batch", "no")
+        top = lambda partial: partial.withColumn("at", F.row_number().over(best)).where(F.col("at") <= first)
+        last = lambda partial: top(partial).where(F.col("at") == first).select("query_id", F.col("score").alias("floor"))
         # the terms of least bound, as long as all of them together stay below the floor, can't bring a chunk in
         least = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        planned = own.join(floor, "query_id", "left").withColumn("needed", F.sum("bound").over(least) >= F.coalesce(F.col("floor"), F.lit(0.0)) - SLACK)
-        self.plan = durable(planned, "plan")
-        beyond = self.plan.where("not needed").groupBy("query_id").agg(F.sum("bound").alias("beyond"))
-        partial = durable(self.sums(self.plan.where("needed")), "partial")
-        floor = _least_of_best(partial, first)
-        open_ = partial.join(floor, "query_id", "left").join(beyond, "query_id", "left")
-        open_ = open_.where(F.col("score") + F.coalesce("beyond", F.lit(0.0)) >= F.coalesce("floor", F.lit(0.0)) - SLACK)
-        self.candidates = durable(open_.select("query_id", "batch", "no", "score", F.floor(F.col("no") / RANGE).alias("range")), "candidates")
-        #: The blocks of terms that aren't needed, where candidates lie.
-        places = self.candidates.select("query_id", "batch", "range").distinct()
-        self.rest = places.join(self.plan.where("not needed").select("query_id", "term", "weight", "average"), "query_id")
+        planned = own.join(last(self.sums(own.where("rare"))), "query_id", "left")
+        self.plan = durable(planned.withColumn("needed", F.sum("bound").over(least) >= F.coalesce("floor", F.lit(0.0)) - SLACK).drop("floor"), "plan")
+        partial = durable(self.sums(self.plan.where("needed")).withColumn("range", F.floor(F.col("no") / RANGE)), "partial")
+        # as many chunks as are asked for reach the least whole score of the best so far
+        self.tried = durable(top(partial).drop("at"), "tried")
+        whole = self.completed(self.tried, self.plan.where("not needed")).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor"))
+        floor = whole.select("query_id", F.when(F.col("n") == first, F.col("floor")).otherwise(0.0).alias("floor"))
+        beyond = self.plan.groupBy("query_id").agg(F.coalesce(F.sum(F.when(~F.col("needed"), F.col("bound"))), F.lit(0.0)).alias("beyond")).join(floor, "query_id")
+        open_ = partial.join(beyond, "query_id").where(F.col("score") + F.col("beyond") >= F.col("floor") - SLACK)
+        self.candidates = durable(open_.select("query_id", "batch", "no", "score", "range"), "candidates")
 
     def sums(self, own: DataFrame) -> DataFrame:
         """``(query_id, batch, no, score)`` over the postings of the given terms of each query."""
@@ -142,18 +137,28 @@ class Bounded:
             entries = entries.join(self.inside, ["batch", "no"], "left_semi")
         return entries.groupBy("query_id", "batch", "no").agg(F.sum(F.col("weight") * part("tf", "size")).alias("score"))
 
+    @staticmethod
+    def places(chunks: DataFrame, own: DataFrame) -> DataFrame:
+        """The blocks of the given terms of each query where its ``chunks`` lie."""
+        return chunks.select("query_id", "batch", "range").distinct().join(own.select("query_id", "term", "weight", "average"), "query_id")
+
+    def completed(self, chunks: DataFrame, own: DataFrame) -> DataFrame:
+        """``chunks(query_id, batch, no, range, score)`` with the given terms of each query added to their scores."""
+        blocks = self.blocks.select("batch", "term", "range", "nos", "tfs", "sizes").join(self.places(chunks, own), ["batch", "term", "range"])
+        more = _entries(blocks).select("query_id", "batch", "no", (F.col("weight") * part("tf", "size")).alias("more"))
+        more = more.join(chunks.select("query_id", "batch", "no"), ["query_id", "batch", "no"], "left_semi").groupBy("query_id", "batch", "no").agg(F.sum("more").alias("more"))
+        return chunks.join(more, ["query_id", "batch", "no"], "left").select("query_id", "batch", "no", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
     def scores(self) -> DataFrame:
         """``(query_id, batch, no, score)`` of all chunks that may be among the best, whole scores."""
-        blocks = self.blocks.select("batch", "term", "range", "nos", "tfs", "sizes").join(self.rest, ["batch", "term", "range"])
-        more = _entries(blocks).select("query_id", "batch", "no", (F.col("weight") * part("tf", "size")).alias("more"))
-        more = more.groupBy("query_id", "batch", "no").agg(F.sum("more").alias("more"))
-        return self.candidates.join(more, ["query_id", "batch", "no"], "left").select("query_id", "batch", "no", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), 9).alias("score"))
+        return self.completed(self.candidates, self.plan.where("not needed")).withColumn("score", F.round("score", 9))
 
     def work(self) -> DataFrame:
         """``(step, postings)``: the postings that each step joins with queries, and those of a search without bounds."""
         count = lambda step, rows: rows.agg(F.lit(step).alias("step"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("postings"))
-        rest = self.rest.join(self.heads.select("batch", "term", "range", "n"), ["batch", "term", "range"])
-        return reduce(DataFrame.union, [count("rare", self.plan.where("rare")), count("needed", self.plan.where("needed")), count("rest", rest), count("all", self.plan)])
+        near = lambda chunks, own: self.places(chunks, own).join(self.heads.select("batch", "term", "range", "n"), ["batch", "term", "range"])
+        steps = [count("rare", self.plan.where("rare")), count("needed", self.plan.where("needed")), count("tried", near(self.tried, self.plan.where("not needed")))]
+        return reduce(DataFrame.union, [*steps, count("rest", near(self.candidates, self.plan.where("not needed"))), count("all", self.plan)])
 
 
 def _cut(index: WordIndex, scored: DataFrame, top_k: int) -> DataFrame:
@@ -170,9 +175,9 @@ def bm25(index: WordIndex, queries: DataFrame, top_k: int = 10, scope: DataFrame
 
     1. the asked terms' blocks are read without their postings, for weights and for the most that a term can add;
     2. the postings of each query's rarest terms give a floor: a score that 5k chunks reach by these terms alone;
-    3. terms that can't lift a chunk to the floor, even all together, aren't needed; the others' postings give candidates, and
-       a higher floor leaves few of them;
-    4. of the terms not needed, the blocks around candidates complete their scores.
+    3. terms that can't lift a chunk to the floor, even all together, aren't needed; the postings of the others are summed, and the 5k
+       best of these sums get their whole scores from the blocks where they lie: a higher floor;
+    4. chunks that the bounds of the rest can't lift to it are dropped; the blocks around the others complete their scores.
     """
     return _cut(index, Bounded(index, queries, 5 * top_k, scope).scores(), top_k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcelore.functions.text import identifiers, lines, terms
-from sourcelore.operators.automaton import lines_with
+from sourcelore.operators.automaton import lines_with, strings_in
 from sourcelore.storage import durable
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -90,49 +90,29 @@ def line_matches(files: DataFrame, queries: DataFrame, top_k: int = 10, scope: D
     return _ranked(scored, ["query_id"], [F.desc("score"), "repository", "path", "line"], "n").where(F.col("n") <= 5 * top_k).drop("line_score", "file_score")
 
 
-_GRAMS = (6, 3, 1)
-
-
-def substring_matches(texts: DataFrame, terms_: DataFrame) -> DataFrame:
-    """``texts(body, ...)`` with each ``term`` of the distinct ``terms_(term)`` that its body holds; bodies are lines.
-
-    A term is looked up by one of its grams (of 6, 3 or 1 characters, as long as it allows): the one that the fewest terms
-    have. So bodies and terms meet by equality, and the substring test only filters what meets. Empty terms match nothing.
-    """
-    size = F.when(F.char_length("term") >= 6, 6).when(F.char_length("term") >= 3, 3).otherwise(1)
-    grams = lambda text, n: F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
-    sized = terms_.where(F.char_length("term") > 0).select("term", size.alias("n"))
-    own = sized.select("term", "n", F.explode(F.array_distinct(F.when(F.col("n") == 6, grams(F.col("term"), 6)).when(F.col("n") == 3, grams(F.col("term"), 3)).otherwise(grams(F.col("term"), 1)))).alias("gram"))
-    shared = own.groupBy("gram").agg(F.count("*").alias("terms"))
-    key = own.join(shared, "gram").groupBy("term", "n").agg(F.min(F.struct("terms", "gram")).alias("least")).select("term", "n", "least.gram")
-    found = None
-    for n in sorted((r["n"] for r in sized.select("n").distinct().collect()), reverse=True) or _GRAMS[:1]:  # three at most
-        body = F.col("body")
-        dealt = texts.where(F.char_length("body") >= n).withColumn("gram", F.explode(F.array_distinct(grams(body, n))))
-        part = _meet(dealt, key.where(F.col("n") == n).select("term", "gram"), "gram").where(F.contains("body", "term")).drop("gram")
-        found = part if found is None else found.union(part)
-    return found
-
-
 def passage_matches(texts: DataFrame, passages: DataFrame) -> DataFrame:
     """``texts(body, ...)`` with each row of ``passages(passage, ...)`` whose passage its body holds verbatim.
 
-    A passage of five words or more holds some of its words whole, which any body that holds it has side by side: they
-    meet by three of them. Shorter passages meet by their grams, line by line, as far as they don't cross lines.
+    A passage of five words or more holds some of its words whole, which any body that holds it has side by side: row
+    numbers and passages meet by three of them, and only then by the bodies. Shorter passages are found by an
+    automaton, line by line, as far as they don't cross lines.
     """
     words = F.split("passage", r"\s+")
     three = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     long = passages.withColumn("__words", words).where(F.size("__words") >= 5).withColumn("__key", three(F.col("__words"), F.lit(1))).drop("__words")
-    own = texts.withColumn("__row", F.monotonically_increasing_id()).withColumn("__words", F.split("body", r"\s+"))
+    own = durable(texts.withColumn("__row", F.monotonically_increasing_id()), "texts")  # a row's number must outlive its task
+    cut = own.select("__row", F.split("body", r"\s+").alias("__words"))
     starts = F.when(F.size("__words") >= 3, F.sequence(F.lit(0), F.size("__words") - 3)).otherwise(F.array().cast("array<int>"))
-    dealt = own.select(*texts.columns, F.explode(F.array_distinct(F.transform(starts, lambda i: three(F.col("__words"), i)))).alias("__key"))
-    found = _meet(dealt, long, "__key").where(F.contains("body", "passage")).drop("__key")
+    dealt = cut.select("__row", F.explode(F.array_distinct(F.transform(starts, lambda i: three(F.col("__words"), i)))).alias("__key"))
+    met = durable(_meet(dealt, long, "__key").drop("__key"), "met")
+    few = met.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    found = own.join(F.broadcast(met) if few else met, "__row").where(F.contains("body", "passage")).drop("__row")
     short = passages.where(F.size(words) < 5)
     if short.isEmpty():
         return found
-    near = substring_matches(texts.withColumnRenamed("body", "__whole").withColumn("body", F.explode(F.split("__whole", "\n"))), short.select(F.col("passage").alias("term")).distinct())
-    near = near.drop("body").withColumnsRenamed({"__whole": "body", "term": "passage"}).distinct()
-    return found.unionByName(near.join(short, "passage").select(*found.columns))
+    near = strings_in(own.select("__row", F.explode(F.split("body", "\n")).alias("body")), short.select(F.col("passage").alias("term")))
+    near = near.select("__row", F.col("term").alias("passage")).distinct()
+    return found.unionByName(own.join(near, "__row").drop("__row").join(short, "passage").select(*found.columns))
 
 
 def fixed_strings(files: DataFrame, queries: DataFrame, top_k: int = 10, per_file: int = 20, most_hits: int = 2_000, samples: int = 8) -> DataFrame:

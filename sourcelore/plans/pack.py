@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcelore.functions.ids import evidence_id
 from sourcelore.functions.text import identifiers
 
 CHARS_PER_TOKEN, LEAST_CHARS, MOST_LINKS, MOST_CANDIDATES = 4, 64, 50, 100
@@ -94,11 +93,3 @@ def cross_links(contexts: DataFrame, repositories: DataFrame, most: int = MOST_L
     links = source.join(target, ["query_id", "symbol"]).where("source_repository <> target_repository").dropDuplicates(["query_id", "source_snapshot_id", "source_citation", "target_citation"])
     order = Window.partitionBy("query_id").orderBy("symbol", "source_repository", "source_citation", "target_repository", "target_citation")
     return links.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
-
-
-def pack_rows(queries: DataFrame, packed: DataFrame, totals: DataFrame, covered: DataFrame) -> DataFrame:
-    """One nested row a query, with an id over the query, what was selected and its budget: the same input has the same id."""
-    own = packed.where("disposition = 'selected'").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "content", "content_truncated"))).alias("evidence"))
-    rows = queries.join(own, "query_id", "left").join(totals, "query_id", "left").join(covered, "query_id")
-    chunks = F.coalesce(F.array_join(F.transform("evidence", lambda e: e["chunk_id"]), ","), F.lit(""))
-    return rows.withColumn("id", evidence_id("pack", query="query", evidence=chunks, chars="chars_used", omitted="omitted"))

@@ -30,8 +30,8 @@ CHUNKS = f"""{FILES},
 
 
 def src1_tree(spark, d):
-    """Files of all repositories, each path once."""
-    return A.tree(spark, d).dropDuplicates(["repository", "path"]).select("repository", "path", F.octet_length("content").cast("long").alias("size_bytes"))
+    """Files of all repositories; a listing has each path once."""
+    return A.tree(spark, d).select("repository", "path", F.octet_length("content").cast("long").alias("size_bytes"))
 
 
 def fil1_roots(spark, d):

@@ -10,7 +10,6 @@ from sourcelore.operators import fusion as U
 from sourcelore.operators import relations as R
 from sourcelore.operators import search as S
 from sourcelore.queries.base import stable
-from sourcelore.queries.searching import BM25, CUT, FEW
 from sourcelore.storage import durable
 
 # The inputs, in SQL that Spark and DuckDB both take: parts are definitions, line items are calls, 12 lines make a chunk.
@@ -129,28 +128,6 @@ def agg6_resolution(spark, d):
     return called.groupBy("snapshot_id").agg(F.round(F.avg(F.col("target_symbol_id").isNotNull().cast("double")), 9).alias("resolved_rate"), F.round(F.avg((F.col("confidence") == "ambiguous_candidate").cast("double")), 9).alias("ambiguous_rate"))
 
 
-def channels(spark, d):
-    """Three channels of chunks for the benchmark queries: words by BM25, by plain frequency, and the shorter texts first."""
-    chunks, queries = A.chunk_table(spark, d), A.queries(spark, d)
-    meta = chunks.select("chunk_id", "snapshot_id")
-    word = S.bm25(chunks, queries).select("query_id", F.lit("word").alias("channel"), "rank", "chunk_id", "repository", "path", "start_line")
-    plain = durable(S.term_frequency(chunks, queries).select("query_id", F.lit("symbol_exact").alias("channel"), "rank", "chunk_id", "repository", "path", "start_line"))
-    return word.union(plain).union(plain.withColumn("channel", F.lit("relation_source")).where("rank > 5")).join(meta, "chunk_id")
-
-
-def rrf1_fusion(spark, d):
-    return U.fuse(channels(spark, d), 10).select("query_id", "snapshot_id", "chunk_id", "rank", "best_rank", F.round("fused_score", 12).alias("fused_score"), F.array_join("contributions", " ").alias("contributions"))
-
-
-def rrf2_repositories(spark, d):
-    members = A.chunks(spark, d).select("snapshot_id", "repository").distinct().select("snapshot_id", F.expr("cast(substring(repository, 4) as int)").alias("ordinal"))
-    return U.fuse_repositories(channels(spark, d), members, 10).select("query_id", "chunk_id", "rank", "repository_rank", "ordinal")
-
-
-def agg9_channel_counts(spark, d):
-    return U.channel_counts(channels(spark, d))
-
-
 def vec1_rerank(spark, d):
     """Every fiftieth vector as a query; its candidates are the hundred best of all others by the first eight components."""
     e = A.table(spark, d, "embeddings")
@@ -183,7 +160,7 @@ def udf1_embed(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     jon1_symbols, jon2_occurrences, jon3_conditions, jon4_source_symbols, jon5_target_symbols, jon7_relations, jon8_symbol_chunks, jon9_relation_chunks, jon12_symbol_report, sym1_symbols, rel1_relations, set1_relation_branches,
-    set2_used_symbols, agg5_distribution, agg6_resolution, rrf1_fusion, rrf2_repositories, agg9_channel_counts, vec1_rerank, vec2_distances, vec3_cache, udf1_embed,
+    set2_used_symbols, agg5_distribution, agg6_resolution, vec1_rerank, vec2_distances, vec3_cache, udf1_embed,
 )}
 
 _T = {"part": "part", "lineitem": "lineitem"}
@@ -198,16 +175,6 @@ C = f"""{D}, nm AS (SELECT p_partkey AS target_key, {_NAME} AS target_name FROM
         FROM src c LEFT JOIN here h ON c.file_id = h.file_id AND c.target_text = h.name LEFT JOIN there t ON c.snapshot_id = t.snapshot_id AND c.target_text = t.name),
     rel AS (SELECT DISTINCT {stable("relation", "file_id", "coalesce(source_symbol_id, '')", "''", "coalesce(target_symbol_id, '')", "coalesce(condition_id, '')", "kind", "target_text", "start_line::VARCHAR", "end_line::VARCHAR")} AS id,
         snapshot_id, file_id, path, kind, source_symbol_id, target_symbol_id, target_text, start_line, end_line, confidence FROM both_)"""
-_CH = f"""{BM25}, {CUT}, {FEW}, fq AS (SELECT query_id, chunk_id, count(*) * 0.1 AS score FROM few_asked JOIN token USING (term) GROUP BY ALL),
-    met2 AS (SELECT s.*, c.repository, c.snapshot_id, c.path, c.start_line FROM fq s JOIN chunks c USING (chunk_id)),
-    first2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, start_line, chunk_id) AS n FROM met2 QUALIFY n <= 50),
-    few2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, snapshot_id, path ORDER BY n) AS f FROM first2 QUALIFY f <= 2),
-    top2 AS (SELECT query_id, chunk_id, repository, path, start_line, snapshot_id, row_number() OVER (PARTITION BY query_id ORDER BY n)::INTEGER AS rank FROM few2 QUALIFY rank <= 10),
-    ch AS (SELECT query_id, 'word' AS channel, rank, chunk_id, repository, path, start_line FROM top UNION ALL SELECT query_id, 'symbol_exact', rank, chunk_id, repository, path, start_line FROM top2
-        UNION ALL SELECT query_id, 'relation_source', rank, chunk_id, repository, path, start_line FROM top2 WHERE rank > 5),
-    sums AS (SELECT query_id, chunk_id, any_value(repository) AS repository, any_value(path) AS path, any_value(start_line) AS start_line, min(rank) AS best_rank,
-        coalesce(max(1.0::DOUBLE / (60 + rank)) FILTER (WHERE channel = 'word'), 0) + coalesce(max(2.0::DOUBLE / (60 + rank)) FILTER (WHERE channel = 'symbol_exact'), 0) + coalesce(max(0.75::DOUBLE / (60 + rank)) FILTER (WHERE channel = 'relation_source'), 0) AS fused,
-        concat_ws(' ', 'word:' || min(rank) FILTER (WHERE channel = 'word'), 'symbol_exact:' || min(rank) FILTER (WHERE channel = 'symbol_exact'), 'relation_source:' || min(rank) FILTER (WHERE channel = 'relation_source')) AS contributions FROM ch GROUP BY ALL)"""
 _OVER = "chunk c ON s.file_id = c.file_id AND c.start_line <= s.end_line AND c.end_line >= s.start_line"
 
 ORACLES = {
@@ -239,10 +206,6 @@ ORACLES = {
     "set2_used_symbols": f"WITH {D} SELECT DISTINCT logical_symbol_id AS id, name FROM defs",
     "agg5_distribution": f"WITH {C} SELECT kind, confidence, count(*)::BIGINT AS relations FROM rel GROUP BY GROUPING SETS ((kind), (confidence), ())",
     "agg6_resolution": f"WITH {C} SELECT snapshot_id, round(avg((target_symbol_id IS NOT NULL)::INTEGER), 9) AS resolved_rate, round(avg((confidence = 'ambiguous_candidate')::INTEGER), 9) AS ambiguous_rate FROM rel WHERE kind = 'calls' GROUP BY 1",
-    "rrf1_fusion": f"WITH {_CH} SELECT s.query_id, c.snapshot_id, s.chunk_id, row_number() OVER (PARTITION BY s.query_id ORDER BY fused DESC, best_rank, s.repository, s.path, s.start_line, s.chunk_id)::INTEGER AS rank, best_rank, round(fused, 12) AS fused_score, contributions FROM sums s JOIN chunks c USING (chunk_id) QUALIFY rank <= 10",
-    "rrf2_repositories": f"""WITH {_CH}, loc AS (SELECT *, row_number() OVER (PARTITION BY query_id, repository ORDER BY fused DESC, best_rank, path, start_line, chunk_id)::INTEGER AS repository_rank, substr(repository, 4)::INTEGER AS ordinal FROM sums QUALIFY repository_rank <= 10)
-        SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY repository_rank, ordinal, fused DESC, path, start_line, chunk_id)::INTEGER AS rank, repository_rank, ordinal FROM loc QUALIFY rank <= 10""",
-    "agg9_channel_counts": f"WITH {_CH} SELECT query_id, channel, count(*)::BIGINT AS candidates FROM ch GROUP BY ALL",
     "vec1_rerank": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_sum(list_transform(range(1, 9), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)), 12) AS rough, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) AS s
             FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
         c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rough DESC, chunk_id)::INTEGER AS rank FROM p QUALIFY rank <= 100),

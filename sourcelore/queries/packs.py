@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcelore import adapters as A
 from sourcelore.functions.ids import citation
 from sourcelore.functions.text import lines
 from sourcelore.operators import fusion as U
+from sourcelore.operators import index as W
 from sourcelore.operators import search as S
 from sourcelore.plans import evaluate as V
 from sourcelore.plans import pack as G
@@ -52,9 +56,9 @@ def src4_members(spark, d):
     return M.read_members(spark, f"{path}/*/*.txt").select("solution_id", "repository", "ordinal", "manifest_digest")
 
 
-def hits(spark, d):
+def hits(spark, d, top_k=10):
     chunks = A.chunk_table(spark, d)
-    found = S.bm25(chunks, A.queries(spark, d), 10).select("query_id", "chunk_id", "rank")
+    found = W.bm25(A.word_index(spark, d), A.queries(spark, d), top_k).select("query_id", "chunk_id", "rank")
     return found.join(chunks.select("chunk_id", "content", F.col("path").alias("symbol"), "snapshot_id", "start_line", "end_line", "path", "repository", "content_hash", "revision"), "chunk_id").withColumn("content_truncated", F.lit(False))
 
 
@@ -89,14 +93,6 @@ def pck3_coverage(spark, d):
     return got.select("query_id", "evidence_status", F.size("gaps").alias("gaps"), F.size("warnings").alias("warnings"))
 
 
-def pck4_packs(spark, d):
-    """Packs of the queries and of the same with more white space have the same ids."""
-    asked = A.queries(spark, d)
-    packed = G.evidence(hits(spark, d), 700, 6)
-    totals = G.budgets(packed)
-    return G.pack_rows(asked, packed, totals, G.coverage(asked, totals, asked.limit(0))).select("query_id", "id", F.size("evidence").alias("items"))
-
-
 def annotations(spark, d):
     """Benchmark texts that stand in documents, with the lines they touch."""
     docs = A.table(spark, d, "documents").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
@@ -107,10 +103,8 @@ def annotations(spark, d):
 
 
 def results(spark, d):
-    """Word search and plain frequency as two retrievers."""
-    cols = [F.col("query_id").alias("question_id"), "rank", "path", "start_line", "end_line"]
-    chunks, asked = A.chunk_table(spark, d), A.queries(spark, d)
-    return S.bm25(chunks, asked).select(F.lit("word").alias("retriever"), *cols).union(S.term_frequency(chunks, asked).select(F.lit("plain").alias("retriever"), *cols))
+    """Word search by the stored index."""
+    return W.bm25(A.word_index(spark, d), A.queries(spark, d)).select(F.col("query_id").alias("question_id"), "rank", "path", "start_line", "end_line")
 
 
 def _rounded(df, *names):
@@ -118,30 +112,31 @@ def _rounded(df, *names):
 
 
 def evl1_files(spark, d):
-    found = results(spark, d).where("retriever = 'word'")
+    found = results(spark, d)
     return _rounded(V.file_metrics(annotations(spark, d), found, 10), "file_recall", "file_mrr")
 
 
 def evl2_ranges(spark, d):
-    found = results(spark, d).where("retriever = 'word'")
+    found = results(spark, d)
     return _rounded(V.range_metrics(annotations(spark, d), found, 10), "range_recall", "range_mrr")
 
 
-def evl3_compare(spark, d):
-    return _rounded(V.compare(durable(annotations(spark, d)), durable(results(spark, d)), 10, "plain", "word"), "base", "other", "delta")
-
-
 def evl4_ablation(spark, d):
-    """Word hits reranked by hashed vectors: the first order, the vectors' and the fused one, and the ceiling of all candidates."""
-    h = durable(hits(spark, d))
+    """The hundred best word hits reranked by hashed vectors: the first order, the vectors' and the fused one, and the ceiling of all
+    candidates."""
+    h = durable(hits(spark, d, 100))
     texts = h.select("chunk_id", "content").distinct().select("chunk_id", U.embed_column(F.col("content")).alias("vector"))
     asked = A.queries(spark, d).select("query_id", U.embed_column(F.col("query"), True).alias("query_vector"))
-    ranked = U.rerank(h.select("query_id", "chunk_id", "rank", "repository", "path", "start_line", "end_line"), asked, texts)
+    ranked = durable(U.rerank(h.select("query_id", "chunk_id", "rank", "repository", "path", "start_line", "end_line"), asked, texts), "ranked")
+    return ablation(ranked, durable(annotations(spark, d)))
+
+
+def ablation(ranked, marks):
     cols = [F.col("query_id").alias("question_id"), "path", "start_line", "end_line"]
-    rows = ranked.select(F.lit("candidates").alias("retriever"), F.col("rank"), *cols).union(ranked.select(F.lit("vectors"), "semantic_rank", *cols)).union(ranked.select(F.lit("fused"), "fused_rank", *cols))
-    rows, marks = durable(rows), durable(annotations(spark, d))
-    cut = V.range_metrics(marks, rows, 3, ("retriever",)).withColumn("top_k", F.lit(3))
-    return cut.union(V.range_metrics(marks, rows.where("retriever = 'candidates'"), 10, ("retriever",)).withColumn("retriever", F.lit("ceiling")).withColumn("top_k", F.lit(10)))
+    orders = {"candidates": "rank", "vectors": "semantic_rank", "fused": "fused_rank"}
+    rows = reduce(DataFrame.union, [ranked.select(F.lit(name).alias("retriever"), F.col(by).alias("rank"), *cols) for name, by in orders.items()])
+    cut = V.range_metrics(marks, rows, 10, ("retriever",)).withColumn("top_k", F.lit(10))
+    return cut.union(V.range_metrics(marks, rows.where("retriever = 'candidates'"), 100, ("retriever",)).withColumn("retriever", F.lit("ceiling")).withColumn("top_k", F.lit(100)))
 
 
 def evl5_routing(spark, d):
@@ -210,7 +205,7 @@ def str1_audit_stream(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    src2_questions, src3_scope, src4_members, pck1_evidence, pck2_symbols, jon13_links, pck3_coverage, pck4_packs, evl1_files, evl2_ranges, evl3_compare, evl4_ablation, evl5_routing, evl6_annotations, snp6_report, set4_found, snk1_publish,
+    src2_questions, src3_scope, src4_members, pck1_evidence, pck2_symbols, jon13_links, pck3_coverage, evl1_files, evl2_ranges, evl4_ablation, evl5_routing, evl6_annotations, snp6_report, set4_found, snk1_publish,
     snk3_audit, str1_audit_stream,
 )}
 
@@ -229,18 +224,10 @@ _CONTEXTS = lambda symbols, occurrences, relations: f"""{code.C}, oc AS (SELECT
     rl AS (SELECT *, row_number() OVER (PARTITION BY name, snapshot_id ORDER BY citation, target_text) AS n FROM (SELECT DISTINCT source_name AS name, snapshot_id, {_CITE} AS citation, target_text FROM calls) x),
     oo AS (SELECT name, snapshot_id, least(count(*), {occurrences})::INTEGER AS occurrences, count(*) > {occurrences} AS more FROM oc GROUP BY ALL), rr AS (SELECT name, snapshot_id, least(count(*), {relations})::INTEGER AS relations, count(*) > {relations} AS more FROM rl GROUP BY ALL),
     ctx AS (SELECT query_id, name, snapshot_id, coalesce(occurrences, 0) AS occurrences, coalesce(relations, 0) AS relations, coalesce(o.more, false) OR coalesce(r.more, false) AS truncated FROM names JOIN (oo o FULL JOIN rr r USING (name, snapshot_id)) USING (name) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY name_order, snapshot_id) <= {symbols})"""
-_MEASURES = f"""WITH {_ANN}, word AS ({searching.ORACLES['lex1_bm25']}), plain AS ({searching.ORACLES['lex2_term_frequency']}), res AS (SELECT 'word' AS retriever, * FROM word UNION ALL SELECT 'plain', * FROM plain), both_ AS (SELECT unnest(['word', 'plain']) AS retriever),
-    fr AS (SELECT b.retriever, w.question_id, w.path, (SELECT min(h.rank) FROM res h WHERE h.retriever = b.retriever AND h.query_id = w.question_id AND h.path = w.path) AS rank FROM (SELECT DISTINCT question_id, path FROM ann) w, both_ b),
-    rg AS (SELECT b.retriever, w.question_id, (SELECT min(h.rank) FROM res h WHERE h.retriever = b.retriever AND h.query_id = w.question_id AND h.path = w.path AND w.start_line <= h.end_line AND h.start_line <= w.end_line) AS rank FROM (SELECT DISTINCT question_id, path, start_line, end_line FROM ann) w, both_ b),
-    q AS (SELECT 'file' AS what, retriever, question_id, count(*) AS n, count(rank) AS f, coalesce(1.0::DOUBLE / min(rank), 0) AS rr FROM fr GROUP BY ALL UNION ALL SELECT 'range', retriever, question_id, count(*), count(rank), coalesce(1.0::DOUBLE / min(rank), 0) FROM rg GROUP BY ALL),
-    m AS (SELECT what || '_recall' AS metric, retriever, sum(f)::DOUBLE / sum(n) AS v FROM q GROUP BY ALL UNION ALL SELECT what || '_mrr', retriever, avg(rr) FROM q GROUP BY what, retriever), p AS (SELECT metric, max(v) FILTER (WHERE retriever = 'plain') AS base, max(v) FILTER (WHERE retriever = 'word') AS other FROM m GROUP BY 1)"""
 ORACLES = {
     "set4_found": f"WITH {_ANN}, base AS ({searching.ORACLES['lex4_fixed_strings']}) SELECT DISTINCT question_id, a.path FROM ann a JOIN base b ON b.query_id = a.question_id AND b.path = a.path",
-    "evl3_compare": f"{_MEASURES} SELECT metric, round(base, 9) AS base, round(other, 9) AS other, round(other - base, 9) AS delta FROM p",
     "pck1_evidence": f"WITH RECURSIVE {_WALK} SELECT query_id, rank::INTEGER AS rank, chunk_id, disposition, length(kept)::INTEGER AS kept_chars, content_truncated FROM walk WHERE rank > 0",
     "pck3_coverage": f"WITH RECURSIVE {_WALK}, a AS (SELECT item_id AS query_id FROM benchmark UNION ALL SELECT -item_id - 1 FROM benchmark) SELECT query_id, CASE WHEN coalesce(items, 0) > 0 THEN 'available_unassessed' ELSE 'none' END AS evidence_status, (1 + coalesce((omitted > 0)::INTEGER, 0))::INTEGER AS gaps, (query_id % 3 = 0)::INTEGER AS warnings FROM a LEFT JOIN totals USING (query_id)",
-    "pck4_packs": f"""WITH RECURSIVE {_WALK}, a AS (SELECT item_id AS query_id, array_to_string({WORDS.format('text')}, ' ') AS query FROM benchmark)
-        SELECT query_id, 'pack_' || substr(sha256('{{"chars":"' || coalesce(chars::VARCHAR, '') || '","evidence":"' || coalesce(picked, '') || '","omitted":"' || coalesce(omitted::VARCHAR, '') || '","query":"' || query || '"}}'), 1, 24) AS id, items::INTEGER AS items FROM a LEFT JOIN totals USING (query_id)""",
     "pck2_symbols": f"WITH {_CONTEXTS(6, 4, 8)} SELECT query_id, name, snapshot_id, occurrences, relations, truncated FROM ctx",
     "jon13_links": f"""WITH {_CONTEXTS(50, 4, 200)}, s AS (SELECT query_id, c.snapshot_id, citation, target_text FROM ctx c JOIN rl r ON r.name = c.name AND r.snapshot_id = c.snapshot_id AND r.n <= 200),
         t AS (SELECT query_id, c.name, c.snapshot_id, arg_min(citation, n) AS citation FROM ctx c JOIN oc o ON o.name = c.name AND o.snapshot_id = c.snapshot_id AND o.n <= 4 WHERE role = 'definition' GROUP BY ALL),

@@ -21,14 +21,15 @@ CUT = """met AS (SELECT s.*, c.repository, c.snapshot_id, c.path, c.start_line,
     first AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, start_line, chunk_id) AS n FROM met QUALIFY n <= 50),
     few AS (SELECT *, row_number() OVER (PARTITION BY query_id, snapshot_id, path ORDER BY n) AS f FROM first QUALIFY f <= 2),
     top AS (SELECT query_id, chunk_id, score, repository, path, start_line, end_line, row_number() OVER (PARTITION BY query_id ORDER BY n)::INTEGER AS rank FROM few QUALIFY rank <= 10)"""
-BM25 = f"""{CHUNKS}, {ASKED},
-    token AS (SELECT chunk_id, unnest({WORDS.format('content')}) AS term FROM chunks),
+#: DuckDB: from chunks and asked to scored.
+SCORED = f"""token AS (SELECT chunk_id, unnest({WORDS.format('content')}) AS term FROM chunks),
     size AS (SELECT chunk_id, len({WORDS.format('content')}) AS size FROM chunks),
     whole AS (SELECT count(*) AS chunks, avg(size) AS average FROM size),
     tf AS (SELECT chunk_id, term, count(*) AS tf FROM token WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
     idf AS (SELECT term, greatest(ln(((SELECT chunks FROM whole) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM tf GROUP BY term),
     scored AS (SELECT query_id, chunk_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / (SELECT average FROM whole)))), 9) AS score
         FROM asked JOIN tf USING (term) JOIN idf USING (term) JOIN size USING (chunk_id) GROUP BY ALL)"""
+BM25 = f"{CHUNKS}, {ASKED}, {SCORED}"
 TOP = ["query_id", "chunk_id", "score", "repository", "path", "start_line", "end_line", "rank"]
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import fnmatch
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourcelore.functions.ids import col
 from sourcelore.functions.text import basename, decode_status, decoded, lines
+from sourcelore.storage import durable
 
 MOST_BYTES = 2 * 1024 * 1024
 _SNIFFED = 8_192
@@ -20,12 +21,16 @@ LANGUAGES = {
 }
 
 
-def read_tree(spark: SparkSession, root: str, repository: str) -> DataFrame:
-    """``(repository, path, content)`` of all files under ``root``, each once, by any path that Spark can read."""
+def read_tree(spark: SparkSession, root: str, repository: str, most_bytes: int | None = MOST_BYTES) -> DataFrame:
+    """``(repository, path, content)`` of all files under ``root``, by any path that Spark can read. A listing has each file
+    once. Files of over ``most_bytes`` come without content, and are never opened: the source gets their sizes first."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     at = F.concat(F.regexp_replace(F.lit(root.rstrip("/")), r"^\w+:/+|^/+", "/"), F.lit("/"))
     plain = F.regexp_replace("path", r"^\w+:/+", "/")
-    return files.select(F.lit(repository).alias("repository"), F.substring(plain, F.char_length(at) + 1, F.char_length(plain)).alias("path"), "content").dropDuplicates(["repository", "path"])
+    shown = lambda rows, content: rows.select(F.lit(repository).alias("repository"), F.substring(plain, F.char_length(at) + 1, F.char_length(plain)).alias("path"), content.alias("content"))
+    if most_bytes is None:
+        return shown(files, F.col("content"))
+    return shown(files.where(F.col("length") <= most_bytes), F.col("content")).union(shown(files.where(F.col("length") > most_bytes), F.lit(None).cast("binary")))
 
 
 def under_roots(path: Column | str, roots: list[str]) -> Column:
@@ -64,9 +69,9 @@ def language(path: Column | str) -> Column:
 
 
 def accepted(content: Column | str, path: Column | str, most_bytes: int = MOST_BYTES) -> Column:
-    """Known language, not too large, and no NUL among the first bytes."""
+    """Known language, not too large (a file without content is), and no NUL among the first bytes."""
     no_nul = F.expr("position(unhex('00') in substring({}, 1, {}))".format(content, _SNIFFED)) == 0 if isinstance(content, str) else F.instr(F.hex(F.substring(content, 1, _SNIFFED)), "00") == 0
-    return language(path).isNotNull() & (F.octet_length(col(content)) <= most_bytes) & no_nul
+    return F.coalesce(language(path).isNotNull() & (F.octet_length(col(content)) <= most_bytes) & no_nul, F.lit(False))
 
 
 def walk_order(path: Column | str) -> Column:
@@ -75,21 +80,23 @@ def walk_order(path: Column | str) -> Column:
     return F.transform(parts, lambda p, i: F.struct((i < F.size(parts) - 1).alias("is_dir"), p.alias("name")))
 
 
-def first_files(files: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` files of each repository in walk order."""
-    ranked = files.withColumn("__n", F.row_number().over(_by_walk()))
-    return ranked.where(F.col("__n") <= most).drop("__n")
-
-
-def _by_walk():
-    from pyspark.sql import Window
+#: Paths of chosen files that are broadcast, by count; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
-    return Window.partitionBy("repository").orderBy(walk_order("path"))
 
-
-def scan(files: DataFrame, roots: list[str] | None = None, globs: list[str] | None = None, most_bytes: int = MOST_BYTES, most_files: int | None = None, once: bool = True) -> DataFrame:
-    """Accepted files (each path once, unless told otherwise) with blob id, language, line count, size and decode status; all per row but ``most_files``."""
-    kept = (files.dropDuplicates(["repository", "path"]) if once else files).where(under_roots("path", roots or ["."]) & ~excluded("path", globs or [])).where(accepted("content", "path", most_bytes))
+def first_files(files: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` files of each repository in walk order. Paths alone are ranked; contents are joined back after the cut,
+    and aren't shuffled unless very many are chosen."""
+    by_walk = Window.partitionBy("repository").orderBy(walk_order("path"))
+    ranked = files.select("repository", "path").withColumn("__n", F.row_number().over(by_walk)).where(F.col("__n") <= most)
+    chosen = durable(ranked.select("repository", "path").distinct(), "chosen")
+    return files.join(F.broadcast(chosen) if chosen.count() <= MOST_BROADCAST else chosen, ["repository", "path"], "left_semi")
+
+
+def scan(files: DataFrame, roots: list[str] | None = None, globs: list[str] | None = None, most_bytes: int = MOST_BYTES, most_files: int | None = None) -> DataFrame:
+    """Accepted files with blob id, language, line count, size and decode status; all per row but ``most_files``. A listing has
+    each path once, so none is looked for twice."""
+    kept = files.where(under_roots("path", roots or ["."]) & ~excluded("path", globs or [])).where(accepted("content", "path", most_bytes))
     out = kept.select(
         "repository", "path", F.sha2("content", 256).alias("blob_id"), language("path").alias("language"), F.size(lines(decoded("content"))).alias("line_count"),
         F.octet_length("content").cast("long").alias("size_bytes"), decode_status("content").alias("decode_status"), "content",

@@ -56,7 +56,7 @@ def stream_sources(files: DataFrame, path: str, checkpoint: str, profile: str):
         def add(table: str, found: DataFrame, key: list[str]) -> None:
             absent_from(table, found, key).write.mode("append").parquet(f"{path}/{table}")
 
-        came = durable(artifact_ids(scan(rows, once=False), profile), "batch")
+        came = durable(artifact_ids(scan(rows), profile), "batch")
         one = came.dropDuplicates(["artifact_id"]).select("artifact_id", F.col("artifact_id").alias("file_id"), "language", decoded("content").alias("text"))
         fresh = durable(absent_from("artifacts", one, ["artifact_id"]), "fresh")
         found = {name: df.withColumn("artifact_id", F.col("file_id")) for name, df in analysed(fresh.drop("artifact_id")).items() if name in PAYLOAD}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sourcelore.functions import text as X
 from sourcelore.operators import access as P
+from sourcelore.operators import automaton
 from sourcelore.operators import chunks as C
 from sourcelore.operators import cscan
 from sourcelore.operators import dependencies as E
@@ -250,7 +251,7 @@ def test_substrings_and_passages_meet_like_a_plain_search(spark):
     texts = [("a", "The quick brown fox jumps"), ("b", "over the lazy dog, the end"), ("c", ""), ("d", "é quick"), ("e", "x\ny quick brown fox jumps over all\nz"), ("f", None)]
     terms = ["quick", "ck brown f", "e", "é", "the", "The quick brown fox jumps", "zz", "", "og,"]
     rows = spark.createDataFrame(texts, "path string, body string")
-    got = {(r.path, r.term) for r in S.substring_matches(rows, spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    got = {(r.path, r.term) for r in automaton.strings_in(rows, spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
     assert got == {(p, t) for p, b in texts for t in terms if t and t in (b or "")}
     passages = [(1, "quick brown fox jumps over"), (2, "ick brown fox jumps ov"), (3, "fox"), (4, "x\ny quick brown fox jumps over all\nz"), (5, "brown fox jumps over the lazy"), (6, "lazy dog"), (7, "The quick brown fox jumps")]
     found = [(r.path, r.id) for r in S.passage_matches(rows, spark.createDataFrame(passages, "id int, passage string")).collect()]
@@ -297,3 +298,42 @@ def test_repeated_names_of_a_query_count_where_they_stand_first(spark):
         by = lambda names: [[(r.rank, r.chunk_id, r.name_order) for r in f.orderBy("rank").collect()] for f in (S.symbol_hits(names, symbols, occurrences, chunks, k), S.relation_hits(names, symbols, relations, chunks, k))]  # noqa: B023, E731
         assert by(once) == by(twice)
     assert by(once)[0] == [(1, "c3", 0), (2, "c0", 0), (3, "c4", 1)]
+
+
+def test_first_files_are_cut_before_their_contents_move(spark):
+    rows = [("a", p, b"x") for p in ("z.c", "d/b.c", "d/a.c", "a.c", "d/e/c.c")] + [("b", "q.c", b"y")]
+    files = spark.createDataFrame(rows, "repository string, path string, content binary")
+    got = T.first_files(files, 3)
+    assert {(r.repository, r.path) for r in got.collect()} == {("a", "a.c"), ("a", "z.c"), ("a", "d/a.c"), ("b", "q.c")}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "content" in plan  # a broadcast of paths; no content in an exchange
+
+
+def test_files_too_large_are_listed_but_not_opened(spark, tmp_path):
+    (tmp_path / "t" / "d").mkdir(parents=True)
+    (tmp_path / "t" / "a.c").write_text("int a;")
+    (tmp_path / "t" / "d" / "b.c").write_text("x" * 500)
+    files = T.read_tree(spark, str(tmp_path / "t"), "r", most_bytes=100)
+    assert {(r.path, r.content and len(r.content)) for r in files.collect()} == {("a.c", 6), ("d/b.c", None)}
+    assert "LessThanOrEqual(length,100)" in files._jdf.queryExecution().executedPlan().toString()
+    assert [r.path for r in T.scan(files).collect()] == ["a.c"]
+    counted = T.scan_counts(files, ["."], []).first()
+    assert (counted.file_count, counted.skipped_file_count, counted.byte_count) == (1, 1, 6)
+
+
+@pytest.mark.parametrize("most", [0, 1, 7, 299, 300, 1000])
+def test_first_rows_by_prefix_counts(spark, most):
+    rows = sorted((f"r{i % 90:03d}", f"c{i:04d}") for i in range(300))
+    frame = spark.createDataFrame(rows, "reference_id string, candidate string").repartition(5)
+    picked, stop = E._firsts(frame, most)
+    assert sorted(r.candidate for r in picked.collect()) == sorted(c for _, c in rows[:most]) and stop == (rows[most][0] if most < 300 else None)
+
+
+def test_passages_meet_bodies_by_row_numbers(spark, monkeypatch):
+    frames = []
+    meet = S._meet
+    monkeypatch.setattr(S, "_meet", lambda dealt, asked, key: frames.append(dealt) or meet(dealt, asked, key))
+    texts = spark.createDataFrame([("a", "one two three four five six"), ("a", "one two three four five six"), ("b", None)], "path string, body string")
+    found = S.passage_matches(texts, spark.createDataFrame([(1, "two three four five six")], "id int, passage string"))
+    assert [(r.path, r.id) for r in found.collect()] == [("a", 1)] * 2
+    assert [f.columns for f in frames] == [["__row", "__key"]]

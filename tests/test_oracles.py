@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from sourcelore.queries import base, code, facts, governance, ingest, packs, searching
+from sourcelore.queries import answers, base, code, facts, governance, ingest, packs, searching
 
-MODULES = (base, searching, code, facts, packs, governance, ingest)
+MODULES = (base, searching, code, facts, packs, answers, governance, ingest)
 CASES = [(m, n) for m in MODULES for n in m.ORACLES]
 
 
