@@ -41,7 +41,7 @@ _AROUND = frozenset(
 #: ... for the article, ...
 _INSIDE = frozenset("article main content post entry story body text".split())
 #: ... and for nothing by themselves. A name with any other word in it says nothing.
-_PLAIN = frozenset("site page global top bottom left right inner outer box block wrapper wrap container area section list item items links bar widget widgets primary secondary the js".split())
+_PLAIN = frozenset("site page global top bottom left right inner outer box block wrapper wrap container area section list item items links bar widget widgets primary secondary the js user users reader readers visitor slot unit zone panel module row column group holder placeholder".split())
 
 #: ``place``: -1 if an element around the block stands for what surrounds articles, 1 if one stands for an article, else 0.
 #: ``with_before``, ``with_after``: whether the neighbour stands in the same element. ``page_share``: its part of the page's words.
@@ -58,12 +58,19 @@ def _name(name: str) -> tuple[int, int]:
     return int(bool(around)), int(bool(inside) and not around)
 
 
+#: An element that browsers don't show.
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|\bstyle\s*=\s*(?:\"[^\"]*|'[^']*|\S*)display\s*:\s*none", re.I)
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
+#: What an open link has shown: nothing yet, words of a block, or whole blocks that it stands around.
+_NO_LINK, _FRESH, _INLINE, _AROUND_BLOCKS = range(4)
+
+
 def _hints(tag: str, attributes: str) -> tuple[int, int]:
     around, inside = int(tag in _CHROME), int(tag in ("article", "main"))
     if "=" in attributes and tag not in ("html", "body"):
         for values in _HINT.findall(attributes):
             for name in "".join(values).split():
-                own = _name(name) if len(name) < 60 else (0, 0)
+                own = _name(name)
                 around |= own[0]
                 inside |= own[1]
     return around, int(inside and not around)
@@ -78,7 +85,8 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
     made = 0
     leaf = ("", 0)
     pieces: list[str] = []
-    linked, breaks, in_link = 0, 0, False
+    linked, breaks = 0, 0
+    link, depth, mute = _NO_LINK, 0, False  # the open link, the elements around it, and whether this block is hidden
 
     def flush() -> None:
         nonlocal linked, breaks
@@ -91,12 +99,14 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
         linked = breaks = 0
 
     def text(raw: str) -> None:
-        nonlocal linked, breaks
-        if raw and not stack[-1][4]:
+        nonlocal linked, breaks, link
+        if raw and not stack[-1][4] and not mute:
             decoded = entities.unescape(raw) if "&" in raw else raw
             pieces.append(decoded)
-            if in_link:
+            if link:
                 linked += len(decoded.split())
+                if link == _FRESH and not decoded.isspace():
+                    link = _INLINE
             if breaks and not decoded.isspace():
                 breaks = 0
 
@@ -115,7 +125,7 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
         elif tag == "a":
-            in_link = not m[1]
+            link, depth = (_FRESH if not m[1] and _HREF.search(m[3]) else _NO_LINK), len(stack)
         elif tag == "br":
             pieces.append(" ")
             breaks += 1
@@ -123,7 +133,8 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
                 flush()
         elif tag in _HOLDERS:
             flush()
-            leaf, in_link = ("", 0), False
+            leaf, mute = ("", 0), False
+            link = _AROUND_BLOCKS if link == _AROUND_BLOCKS or link == _FRESH and not m[1] else _NO_LINK
             if not m[1]:
                 _, around, forms, inside, silent, _ = stack[-1]
                 own, article = _hints(tag, m[3])
@@ -131,16 +142,17 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
                     own = int(not inside)  # the head of an article is its own
                 forms = 0 if tag in ("article", "main") else forms + (tag in ("form", "fieldset"))  # some pages are one form
                 made += 1
-                stack.append((tag, around + own, forms, inside + article, silent + (tag in _SILENT), made))
+                stack.append((tag, around + own, forms, inside + article, silent + (tag in _SILENT or bool(_HIDDEN.search(m[3]))), made))
                 open_[tag] += 1
             elif open_[tag]:
                 while (gone := stack.pop()[0]) != tag:
                     open_[gone] -= 1
                 open_[tag] -= 1
+                link = link if len(stack) >= depth else _NO_LINK  # a link that was never closed ends with what holds it
         elif tag in _LEAVES:
             flush()
-            in_link = False
-            leaf = ("", 0) if m[1] else (tag, _hints(tag, m[3])[0])
+            link = _AROUND_BLOCKS if link == _AROUND_BLOCKS or link == _FRESH and not m[1] else _NO_LINK
+            leaf, mute = (("", 0), False) if m[1] else ((tag, _hints(tag, m[3])[0]), bool(_HIDDEN.search(m[3])))
         elif tag in _SILENT:
             pieces.append(" ")
     flush()

@@ -217,3 +217,32 @@ def test_lists_are_found_by_the_graph_at_every_size(monkeypatch, k):
         assert len(found) == len(set(found)) and found[0] == far.argmin()
         hit, want = hit + len(true & set(found)), want + len(true)
     assert len(searches) >= 40 and hit >= 0.97 * want
+
+
+_STORY = "<p>" + "The river was high this morning and the farmers had to move their carts over the old bridge near the town. " * 2 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("inside", "after", "absent"),
+    [
+        ("", "".join(f"<a href='/{i}'><h3>Some other story {i}</h3><p>Read what happened in town {i} this week</p></a>" for i in range(4)), "other story"),
+        ("<section class='user-comments'><p>Anna: I think this is a very good story about the river.</p></section>", "", "Anna"),
+        ("<div class='ad-slot'>Buy the new boat now, only this week in all good stores near you</div>", "", "boat"),
+        (f"<div class='{'x' * 70} sponsored'>Buy the new boat now, only this week in all good stores near you</div>", "", "boat"),
+        ("<p hidden>secret words that nobody sees here</p>", "", "secret"),
+        ("<div style='color: red; display: none'><p>secret words that nobody sees</p></div>", "", "secret"),
+    ],
+)
+def test_what_is_not_the_article_goes(inside, after, absent):
+    page = f"<body><div><a href='/'>Home</a> <a href='/a'>About us</a></div><article><h1>A long night by the river</h1>{_STORY * 4}{inside}</article><div>{after}</div></body>"
+    text = html.main_text(page, html.tree())
+    assert absent not in text and text.count("The river was high") == 8
+
+
+def test_links_of_a_text_stay_its_own():
+    of = lambda page: [b[1][:2] for b in html.blocks(page)]
+    assert of("<p>one <a href='/'>two</a> three</p><p>four</p>") == [(3, 1), (1, 0)]
+    assert of("<a href='/'><h3>one two</h3><p>three</p></a><p>four</p>") == [(2, 2), (1, 1), (1, 0)]
+    assert of("<div><a href='/'>one<p>two</p></div><p>three</p>") == [(1, 1), (1, 0), (1, 0)]  # never closed, with words of its own
+    assert of("<div><a href='/'><p>one</p></div><p>two</p>") == [(1, 1), (1, 0)]  # never closed, around blocks: ends with the div
+    assert of("<a name='top'><p>one two</p>") == [(2, 0)]
