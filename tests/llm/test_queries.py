@@ -17,7 +17,7 @@ from test_text_operators import brute_components, brute_lines, brute_print
 from test_vectors_and_pages import brute_links
 
 import corpus_pipeline
-from sourcelore.llm import html, packing, queries
+from sourcelore.llm import html, packing, queries, toxicity
 from sourcelore.llm.common import stored
 
 
@@ -72,6 +72,23 @@ def test_op4(spark, sf_dir, documents):
     assert all(r.held_out == (crc(r.doc_id, 5) == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
 
 
+def test_op4_scores_equal_a_plain_machine(spark, sf_dir, documents):
+    """The same training rows gathered in plain Python, and every pair of terms taken one by one."""
+    marks = {}
+    for r in rows(spark, sf_dir, "labels"):
+        if r.doc_id is not None and r.toxic is not None and crc(r.doc_id, 5):
+            marks[r.doc_id] = max(marks.get(r.doc_id, 0), int(r.toxic > 0))
+    texts = dict(documents)
+    own = sorted(i for i in marks if i in texts)
+    bias, places, w, v = toxicity.train([toxicity.text_terms(texts[i]) for i in own], np.array([marks[i] for i in own], float))
+    at = {int(p): i for i, p in enumerate(places)}
+    assert len(at) > 10
+    for r in queries.op4_toxicity(spark, sf_dir).collect():
+        held = [at[p] for p in toxicity.text_terms(texts[r.doc_id]).tolist() if p in at]
+        z = bias + sum(w[i] for i in held) + sum(float(v[i] @ v[j]) for n, i in enumerate(held) for j in held[:n])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), abs=1e-9)
+
+
 def test_op5_recall_with_production_values(spark, sf_dir):
     vectors = {r.vec_id: np.array(r.embedding, np.float32).astype(float) for r in rows(spark, sf_dir, "embeddings")}
     ids, x = np.array(list(vectors)), np.stack(list(vectors.values()))
