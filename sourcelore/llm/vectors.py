@@ -230,7 +230,10 @@ class Lists:
         k = len(centroids)
         rng = np.random.default_rng(seed)
         near = np.argsort(_squares(centroids, centroids) + np.diag(np.full(k, np.inf)), axis=1, kind="stable")[:, : min(degree, k - 1)]
-        self.next = [np.unique(np.concatenate((n, rng.integers(0, k, min(4, k))))) for n in near]
+        there = np.concatenate([near, rng.integers(0, k, (k, min(4, k)))], axis=1)
+        here = np.repeat(np.arange(k), there.shape[1])
+        both = np.unique(np.concatenate((here * k + there.ravel(), there.ravel() * k + here)))  # both ways, so that all are reached
+        self.next = np.split(both % k, np.searchsorted(both // k, np.arange(1, k)))
 
     def search(self, x: np.ndarray, wanted: int, width: int) -> list[tuple[float, int]]:
         """Up to ``wanted`` lists nearest to x, nearest first: best-first over the graph with a beam of ``width``."""
@@ -259,8 +262,9 @@ class Lists:
 
     def near(self, x: np.ndarray, least: int, ratio: float) -> list[int]:
         """The ``least`` lists nearest to x, and all others within ``1 + ratio`` of the nearest, by the graph: the beam is
-        ``least`` wide at first, and twice as wide each time until it holds them."""
-        width = least
+        twice as wide as ``least`` at first, as the graph may miss near ones at its rim, and twice as wide again each time until
+        it holds them."""
+        width = 2 * least
         while True:
             found = self.search(x, width, width)
             bound = (1 + ratio) * np.sqrt(found[0][0])
