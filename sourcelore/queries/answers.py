@@ -19,10 +19,10 @@ from sourcelore.queries.searching import CUT, SCORED, WORDS
 from sourcelore.storage import durable, scratch
 
 TOP, ITEMS, TOKENS, SYMBOLS, RELATIONS = 10, 4, 120, 6, 8
-# In SQL that Spark and DuckDB both take: a line of code for each part, and twenty parts to a question.
+# In SQL that Spark and DuckDB both take: a line of code for each part, and two hundred parts to a question.
 _LINES = f"""SELECT {code._FILE} || ':' || {code._PATH} || ':' || CAST(CAST(floor(p_partkey / 10) AS INT) AS STRING) AS chunk_id, p_partkey AS k, {code._NAME} AS name,
     'int ' || {code._NAME} || '(size_' || CAST(p_size AS STRING) || ' a) // ' || lower(p_type) || ' ' || p_name AS line FROM {{part}}"""
-_ASKED = f"SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS query_id, p_partkey AS k, {code._NAME} || ' ' || lower(p_type) AS piece FROM {{part}}"
+_ASKED = f"SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS query_id, p_partkey AS k, {code._NAME} || ' ' || lower(p_type) AS piece FROM {{part}}"
 
 
 def questions(spark, d) -> DataFrame:
@@ -83,8 +83,8 @@ def pck4_packs(spark, d):
 
 def annotations(spark, d):
     """The lines that define the first five parts of each question."""
-    at = code.read(spark, d, code.DEFS.replace("SELECT ", "SELECT p_partkey, ", 1)).where("p_partkey % 20 < 5")
-    return at.select(F.floor(F.col("p_partkey") / 20).alias("question_id"), "path", "start_line", "end_line")
+    at = code.read(spark, d, code.DEFS.replace("SELECT ", "SELECT p_partkey, ", 1)).where("p_partkey % 200 < 5")
+    return at.select(F.floor(F.col("p_partkey") / 200).alias("question_id"), "path", "start_line", "end_line")
 
 
 def evl3_compare(spark, d):
@@ -146,7 +146,7 @@ _PACKS = f"""{_CH}, walk AS (SELECT query_id, 0 AS rank, NULL::VARCHAR AS chunk_
     whole_ AS (SELECT query_id, query, snapshots, coalesce(candidates, '') AS candidates, coalesce(evidence_ids, '') AS evidence_ids, coalesce(symbol_names, '') AS symbol_names, coalesce(link_ids, '') AS link_ids, coalesce(counts, '') AS counts, coalesce(items, 0) AS items, coalesce(omitted, 0) AS omitted, coalesce(symbols, 0) AS symbols, coalesce(links, 0) AS links,
         '{TOKENS}|{ITEMS}|{SYMBOLS}|{RELATIONS}|' || coalesce(items, 0) || '|' || coalesce(chars, 0) || '|' || coalesce(omitted, 0) AS budget FROM question LEFT JOIN totals USING (query_id) LEFT JOIN sy USING (query_id) LEFT JOIN lg USING (query_id) LEFT JOIN ct USING (query_id), sc),
     traced AS (SELECT *, {_evidence_id('trace', query='query', snapshots='snapshots', candidates='candidates', symbols='symbol_names', links='link_ids', counts='counts', budget='budget')} AS trace_id FROM whole_)"""
-_ANN = f"ann AS (SELECT floor(p_partkey / 20)::BIGINT AS question_id, path, start_line, end_line FROM ({code.DEFS.replace('SELECT ', 'SELECT p_partkey, ', 1).format(part='part')}) x WHERE p_partkey % 20 < 5)"
+_ANN = f"ann AS (SELECT floor(p_partkey / 200)::BIGINT AS question_id, path, start_line, end_line FROM ({code.DEFS.replace('SELECT ', 'SELECT p_partkey, ', 1).format(part='part')}) x WHERE p_partkey % 200 < 5)"
 ORACLES = {
     "w2_catalog": f"""WITH {_CH} SELECT 'chunk' AS kind, count(*)::BIGINT AS n FROM chunks UNION ALL SELECT 'indexed_chunk', count(*) FROM chunks UNION ALL SELECT 'logical_symbol', count(DISTINCT logical_symbol_id) FROM defs UNION ALL SELECT 'symbol_occurrence', count(*) FROM defs
         UNION ALL SELECT 'relation', count(*) FROM rel UNION ALL SELECT 'posting', count(*) FROM (SELECT DISTINCT chunk_id, term FROM token) x""",
