@@ -9,31 +9,58 @@ from sourcelore.functions.text import dirname, joined_path, normalized_path, pat
 from sourcelore.storage import durable
 
 
-def candidates(references: DataFrame, paths: DataFrame) -> DataFrame:
-    """``(reference_id, candidate)`` for ``references(reference_id, path, kind, target)`` over ``paths(path)``."""
-    key = ["directory", "kind", "target"]
-    return references.withColumn("directory", dirname("path")).join(candidates_of(references, paths), key).select("reference_id", "candidate")
+KEY = ["directory", "kind", "target"]
 
 
-def candidates_of(references: DataFrame, paths: DataFrame) -> DataFrame:
-    """``(directory, kind, target, candidate)``: each directory and target is looked up once, however many lines ask.
+def candidates(references: DataFrame, paths: DataFrame, most: int | None = None) -> DataFrame:
+    """``(reference_id, candidate)`` for ``references(reference_id, path, kind, target)`` over ``paths(path)``; with ``most`` only of
+    references that have no more than that many."""
+    return references.withColumn("directory", dirname("path")).join(candidates_of(references, paths, most), KEY).select("reference_id", "candidate")
+
+
+def candidate_counts(references: DataFrame, paths: DataFrame) -> DataFrame:
+    """``(reference_id, candidates, first)`` of references that have candidates: how many, and the first by path. Candidates are counted
+    once for each end of a path, not for each directory or reference that asks for it."""
+    return references.withColumn("directory", dirname("path")).join(_sized(*_looked_up(references, paths)), KEY).select("reference_id", "candidates", "first")
+
+
+def candidates_of(references: DataFrame, paths: DataFrame, most: int | None = None) -> DataFrame:
+    """``(directory, kind, target, candidate)``: each directory and target is looked up once, however many lines ask; with ``most``
+    only those that have no more than that many candidates.
 
     Exact candidates (relative, as it is, under ``include/``) come first; paths that end with the target count only where
     there is none. Build targets stand for their sources or a directory's build files. Targets with $ or % find nothing.
     """
-    key = ["directory", "kind", "target"]
+    direct, rest, ends = _looked_up(references, paths)
+    if most is not None:
+        few = _sized(direct, rest, ends).where(F.col("candidates") <= most).select(*KEY)
+        direct, rest = direct.join(few, KEY, "left_semi"), rest.join(few, KEY, "left_semi")
+        ends = ends.join(ends.groupBy("end").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("end"), "end", "left_semi")
+    return direct.union(rest.join(ends, "end").select(*KEY, "candidate").distinct())
+
+
+def _sized(direct: DataFrame, rest: DataFrame, ends: DataFrame) -> DataFrame:
+    """``(directory, kind, target, candidates, first)``. The ends that one target stands for differ in their last part, so that no path
+    has two of them."""
+    by_end = ends.groupBy("end").agg(F.count("*").alias("n"), F.min("candidate").alias("least"))
+    indirect = rest.distinct().join(by_end, "end").groupBy(*KEY).agg(F.sum("n").alias("candidates"), F.min("least").alias("first"))
+    return direct.groupBy(*KEY).agg(F.count("*").alias("candidates"), F.min("candidate").alias("first")).union(indirect)
+
+
+def _looked_up(references: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Exact candidates by key, ends asked for by the other keys, and the paths of each of these ends, all distinct."""
     asked = references.select(dirname("path").alias("directory"), "kind", "target").distinct()
     clean = F.trim(F.replace("target", F.lit("\\"), F.lit("/")))
     stem = F.regexp_replace(clean, r"\.o$", "")
     built = F.when(F.endswith(clean, F.lit(".o")), F.array(*[F.concat(stem, F.lit(s)) for s in (".c", ".S", ".s", ".rs")])).when(F.endswith(clean, F.lit("/")), F.array(*[F.concat(clean, F.lit(s)) for s in ("Makefile", "Kbuild", "Kconfig")])).otherwise(F.array(clean))
     good = asked.where((clean != "") & ~F.contains(clean, F.lit("$")) & ~F.contains(clean, F.lit("%")))
-    forms = good.select(*key, F.explode(F.when(F.col("kind") == "kbuild_target", built).otherwise(F.array(clean))).alias("variant"))
+    forms = good.select(*KEY, F.explode(F.when(F.col("kind") == "kbuild_target", built).otherwise(F.array(clean))).alias("variant"))
     exact = F.array(normalized_path(joined_path(F.col("directory"), F.col("variant"))), normalized_path("variant"), normalized_path(F.concat(F.lit("include/"), "variant")))
     known = paths.select(F.col("path").alias("candidate")).distinct()
-    direct = forms.select(*key, F.explode(F.array_distinct(exact)).alias("candidate")).join(known, "candidate").select(*key, "candidate").distinct()
-    rest = forms.join(direct.select(*key).distinct(), key, "left_anti").select(*key, normalized_path("variant").alias("end"))
-    ends = known.select("candidate", F.explode(path_suffixes("candidate")).alias("end")).join(rest.select("end").distinct(), "end", "left_semi")
-    return direct.union(rest.join(ends, "end").select(*key, "candidate").distinct())
+    direct = forms.select(*KEY, F.explode(F.array_distinct(exact)).alias("candidate")).join(known, "candidate").select(*KEY, "candidate").distinct()
+    rest = forms.join(direct.select(*KEY).distinct(), KEY, "left_anti").select(*KEY, normalized_path("variant").alias("end"))
+    ends = known.select("candidate", F.explode(F.array_distinct(path_suffixes("candidate"))).alias("end")).join(rest.select("end").distinct(), "end", "left_semi")
+    return direct, rest, ends
 
 
 def _firsts(rows: DataFrame, most: int) -> tuple[DataFrame, str | None]:
@@ -65,13 +92,13 @@ def expand(seeds: DataFrame, references: DataFrame, paths: DataFrame, depth: int
         raise ValueError("depth must not be negative, and limits must be positive")
     ordered = references.withColumn("reference_id", F.concat_ws("\0", "path", F.lpad(F.col("line_number").cast("string"), 9, "0"), F.lpad(F.col("place").cast("string"), 6, "0")))
     ordered = durable(ordered)
-    found = durable(candidates(ordered, paths))
+    sizes = durable(candidate_counts(ordered, paths).select("reference_id", F.col("candidates").alias("n")))
+    found = durable(candidates(ordered, paths, most_candidates))
     chosen = seeds.select("path").distinct().withColumn("level", F.lit(0))
     counts = {"seed_files": chosen.count(), "dependency_files": 0, "unresolved": 0, "ambiguous": 0, "truncated": False}
     for level in range(1, depth + 1):
         own = ordered.join(chosen.where(F.col("level") == level - 1).select("path"), "path", "left_semi").select("reference_id")
-        size = found.groupBy("reference_id").agg(F.count("*").alias("n"))
-        sized = own.join(size, "reference_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        sized = own.join(sizes, "reference_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         fresh = found.join(sized.where(F.col("n").between(1, most_candidates)).select("reference_id"), "reference_id", "left_semi").join(chosen.select(F.col("path").alias("candidate")), "candidate", "left_anti")
         first = fresh.groupBy("candidate").agg(F.min("reference_id").alias("reference_id"))
         picked, stop = _firsts(first, most_files - counts["dependency_files"])

@@ -84,26 +84,37 @@ def _asked(relations: DataFrame) -> DataFrame:
 
 
 def _candidates_of(relations: DataFrame, paths: DataFrame) -> DataFrame:
-    """``(snapshot_id, directory, target, candidate)``: each directory and target is looked up once, however many lines ask.
+    """``(snapshot_id, directory, target, candidate)``: each directory and target is looked up once, however many lines ask."""
+    asked, direct, ends = _looked_up(relations, paths)
+    return direct.union(asked.join(ends, ["snapshot_id", "target"]).select(*direct.columns)).distinct()
+
+
+def _looked_up(relations: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is asked, its exact candidates ``(snapshot_id, directory, target, candidate)``, and the paths that end with a target
+    ``(snapshot_id, target, candidate)``, all distinct.
 
     Suffixes are laid out only where some target asks for them: all joins are by equality.
     """
     key = ["snapshot_id", "directory", "target"]
     asked = _asked(relations).select(*key).distinct()
     exact = asked.select(*key, F.explode(F.array_distinct(F.array(normalized_path(joined_path(F.col("directory"), F.col("target"))), "target", F.concat(F.lit("include/"), "target")))).alias("candidate"))
-    direct = exact.join(paths.select("snapshot_id", F.col("path").alias("candidate")), ["snapshot_id", "candidate"])
-    ends = paths.select("snapshot_id", F.col("path").alias("candidate"), F.explode(path_suffixes("path")).alias("target"))
-    ends = ends.join(asked.select("snapshot_id", "target").distinct(), ["snapshot_id", "target"], "left_semi")
-    by_end = asked.join(ends, ["snapshot_id", "target"])
-    return direct.select(*key, "candidate").union(by_end.select(*key, "candidate")).distinct()
+    known = paths.select("snapshot_id", F.col("path").alias("candidate")).distinct()
+    direct = exact.join(known, ["snapshot_id", "candidate"]).select(*key, "candidate")
+    ends = known.select("snapshot_id", "candidate", F.explode(F.array_distinct(path_suffixes("candidate"))).alias("target"))
+    return asked, direct, ends.join(asked.select("snapshot_id", "target").distinct(), ["snapshot_id", "target"], "left_semi")
 
 
 def resolve_include(relations: DataFrame, paths: DataFrame) -> DataFrame:
     """``relations`` with ``target_path_found`` where there is one candidate, ``candidates``, and vague confidence for several.
 
-    Relations meet one row for their directory and target, so nothing multiplies by candidates."""
+    Relations meet one row for their directory and target, and these one row for each end of a path, so nothing multiplies by
+    candidates."""
     key = ["snapshot_id", "directory", "target"]
-    found = _candidates_of(relations, paths).groupBy(*key).agg(F.count("*").alias("candidates"), F.min("candidate").alias("only")).withColumnsRenamed({"directory": "__directory", "target": "__target"})
+    asked, direct, ends = _looked_up(relations, paths)
+    beside = direct.where(~F.array_contains(path_suffixes("candidate"), F.col("target"))).groupBy(*key).agg(F.count("*").alias("n"), F.min("candidate").alias("one"))
+    by_end = ends.groupBy("snapshot_id", "target").agg(F.count("*").alias("m"), F.min("candidate").alias("other"))
+    found = asked.join(by_end, ["snapshot_id", "target"], "left").join(beside, key, "left").withColumns({"candidates": F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)), "only": F.coalesce("one", "other")}).where("candidates > 0")
+    found = found.select(F.col("snapshot_id"), F.col("directory").alias("__directory"), F.col("target").alias("__target"), "candidates", "only")
     open_target = F.when(~F.contains("target", F.lit("$")), F.replace("target", F.lit("\\"), F.lit("/")))
     keyed = relations.withColumns({"__target": open_target, "__directory": dirname("path")})
     out = keyed.join(found, ["snapshot_id", "__directory", "__target"], "left").drop("__directory", "__target").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
