@@ -228,6 +228,17 @@ def solution_scope(members: DataFrame, readable: DataFrame) -> DataFrame:
     return seen.withColumn("partial_visibility", partly).select("principal_id", "solution_id", "repository", "snapshot_id", "ordinal", "partial_visibility")
 
 
+def scope_counts(members: DataFrame, readable: DataFrame) -> DataFrame:
+    """``(principal_id, partial_visibility, members, solutions_shown)``: the rows of ``solution_scope`` counted, and the solutions that are
+    wholly visible. Members are distinct by solution and repository, principals by repository.
+
+    Solutions of the same repositories look alike to everyone: principals meet each such set once, not each solution."""
+    sets = members.groupBy("solution_id").agg(F.array_sort(F.collect_set("repository")).alias("repositories")).groupBy("repositories").agg(F.count("*").alias("solutions"))
+    seen = sets.select("repositories", "solutions", F.explode("repositories").alias("repository")).join(readable, "repository").groupBy("principal_id", "repositories", "solutions").agg(F.count("*").alias("seen"))
+    partly = F.col("seen") < F.size("repositories")
+    return seen.groupBy("principal_id", partly.alias("partial_visibility")).agg(F.sum(F.col("seen") * F.col("solutions")).alias("members"), F.sum(F.when(partly, F.lit(0)).otherwise(F.col("solutions"))).alias("solutions_shown"))
+
+
 def hidden_when_partial(value: Column) -> Column:
     """What names the whole solution isn't shown to one who sees a part."""
     return F.when(~F.col("partial_visibility"), value)
