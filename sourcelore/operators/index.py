@@ -1,12 +1,13 @@
 """A stored word index: inverted blocks of postings, written by ingest and searched without the chunks' texts.
 
-A table of four folders under one path: ``chunks`` (a number and the place of each chunk), ``postings`` (a row for each term and range
+A table of three folders under one path: ``chunks`` (a number, the place and the terms of each chunk), ``postings`` (a row for each term and range
 of ``RANGE`` chunk numbers: arrays of chunks, frequencies and sizes, and the bounds of these), ``totals`` (chunks and terms of
 each snapshot). A batch adds whole snapshots; a snapshot that the index has isn't added again. ``totals`` is written last and
 says which batches count, so a batch that failed is as if it never was.
 
 Postings lie in folders by the hash of their term, sorted by term, so that a search for few terms opens few folders and few row
-groups. Searches read bounds first and postings only where these can matter (see ``bm25``).
+groups. Searches that join few postings read bounds first and postings only where these can matter; others read the chunks' terms
+in a pass (see ``bm25``).
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourcelore.functions.text import terms
-from sourcelore.operators.search import B, K1, LEAST_IDF, PER_FILE, query_terms
+from sourcelore.operators.scoring import B, K1, best_sums
+from sourcelore.operators.search import cut_hits, inverse_frequency, query_terms
 from sourcelore.storage import durable, exists
 
 RANGE = 16
@@ -25,10 +27,12 @@ BUCKETS, SPREAD = 16, 16
 #: Up to so many distinct asked terms are written into the filter of the scan.
 MOST_PUSHED = 1_000
 MOST_BROADCAST = 200_000
+#: A search that joins more pairs of query and posting than this is a pass over the chunks' terms.
+MOST_JOINED = 2_000_000
 #: Scores are rounded to nine digits, and sums differ in the last ones by their order.
 SLACK = 1e-6
 
-_CHUNK = "no long, chunk_id string, snapshot_id string, repository string, path string, start_line int, end_line int, size int, batch int"
+_CHUNK = "no long, chunk_id string, snapshot_id string, repository string, path string, start_line int, end_line int, size int, tokens array<string>, batch int"
 _POSTING = "term string, range long, n int, most_tf int, least_size int, nos array<long>, tfs array<int>, sizes array<int>, batch int, bucket int"
 _TOTAL = "snapshot_id string, chunks long, terms long, batch int"
 
@@ -68,7 +72,7 @@ def add_snapshots(chunks: DataFrame, path: str) -> WordIndex:
     new = chunks.join(known.totals.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
     found = new.select("chunk_id", "snapshot_id", "repository", "path", "start_line", "end_line", terms("content").alias("tokens"))
     numbered = durable(found.withColumns({"no": F.monotonically_increasing_id(), "size": F.size("tokens")}), "numbered")  # numbers must outlive their tasks
-    numbered.select("no", "chunk_id", "snapshot_id", "repository", "path", "start_line", "end_line", "size").write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
+    numbered.select("no", "chunk_id", "snapshot_id", "repository", "path", "start_line", "end_line", "size", "tokens").write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
     tf = numbered.select("no", "size", F.explode("tokens").alias("term")).groupBy("term", "no", "size").agg(F.count("*").cast("int").alias("tf"))
     one = F.array_sort(F.collect_list(F.struct("no", "tf", "size")))  # RANGE at most
     blocks = tf.groupBy("term", F.floor(F.col("no") / RANGE).alias("range")).agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("size").alias("least_size"), one.alias("at"))
@@ -108,9 +112,8 @@ class Bounded:
         self.blocks = index.asked(wanted)
         average = F.broadcast(_average(index))  # one row
         self.heads = durable(self.blocks.select("batch", "term", "range", "n", "most_tf", "least_size").join(average).withColumn("most", part("most_tf", "least_size")), "heads")
-        idf = F.greatest(F.log((F.col("chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
         weights = self.heads.groupBy("term", "chunks", "average").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
-        own = wanted.join(weights, "term").withColumn("weight", F.col("times") * idf).withColumn("bound", F.col("weight") * F.col("most"))
+        own = wanted.join(weights, "term").withColumn("weight", F.col("times") * inverse_frequency()).withColumn("bound", F.col("weight") * F.col("most"))
         rarest = Window.partitionBy("query_id").orderBy("n", "term").rowsBetween(Window.unboundedPreceding, -1)
         own = durable(own.withColumn("rare", F.coalesce(F.sum("n").over(rarest), F.lit(0)) < 10 * first), "weights")
         self.inside = None if scope is None else index.chunks.join(scope.select("snapshot_id").distinct(), "snapshot_id", "left_semi").select("batch", "no")
@@ -161,17 +164,19 @@ class Bounded:
         return reduce(DataFrame.union, [*steps, count("rest", near(self.candidates, self.plan.where("not needed"))), count("all", self.plan)])
 
 
-def _cut(index: WordIndex, scored: DataFrame, top_k: int) -> DataFrame:
-    """The first 5k hits, then at most two of a file, then k."""
-    hits = scored.join(index.chunks.select("batch", "no", "chunk_id", "repository", "snapshot_id", "path", "start_line", "end_line"), ["batch", "no"]).drop("batch", "no")
-    ranked = lambda rows, by, order, name, most: rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= most)
-    hits = ranked(hits, ["query_id"], [F.desc("score"), "path", "start_line", "chunk_id"], "n", 5 * top_k)
-    hits = ranked(hits, ["query_id", "snapshot_id", "path"], ["n"], "in_file", PER_FILE)
-    return ranked(hits, ["query_id"], ["n"], "rank", top_k).drop("n", "in_file")
+_PLACE = ["chunk_id", "repository", "snapshot_id", "path", "start_line", "end_line"]
+
+
+def _scored(index: WordIndex, asked: DataFrame, first: int, average: float | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """What may be among the ``first`` best of each query, by a pass over the chunks' terms."""
+    rows = index.chunks.select(*_PLACE, "size", "tokens")
+    rows = rows if scope is None else rows.join(scope.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
+    return best_sums(rows, asked, first, average)
 
 
 def bm25(index: WordIndex, queries: DataFrame, top_k: int = 10, scope: DataFrame | None = None) -> DataFrame:
-    """The hits of ``search.bm25`` over the index's chunks, same rows, by bounds:
+    """The hits of ``search.bm25`` over the index's chunks, same rows. Where many postings would meet many queries, each chunk is
+    scored in a pass over the chunks' terms, and pairs don't leave their task. Where few would, by bounds:
 
     1. the asked terms' blocks are read without their postings, for weights and for the most that a term can add;
     2. the postings of each query's rarest terms give a floor: a score that 5k chunks reach by these terms alone;
@@ -179,12 +184,18 @@ def bm25(index: WordIndex, queries: DataFrame, top_k: int = 10, scope: DataFrame
        best of these sums get their whole scores from the blocks where they lie: a higher floor;
     4. chunks that the bounds of the rest can't lift to it are dropped; the blocks around the others complete their scores.
     """
-    return _cut(index, Bounded(index, queries, 5 * top_k, scope).scores(), top_k)
+    wanted = durable(query_terms(queries), "asked")
+    frequency = index.asked(wanted).groupBy("term").agg(F.sum("n").alias("n"))
+    weights = durable(wanted.join(frequency, "term"), "frequency")
+    if (weights.agg(F.sum("n")).first()[0] or 0) <= MOST_JOINED:
+        scored = Bounded(index, queries, 5 * top_k, scope).scores()
+        return cut_hits(scored.join(index.chunks.select("batch", "no", *_PLACE), ["batch", "no"]).drop("batch", "no"), top_k)
+    whole = _average(index).first()  # one row
+    weights = weights.withColumn("chunks", F.lit(whole["chunks"])).select("query_id", "term", (F.col("times") * inverse_frequency()).alias("weight"))
+    return cut_hits(_scored(index, weights, 5 * top_k, whole["average"], scope).withColumn("score", F.round("score", 9)), top_k)
 
 
 def term_frequency(index: WordIndex, queries: DataFrame, top_k: int = 10, most_terms: int = 32) -> DataFrame:
     """The hits of ``search.term_frequency`` over the index's chunks."""
-    wanted = query_terms(queries, distinct=True, most=most_terms).select("query_id", "term")
-    entries = _entries(index.asked(wanted).select("batch", "term", "nos", "tfs", "sizes").join(wanted, "term"))
-    scored = entries.groupBy("query_id", "batch", "no").agg(F.round(F.sum("tf") * 0.1, 6).alias("score"))
-    return _cut(index, scored, top_k)
+    wanted = query_terms(queries, distinct=True, most=most_terms).select("query_id", "term", F.lit(1.0).alias("weight"))
+    return cut_hits(_scored(index, wanted, 5 * top_k).withColumn("score", F.round(F.col("score") * 0.1, 6)), top_k)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sourcelore.functions.text import identifiers, lines, terms
 from sourcelore.operators.automaton import lines_with, strings_in
+from sourcelore.operators.scoring import LEAST_IDF, best_sums
 from sourcelore.storage import durable
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 PER_FILE = 2
 
 
@@ -27,52 +27,51 @@ def query_terms(queries: DataFrame, distinct: bool = False, most: int | None = N
 MOST_BROADCAST = 200_000
 
 
-def _meet(dealt: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+def _meet(dealt: DataFrame, asked: DataFrame, key: str | list[str]) -> DataFrame:
     """An equi-join of exploded rows with what is asked. Spark's estimate doesn't see the explode and may take the large side for
     small: what is asked is broadcast if it is counted to be small, else both sides are shuffled."""
     small = asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     return dealt.join(F.broadcast(asked), key) if small else dealt.hint("merge").join(asked, key)
 
 
-def postings(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(chunk_id, term, tf, size)`` of the wanted terms: a chunk's other terms never leave its row's task."""
-    tokens = chunks.select("chunk_id", terms("content").alias("tokens")).withColumn("size", F.size("tokens"))
-    return _meet(tokens.select("chunk_id", "size", F.explode("tokens").alias("term")), wanted.select("term").distinct(), "term").groupBy("chunk_id", "size", "term").agg(F.count("*").alias("tf"))
+_PLACE = ["chunk_id", "repository", "snapshot_id", "path", "start_line", "end_line"]
 
 
-def _cut_hits(scored: DataFrame, chunks: DataFrame, top_k: int, order: list) -> DataFrame:
+def tokenized(chunks: DataFrame) -> DataFrame:
+    """The chunks' places with their terms in place of the text, stored: they are read for statistics and for scores."""
+    return durable(chunks.select(*_PLACE, terms("content").alias("tokens")).withColumn("size", F.size("tokens")), "tokens")
+
+
+def cut_hits(hits: DataFrame, top_k: int) -> DataFrame:
     """The first 5k hits, then at most two of a file, then k."""
-    meta = chunks.select("chunk_id", "repository", "snapshot_id", "path", "start_line", "end_line")
-    hits = scored.join(meta, "chunk_id")
-    order = [*order, "path", "start_line", "chunk_id"]
+    order = [F.desc("score"), "path", "start_line", "chunk_id"]
     hits = _ranked(hits, ["query_id"], order, "n").where(F.col("n") <= 5 * top_k)
     hits = _ranked(hits, ["query_id", "snapshot_id", "path"], ["n"], "in_file").where(F.col("in_file") <= PER_FILE)
     return _ranked(hits, ["query_id"], ["n"]).where(F.col("rank") <= top_k).drop("n", "in_file")
 
 
+def inverse_frequency(chunks: str = "chunks", n: str = "n") -> Column:
+    return F.greatest(F.log((F.col(chunks) - F.col(n) + 0.5) / (F.col(n) + 0.5)), F.lit(LEAST_IDF))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, top_k: int = 10, scope: DataFrame | None = None) -> DataFrame:
     """Word search: any term, best first by BM25 (k1 1.2, b 0.75); repeated query terms count as often as they stand.
 
-    Corpus statistics cover all of ``chunks``; ``scope`` (``snapshot_id``) narrows the hits only. The sums of a query
-    and chunk are combined before the shuffle, so common words don't gather anywhere.
+    Corpus statistics cover all of ``chunks``; ``scope`` (``snapshot_id``) narrows the hits only. A chunk is scored where it lies,
+    and only what may be among a query's first 5k leaves its task (see ``scoring``).
     """
-    wanted = query_terms(queries)
-    found = durable(postings(chunks, wanted), "postings")
-    whole = chunks.select(F.size(terms("content")).alias("n")).agg(F.count("*").alias("chunks"), F.avg("n").alias("average"))
-    frequency = found.groupBy("term").agg(F.count("*").alias("n"))
-    idf = F.greatest(F.log((F.col("chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
-    weights = frequency.join(F.broadcast(whole)).select("term", idf.alias("idf"), "average")  # one row is broadcast
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("average")))
-    own = found if scope is None else found.join(chunks.join(scope, "snapshot_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi")
-    scored = own.join(wanted, "term").join(weights, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
-    return _cut_hits(scored, chunks, top_k, [F.desc("score")])
+    wanted, own = durable(query_terms(queries), "wanted"), tokenized(chunks)
+    whole = own.agg(F.count("*").alias("chunks"), F.avg("size").alias("average")).first()  # one row
+    frequency = _meet(own.select(F.explode(F.array_distinct("tokens")).alias("term")), wanted.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n"))
+    weights = wanted.join(frequency.withColumn("chunks", F.lit(whole["chunks"])), "term").select("query_id", "term", (F.col("times") * inverse_frequency()).alias("weight"))
+    inside = own if scope is None else own.join(scope.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
+    return cut_hits(best_sums(inside, weights, 5 * top_k, whole["average"] or 1.0).withColumn("score", F.round("score", 9)), top_k)
 
 
 def term_frequency(chunks: DataFrame, queries: DataFrame, top_k: int = 10, most_terms: int = 32) -> DataFrame:
     """Word search by plain frequency: distinct terms, 32 at most, a tenth for each time one is found."""
-    wanted = query_terms(queries, distinct=True, most=most_terms)
-    scored = postings(chunks, wanted).join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("tf") * 0.1, 6).alias("score"))
-    return _cut_hits(scored, chunks, top_k, [F.desc("score")])
+    wanted = query_terms(queries, distinct=True, most=most_terms).select("query_id", "term", F.lit(1.0).alias("weight"))
+    return cut_hits(best_sums(tokenized(chunks), wanted, 5 * top_k).withColumn("score", F.round(F.col("score") * 0.1, 6)), top_k)
 
 
 def line_matches(files: DataFrame, queries: DataFrame, top_k: int = 10, scope: DataFrame | None = None) -> DataFrame:
