@@ -169,26 +169,39 @@ def _names_once(names: DataFrame) -> DataFrame:
 
 
 def symbol_hits(names: DataFrame, symbols: DataFrame, occurrences: DataFrame, chunks: DataFrame, top_k: int = 20) -> DataFrame:
-    """Exact symbols: per name its first 3k places (definitions, declarations, other), then by name; one row a chunk."""
-    found = _names_once(names).join(symbols.select(F.col("id").alias("logical_symbol_id"), "name"), "name").join(occurrences.select("logical_symbol_id", "role", "file_id", "start_line", "end_line"), "logical_symbol_id")
+    """Exact symbols: per name its first 3k places (definitions, declarations, other), then by name; one row a chunk.
+
+    A name's places are found once, however many queries ask for it."""
+    names = _names_once(names)
+    found = names.select("name").distinct().join(symbols.select(F.col("id").alias("logical_symbol_id"), "name"), "name").join(occurrences.select("logical_symbol_id", "role", "file_id", "start_line", "end_line"), "logical_symbol_id")
     found = overlapping(found, chunks.select("chunk_id", "file_id", "path", "repository", "snapshot_id", "start_line", "end_line"))
     role = F.when(F.col("role") == "definition", 0).when(F.col("role") == "declaration", 1).otherwise(2)
-    found = _ranked(found, ["query_id", "name"], [role, "path", "start_line", "chunk_id"], "of_name").where(F.col("of_name") <= min(3 * top_k, 100))
+    found = _ranked(found, ["name"], [role, "path", "start_line", "chunk_id"], "of_name").where(F.col("of_name") <= min(3 * top_k, 100))
+    found = durable(found, "of_name").join(names, "name")
     return _first_of_chunk(found, ["name_order", F.when(F.col("role") == "definition", 0).otherwise(1), "path", "start_line", "chunk_id"], top_k)
 
 
 def relation_hits(names: DataFrame, symbols: DataFrame, relations: DataFrame, chunks: DataFrame, top_k: int = 20) -> DataFrame:
-    """Relations whose source, target or text has one of the names: three equi-joins, united; never an OR join."""
+    """Relations whose source, target or text has one of the names: one equi-join of what they may be found by; never an OR join.
+
+    A name's first k chunks are found once, however many queries ask for it, and are enough: where a query's earlier names have
+    t < k chunks, at most t of these k are among them, so that k - t others are left. Chunks are reduced to their first relation
+    before they are ranked.
+    """
     names = _names_once(names)
-    ids = names.join(symbols.select(F.col("id").alias("symbol_id"), "name"), "name").select("query_id", "name_order", "symbol_id")
-    rel = relations.select(F.col("id").alias("relation_id"), F.col("source_file_id").alias("file_id"), "source_symbol_id", "target_symbol_id", "target_text", "start_line", "end_line", "confidence")
-    cols = ["query_id", "name_order", "relation_id", "file_id", "start_line", "end_line", "confidence"]
-    by_source = rel.join(ids, F.col("source_symbol_id") == F.col("symbol_id")).select(*cols)
-    by_target = rel.join(ids, F.col("target_symbol_id") == F.col("symbol_id")).select(*cols)
-    by_text = rel.join(names, F.col("target_text") == F.col("name")).select(*cols)
-    found = by_source.union(by_target).union(by_text).groupBy("query_id", "relation_id", "file_id", "start_line", "end_line", "confidence").agg(F.min("name_order").alias("name_order"))
+    asked = names.select("name").distinct()
+    keys = symbols.join(asked, "name", "left_semi").select(F.lit("id").alias("by"), F.col("id").alias("key"), "name").union(asked.select(F.lit("text").alias("by"), F.col("name").alias("key"), "name"))
+    key = lambda by, c: F.struct(F.lit(by).alias("by"), F.col(c).alias("key"))
+    told = F.filter(F.array_distinct(F.array(key("id", "source_symbol_id"), key("id", "target_symbol_id"), key("text", "target_text"))), lambda k: k["key"].isNotNull())
+    rel = relations.select(F.col("id").alias("relation_id"), F.col("source_file_id").alias("file_id"), F.inline(told), "start_line", "end_line", F.when(F.col("confidence") == "source_exact", 0).otherwise(1).alias("inexact"), "confidence")
+    found = _meet(rel, keys, ["by", "key"]).drop("by", "key")
     found = overlapping(found, chunks.select("chunk_id", "file_id", "path", "repository", "snapshot_id", "start_line", "end_line"))
-    return _first_of_chunk(found, ["name_order", F.when(F.col("confidence") == "source_exact", 0).otherwise(1), "path", "start_line", "relation_id", "chunk_id"], top_k)
+    rest = ["relation_id", "confidence", "repository", "snapshot_id", "end_line", "chunk_start", "chunk_end", "file_id"]
+    first = F.min(F.struct("inexact", "path", "start_line", *rest)).alias("first")
+    order = ["inexact", "path", "start_line", "relation_id", "chunk_id"]
+    found = _ranked(found.groupBy("name", "chunk_id").agg(first).select("name", "chunk_id", "first.*"), ["name"], order, "of_name").where(F.col("of_name") <= top_k)
+    found = durable(found.drop("of_name"), "of_name").join(names, "name")
+    return _first_of_chunk(found, ["name_order", *order], top_k).drop("inexact", "name")
 
 
 def location_chunks(locations: DataFrame, chunks: DataFrame, top_k: int = 10) -> DataFrame:
