@@ -76,17 +76,27 @@ def term_frequency(chunks: DataFrame, queries: DataFrame, top_k: int = 10, most_
 
 def line_matches(files: DataFrame, queries: DataFrame, top_k: int = 10, scope: DataFrame | None = None) -> DataFrame:
     """Lines that hold a query's terms (its first 32): ``(query_id, repository, snapshot_id, path, line, score, n)``, best files
-    first. ``scope(snapshot_id)`` narrows the files.
+    first. ``scope(snapshot_id)`` narrows the files; a listing has each path once.
 
-    A file scores the number of its matches; a line ranks within its file by its place among the matches.
+    A file scores the number of its matches; a line ranks within its file by its place among the matches. Files are scored where they
+    lie (see ``scoring``), and only those are cut into lines that can have one among a query's first 5k: a file of score s has s / 32
+    lines at least.
     """
+    most_terms, first = 32, 5 * top_k
     files = files if scope is None else files.join(scope.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
-    wanted = query_terms(queries, distinct=True, most=32).select("query_id", "term")
-    own = files.select("repository", "snapshot_id", "path", F.posexplode(lines("text")).alias("at", "body")).select("repository", "snapshot_id", "path", (F.col("at") + 1).alias("line"), F.explode(F.array_distinct(terms("body"))).alias("term"))
-    matches = own.join(wanted, "term").groupBy("query_id", "repository", "snapshot_id", "path", "line").agg(F.count("*").alias("line_score"))
-    per_file = matches.groupBy("query_id", "snapshot_id", "path").agg(F.sum("line_score").alias("file_score"))
-    scored = matches.join(per_file, ["query_id", "snapshot_id", "path"]).withColumn("score", F.greatest("line_score", "file_score"))
-    return _ranked(scored, ["query_id"], [F.desc("score"), "repository", "path", "line"], "n").where(F.col("n") <= 5 * top_k).drop("line_score", "file_score")
+    wanted = durable(query_terms(queries, distinct=True, most=most_terms).select("query_id", "term", F.lit(1.0).alias("weight")), "wanted")
+    words = F.flatten(F.transform(lines("text"), lambda line: F.array_distinct(terms(line))))
+    scored = best_sums(files.select("repository", "snapshot_id", "path", words.alias("tokens"), F.lit(0).alias("size")), wanted, first).withColumn("score", F.round("score").cast("long"))
+    upto = Window.partitionBy("query_id").orderBy(F.desc("score"), "repository", "path").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("query_id", "score", "repository", "path")
+    least = F.ceil(F.col("score") / most_terms)
+    chosen = scored.withColumn("before", F.sum(least).over(upto) - F.sum(least).over(same)).where(F.col("before") < first).drop("before")
+    chosen = durable(chosen.join(wanted.groupBy("query_id").agg(F.collect_list("term").alias("asked")), "query_id"), "chosen")
+    small = chosen.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    own = files.select("repository", "snapshot_id", "path", "text").join(F.broadcast(chosen) if small else chosen, ["repository", "snapshot_id", "path"])
+    at = F.transform(lines("text"), lambda line, i: F.struct((i + 1).alias("line"), F.size(F.array_intersect(terms(line), "asked")).alias("found")))
+    found = own.select("query_id", "repository", "snapshot_id", "path", "score", F.explode(F.filter(at, lambda x: x["found"] > 0)).alias("at"))
+    return _ranked(found.select("query_id", "repository", "snapshot_id", "path", "at.line", "score"), ["query_id"], [F.desc("score"), "repository", "path", "line"], "n").where(F.col("n") <= first)
 
 
 def passage_matches(texts: DataFrame, passages: DataFrame) -> DataFrame:
