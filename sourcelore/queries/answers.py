@@ -92,8 +92,10 @@ def evl3_compare(spark, d):
     own = catalog(spark, d)
     asked = questions(spark, d)
     cols = [F.col("query_id").alias("question_id"), "rank", "path", "start_line", "end_line"]
-    hybrid = U.fuse(Q.channels(own, asked, TOP), TOP).join(own.chunks.select("chunk_id", "end_line"), "chunk_id")
-    found = W.bm25(own.index, asked, TOP).select(F.lit("word").alias("retriever"), *cols).union(hybrid.select(F.lit("hybrid"), *cols))
+    channels = Q.channels(own, asked, TOP)
+    hits = lambda name, rows: rows.select(F.lit(name).alias("retriever"), "query_id", "rank", "path", "start_line", "chunk_id")
+    found = hits("word", channels.where("channel = 'word'")).union(hits("hybrid", U.fuse(channels, TOP)))
+    found = found.join(own.chunks.select("chunk_id", "end_line"), "chunk_id").select("retriever", *cols)
     return _rounded(V.compare(durable(annotations(spark, d)), durable(found), TOP, "word", "hybrid"), "base", "other", "delta")
 
 
