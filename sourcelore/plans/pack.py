@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcelore.functions.text import identifiers
+from sourcelore.storage import durable
 
 CHARS_PER_TOKEN, LEAST_CHARS, MOST_LINKS, MOST_CANDIDATES = 4, 64, 50, 100
+#: Chosen names that are broadcast, by count; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def evidence(hits: DataFrame, token_budget: int = 1_000, most_items: int = 10) -> DataFrame:
@@ -70,16 +73,22 @@ def symbol_contexts(names: DataFrame, occurrences: DataFrame, relations: DataFra
     """``(query_id, name, snapshot_id, occurrences, relations, truncated)``: for each name and snapshot its first places and
     relations; names without either don't count towards ``most_symbols``.
 
-    ``occurrences(name, snapshot_id, citation, role)`` and ``relations(name, snapshot_id, citation, target_text)``.
+    ``occurrences(name, snapshot_id, citation, role)`` and ``relations(name, snapshot_id, citation, target_text)``; a relation
+    that is given twice counts once. The names are chosen first, by keys alone; only the rows of the chosen are gathered.
     """
     def firsts(rows: DataFrame, most: int, fields: list[str], out: str) -> DataFrame:
         ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("name", "snapshot_id").orderBy("citation", *fields)))
         return ranked.where(F.col("n") <= most + 1).groupBy("name", "snapshot_id").agg(F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.struct("n", "citation", *fields)))).alias(out), (F.count("*") > most).alias(out + "_more"))
 
-    own = firsts(occurrences, most_occurrences, ["role"], "occurrences").join(firsts(relations, most_relations, ["target_text"], "relations"), ["name", "snapshot_id"], "full_outer")
-    found = names.join(own, "name").withColumn("truncated", F.coalesce("occurrences_more", F.lit(False)) | F.coalesce("relations_more", F.lit(False))).drop("occurrences_more", "relations_more")
-    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("name_order", "snapshot_id")))
-    return ranked.where(F.col("n") <= most_symbols).drop("n", "name_order")
+    key = ["name", "snapshot_id"]
+    places = occurrences.select(*key).distinct().union(relations.select(*key).distinct()).distinct()
+    ranked = names.join(places, "name").withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("name_order", "snapshot_id")))
+    chosen = durable(ranked.where(F.col("at") <= most_symbols).drop("at", "name_order"), "contexts")
+    few = chosen.select(*key).distinct()
+    few = F.broadcast(few) if few.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else few
+    kept = lambda rows: rows.join(few, key, "left_semi")
+    own = firsts(kept(occurrences), most_occurrences, ["role"], "occurrences").join(firsts(kept(relations).distinct(), most_relations, ["target_text"], "relations"), key, "full_outer")
+    return chosen.join(own, key).withColumn("truncated", F.coalesce("occurrences_more", F.lit(False)) | F.coalesce("relations_more", F.lit(False))).drop("occurrences_more", "relations_more")
 
 
 def cross_links(contexts: DataFrame, repositories: DataFrame, most: int = MOST_LINKS) -> DataFrame:

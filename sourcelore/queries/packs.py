@@ -71,7 +71,7 @@ def pck2_symbols(spark, d):
     names = code.read(spark, d, code.NAMES)
     cite = citation("snapshot_id", F.lit("r1"), "path", "start_line", "end_line")
     places = code.definitions(spark, d).select("name", "snapshot_id", cite.alias("citation"), "role")
-    rel = code.calls(spark, d).select(F.col("source_name").alias("name"), "snapshot_id", cite.alias("citation"), "target_text").distinct()
+    rel = code.calls(spark, d).select(F.col("source_name").alias("name"), "snapshot_id", cite.alias("citation"), "target_text")
     got = G.symbol_contexts(names, places, rel, 6)
     return got.select("query_id", "name", "snapshot_id", F.coalesce(F.size("occurrences"), F.lit(0)).alias("occurrences"), F.coalesce(F.size("relations"), F.lit(0)).alias("relations"), "truncated")
 
@@ -80,7 +80,7 @@ def jon13_links(spark, d):
     names = code.read(spark, d, code.NAMES)
     cite = citation("snapshot_id", F.lit("r1"), "path", "start_line", "end_line")
     places = code.definitions(spark, d).select("name", "snapshot_id", cite.alias("citation"), "role")
-    rel = code.calls(spark, d).select(F.col("source_name").alias("name"), "snapshot_id", cite.alias("citation"), "target_text").distinct()
+    rel = code.calls(spark, d).select(F.col("source_name").alias("name"), "snapshot_id", cite.alias("citation"), "target_text")
     contexts = G.symbol_contexts(names, places, rel, 50, 4, 200)
     return G.cross_links(contexts, places.select("snapshot_id", F.col("snapshot_id").alias("repository")).distinct(), 50).select("query_id", "symbol", "source_citation", "target_citation")
 
