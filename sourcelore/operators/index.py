@@ -1,19 +1,25 @@
 """A stored word index: inverted blocks of postings, written by ingest and searched without the chunks' texts.
 
 A table of three folders under one path: ``chunks`` (a number, the place and the terms of each chunk), ``postings`` (a row for each term and range
-of ``RANGE`` chunk numbers: arrays of chunks, frequencies and sizes, and the bounds of these), ``totals`` (chunks and terms of
+of ``RANGE`` chunk numbers: arrays of chunks, frequencies and sizes, their number, sum of frequencies and bounds), ``totals`` (chunks and terms of
 each snapshot). A batch adds whole snapshots; a snapshot that the index has isn't added again. ``totals`` is written last and
 says which batches count, so a batch that failed is as if it never was.
 
-Postings lie in folders by the hash of their term, sorted by term, so that a search for few terms opens few folders and few row
+Postings are made where their chunks lie, and aren't shuffled: a task builds the rows of its own ranges from its chunks' terms. They lie
+in folders by the hash of their term, each task's file sorted by term, so that a search for few terms opens few folders and few row
 groups. Searches that join few postings read bounds first and postings only where these can matter; others read the chunks' terms
 in a pass (see ``bm25``).
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +29,7 @@ from sourcelore.operators.search import cut_hits, inverse_frequency, query_terms
 from sourcelore.storage import durable, exists
 
 RANGE = 16
-BUCKETS, SPREAD = 16, 16
+BUCKETS = 16
 #: Up to so many distinct asked terms are written into the filter of the scan.
 MOST_PUSHED = 1_000
 MOST_BROADCAST = 200_000
@@ -33,8 +39,10 @@ MOST_JOINED = 2_000_000
 SLACK = 1e-6
 
 _CHUNK = "no long, chunk_id string, snapshot_id string, repository string, path string, start_line int, end_line int, size int, tokens array<string>, batch int"
-_POSTING = "term string, range long, n int, most_tf int, least_size int, nos array<long>, tfs array<int>, sizes array<int>, batch int, bucket int"
+_POSTING = "term string, range long, n int, times int, most_tf int, least_size int, nos array<long>, tfs array<int>, sizes array<int>, batch int, bucket int"
 _TOTAL = "snapshot_id string, chunks long, terms long, batch int"
+_BLOCK = _POSTING.replace("batch int, ", "")
+_BLOCK_FIELDS = [field.split()[0] for field in _BLOCK.split(", ")]
 
 
 class WordIndex:
@@ -60,7 +68,45 @@ class WordIndex:
 
 
 def _bucket() -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32("term"), F.lit(BUCKETS)).cast("int")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of ``(no, size, tokens)``: a row for each term and range. Chunks of the last range wait for the next batch; a range
+    whose chunks two tasks read has a row from each."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        ranges = rows["no"].to_numpy() // RANGE
+        upto = int(np.flatnonzero(ranges != ranges[-1])[-1]) + 1 if (ranges != ranges[-1]).any() else 0
+        held = rows.slice(upto)
+        if upto:
+            yield from _posted(rows.slice(0, upto))
+    if held is not None:
+        yield from _posted(held)
+
+
+def _posted(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """By bucket, term and range, so that the sort of a task's rows finds them in long runs."""
+    rows = rows.sort_by("no")
+    no, size, tokens = rows["no"].to_numpy(), rows["size"].to_numpy(), rows["tokens"].combine_chunks()
+    found = tokens.flatten().dictionary_encode()
+    if not len(found):
+        return
+    bucket = np.array([zlib.crc32(term.encode()) % BUCKETS for term in found.dictionary.to_pylist()], np.int32)
+    order = pc.sort_indices(pa.table({"bucket": bucket, "term": found.dictionary}), [("bucket", "ascending"), ("term", "ascending")]).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    key, tf = np.unique(place[found.indices.to_numpy()] * len(no) + np.repeat(np.arange(len(no)), tokens.value_lengths().to_numpy()), return_counts=True)
+    place, row = np.divmod(key, len(no))
+    at, size, tf = no[row] // RANGE, size[row], tf.astype(np.int32)
+    first = np.flatnonzero(np.diff(place, prepend=-1) | np.diff(at, prepend=-1))
+    bounds = np.append(first, len(key)).astype(np.int32)
+    term = order[place[first]]
+    lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(v)) for v in (no[row], tf, size)]
+    sums = [np.add.reduceat(tf, first, dtype=np.int32), np.maximum.reduceat(tf, first), np.minimum.reduceat(size, first)]
+    yield pa.RecordBatch.from_arrays([found.dictionary.take(pa.array(term)), *map(pa.array, (at[first], np.diff(bounds), *sums)), *lists, pa.array(bucket[term])], _BLOCK_FIELDS)
 
 
 def add_snapshots(chunks: DataFrame, path: str) -> WordIndex:
@@ -69,16 +115,16 @@ def add_snapshots(chunks: DataFrame, path: str) -> WordIndex:
     spark = chunks.sparkSession
     known = WordIndex(spark, path)
     batch = max(known.batches, default=-1) + 1
-    new = chunks.join(known.totals.select("snapshot_id").distinct(), "snapshot_id", "left_anti")
+    held = known.totals.select("snapshot_id").distinct()
+    held = F.broadcast(held) if held.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else held
+    new = chunks.join(held, "snapshot_id", "left_anti")
     found = new.select("chunk_id", "snapshot_id", "repository", "path", "start_line", "end_line", terms("content").alias("tokens"))
-    numbered = durable(found.withColumns({"no": F.monotonically_increasing_id(), "size": F.size("tokens")}), "numbered")  # numbers must outlive their tasks
-    numbered.select("no", "chunk_id", "snapshot_id", "repository", "path", "start_line", "end_line", "size", "tokens").write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
-    tf = numbered.select("no", "size", F.explode("tokens").alias("term")).groupBy("term", "no", "size").agg(F.count("*").cast("int").alias("tf"))
-    one = F.array_sort(F.collect_list(F.struct("no", "tf", "size")))  # RANGE at most
-    blocks = tf.groupBy("term", F.floor(F.col("no") / RANGE).alias("range")).agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("size").alias("least_size"), one.alias("at"))
-    blocks = blocks.select("term", "range", "n", "most_tf", "least_size", *[F.col(f"at.{c}").alias(c + "s") for c in ("no", "tf", "size")], _bucket().alias("bucket"))
-    dealt = blocks.repartition("bucket", F.pmod("range", F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "range")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+    numbered = found.withColumns({"no": F.monotonically_increasing_id(), "size": F.size("tokens")})
+    stored = f"{path}/chunks/batch={batch}"
+    numbered.select("no", "chunk_id", "snapshot_id", "repository", "path", "start_line", "end_line", "size", "tokens").write.mode("overwrite").parquet(stored)
+    numbered = spark.read.schema(_CHUNK).parquet(stored).drop("batch")  # numbers must outlive their tasks
+    blocks = numbered.select("no", "size", "tokens").mapInArrow(_blocks, _BLOCK)
+    blocks.sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     numbered.groupBy("snapshot_id").agg(F.count("*").alias("chunks"), F.sum("size").alias("terms")).write.mode("overwrite").parquet(f"{path}/totals/batch={batch}")
     return WordIndex(spark, path)
 
