@@ -59,12 +59,13 @@ def stream_sources(files: DataFrame, path: str, checkpoint: str, profile: str):
         came = durable(artifact_ids(scan(rows), profile), "batch")
         one = came.dropDuplicates(["artifact_id"]).select("artifact_id", F.col("artifact_id").alias("file_id"), "language", decoded("content").alias("text"))
         fresh = durable(absent_from("artifacts", one, ["artifact_id"]), "fresh")
-        found = {name: df.withColumn("artifact_id", F.col("file_id")) for name, df in analysed(fresh.drop("artifact_id")).items() if name in PAYLOAD}
+        made: list[DataFrame] = []
+        found = {name: df.withColumn("artifact_id", F.col("file_id")) for name, df in analysed(fresh.drop("artifact_id"), made).items() if name in PAYLOAD}
         artifacts(found).write.mode("append").parquet(f"{path}/artifacts")
         add("blobs", came.dropDuplicates(["blob_id"]).select(F.col("blob_id").alias("id"), "size_bytes", "content"), ["id"])
         add("files", came.select("repository", "path", "blob_id", "artifact_id").distinct(), ["repository", "path", "blob_id"])
         states = came.select("repository").distinct().select("repository", F.lit(number).alias("batch"), F.posexplode(F.array(*map(F.lit, STATES))).alias("place", "state"))
         add("events", states.select("repository", "batch", (F.lit(number) * len(STATES) + F.col("place") + 1).alias("event_seq"), "state"), ["repository", "batch", "state"])
-        dropped(came, fresh)
+        dropped(came, fresh, *made)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
