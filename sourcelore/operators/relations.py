@@ -121,7 +121,12 @@ def resolve_include(relations: DataFrame, paths: DataFrame) -> DataFrame:
     return out.withColumn("target_path_found", F.when(F.col("candidates") == 1, F.col("only"))).withColumn("confidence", F.when(F.col("candidates") > 1, AMBIGUOUS).otherwise(F.col("confidence"))).drop("only")
 
 
+def relation_ids(relations: DataFrame) -> DataFrame:
+    """Relations with ids over their resolved identity."""
+    identity = ["source_file_id", "source_symbol_id", "target_file_id", "target_symbol_id", "condition_id", "kind", "target_text", "start_line", "end_line"]
+    return relations.withColumn("id", stable_id("relation", *identity))
+
+
 def relation_rows(relations: DataFrame) -> DataFrame:
     """Relations with ids over their resolved identity, each once."""
-    identity = ["source_file_id", "source_symbol_id", "target_file_id", "target_symbol_id", "condition_id", "kind", "target_text", "start_line", "end_line"]
-    return relations.withColumn("id", stable_id("relation", *identity)).dropDuplicates(["id"])
+    return relation_ids(relations).dropDuplicates(["id"])

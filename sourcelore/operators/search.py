@@ -191,27 +191,67 @@ def symbol_hits(names: DataFrame, symbols: DataFrame, occurrences: DataFrame, ch
     return _first_of_chunk(found, ["name_order", F.when(F.col("role") == "definition", 0).otherwise(1), "path", "start_line", "chunk_id"], top_k)
 
 
+#: A query's first names that are looked up before the others, and relations of a name for each chunk of its first (Spark prunes ranks by task up to 1,000).
+FIRST_NAMES, MOST_RELATIONS, MOST_RANKED = (1, 16), 64, 1_000
+
+
 def relation_hits(names: DataFrame, symbols: DataFrame, relations: DataFrame, chunks: DataFrame, top_k: int = 20) -> DataFrame:
     """Relations whose source, target or text has one of the names: one equi-join of what they may be found by; never an OR join.
 
-    A name's first k chunks are found once, however many queries ask for it, and are enough: where a query's earlier names have
-    t < k chunks, at most t of these k are among them, so that k - t others are left. Chunks are reduced to their first relation
-    before they are ranked.
+    Hits are ordered by the name's place in the query first, so a query that has k chunks by its first names needs no others: names are
+    looked up by their place, in rounds, for the queries that still lack chunks. A name's first k chunks are found once, however many
+    queries ask for it, and are enough: where a query's earlier names have t < k chunks, at most t of these k are among them,
+    so that k - t others are left.
     """
-    names = _names_once(names)
-    asked = names.select("name").distinct()
-    keys = symbols.join(asked, "name", "left_semi").select(F.lit("id").alias("by"), F.col("id").alias("key"), "name").union(asked.select(F.lit("text").alias("by"), F.col("name").alias("key"), "name"))
+    order = ["name_order", "inexact", "path", "start_line", "relation_id", "chunk_id"]
+    left = durable(_names_once(names).withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy("name_order"))), "names")
+    out = None
+    for upto in (*FIRST_NAMES, None):
+        asked = left if upto is None else left.where(F.col("place") <= upto)
+        found = _relations_of(asked.select("name").distinct(), symbols, relations, chunks, top_k)
+        hits = durable(_first_of_chunk(found.join(asked.drop("place"), "name"), order, top_k).drop("inexact", "name"), "hits")
+        unread = left.where(F.lit(False)) if upto is None else left.where(F.col("place") > upto)
+        full = hits.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= top_k)
+        lacking = durable(unread.select("query_id").distinct().join(full, "query_id", "left_anti"), "lacking")
+        last = lacking.isEmpty()
+        hits = hits if last else hits.join(lacking, "query_id", "left_anti")
+        out = hits if out is None else out.unionByName(hits)
+        if last:
+            return out
+        left = durable(left.join(lacking, "query_id", "left_semi"), "names")
+
+
+def _relations_of(asked: DataFrame, symbols: DataFrame, relations: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
+    """For each of ``asked(name)`` its first k chunks by their first relation.
+
+    Relations are cut to a name's first by path and line before they meet chunks, each task its own. What is kept is a beginning of the
+    name's relations, ties included: if it has k chunks they are the first; names that have fewer are looked up again, whole.
+    """
+    order = ["inexact", "path", "start_line"]
+    own = chunks.select("chunk_id", "file_id", "path", "repository", "snapshot_id", "start_line", "end_line")
+    paths = own.select("file_id", "path").distinct()
+    paths = F.broadcast(paths) if paths.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else paths
+    rest = ["relation_id", "confidence", "repository", "snapshot_id", "end_line", "chunk_start", "chunk_end", "file_id"]
     key = lambda by, c: F.struct(F.lit(by).alias("by"), F.col(c).alias("key"))
     told = F.filter(F.array_distinct(F.array(key("id", "source_symbol_id"), key("id", "target_symbol_id"), key("text", "target_text"))), lambda k: k["key"].isNotNull())
     rel = relations.select(F.col("id").alias("relation_id"), F.col("source_file_id").alias("file_id"), F.inline(told), "start_line", "end_line", F.when(F.col("confidence") == "source_exact", 0).otherwise(1).alias("inexact"), "confidence")
-    found = _meet(rel, keys, ["by", "key"]).drop("by", "key")
-    found = overlapping(found, chunks.select("chunk_id", "file_id", "path", "repository", "snapshot_id", "start_line", "end_line"))
-    rest = ["relation_id", "confidence", "repository", "snapshot_id", "end_line", "chunk_start", "chunk_end", "file_id"]
-    first = F.min(F.struct("inexact", "path", "start_line", *rest)).alias("first")
-    order = ["inexact", "path", "start_line", "relation_id", "chunk_id"]
-    found = _ranked(found.groupBy("name", "chunk_id").agg(first).select("name", "chunk_id", "first.*"), ["name"], order, "of_name").where(F.col("of_name") <= top_k)
-    found = durable(found.drop("of_name"), "of_name").join(names, "name")
-    return _first_of_chunk(found, ["name_order", *order], top_k).drop("inexact", "name")
+    out, most = None, min(MOST_RELATIONS * top_k, MOST_RANKED)
+    while True:
+        keys = symbols.join(asked, "name", "left_semi").select(F.lit("id").alias("by"), F.col("id").alias("key"), "name").union(asked.select(F.lit("text").alias("by"), F.col("name").alias("key"), "name"))
+        met = _meet(rel, durable(keys, "keys"), ["by", "key"]).drop("by", "key")
+        if most:
+            met = met.join(paths, "file_id").withColumn("__at", F.rank().over(Window.partitionBy("name").orderBy(*order))).where(F.col("__at") <= most).drop("__at", "path")
+            met = durable(met, "met")
+        found = overlapping(met, own).groupBy("name", "chunk_id").agg(F.min(F.struct(*order, *rest)).alias("first")).select("name", "chunk_id", "first.*")
+        found = durable(_ranked(found, ["name"], [*order, "relation_id", "chunk_id"], "of_name").where(F.col("of_name") <= top_k).drop("of_name"), "of_name")
+        if not most:
+            return found if out is None else out.unionByName(found)
+        cut = met.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+        full = found.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= top_k)
+        asked = durable(cut.join(full, "name", "left_anti").select("name"), "asked")
+        if asked.isEmpty():
+            return found
+        out, most = found.join(asked, "name", "left_anti"), None
 
 
 def location_chunks(locations: DataFrame, chunks: DataFrame, top_k: int = 10) -> DataFrame:
