@@ -37,6 +37,10 @@ def channels(catalog: Catalog, questions: DataFrame, top_k: int, scope: DataFram
     return durable(rows[0].union(rows[1]).union(rows[2]), "channels")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(S.MOST_BROADCAST + 1).count() <= S.MOST_BROADCAST else rows
+
+
 def _decimal(score: str) -> Column:
     """A score as text, the same on every engine."""
     return F.round(score, 12).cast("decimal(20,12)").cast("string")
@@ -68,12 +72,12 @@ def packs(catalog: Catalog, questions: DataFrame, token_budget: int = 3_000, mos
     snapshots = catalog.chunks.select("snapshot_id", "repository", "revision").distinct()
     snapshots = snapshots if scope is None else snapshots.join(scope.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
     files = catalog.chunks.select("file_id", "snapshot_id", "repository", "revision", "path").distinct()
-    files = files.join(snapshots.select("snapshot_id"), "snapshot_id", "left_semi")
+    files = _few(durable(files.join(snapshots.select("snapshot_id"), "snapshot_id", "left_semi"), "files"))
     names = durable(G.candidate_names(questions, hits), "names")
-    ids = catalog.symbols.select(F.col("id").alias("logical_symbol_id"), "name").join(names.select("name").distinct(), "name", "left_semi")
+    ids = _few(durable(catalog.symbols.select(F.col("id").alias("logical_symbol_id"), "name").join(names.select("name").distinct(), "name", "left_semi"), "ids"))
     places = catalog.occurrences.select("logical_symbol_id", "role", "file_id", "start_line", "end_line").distinct().join(ids, "logical_symbol_id").join(files, "file_id").select("name", "snapshot_id", cite.alias("citation"), "role")
     told = catalog.relations.select(F.col("source_symbol_id").alias("logical_symbol_id"), F.col("source_file_id").alias("file_id"), "target_text", "start_line", "end_line").join(ids, "logical_symbol_id").join(files, "file_id")
-    contexts = durable(G.symbol_contexts(names, places, told.select("name", "snapshot_id", cite.alias("citation"), "target_text").distinct(), most_symbols, 4, most_relations), "contexts")
+    contexts = durable(G.symbol_contexts(names, places, told.select("name", "snapshot_id", cite.alias("citation"), "target_text"), most_symbols, 4, most_relations), "contexts")
     links = G.cross_links(contexts, snapshots.select("snapshot_id", "repository"))
     links = links.withColumn("link_id", evidence_id("cross_link", symbol="symbol", source_snapshot_id="source_snapshot_id", source_citation="source_citation", target_snapshot_id="target_snapshot_id", target_citation="target_citation"))
     links = durable(links, "links")

@@ -74,12 +74,17 @@ def symbol_contexts(names: DataFrame, occurrences: DataFrame, relations: DataFra
     relations; names without either don't count towards ``most_symbols``.
 
     ``occurrences(name, snapshot_id, citation, role)`` and ``relations(name, snapshot_id, citation, target_text)``; a relation
-    that is given twice counts once. The names are chosen first, by keys alone; only the rows of the chosen are gathered.
+    that is given twice counts once. The names are chosen first, by keys alone; only the rows of the chosen are gathered, and of a name's
+    relations a task sends only those that may be among its first.
     """
     def firsts(rows: DataFrame, most: int, fields: list[str], out: str) -> DataFrame:
         ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("name", "snapshot_id").orderBy("citation", *fields)))
         return ranked.where(F.col("n") <= most + 1).groupBy("name", "snapshot_id").agg(F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.struct("n", "citation", *fields)))).alias(out), (F.count("*") > most).alias(out + "_more"))
 
+    def once(rows: DataFrame, most: int) -> DataFrame:
+        place = F.dense_rank().over(Window.partitionBy("name", "snapshot_id").orderBy("citation", "target_text"))
+        return rows.withColumn("n", place).where(F.col("n") <= most + 1).drop("n").distinct()
+
     key = ["name", "snapshot_id"]
     places = occurrences.select(*key).distinct().union(relations.select(*key).distinct()).distinct()
     ranked = names.join(places, "name").withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("name_order", "snapshot_id")))
@@ -87,7 +92,7 @@ def symbol_contexts(names: DataFrame, occurrences: DataFrame, relations: DataFra
     few = chosen.select(*key).distinct()
     few = F.broadcast(few) if few.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else few
     kept = lambda rows: rows.join(few, key, "left_semi")
-    own = firsts(kept(occurrences), most_occurrences, ["role"], "occurrences").join(firsts(kept(relations).distinct(), most_relations, ["target_text"], "relations"), key, "full_outer")
+    own = firsts(kept(occurrences), most_occurrences, ["role"], "occurrences").join(firsts(once(kept(relations).select(*key, "citation", "target_text"), most_relations), most_relations, ["target_text"], "relations"), key, "full_outer")
     return chosen.join(own, key).withColumn("truncated", F.coalesce("occurrences_more", F.lit(False)) | F.coalesce("relations_more", F.lit(False))).drop("occurrences_more", "relations_more")
 
 
