@@ -233,11 +233,13 @@ def _relations_of(asked: DataFrame, symbols: DataFrame, relations: DataFrame, ch
     paths = F.broadcast(paths) if paths.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else paths
     rest = ["relation_id", "confidence", "repository", "snapshot_id", "end_line", "chunk_start", "chunk_end", "file_id"]
     key = lambda by, c: F.struct(F.lit(by).alias("by"), F.col(c).alias("key"))
-    told = F.filter(F.array_distinct(F.array(key("id", "source_symbol_id"), key("id", "target_symbol_id"), key("text", "target_text"))), lambda k: k["key"].isNotNull())
-    rel = relations.select(F.col("id").alias("relation_id"), F.col("source_file_id").alias("file_id"), F.inline(told), "start_line", "end_line", F.when(F.col("confidence") == "source_exact", 0).otherwise(1).alias("inexact"), "confidence")
+    other = F.when(~F.col("target_symbol_id").eqNullSafe(F.col("source_symbol_id")), F.col("target_symbol_id")).alias("target_symbol_id")
+    rel = relations.select(F.col("id").alias("relation_id"), F.col("source_file_id").alias("file_id"), "source_symbol_id", other, "target_text", "start_line", "end_line", F.when(F.col("confidence") == "source_exact", 0).otherwise(1).alias("inexact"), "confidence")
+    told = F.inline(F.array(key(0, "source_symbol_id"), key(0, "target_symbol_id"), key(1, "target_text")))  # no function of arrays, which Spark would interpret row by row
+    rel = rel.select("relation_id", "file_id", told, "start_line", "end_line", "inexact", "confidence").where("key is not null")
     out, most = None, min(MOST_RELATIONS * top_k, MOST_RANKED)
     while True:
-        keys = symbols.join(asked, "name", "left_semi").select(F.lit("id").alias("by"), F.col("id").alias("key"), "name").union(asked.select(F.lit("text").alias("by"), F.col("name").alias("key"), "name"))
+        keys = symbols.join(asked, "name", "left_semi").select(F.lit(0).alias("by"), F.col("id").alias("key"), "name").union(asked.select(F.lit(1).alias("by"), F.col("name").alias("key"), "name"))
         met = _meet(rel, durable(keys, "keys"), ["by", "key"]).drop("by", "key")
         if most:
             met = met.join(paths, "file_id").withColumn("__at", F.rank().over(Window.partitionBy("name").orderBy(*order))).where(F.col("__at") <= most).drop("__at", "path")
